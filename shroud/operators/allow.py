@@ -32,6 +32,7 @@ class Rule:
     net: int | None = None
     prefix: int | None = None
     glob: str | None = None   # regex body (anchored, case-insensitive)
+    literal: str | None = None  # glob entry without its `*`s
 
     @property
     def mask(self) -> int:
@@ -68,7 +69,7 @@ def parse_entry(raw: str) -> Rule | None:
         return Rule("domain", domain=d) if d else None
     if "@" not in e and "." in e and "*" not in e and not re.fullmatch(IPV4_SHAPE[1:-1], e):
         return Rule("domain", domain=e.lower())
-    return Rule("glob", glob=glob_body(e))
+    return Rule("glob", glob=glob_body(e), literal=e.replace("*", ""))
 
 
 def compile_rules(entries: list[str] | None = None, defaults: bool = True) -> list[Rule]:
@@ -109,16 +110,31 @@ def allowed(rules: list[Rule], typ: str, value: Column) -> Column:
         n = ip_to_int(value)
         conds.append(F.coalesce(_any([n.bitwiseAND(F.lit(r.mask)) == F.lit(r.net) for r in cidrs]),
                                 F.lit(False)))
-    globs = [r.glob for r in rules if r.kind == "glob"]
+    globs = [r.glob for r in rules if r.kind == "glob" and glob_may_match(r, typ)]
     if globs:
         conds.append(value.rlike("(?i)^(?:" + "|".join(f"(?:{g})" for g in globs) + r")\z"))
     return _any(conds) if conds else F.lit(False)
 
 
+# Characters a detected value of each type can consist of (read off the
+# patterns' character classes, lower-cased). A glob whose literal characters
+# are not all in a type's alphabet can never match a value of that type.
+VALUE_ALPHABET = {
+    "email": r"[a-z0-9._%+@-]", "ssn": r"[0-9-]", "private-key": None, "aws-key": r"[a-z0-9]",
+    "gh-token": r"[a-z0-9_]", "jwt": r"[a-z0-9_.-]", "api-key": r"[a-z0-9_-]", "credit-card": r"[0-9 -]",
+    "ip": r"[0-9.]", "iban": r"[a-z0-9]", "mac": r"[0-9a-f:-]", "phone": r"[0-9+().\s-]",
+}
+
+
+def glob_may_match(rule: Rule, typ: str) -> bool:
+    alpha = VALUE_ALPHABET.get(typ)
+    return alpha is None or all(re.fullmatch(alpha, c) for c in (rule.literal or "").lower())
+
+
 def allow_applies(rules: list[Rule], typ: str) -> bool:
     """Whether any rule can ever allow a value of this type."""
-    return any(r.kind == "glob" or (r.kind == "domain" and typ == "email") or (r.kind == "cidr" and typ == "ip")
-               for r in rules)
+    return any((r.kind == "glob" and glob_may_match(r, typ)) or (r.kind == "domain" and typ == "email")
+               or (r.kind == "cidr" and typ == "ip") for r in rules)
 
 
 def _any(cs: list[Column]) -> Column:
@@ -132,6 +148,11 @@ def _any(cs: list[Column]) -> Column:
 # Rule tables
 # ---------------------------------------------------------------------------
 
+def prefix_mask(n: Column) -> Column:
+    """Netmask of an IPv4 prefix length as BIGINT: 2^32 - 2^(32-n) (0 for /0)."""
+    return F.lit(4294967296) - F.pow(F.lit(2), F.lit(32) - n).cast("bigint")
+
+
 def parse_rules(entries: DataFrame, raw: str = "raw") -> DataFrame:
     """A1: classify every entry: domain / cidr / glob, or rejected with NULL kind.
 
@@ -141,8 +162,7 @@ def parse_rules(entries: DataFrame, raw: str = "raw") -> DataFrame:
     addr = F.regexp_extract(e, CIDR_SHAPE, 1)
     plen = F.regexp_extract(e, CIDR_SHAPE, 2).cast("int")
     net = ip_to_int(addr)
-    mask = F.when(plen == 0, F.lit(0)).otherwise(
-        F.shiftleft(F.lit(0xFFFFFFFF).cast("bigint"), 32 - plen).bitwiseAND(F.lit(0xFFFFFFFF)))
+    mask = prefix_mask(plen)
     is_cidr = e.rlike(CIDR_SHAPE)
     is_bad = (e == "") | e.rlike(r"^\*+$")
     at_dom = F.lower(F.substring(e, 2, 1 << 30))
@@ -189,9 +209,7 @@ def match_rules(findings: DataFrame, rules: DataFrame, key_cols: list[str],
     lengths = sorted(r[0] for r in cidr_rules.select("prefix_len").distinct().collect())
     ips = findings.where("type = 'ip'").withColumn("ip_int", ip_to_int(F.col("value"))).where("ip_int IS NOT NULL")
     masked = (ips.withColumn("prefix_len", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(None).cast("int")])))
-              .withColumn("net", F.when(F.col("prefix_len") == 0, F.lit(0).cast("bigint")).otherwise(
-                  F.col("ip_int").bitwiseAND(F.shiftleft(F.lit(0xFFFFFFFF).cast("bigint"),
-                                                         32 - F.col("prefix_len")).bitwiseAND(F.lit(0xFFFFFFFF))))))
+              .withColumn("net", F.col("ip_int").bitwiseAND(prefix_mask(F.col("prefix_len")))))
     by_cidr = masked.join(cidr_rules, ["net", "prefix_len"], "left_semi").select(*keys).withColumn("rule_kind", F.lit("cidr"))
 
     glob_rules = rules.where("kind = 'glob'").select("glob_regex").distinct()

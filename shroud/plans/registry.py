@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import detection_jobs
+from . import allow_jobs, detection_jobs
 
 JOBS: dict = {}
 JOBS.update(detection_jobs.JOBS)
+JOBS.update(allow_jobs.JOBS)
 
 
 def queries():

@@ -62,3 +62,26 @@ def fx_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     snip = broadcast_seed(spark, snippet_rows(), SNIPPET_COLS)
     return (conv.join(snip, ((conv.conv_id + conv.turn) % len(SNIPPETS)) == snip.i)
             .select("conv_id", "turn", "role", F.concat_ws(" ", "text", "s").alias("text")))
+
+
+# Allowlist entries as a fleet of hosts would configure them: valid forms of
+# every kind, plus entries that must be rejected (blank, bare `*`, bad octet,
+# prefix over 32, lone `@`).
+ALLOW_ENTRY_TEMPLATES = [
+    "me@acme.com", "*@corp.acme.io", "@partner.dev", "vendor.net", "10.0.0.0/8", "ghp_dead*",
+    "*", "**", "   ", "", "999.1.1.1/8", "10.0.0.0/33", "@", "192.168.1.10", "  @Example.COM ",
+    "a.b*", "172.16.0.0/12", "(weird)+entry?", "Sub.Domain.ORG", "1.2.3.4",
+]
+ALLOW_ENTRY_COLS = [("i", "BIGINT"), ("raw", "VARCHAR")]
+
+
+def allow_entry_rows():
+    return [(i, s) for i, s in enumerate(ALLOW_ENTRY_TEMPLATES)]
+
+
+def fx_allow_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One allowlist entry per customer host (c_custkey mod n picks it)."""
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey")
+    tpl = broadcast_seed(spark, allow_entry_rows(), ALLOW_ENTRY_COLS)
+    return (cust.join(tpl, (cust.c_custkey % len(ALLOW_ENTRY_TEMPLATES)) == tpl.i)
+            .select(F.col("c_custkey").alias("host"), "raw"))
