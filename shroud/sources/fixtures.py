@@ -163,3 +163,72 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_user, F.lit("bash")).otherwise(F.col("tool")).alias("tool"),
         F.when(is_user, F.lit("! command")).otherwise(F.col("tool")).alias("actor"),
         "input_json", "can_prompt", "unattended", "answer_i")
+
+
+# ---------------------------------------------------------------------------
+# tool inventories (from `part`)
+# ---------------------------------------------------------------------------
+
+def _nest(depth: int, leaf: str) -> str:
+    """A schema whose URL-named property sits `depth` property levels down."""
+    s = {"type": "object", "properties": {leaf: {"type": "string"}}}
+    for k in range(depth):
+        s = {"type": "object", "properties": {f"level{k}": s}}
+    return _j(s)
+
+
+# (name, description, parameters JSON, prompt guidelines, path, source, scope, origin)
+TOOL_TEMPLATES = [
+    ("bash", "Run a shell command", _j({"type": "object", "properties": {"command": {"type": "string"}}}), None, None, None, None, None),
+    ("read", "Read a file", _j({"type": "object", "properties": {"path": {"type": "string"}}}), None, None, None, None, None),
+    ("write", "Write a file", _j({"type": "object", "properties": {"path": {}}}), None, None, None, None, None),
+    ("edit", "Edit a file", "{}", None, None, None, None, None),
+    ("grep", "Search files", "{}", None, None, None, None, None),
+    ("find", "Find files", "{}", None, None, None, None, None),
+    ("ls", "List a directory", "{}", None, None, None, None, None),
+    ("deploy", "Deploy the app", _j({"type": "object", "properties": {"env": {"type": "string"}}}), None,
+     ".pi/skills/deploy/SKILL.md", "local", "project", "top-level"),
+    ("grep_web", "Search the web", _j({"properties": {"url": {"type": "string"}}}), None,
+     "/home/u/.pi/agent/packages/web/index.ts", "npm:web", "user", "package"),
+    ("mytool", "My helper", _j({"properties": {"q": {"type": "string", "description": "url"}}}), None,
+     "/home/u/.pi/agent/extensions/mytool.ts", "local", "user", "top-level"),
+    ("scratch", "Scratch skill", "{}", None, "/tmp/scratch.ts", "cli", "temporary", "top-level"),
+    ("mystery", "Unknown origin", "{}", None, None, None, None, None),
+    ("fetcher", "Fetches pages", "{}", "Call it with https://api.example.com/v1 only", 
+     "/home/u/.pi/agent/packages/f/index.ts", "npm:f", "user", "package"),
+    ("nested", "Nested config", _j({"properties": {"config": {"type": "object", "properties": {"base_url": {}}}}}), None,
+     "/home/u/.pi/agent/extensions/nested.ts", "local", "user", "top-level"),
+    ("deep6", "Depth six", _nest(6, "endpoint"), None, "/home/u/.pi/agent/extensions/d6.ts", "local", "user", "top-level"),
+    ("deep7", "Depth seven", _nest(7, "endpoint"), None, "/home/u/.pi/agent/extensions/d7.ts", "local", "user", "top-level"),
+    ("lister", "Lists things", _j({"properties": {"list": {"type": "array", "items": {"properties": {"Webhook": {}}}}}}),
+     None, ".agents/skills/lister/SKILL.md", "local", "project", "top-level"),
+    ("union_tool", "Any of", _j({"anyOf": [{"properties": {"x": {}}}, {"properties": {"HOST": {}}}]}), None,
+     "/home/u/.pi/agent/packages/u/index.ts", "npm:u", "user", "package"),
+    ("defs_tool", "Defs", _j({"$defs": {"a": {"properties": {"server": {}}}}, "properties": {"a": {"$ref": "#/$defs/a"}}}),
+     None, "/home/u/.pi/agent/extensions/defs.ts", "local", "user", "top-level"),
+    ("web_fetch", "Fetch a URL", _j({"properties": {"uri": {"type": "string"}}}), None, None, None, None, "package"),
+]
+TOOL_COLS = [("i", "BIGINT"), ("name", "VARCHAR"), ("description", "VARCHAR"), ("parameters", "VARCHAR"),
+             ("prompt_guidelines", "VARCHAR"), ("path", "VARCHAR"), ("source", "VARCHAR"), ("scope", "VARCHAR"),
+             ("origin", "VARCHAR")]
+
+
+def tool_rows():
+    return [(i, *t) for i, t in enumerate(TOOL_TEMPLATES)]
+
+
+def tool_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run of 20 consecutive parts is one session's tool inventory. In odd
+    sessions a project extension supplies `bash` and `read` (shadowing builtins)."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey")
+    tpl = broadcast_seed(spark, tool_rows(), TOOL_COLS)
+    n = len(TOOL_TEMPLATES)
+    j = part.join(tpl, (part.p_partkey % n) == tpl.i)
+    sess = F.floor(F.col("p_partkey") / n).cast("bigint")
+    shadow = (F.col("i") < 2) & (sess % 2 == 1)
+    return j.select(
+        sess.alias("session_id"), "name", "description", "parameters", "prompt_guidelines",
+        F.when(shadow, F.concat(F.lit(".pi/extensions/"), F.col("name"), F.lit(".ts"))).otherwise(F.col("path")).alias("path"),
+        F.when(shadow, F.lit("local")).otherwise(F.col("source")).alias("source"),
+        F.when(shadow, F.lit("project")).otherwise(F.col("scope")).alias("scope"),
+        F.when(shadow, F.lit("top-level")).otherwise(F.col("origin")).alias("origin"))
