@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import allow_jobs, detection_jobs, egress_jobs, surface_jobs
+from . import allow_jobs, detection_jobs, egress_jobs, posture_jobs, surface_jobs
 
 JOBS: dict = {}
 JOBS.update(detection_jobs.JOBS)
 JOBS.update(allow_jobs.JOBS)
 JOBS.update(egress_jobs.JOBS)
 JOBS.update(surface_jobs.JOBS)
+JOBS.update(posture_jobs.JOBS)
 
 
 def queries():

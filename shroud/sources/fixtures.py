@@ -232,3 +232,88 @@ def tool_info(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(shadow, F.lit("local")).otherwise(F.col("source")).alias("source"),
         F.when(shadow, F.lit("project")).otherwise(F.col("scope")).alias("scope"),
         F.when(shadow, F.lit("top-level")).otherwise(F.col("origin")).alias("origin"))
+
+
+# ---------------------------------------------------------------------------
+# model switches (from `events`) and attestation evidence (from `supplier`)
+# ---------------------------------------------------------------------------
+
+# (provider, model id, base URL); `custom` takes its base URL from ENDPOINTS.
+PROVIDER_TEMPLATES = [
+    ("proxied-tee", "tee-chat", "https://api.proxied.example/v1"),
+    ("tinfoil", "deepseek-r1", "https://inference.tinfoil.sh/v1"),
+    ("nearai", "qwen3", "https://cloud-api.near.ai/v1"),
+    ("venice", "venice-uncensored", "https://api.venice.ai/api/v1"),
+    ("fireworks", "llama-v3", "https://api.fireworks.ai/inference/v1"),
+    ("openrouter", "gpt-oss", "https://openrouter.ai/api/v1"),
+    ("ollama", "llama3", "http://[::1]:11434/v1"),
+    ("custom", "local-llm", None),
+    ("acme-ai", "acme-1", "http://sub.localhost:1"),
+]
+PROVIDER_COLS = [("i", "BIGINT"), ("provider", "VARCHAR"), ("model_id", "VARCHAR"), ("base_url", "VARCHAR")]
+ENDPOINTS = [
+    "http://127.0.0.2:1234", "http://[::1]:11434/v1", "http://[::ffff:127.0.0.1]:1", "http://sub.localhost:1",
+    "http://0.0.0.0:8080", "http://nas.local:8080/v1", "http://192.168.1.50:8080", "http://localhost.attacker.com/v1",
+    "http://999.0.0.1/", "not a url",
+]
+ENDPOINT_COLS = [("j", "BIGINT"), ("endpoint", "VARCHAR")]
+
+
+def provider_rows():
+    return [(i, *p) for i, p in enumerate(PROVIDER_TEMPLATES)]
+
+
+def endpoint_rows():
+    return [(j, e) for j, e in enumerate(ENDPOINTS)]
+
+
+def model_selects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model switch with its provider, model and base URL; per-session
+    options: ZDR routing enforced (session mod 3 = 0), host-verified TEE (mod 4 = 0)."""
+    ev = session_events(spark, sf_dir).where("kind = 'model_select'")
+    tpl = broadcast_seed(spark, provider_rows(), PROVIDER_COLS)
+    ep = broadcast_seed(spark, endpoint_rows(), ENDPOINT_COLS)
+    j = (ev.join(tpl, ev.provider_i == tpl.i).join(ep, (ev.event_id % len(ENDPOINTS)) == ep.j))
+    return j.select("session_id", "seq", "ts", "event_id", "provider", "model_id",
+                    F.when(F.col("provider") == "custom", F.col("endpoint")).otherwise(F.col("base_url")).alias("base_url"),
+                    (F.col("session_id") % 3 == 0).alias("zdr_enforced"),
+                    (F.col("session_id") % 4 == 0).alias("verified_tee"),
+                    "can_prompt", "unattended", "answer_i")
+
+
+SEV_PREDICATE = "https://tinfoilsh.github.io/cvm-attestation/predicate/sev-snp-guest/v2"
+TDX_PREDICATE = "https://tinfoilsh.github.io/cvm-attestation/predicate/tdx-guest/v1"
+
+
+def attest_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key-pin documents, one per supplier: a 144-byte report whose bytes
+    0x50..0x70 hold the SHA-256 of the enclave key; the live key observed on the
+    connection is equal, different, missing, or equal under a TDX predicate."""
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey")
+    key = F.sha2(F.col("s_suppkey").cast("string"), 256)
+    body = F.base64(F.unhex(F.concat(F.repeat(F.lit("00"), 80), key, F.repeat(F.lit("00"), 32))))
+    m = F.col("s_suppkey") % 4
+    return s.select(
+        F.col("s_suppkey").alias("doc_id"),
+        F.concat(F.lit("enclave-"), F.col("s_suppkey").cast("string"), F.lit(".example.net")).alias("host"),
+        F.when(m == 3, F.lit(TDX_PREDICATE)).otherwise(F.lit(SEV_PREDICATE)).alias("format"),
+        F.when(F.col("s_suppkey") % 13 == 0, F.lit(None).cast("string")).otherwise(body).alias("body"),
+        F.when(m == 1, F.sha2(F.concat(F.lit("other"), F.col("s_suppkey").cast("string")), 256))
+        .when(m == 2, F.lit(None).cast("string")).otherwise(key).alias("live_key"))
+
+
+def attest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report-body evidence, one per supplier, with the nonce that was issued."""
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    k = F.col("s_suppkey")
+    nonce = F.when(k % 11 == 0, F.lit("")).otherwise(F.sha2(F.concat(F.lit("nonce"), k.cast("string")), 256))
+    addr = F.concat(F.lit("0x"), F.substring(F.sha2(k.cast("string"), 256), 1, 40))
+    echoed = F.when(k % 7 != 0, nonce).otherwise(F.lit("deadbeef"))
+    hw = F.concat(F.when(k % 2 == 0, F.lit(',"nvidia_payload":"{}"')).otherwise(F.lit("")),
+                  F.when(k % 5 == 0, F.lit(',"intel_quote":"AAAA"')).otherwise(F.lit("")))
+    address_part = (F.when(k % 3 == 0, F.lit(""))
+                    .when(k % 3 == 1, F.concat(F.lit(',"signing_address":"'), addr, F.lit('"')))
+                    .otherwise(F.concat(F.lit(',"gateway":{"SigningAddress":"'), addr, F.lit('"}'))))
+    raw = F.concat(F.lit('{"model":"'), F.col("s_name"), F.lit('","report_data":"'), echoed, F.lit('"'),
+                   address_part, hw, F.lit("}"))
+    return s.select(k.alias("report_id"), F.lit("qwen3").alias("model"), nonce.alias("nonce"), raw.alias("raw"))
