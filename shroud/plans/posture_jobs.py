@@ -73,11 +73,13 @@ def attest_key_grade(spark, sf):
                     g["matched"].alias("matched"), g["posture"].alias("posture"), P.tier_from_tee(g["posture"]).alias("tier"))
 
 
-def posture_resolution(spark, sf):
-    """Final tier per switch. Host override first; attested providers by their
-    evidence grade; missing evidence (fetch failure) is tee-unverified, never
-    standard; everything else by P1 without a base URL (as the runtime resolves)."""
-    m = _ms(spark, sf).withColumn("evidence_id", F.col("event_id") % EVIDENCE_SPAN + 1)
+def resolve_tiers(m, spark, sf):
+    """P7 over a model-switch frame: adds `tier` and `source`.
+
+    Host override first; attested providers by their evidence grade; missing
+    evidence (fetch failure) is tee-unverified, never standard; everything else
+    by P1 without a base URL (as the runtime resolves it)."""
+    m = m.withColumn("evidence_id", F.col("event_id") % EVIDENCE_SPAN + 1)
     keys = attest_key_grade(spark, sf).select(F.col("doc_id").alias("evidence_id"), F.col("tier").alias("key_tier"))
     reps = attest_report_grade(spark, sf).select(F.col("report_id").alias("evidence_id"), F.col("tier").alias("report_tier"))
     j = m.join(keys, "evidence_id", "left").join(reps, "evidence_id", "left")
@@ -90,7 +92,12 @@ def posture_resolution(spark, sf):
     source = (F.when(override.isNotNull(), "host").when(F.col("provider") == "tinfoil", F.when(F.col("key_tier").isNull(),
               "fetch-failed").otherwise("key-pin")).when(F.col("provider") == "nearai", F.when(F.col("report_tier").isNull(),
               "fetch-failed").otherwise("report")).otherwise("static"))
-    return j.select(*MK, "provider", "model_id", tier.alias("tier"), source.alias("source"))
+    return j.withColumn("tier", tier).withColumn("source", source).drop("evidence_id", "key_tier", "report_tier")
+
+
+def posture_resolution(spark, sf):
+    """Final tier per model switch."""
+    return resolve_tiers(_ms(spark, sf), spark, sf).select(*MK, "provider", "model_id", "tier", "source")
 
 
 # ---------------------------------------------------------------------------
