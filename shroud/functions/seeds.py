@@ -238,3 +238,14 @@ PROJECT_MAY_NOT_SET = [
 ]
 CODE_ONLY_OPTIONS = ["onPosture", "resolveTier", "renderBadge", "privateerVerifiedTee",
                      "piiUnattended", "renderPiiAutoRedact"]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — gate wording
+# ---------------------------------------------------------------------------
+
+EGRESS_WARNING = ("⚠ {label} is about to send {what} off this machine{dest}. "
+                  "A private (TEE/ZDR) model does NOT protect a tool call. Best-effort detection, not a guarantee.")
+EGRESS_REASON = "blocked {kind} exfiltration via {label}"
+USER_COMMAND_LABEL = "this ! command"
+LEDGER_PII_NOTE = "{n} carried PII/credentials"
+LEDGER_BLOCKED_NOTE = "{n} blocked"

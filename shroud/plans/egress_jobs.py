@@ -101,8 +101,12 @@ def _hexnum(s: str, base: int) -> str:
             "CAST(0 AS DOUBLE))")
 
 
-def url_ctes(src: str, keys: list[str]) -> str:
-    """Staged classification of (keys…, url) rows in `src`; final CTE `ua`."""
+def url_ctes(src: str, keys: list[str], name: str = "ua") -> str:
+    """Staged classification of (keys…, url) rows in `src`; final CTE `name`."""
+    return _url_ctes(src, keys).replace("ua", name)
+
+
+def _url_ctes(src: str, keys: list[str]) -> str:
     k = ", ".join(keys)
     part = ("CASE WHEN regexp_matches(p, '^0[xX][0-9A-Fa-f]*$') THEN " + _hexnum("substr(p, 3)", 16) +
             " WHEN regexp_matches(p, '^0[0-7]+$') THEN " + _hexnum("p", 8) +
@@ -159,7 +163,7 @@ def assess_ctes() -> str:
         f"unnest(list_transform({_seg_list('cmd')}, lambda s, k: {{'k': k, 's': s}})) AS z FROM cmds WHERE tool = 'bash')),\n"
         f"seg_u AS (SELECT session_id, seq, seg_no, y.j AS url_no, y.u AS url FROM (SELECT session_id, seq, seg_no, "
         f"unnest(list_transform(regexp_extract_all(seg, {URL_RE2}), lambda u, j: {{'j': j, 'u': u}})) AS y FROM segs)),\n"
-        + url_ctes("seg_u", ["session_id", "seq", "seg_no", "url_no"]).replace("ua", "sa") + ",\n"
+        + url_ctes("seg_u", ["session_id", "seq", "seg_no", "url_no"], "sa") + ",\n"
         "seg_agg AS (SELECT session_id, seq, seg_no, count(*) AS n_urls, "
         "arg_min(url, url_no) FILTER (WHERE NOT is_local) AS remote FROM sa GROUP BY ALL),\n"
         "seg_eval AS (SELECT s.session_id, s.seq, s.seg_no, a.remote, (a.remote IS NOT NULL OR "
