@@ -236,7 +236,7 @@ PROJECT_MAY_NOT_SET = [
     ("toolSurfaceCommand", "renaming the command can hide the tool-surface listing"),
     ("modelPickerCommand", "renaming the command can hide the privacy-ranked model picker"),
 ]
-CODE_ONLY_OPTIONS = ["onPosture", "resolveTier", "renderBadge", "privateerVerifiedTee",
+CODE_ONLY_OPTIONS = ["onPosture", "resolveTier", "renderBadge", "proxiedTeeVerified",
                      "piiUnattended", "renderPiiAutoRedact"]
 
 # ---------------------------------------------------------------------------
@@ -249,3 +249,14 @@ EGRESS_REASON = "blocked {kind} exfiltration via {label}"
 USER_COMMAND_LABEL = "this ! command"
 LEDGER_PII_NOTE = "{n} carried PII/credentials"
 LEDGER_BLOCKED_NOTE = "{n} blocked"
+
+# Serializable option defaults (key, default as text).
+CONFIG_DEFAULTS = [
+    ("piiPolicy", "warn"), ("toolExfilPolicy", "warn"), ("toolResultPolicy", "warn"), ("downgradePolicy", "warn"),
+    ("toolSurfacePolicy", "warn"), ("enforceOpenRouterZdr", "false"), ("showBadge", "true"),
+    ("installDispatcher", "true"), ("registerProviders", "true"), ("useDispatcherTransport", "true"),
+    ("modelPicker", "true"), ("piiAllowDefaults", "true"), ("piiAllow", ""), ("badgeSinks", "status,widget,title"),
+    ("badgeKey", "privacy-badge"), ("modelPickerCommand", "models"), ("toolSurfaceCommand", "surface"),
+]
+BOOL_TRUE = ["1", "true", "yes", "on"]
+BOOL_FALSE = ["0", "false", "no", "off"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import allow_jobs, detection_jobs, egress_jobs, posture_jobs, session_jobs, surface_jobs, tool_jobs
+from . import allow_jobs, config_jobs, detection_jobs, egress_jobs, posture_jobs, session_jobs, surface_jobs, tool_jobs
 
 JOBS: dict = {}
 JOBS.update(detection_jobs.JOBS)
@@ -12,6 +12,7 @@ JOBS.update(surface_jobs.JOBS)
 JOBS.update(posture_jobs.JOBS)
 JOBS.update(session_jobs.JOBS)
 JOBS.update(tool_jobs.JOBS)
+JOBS.update(config_jobs.JOBS)
 
 
 def queries():

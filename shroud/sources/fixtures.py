@@ -317,3 +317,38 @@ def attest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit('{"model":"'), F.col("s_name"), F.lit('","report_data":"'), echoed, F.lit('"'),
                    address_part, hw, F.lit("}"))
     return s.select(k.alias("report_id"), F.lit("qwen3").alias("model"), nonce.alias("nonce"), raw.alias("raw"))
+
+
+# ---------------------------------------------------------------------------
+# settings fleet (from `customer`): four consecutive customers form one host
+# ---------------------------------------------------------------------------
+
+# (source, key, value as JSON text). Sources: env (raw variable text as a JSON
+# string), file (explicit path), project (implicit, untrusted), project_trusted.
+CONFIG_TEMPLATES = [
+    ("project", "piiPolicy", '"off"'), ("project", "toolExfilPolicy", '"block"'),
+    ("project", "showBadge", "false"), ("project", "piiAllow", '["*@*","@acme.com"]'),
+    ("project", "toolSurfacePolicy", '"report"'), ("project", "downgradePolicy", '"BLOCK"'),
+    ("project", "piiPolicy", '"redct"'), ("project", "badgeSinks", '["status","bogus"]'),
+    ("project", "proxiedTeeVerified", "true"), ("project", "modelPicker", "false"),
+    ("project", "enforceOpenRouterZdr", '"yes"'), ("project", "unknownKey", "1"),
+    ("file", "piiPolicy", '"off"'), ("file", "badgeKey", '"  mine  "'),
+    ("file", "piiAllow", '["me@acme.com","",5]'), ("env", "piiPolicy", '" Redact "'),
+    ("env", "showBadge", '"no"'), ("project_trusted", "piiPolicy", '"off"'),
+    ("env", "badgeSinks", '"status, widget bogus"'), ("env", "piiAllow", '"a@b.com, @c.org"'),
+    ("env", "showBadge", '"maybe"'), ("project", "toolResultPolicy", '"redact"'),
+    ("project", "installDispatcher", "true"), ("project", "modelPickerCommand", '"m"'),
+]
+CONFIG_COLS = [("i", "BIGINT"), ("source", "VARCHAR"), ("key", "VARCHAR"), ("value_json", "VARCHAR")]
+HOST_SIZE = 4
+
+
+def config_rows():
+    return [(i, *t) for i, t in enumerate(CONFIG_TEMPLATES)]
+
+
+def config_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey")
+    tpl = broadcast_seed(spark, config_rows(), CONFIG_COLS)
+    return (cust.join(tpl, (cust.c_custkey % len(CONFIG_TEMPLATES)) == tpl.i)
+            .select(F.floor(F.col("c_custkey") / HOST_SIZE).cast("bigint").alias("host"), "source", "key", "value_json"))
