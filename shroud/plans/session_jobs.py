@@ -17,15 +17,17 @@ TYPES = detect.TYPE_ORDER
 RESOLVE_NEVER_LANDS = 6   # attestation never lands when event_id mod 6 = 0
 
 
-def _events(spark, sf):
-    ev = fixtures.session_events(spark, sf)
+def _events(spark, sf, events=None):
+    ev = fixtures.session_events(spark, sf, events)
     return ev.select("*", *S.policies(F.col("session_id")))
 
 
-def timeline(spark, sf):
+def timeline(spark, sf, events=None):
     """One row per session event plus a `tier_resolved` row after each switch
-    whose posture resolved; payload rows carry per-type message hit counts."""
-    ev = _events(spark, sf)
+    whose posture resolved; payload rows carry per-type message hit counts.
+    `events` may be a streaming DataFrame: every step here is stateless or a
+    stream-static join."""
+    ev = _events(spark, sf, events)
     tpl = broadcast_seed(spark, fixtures.provider_rows(), fixtures.PROVIDER_COLS)
     ep = broadcast_seed(spark, fixtures.endpoint_rows(), fixtures.ENDPOINT_COLS)
     ms = (ev.where("kind = 'model_select'").join(tpl, ev.provider_i == tpl.i)

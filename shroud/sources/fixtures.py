@@ -48,9 +48,9 @@ def snippet_rows():
     return [(i, s) for i, s in enumerate(SNIPPETS)]
 
 
-def fx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_text(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """documents, each with one detector snippet appended (doc_id mod 16 picks it)."""
-    docs = ensure_parallel(documents(spark, sf_dir))
+    docs = ensure_parallel(documents(spark, sf_dir)) if docs is None else docs
     snip = broadcast_seed(spark, snippet_rows(), SNIPPET_COLS)
     return (docs.join(snip, (docs.doc_id % len(SNIPPETS)) == snip.i)
             .select("doc_id", "source", "lang", F.concat_ws(" ", "text", "s").alias("text")))
@@ -132,27 +132,35 @@ EVENT_KIND = [("view", "payload"), ("click", "tool_call"), ("purchase", "model_s
               ("error", "tool_result"), ("signup", "user_bash")]
 
 
-def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _as_timestamp(df: DataFrame, c: str):
+    """TIMESTAMP_NTZ -> TIMESTAMP; an existing TIMESTAMP column is kept as is so a
+    watermark declared on it upstream survives."""
+    from pyspark.sql.types import TimestampType
+    return F.col(c) if isinstance(df.schema[c].dataType, TimestampType) else F.col(c).cast("timestamp").alias(c)
+
+
+def session_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Every event becomes one session event; `seq` is the arrival order.
 
     event_id is unique and increases with ts, so seq = 10 * event_id orders a
     session without a window (room is left for derived rows at seq + 1).
     """
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    ev = (read_table(spark, sf_dir, "events") if events is None else events).select(
+        "event_id", "ts", "user_id", "event_type")
     kind = F.lit(None).cast("string")
     for et, k in reversed(EVENT_KIND):
         kind = F.when(F.col("event_type") == et, F.lit(k)).otherwise(kind)
     return ev.select(
         F.col("user_id").alias("session_id"), (F.col("event_id") * 10).alias("seq"),
-        F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.alias("kind"),
+        _as_timestamp(ev, "ts"), "event_id", kind.alias("kind"),
         (F.col("event_id") % 16).alias("snippet_i"), (F.col("event_id") % 20).alias("call_i"),
         (F.col("event_id") % 9).alias("provider_i"), (F.col("event_id") % 5).alias("answer_i"),
         (F.col("event_id") % 7 != 0).alias("can_prompt"), (F.col("event_id") % 11 == 0).alias("unattended"))
 
 
-def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tool_calls(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Tool calls by the model and commands typed by the user, one row per event."""
-    ev = session_events(spark, sf_dir).where(F.col("kind").isin("tool_call", "user_bash"))
+    ev = session_events(spark, sf_dir, events).where(F.col("kind").isin("tool_call", "user_bash"))
     tpl = broadcast_seed(spark, call_rows(), CALL_COLS)
     idx = F.when(ev.kind == "user_bash", ev.call_i % N_SHELL_TEMPLATES).otherwise(ev.call_i)
     j = ev.join(tpl, idx == tpl.i)
