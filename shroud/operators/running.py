@@ -21,15 +21,18 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 DEFAULT_SPAN = 1 << 24  # seq units per chunk
+SPAN_CONF = "shroud.running.span"
 
 
 def running(df: DataFrame, key: list[str], order: str, specs: list[tuple[str, str, Column, bool]],
-            span: int = DEFAULT_SPAN, materialize: bool = True) -> DataFrame:
+            span: int | None = None, materialize: bool = True) -> DataFrame:
     """Adds one column per spec (out, fn, value, inclusive).
 
     fn in {"sum", "max", "bool_or", "last", "first"}; `inclusive` includes the
     current row, else only strictly earlier rows count. `last`/`first` ignore NULLs.
     """
+    if span is None:
+        span = int(df.sparkSession.conf.get(SPAN_CONF, str(DEFAULT_SPAN)))
     d = df.withColumn("_ch", F.floor(F.col(order) / F.lit(span)).cast("bigint"))
     vals = []
     for i, (out, fn, col, inc) in enumerate(specs):
