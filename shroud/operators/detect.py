@@ -52,7 +52,7 @@ def iban_ok(v: Column) -> Column:
     rem = F.aggregate(
         F.split(rot, ""), F.lit(0).cast("bigint"),
         lambda acc, c: F.when(c.between("A", "Z"), (acc * 100 + F.ascii(c) - 55) % 97)
-        .otherwise((acc * 10 + c.cast("int")) % 97))
+        .otherwise((acc * 10 + c.try_cast("int")) % 97))
     return F.length(s).between(15, 34) & (rem == 1)
 
 
