@@ -17,10 +17,9 @@ from shroud.plans import registry  # noqa: E402
 from shroud.session import get_spark  # noqa: E402
 
 HEADLINE = [
-    "pii_profile", "pii_findings", "redact_all", "pii_detail",
-    "allow_split", "egress_calls", "egress_ledger", "tool_surface",
-    "model_ranking", "pii_gate", "egress_gate", "downgrade_guard", "config_effective",
-    "session_summary",
+    "pii_profile", "pii_findings", "redact_all", "pii_detail", "allow_split",
+    "egress_calls", "egress_ledger", "surface_report", "posture_resolution", "model_ranking",
+    "pii_gate", "downgrade_guard", "ingest_gate", "config_effective", "session_summary", "stream_pii_gate",
 ]
 
 

@@ -125,7 +125,9 @@ def is_local_url(u: Column) -> Column:
 
 
 def urls(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(URL_JAVA), 0)
+    """http(s) URLs in the text; the regex only runs where `://` occurs."""
+    return F.when(text.contains("://"), F.regexp_extract_all(text, F.lit(URL_JAVA), 0)).otherwise(
+        F.array().cast("array<string>"))
 
 
 def first_remote_of(us: Column) -> Column:

@@ -99,14 +99,25 @@ def downgrade(tl: DataFrame) -> DataFrame:
 
 
 def pii_gate(tl: DataFrame) -> DataFrame:
-    """W3/W4/W5 on payload rows (tl after context_state and downgrade)."""
+    """W3/W4/W5 on payload rows (tl after context_state and downgrade).
+
+    Two session passes. Context counts only grow within a session, so the
+    per-epoch baseline (max over earlier gated payloads) is the context of the
+    latest earlier gated payload when it lies in the same epoch; the carried
+    last action is the latest earlier fresh row's action in the same epoch; the
+    latch is the first eligible "remember" answer, overwritten by any later
+    "switch, redacting PII" at a downgrade."""
+    ctx_cols = [f"ctx_{detect.col_name(t)}" for t in TYPES]
     is_payload = F.col("kind") == "payload"
     gated = (is_payload & (F.col("pii_policy") != "off") & ~F.coalesce(F.col("tier_now").isin(*VERIFIED_PRIVATE), F.lit(False))
              & (F.size("ctx") > 0))
     t = tl.withColumn("gated", gated)
-    specs = [(f"base_{detect.col_name(t_)}", "max", F.when(F.col("gated"), F.col(f"ctx_{detect.col_name(t_)}")), False)
-             for t_ in TYPES]
-    c = running(t, ["session_id", "epoch"], "seq", specs)
+    tagged = F.when(F.col("gated"), F.struct(F.col("epoch").alias("e"), *[F.col(c) for c in ctx_cols]))
+    c = running(t, ["session_id"], "seq", [("last_gated", "last", tagged, False)])
+    same = F.col("last_gated.e") == F.col("epoch")
+    for t_ in TYPES:
+        n = detect.col_name(t_)
+        c = c.withColumn(f"base_{n}", F.when(same, F.col(f"last_gated.ctx_{n}")))
     delta = {t_: F.col(f"ctx_{detect.col_name(t_)}") - F.coalesce(F.col(f"base_{detect.col_name(t_)}"), F.lit(0)) for t_ in TYPES}
     fresh = F.filter(F.array(*[F.struct(F.lit(t_).alias("type"), delta[t_].cast("bigint").alias("count")) for t_ in TYPES]),
                      lambda h: h["count"] > 0)
@@ -119,14 +130,20 @@ def pii_gate(tl: DataFrame) -> DataFrame:
     c = c.withColumn("is_fresh", is_fresh).withColumn("fresh_action", F.when(is_fresh, fresh_action))
     candidate = (is_fresh & (F.col("pii_policy") == "warn") & ~F.col("unattended") & F.col("can_prompt")
                  & ans.endswith("+remember"))
-    w9 = F.coalesce(F.col("dg_decision") == "switch+redact", F.lit(False))
-    c = running(c, ["session_id", "epoch"], "seq", [("last_fresh_action", "last", F.col("fresh_action"), False)])
-    c = running(c.withColumn("candidate", candidate).withColumn("w9_latch", w9), ["session_id"], "seq",
-                [("cand_before", "bool_or", F.col("candidate"), False), ("w9_before", "bool_or", F.col("w9_latch"), False)])
-    latch_value = (F.when(F.col("w9_latch"), "redact")
-                   .when(F.col("candidate") & ~F.col("cand_before") & ~F.col("w9_before"),
-                         F.when(ans.startswith("redact"), "redact").otherwise("send")))
-    c = running(c, ["session_id"], "seq", [("latch_before", "last", latch_value, False)])
+    cand_value = F.when(candidate, F.struct(F.col("seq").alias("s"),
+                                            F.when(ans.startswith("redact"), "redact").otherwise("send").alias("v")))
+    w9_seq = F.when(F.coalesce(F.col("dg_decision") == "switch+redact", F.lit(False)), F.col("seq"))
+    c = running(c, ["session_id"], "seq", [
+        ("last_fresh", "last", F.when(F.col("is_fresh"), F.struct(F.col("epoch").alias("e"), F.col("fresh_action").alias("a"))), False),
+        ("first_cand", "first", cand_value, False),
+        ("first_w9", "first", w9_seq, False),
+        ("last_w9", "last", w9_seq, False)])
+    last_fresh_action = F.when(F.col("last_fresh.e") == F.col("epoch"), F.col("last_fresh.a"))
+    eligible = F.col("first_cand").isNotNull() & (F.col("first_w9").isNull() | (F.col("first_cand.s") < F.col("first_w9")))
+    latch_before = (F.when(eligible, F.when(F.coalesce(F.col("last_w9") > F.col("first_cand.s"), F.lit(False)), F.lit("redact"))
+                           .otherwise(F.col("first_cand.v")))
+                    .when(F.col("last_w9").isNotNull(), F.lit("redact")))
+    c = c.withColumn("latch_before", latch_before).withColumn("last_fresh_action", last_fresh_action)
     action = (F.when(~F.col("gated"), F.lit("pass"))
               .otherwise(F.coalesce(F.col("latch_before"), F.when(F.col("pii_policy") == "redact", F.lit("redact")),
                                     F.when(F.col("is_fresh"), F.col("fresh_action")),

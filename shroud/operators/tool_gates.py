@@ -29,12 +29,17 @@ def first_use(calls: DataFrame, entries: DataFrame) -> DataFrame:
     ans = answer(FIRST_USE_ANSWERS)
     intrinsic = ~F.col("can_prompt") | ans.isin("run", "allow-project")
     c = c.withColumn("fu_applies", applies).withColumn("fu_intrinsic", applies & intrinsic)
-    c = running(c, ["session_id", "tool"], "seq", [("tool_latch", "bool_or", F.col("fu_intrinsic"), False)])
-    sl_row = F.col("fu_applies") & F.col("can_prompt") & (ans == "allow-project") & ~F.col("tool_latch")
-    c = running(c.withColumn("sl_row", sl_row), ["session_id"], "seq", [("session_latch", "bool_or", F.col("sl_row"), False)])
-    outcome = (F.when(~F.col("fu_applies"), "allow").when(F.col("session_latch") | F.col("tool_latch"), "allow")
+    # Only repo-supplied tools can be gated or latch; the latch passes run on
+    # that subset and the rest is unioned back (no join).
+    g = c.where("fu_applies")
+    g = running(g, ["session_id", "tool"], "seq", [("tool_latch", "bool_or", F.col("fu_intrinsic"), False)])
+    sl_row = F.col("can_prompt") & (ans == "allow-project") & ~F.col("tool_latch")
+    g = running(g.withColumn("sl_row", sl_row), ["session_id"], "seq", [("session_latch", "bool_or", F.col("sl_row"), False)])
+    outcome = (F.when(F.col("session_latch") | F.col("tool_latch"), "allow")
                .when(~F.col("can_prompt"), "allow+notice").when(ans.isin("run", "allow-project"), "allow").otherwise("block"))
-    return c.withColumn("fu_outcome", outcome).drop("provenance", "fu_intrinsic", "sl_row")
+    g = g.withColumn("fu_outcome", outcome).drop("tool_latch", "session_latch", "sl_row")
+    rest = c.where("NOT fu_applies").withColumn("fu_outcome", F.lit("allow"))
+    return g.unionByName(rest).drop("provenance", "fu_intrinsic")
 
 
 def verdict(calls: DataFrame) -> DataFrame:
@@ -67,9 +72,11 @@ def verdict(calls: DataFrame) -> DataFrame:
 def egress_gate(v: DataFrame) -> DataFrame:
     """W6 over verdict rows not stopped by W8: adds `decision`."""
     ans = answer(EGRESS_ANSWERS)
-    latch_row = F.col("fires") & (F.col("exfil_policy") == "warn") & F.col("can_prompt") & (ans == "allow-session")
-    g = running(v.withColumn("latch_row", latch_row), ["session_id"], "seq",
+    latch_row = (F.col("exfil_policy") == "warn") & F.col("can_prompt") & (ans == "allow-session")
+    # The latch only matters for, and is only set by, calls with a verdict.
+    g = running(v.where("fires").withColumn("latch_row", latch_row), ["session_id"], "seq",
                 [("allow_latch", "bool_or", F.col("latch_row"), False)])
+    g = g.unionByName(v.where("NOT fires").withColumn("latch_row", F.lit(False)).withColumn("allow_latch", F.lit(False)))
     decision = (F.when(~F.col("fires") | (F.col("exfil_policy") == "off"), "allow")
                 .when(F.col("allow_latch"), "allow+notice").when(F.col("exfil_policy") == "block", "block")
                 .when(F.col("can_prompt"), F.when(ans.isin("allow-once", "allow-session"), "allow").otherwise("block"))
@@ -121,8 +128,9 @@ def ingest_gate(r: DataFrame) -> DataFrame:
     ans = answer(INGEST_ANSWERS)
     remember = F.when(applies & (F.col("result_policy") == "warn") & F.col("can_prompt") & ans.endswith("+remember"),
                       F.when(ans.startswith("redact"), "redact").otherwise("keep"))
-    g = running(r.withColumn("secret_hits", sh).withColumn("applies", applies).withColumn("remember", remember),
-                ["session_id"], "seq", [("result_latch", "first", F.col("remember"), False)])
+    r = r.withColumn("secret_hits", sh).withColumn("applies", applies).withColumn("remember", remember)
+    g = running(r.where("applies"), ["session_id"], "seq", [("result_latch", "first", F.col("remember"), False)])
+    g = g.unionByName(r.where("NOT applies").withColumn("result_latch", F.lit(None).cast("string")))
     action = (F.when(~F.col("applies"), "keep").when(F.col("result_latch").isNotNull(), F.col("result_latch"))
               .when(F.col("result_policy") == "redact", "redact")
               .when(F.col("can_prompt"), F.when(ans.startswith("redact"), "redact").otherwise("keep"))

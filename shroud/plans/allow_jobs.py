@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import seeds
 from ..functions.regex import JS_SPACE
 from ..operators import allow, detect
+from ..session import cut_lineage
 from ..sources import fixtures
 from ..sources.seedframes import seed_df, seed_sql
 from . import oracle as O
@@ -48,7 +49,10 @@ def rule_table(spark, sf):
 
 
 def _findings(spark, sf):
-    return detect.findings(fixtures.fx_text(spark, sf), ["doc_id"], rules=[]).drop("allowed")
+    """Findings are scanned once and checkpointed: the rule joins below reuse
+    them three or four times, and re-running 15 regexes per text each time
+    would dominate the job."""
+    return cut_lineage(detect.findings(fixtures.fx_text(spark, sf), ["doc_id"], rules=[]).drop("allowed"))
 
 
 def _matched(spark, sf):

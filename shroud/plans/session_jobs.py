@@ -61,10 +61,15 @@ def _is_type(t):
     return lambda h: h["type"] == t
 
 
-def replay(spark, sf):
-    tl = S.context_state(timeline(spark, sf))
+STATE_KINDS = ["payload", "model_select", "tier_resolved"]
+
+
+def replay(spark, sf, gate: bool = True):
+    """Only payloads, switches and resolutions carry PII-gate / tier state, so
+    tool rows are left out before the session passes."""
+    tl = S.context_state(timeline(spark, sf).where(F.col("kind").isin(*STATE_KINDS)))
     tl = S.downgrade(tl)
-    return S.pii_gate(tl)
+    return S.pii_gate(tl) if gate else tl
 
 
 # W1 -------------------------------------------------------------------------
@@ -82,7 +87,7 @@ def context_hits(spark, sf):
 
 # W2 / W3 / W4 / W5 ------------------------------------------------------------
 def provider_epoch(spark, sf):
-    r = replay(spark, sf)
+    r = replay(spark, sf, gate=False)
     return r.where("kind = 'model_select'").select("session_id", "seq", "provider", F.col("epoch").cast("bigint").alias("epoch"))
 
 
@@ -108,14 +113,14 @@ def pii_gate(spark, sf):
 
 # W9 / W10 -------------------------------------------------------------------
 def downgrade_guard(spark, sf):
-    r = replay(spark, sf).where("dg_pass IS NOT NULL")
+    r = replay(spark, sf, gate=False).where("dg_pass IS NOT NULL")
     return r.select("session_id", (F.col("seq") + F.col("dg_pass") - 1).alias("seq"), F.col("dg_pass").cast("int").alias("pass_no"),
                     F.col("tier_before").alias("from_tier"), F.col("dg_to").alias("to_tier"),
                     F.col("dg_severity").alias("severity"), F.col("dg_decision").alias("decision"))
 
 
 def downgrade_report(spark, sf):
-    r = replay(spark, sf).where("dg_pass IS NOT NULL")
+    r = replay(spark, sf, gate=False).where("dg_pass IS NOT NULL")
     lab = lambda c: P.tier_attr(c, "label")
     carried = F.when(F.size("ctx") > 0, F.concat(F.lit("carrying "), detect.summary(F.col("ctx")))).otherwise(
         F.lit("already in context"))
@@ -130,7 +135,7 @@ def downgrade_report(spark, sf):
 # P8 -------------------------------------------------------------------------
 def posture_timeline(spark, sf):
     """Badge text per event; only changes are emitted (pending marker while unknown)."""
-    tl = S.context_state(timeline(spark, sf))
+    tl = S.context_state(timeline(spark, sf).where(F.col("kind").isin(*STATE_KINDS)))
     badge = F.when(F.col("kind").isin("model_select", "tier_resolved", "payload"), P.badge(F.col("tier_now")))
     r = running(tl.withColumn("badge", badge), ["session_id"], "seq", [("prev_badge", "last", F.col("badge"), False)])
     return r.where(F.col("badge").isNotNull() & ~F.col("badge").eqNullSafe(F.col("prev_badge"))).select(
