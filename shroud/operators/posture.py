@@ -112,3 +112,12 @@ def key_grade(fmt: Column, report: Column, live_key: Column) -> Column:
                .otherwise("yellow"))
     return F.struct(F.array_join(hw, ", ").alias("hardware"), attested.alias("attested_key"), matched.alias("matched"),
                     posture.alias("posture"))
+
+
+def decode_body(body_b64: Column) -> Column:
+    """Key-pin body: base64, gunzipped when the gzip magic leads. The Python
+    step is an Arrow-batched UDF that only sees rows whose bytes start 1f 8b."""
+    raw = F.unbase64(body_b64)
+    is_gz = F.hex(F.substring(raw, 1, 2)) == "1F8B"
+    from ..functions.gunzip import gunzip_udf
+    return F.when(is_gz, gunzip_udf()(raw)).otherwise(raw)

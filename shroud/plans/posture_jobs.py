@@ -68,7 +68,7 @@ def attest_report_grade(spark, sf):
 
 def attest_key_grade(spark, sf):
     d = fixtures.attest_docs(spark, sf)
-    g = P.key_grade(F.col("format"), F.unbase64(F.col("body")), F.col("live_key"))
+    g = P.key_grade(F.col("format"), P.decode_body(F.col("body")), F.col("live_key"))
     return d.select("doc_id", "host", g["hardware"].alias("hardware"), g["attested_key"].alias("attested_key"),
                     g["matched"].alias("matched"), g["posture"].alias("posture"), P.tier_from_tee(g["posture"]).alias("tier"))
 

@@ -60,3 +60,14 @@ def test_report_and_key_grades(spark):
     d = spark.createDataFrame(rows, "f string, b string, k string")
     got = [r.g.posture for r in d.select(P.key_grade(F.col("f"), F.unhex(F.col("b")), F.col("k")).alias("g")).collect()]
     assert got == ["green", "yellow", "yellow", "red"]
+
+
+def test_gzipped_key_pin_body(spark):
+    import base64
+    import gzip
+    key = "ef" * 32
+    raw = bytes.fromhex("00" * 0x50 + key + "00" * 32)
+    rows = [(base64.b64encode(gzip.compress(raw)).decode(), key), (base64.b64encode(raw).decode(), key)]
+    df = spark.createDataFrame(rows, "b string, k string")
+    g = df.select(P.key_grade(F.lit("https://x/predicate/sev-snp-guest/v2"), P.decode_body(F.col("b")), F.col("k")).alias("g"))
+    assert [r.g.posture for r in g.collect()] == ["green", "green"]
