@@ -114,10 +114,15 @@ def key_grade(fmt: Column, report: Column, live_key: Column) -> Column:
                     posture.alias("posture"))
 
 
-def decode_body(body_b64: Column) -> Column:
-    """Key-pin body: base64, gunzipped when the gzip magic leads. The Python
-    step is an Arrow-batched UDF that only sees rows whose bytes start 1f 8b."""
-    raw = F.unbase64(body_b64)
-    is_gz = F.hex(F.substring(raw, 1, 2)) == "1F8B"
+def with_decoded_body(df, body: str = "body", out: str = "report"):
+    """Key-pin body: base64, gunzipped when the gzip magic leads.
+
+    Spark evaluates a Python UDF for every row of its input even inside a CASE,
+    so gzipped rows are split off by a filter first; only they cross into the
+    Arrow-batched UDF, and the two halves are unioned back (no join)."""
     from ..functions.gunzip import gunzip_udf
-    return F.when(is_gz, gunzip_udf()(raw)).otherwise(raw)
+    d = df.withColumn("_raw", F.unbase64(F.col(body)))
+    is_gz = F.coalesce(F.hex(F.substring("_raw", 1, 2)) == "1F8B", F.lit(False))
+    gz = d.where(is_gz).withColumn(out, gunzip_udf()(F.col("_raw")))
+    plain = d.where(~is_gz).withColumn(out, F.col("_raw"))
+    return gz.unionByName(plain).drop("_raw")
