@@ -24,7 +24,23 @@ def _conditional(rules: list[Rule], typ: str, validator: str | None) -> bool:
     return bool(validator) or allow_applies(rules, typ)
 
 
-def redact_step(x: Column, jre: str, typ: str, validator: str | None, rules: list[Rule]) -> Column:
+def _guarded(x: Column, guard: list[str] | None, step: Column) -> Column:
+    """Skip the step where the pattern's required literal is absent (no match
+    is possible there, so the text is unchanged)."""
+    if not guard:
+        return step
+    cond = x.contains(guard[0])
+    for g in guard[1:]:
+        cond = cond | x.contains(g)
+    return F.when(cond, step).otherwise(x)
+
+
+def redact_step(x: Column, jre: str, typ: str, validator: str | None, rules: list[Rule],
+                guard: list[str] | None = None) -> Column:
+    return _guarded(x, guard, _step(x, jre, typ, validator, rules))
+
+
+def _step(x: Column, jre: str, typ: str, validator: str | None, rules: list[Rule]) -> Column:
     ph = PLACEHOLDER[typ]
     if not _conditional(rules, typ, validator):
         return F.regexp_replace(x, F.lit(jre), F.lit(ph))
@@ -48,7 +64,7 @@ def with_redacted(df: DataFrame, text: str = "text", out: str = "redacted",
     steps = [(i, t, jre, v) for i, t, jre, v in JAVA_PATTERNS if only is None or t in only]
     for n, (i, t, jre, v) in enumerate(steps):
         nxt = f"__r{n}"
-        df = df.withColumn(nxt, redact_step(F.col(cur), jre, t, v, rules))
+        df = df.withColumn(nxt, redact_step(F.col(cur), jre, t, v, rules, seeds.PATTERN_GUARDS[i]))
         if cur != text:
             df = df.drop(cur)
         cur = nxt
