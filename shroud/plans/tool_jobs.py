@@ -9,6 +9,7 @@ from ..functions import seeds
 from ..operators import detect, redact
 from ..operators import session as S
 from ..operators import tool_gates as TG
+from ..session import cut_lineage
 from ..sources import fixtures
 from ..sources.seedframes import broadcast_seed
 from . import oracle as O
@@ -29,8 +30,12 @@ def _first_use(spark, sf):
 
 
 def _gated(spark, sf):
+    """W8 -> E6 -> W6. The verdict (URL parsing and a 15-pattern scan per call)
+    is checkpointed once: the latch pass and the rows it does not touch both
+    read it."""
     f = _first_use(spark, sf)
-    return TG.egress_gate(TG.verdict(f.where("fu_outcome <> 'block'")))
+    v = cut_lineage(TG.verdict(f.where("fu_outcome <> 'block'")))
+    return TG.egress_gate(v)
 
 
 def first_use_gate(spark, sf):
