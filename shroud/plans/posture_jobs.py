@@ -27,6 +27,15 @@ def _with_tiers(spark, sf):
                                                             F.col("verified_tee"))))
 
 
+def loopback_endpoints(spark, sf):
+    """Every model endpoint seen at a switch, its parsed host and whether it
+    is loopback (LAN and .local names are remote; unparseable is remote)."""
+    from ..operators.egress import is_local_url, url_host
+    m = _ms(spark, sf).where(F.col("base_url").isNotNull())
+    return m.select(*MK, "provider", "base_url", url_host(F.col("base_url")).alias("host"),
+                    is_local_url(F.col("base_url")).alias("is_local"))
+
+
 def effective_tier(spark, sf):
     return _with_tiers(spark, sf).select(*MK, "provider", "model_id", "base_url", F.col("effective_tier").alias("tier"))
 
@@ -223,6 +232,10 @@ def posture_resolution_sql():
 
 
 JOBS = {
+    "loopback_endpoints": (loopback_endpoints, lambda: f"WITH {ms_cte()},\nms_u AS (SELECT session_id, seq, base_url AS url "
+                           "FROM ms WHERE base_url IS NOT NULL),\n" + url_ctes("ms_u", ["session_id", "seq"]) +
+                           "\nSELECT u.session_id, u.seq, m.provider, u.url AS base_url, u.host, u.is_local FROM ua u "
+                           "JOIN ms m USING (session_id, seq)"),
     "effective_tier": (effective_tier, lambda: f"WITH {tiers_ctes()}\nSELECT session_id, seq, provider, model_id, base_url, "
                        "effective_tier AS tier FROM tiers"),
     "capability_tier": (capability_tier, lambda: f"WITH {tiers_ctes()}\nSELECT session_id, seq, provider, model_id, "
