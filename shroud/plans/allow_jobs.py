@@ -19,7 +19,7 @@ TRIM_RE = f"^[{JS_SPACE}]+|[{JS_SPACE}]+$"
 
 def _entries(spark, sf) -> DataFrame:
     e = fixtures.fx_allow_entry(spark, sf)
-    return e.withColumn("entry", F.regexp_replace("raw", TRIM_RE.replace(r"\x{", r"\x{"), ""))
+    return e.withColumn("entry", F.regexp_replace("raw", TRIM_RE, ""))
 
 
 def allow_rules(spark, sf):

@@ -6,14 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detect, redact
-from ..operators import tool_gates as TG
+from ..operators import redact
 from ..operators.running import running
-from ..session import checkpoint_dir
 from ..sources import fixtures
 from ..sources.seedframes import broadcast_seed
 from ..sources.tables import documents, ensure_parallel
-from . import config_jobs, oracle as O, session_jobs, surface_jobs, tool_jobs
+from . import oracle as O, session_jobs, surface_jobs, tool_jobs
 from .egress_jobs import session_events_cte
 
 Q = O.q
