@@ -83,3 +83,17 @@ def test_luhn_iban_columns(spark):
     got = df.select(detect.luhn_ok(F.col("v")).alias("l"), detect.iban_ok(F.col("v")).alias("i")).collect()
     assert [r.l for r in got] == [True, False, False]
     assert got[2].i is True and got[0].i is not True
+
+
+def test_hits_plus_suppressed_equal_findings(spark):
+    """Every validated match is either counted or suppressed, never lost."""
+    from conftest import SF_SMALL
+    from shroud.sources import fixtures
+    fx = fixtures.fx_text(spark, SF_SMALL)
+    s = detect.with_scan(fx, sample_cap=0)
+    per_doc = s.select("doc_id", (F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, h: a + h["count"])
+                                  + F.aggregate("suppressed", F.lit(0).cast("bigint"), lambda a, h: a + h["count"])).alias("n"))
+    f = detect.findings(fx, ["doc_id"]).groupBy("doc_id").count()
+    joined = per_doc.join(f, "doc_id", "left").select("n", F.coalesce("count", F.lit(0)).alias("c"))
+    assert joined.where("n <> c").count() == 0
+    assert joined.agg(F.sum("n")).first()[0] > 0
