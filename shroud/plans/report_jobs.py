@@ -122,6 +122,24 @@ def redact_payload(spark, sf):
                     F.when(F.col("shape") == "parts", parts).alias("content_parts"))
 
 
+def redact_payload_parts(spark, sf):
+    """D10, flat: the rewritten content as `kind:value` parts joined by ` | `
+    (text parts redacted, image parts untouched, string content as is)."""
+    r = redact_payload(spark, sf)
+    digest = F.array_join(F.transform("content_parts", lambda p: F.concat(p["kind"], F.lit(":"),
+                                                                          F.coalesce(p["text"], p["raw"]))), " | ")
+    return r.select("conv_id", "turn", "role", "shape", "content_text", digest.alias("parts"))
+
+
+def redact_payload_parts_sql():
+    from .detection_jobs import redact_sql_steps
+    ctes, last = redact_sql_steps("fx_turn", "text")
+    img = "'image:img-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)"
+    return (f"WITH {O.fx_turn_cte()},\n{ctes}\nSELECT conv_id, turn, role, CASE WHEN turn % 5 = 4 THEN 'string' ELSE 'parts' END "
+            "AS shape, CASE WHEN turn % 5 = 4 THEN rtext END AS content_text, CASE WHEN turn % 5 <> 4 THEN 'text:' || rtext || "
+            f"CASE WHEN turn % 3 = 2 THEN ' | ' || {img} ELSE '' END END AS parts FROM {last}")
+
+
 # S1 / S3 / S5 ---------------------------------------------------------------
 def scan_units(spark, sf):
     """Every text that detection sees: documents and conversation messages."""
@@ -155,6 +173,7 @@ JOBS = {
     "session_summary": (session_summary, session_summary_sql),
     "request_pins": (request_pins, request_pins_sql),
     "redact_payload": (redact_payload, None),
+    "redact_payload_parts": (redact_payload_parts, redact_payload_parts_sql),
     "scan_units": (scan_units, scan_units_sql),
     "session_timeline": (session_timeline, lambda: f"WITH {session_jobs.timeline_ctes()}\nSELECT session_id, seq, kind, provider, "
                          "model_id, resolved FROM tl3"),
