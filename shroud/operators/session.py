@@ -137,7 +137,7 @@ def pii_gate(tl: DataFrame) -> DataFrame:
         ("last_fresh", "last", F.when(F.col("is_fresh"), F.struct(F.col("epoch").alias("e"), F.col("fresh_action").alias("a"))), False),
         ("first_cand", "first", cand_value, False),
         ("first_w9", "first", w9_seq, False),
-        ("last_w9", "last", w9_seq, False)])
+        ("last_w9", "last", w9_seq, False)], materialize=False)
     last_fresh_action = F.when(F.col("last_fresh.e") == F.col("epoch"), F.col("last_fresh.a"))
     eligible = F.col("first_cand").isNotNull() & (F.col("first_w9").isNull() | (F.col("first_cand.s") < F.col("first_w9")))
     latch_before = (F.when(eligible, F.when(F.coalesce(F.col("last_w9") > F.col("first_cand.s"), F.lit(False)), F.lit("redact"))

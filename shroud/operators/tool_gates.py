@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seeds
 from . import detect, egress
+from ..session import cut_lineage
 from .running import running
 from .session import EGRESS_ANSWERS, FIRST_USE_ANSWERS, INGEST_ANSWERS, answer
 
@@ -28,13 +29,14 @@ def first_use(calls: DataFrame, entries: DataFrame) -> DataFrame:
                & F.coalesce(F.col("provenance").isin("project", "temporary"), F.lit(False)))
     ans = answer(FIRST_USE_ANSWERS)
     intrinsic = ~F.col("can_prompt") | ans.isin("run", "allow-project")
-    c = c.withColumn("fu_applies", applies).withColumn("fu_intrinsic", applies & intrinsic)
+    c = cut_lineage(c.withColumn("fu_applies", applies).withColumn("fu_intrinsic", applies & intrinsic))
     # Only repo-supplied tools can be gated or latch; the latch passes run on
     # that subset and the rest is unioned back (no join).
     g = c.where("fu_applies")
     g = running(g, ["session_id", "tool"], "seq", [("tool_latch", "bool_or", F.col("fu_intrinsic"), False)])
     sl_row = F.col("can_prompt") & (ans == "allow-project") & ~F.col("tool_latch")
-    g = running(g.withColumn("sl_row", sl_row), ["session_id"], "seq", [("session_latch", "bool_or", F.col("sl_row"), False)])
+    g = running(g.withColumn("sl_row", sl_row), ["session_id"], "seq", [("session_latch", "bool_or", F.col("sl_row"), False)],
+                materialize=False)
     outcome = (F.when(F.col("session_latch") | F.col("tool_latch"), "allow")
                .when(~F.col("can_prompt"), "allow+notice").when(ans.isin("run", "allow-project"), "allow").otherwise("block"))
     g = g.withColumn("fu_outcome", outcome).drop("tool_latch", "session_latch", "sl_row")
@@ -75,7 +77,7 @@ def egress_gate(v: DataFrame) -> DataFrame:
     latch_row = (F.col("exfil_policy") == "warn") & F.col("can_prompt") & (ans == "allow-session")
     # The latch only matters for, and is only set by, calls with a verdict.
     g = running(v.where("fires").withColumn("latch_row", latch_row), ["session_id"], "seq",
-                [("allow_latch", "bool_or", F.col("latch_row"), False)])
+                [("allow_latch", "bool_or", F.col("latch_row"), False)], materialize=False)
     g = g.unionByName(v.where("NOT fires").withColumn("latch_row", F.lit(False)).withColumn("allow_latch", F.lit(False)))
     decision = (F.when(~F.col("fires") | (F.col("exfil_policy") == "off"), "allow")
                 .when(F.col("allow_latch"), "allow+notice").when(F.col("exfil_policy") == "block", "block")
@@ -128,8 +130,9 @@ def ingest_gate(r: DataFrame) -> DataFrame:
     ans = answer(INGEST_ANSWERS)
     remember = F.when(applies & (F.col("result_policy") == "warn") & F.col("can_prompt") & ans.endswith("+remember"),
                       F.when(ans.startswith("redact"), "redact").otherwise("keep"))
-    r = r.withColumn("secret_hits", sh).withColumn("applies", applies).withColumn("remember", remember)
-    g = running(r.where("applies"), ["session_id"], "seq", [("result_latch", "first", F.col("remember"), False)])
+    r = cut_lineage(r.withColumn("secret_hits", sh).withColumn("applies", applies).withColumn("remember", remember))
+    g = running(r.where("applies"), ["session_id"], "seq", [("result_latch", "first", F.col("remember"), False)],
+                materialize=False)
     g = g.unionByName(r.where("NOT applies").withColumn("result_latch", F.lit(None).cast("string")))
     action = (F.when(~F.col("applies"), "keep").when(F.col("result_latch").isNotNull(), F.col("result_latch"))
               .when(F.col("result_policy") == "redact", "redact")

@@ -9,6 +9,7 @@ from ..operators import detect
 from ..operators import posture as P
 from ..operators import session as S
 from ..operators.running import running
+from ..session import cut_lineage
 from ..sources import fixtures
 from ..sources.seedframes import broadcast_seed
 from . import posture_jobs
@@ -67,8 +68,8 @@ STATE_KINDS = ["payload", "model_select", "tier_resolved"]
 def replay(spark, sf, gate: bool = True):
     """Only payloads, switches and resolutions carry PII-gate / tier state, so
     tool rows are left out before the session passes."""
-    tl = S.context_state(timeline(spark, sf).where(F.col("kind").isin(*STATE_KINDS)))
-    tl = S.downgrade(tl)
+    base = cut_lineage(timeline(spark, sf).where(F.col("kind").isin(*STATE_KINDS)))
+    tl = S.downgrade(S.context_state(base))
     return S.pii_gate(tl) if gate else tl
 
 
@@ -135,9 +136,10 @@ def downgrade_report(spark, sf):
 # P8 -------------------------------------------------------------------------
 def posture_timeline(spark, sf):
     """Badge text per event; only changes are emitted (pending marker while unknown)."""
-    tl = S.context_state(timeline(spark, sf).where(F.col("kind").isin(*STATE_KINDS)))
+    tl = S.context_state(cut_lineage(timeline(spark, sf).where(F.col("kind").isin(*STATE_KINDS))))
     badge = F.when(F.col("kind").isin("model_select", "tier_resolved", "payload"), P.badge(F.col("tier_now")))
-    r = running(tl.withColumn("badge", badge), ["session_id"], "seq", [("prev_badge", "last", F.col("badge"), False)])
+    r = running(tl.withColumn("badge", badge), ["session_id"], "seq", [("prev_badge", "last", F.col("badge"), False)],
+                materialize=False)
     return r.where(F.col("badge").isNotNull() & ~F.col("badge").eqNullSafe(F.col("prev_badge"))).select(
         "session_id", "seq", "badge")
 
