@@ -21,7 +21,7 @@ def stream_egress_ledger_sql():
             + url_ctes("tgt", ["session_id", "seq"], "ta") + ",\n"
             "lw AS (SELECT o.*, coalesce(t.host, " + Q(seeds.UNNAMED_HOST) + ") AS host, time_bucket(INTERVAL 1 HOUR, o.ts) AS ws "
             "FROM obs o LEFT JOIN ta t USING (session_id, seq))\n"
-            "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, session_id, actor AS tool, host, count(*) AS calls, "
+            "SELECT CAST(epoch(ws) AS BIGINT) AS window_start, session_id, actor AS tool, host, count(*) AS calls, "
             "count(*) FILTER (WHERE fires) AS with_pii FROM lw "
             "WHERE ws + INTERVAL 1 HOUR <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL")
 
@@ -33,7 +33,7 @@ def stream_session_window_sql():
             "e3 AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e2),\n"
             "s AS (SELECT user_id, min(ts) AS s0, max(ts) + INTERVAL 30 MINUTE AS s1, count(*) AS events, "
             "count(*) FILTER (WHERE event_type = 'purchase') AS model_switches FROM e3 GROUP BY user_id, sid)\n"
-            "SELECT user_id, strftime(s0, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(s1, '%Y-%m-%d %H:%M:%S') AS session_end, "
+            "SELECT user_id, CAST(epoch_us(s0) AS BIGINT) AS session_start, CAST(epoch_us(s1) AS BIGINT) AS session_end, "
             "events, model_switches FROM s WHERE s1 <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 1 HOUR FROM events)")
 
 

@@ -132,11 +132,17 @@ EVENT_KIND = [("view", "payload"), ("click", "tool_call"), ("purchase", "model_s
               ("error", "tool_result"), ("signup", "user_bash")]
 
 
+def utc_instant(c: str):
+    """TIMESTAMP_NTZ wall clock -> TIMESTAMP instant read as UTC, whatever the
+    session time zone (watermarks need TIMESTAMP)."""
+    return F.concat(F.col(c).cast("string"), F.lit("Z")).cast("timestamp").alias(c)
+
+
 def _as_timestamp(df: DataFrame, c: str):
-    """TIMESTAMP_NTZ -> TIMESTAMP; an existing TIMESTAMP column is kept as is so a
-    watermark declared on it upstream survives."""
+    """An existing TIMESTAMP column is kept as is so a watermark declared on it
+    upstream survives; TIMESTAMP_NTZ is anchored at UTC."""
     from pyspark.sql.types import TimestampType
-    return F.col(c) if isinstance(df.schema[c].dataType, TimestampType) else F.col(c).cast("timestamp").alias(c)
+    return F.col(c) if isinstance(df.schema[c].dataType, TimestampType) else utc_instant(c)
 
 
 def session_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,8 @@
 """Structured Streaming forms of the jobs (ST1-ST5).
 
+Event times are UTC instants and window bounds are reported as epoch values,
+so results do not depend on the session time zone.
+
 Sources are file streams over the input tables; every query runs with the
 `availableNow` trigger into a sink and checkpoint under the cluster's shared
 checkpoint folder, so a restarted query resumes exactly where it stopped.
@@ -55,15 +58,14 @@ def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_egress_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2: rolling ledger per (hour, session, actor, host): calls and calls that
     carried PII/credentials. Late rows beyond the watermark are dropped."""
-    ev = stream_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")) \
+    ev = stream_table(spark, sf_dir, "events").withColumn("ts", fixtures.utc_instant("ts")) \
         .withWatermark("ts", LEDGER_DELAY)
     calls = fixtures.tool_calls(spark, sf_dir, ev)
     v = TG.verdict(calls.withColumn("origin", F.col("origin")))
     obs = v.where(F.col("a.egress")).withColumn("host", TG.ledger_host(F.col("a.target")))
     agg = (obs.groupBy(F.window("ts", LEDGER_WINDOW).alias("w"), "session_id", F.col("actor").alias("tool"), "host")
            .agg(F.count(F.lit(1)).alias("calls"), F.count_if("fires").alias("with_pii")))
-    out = agg.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "session_id", "tool", "host",
-                     "calls", "with_pii")
+    out = agg.select(F.unix_seconds("w.start").alias("window_start"), "session_id", "tool", "host", "calls", "with_pii")
     return run_available_now(out, "stream_egress_ledger")
 
 
@@ -95,10 +97,10 @@ def stream_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5: sessions without an explicit id: activity bursts per user separated by
     a 30-minute gap; closed sessions only."""
-    ev = stream_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")) \
+    ev = stream_table(spark, sf_dir, "events").withColumn("ts", fixtures.utc_instant("ts")) \
         .withWatermark("ts", SESSION_DELAY)
     agg = (ev.groupBy(F.session_window("ts", SESSION_GAP).alias("s"), "user_id")
            .agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "purchase").alias("model_switches")))
-    out = agg.select("user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
-                     F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "events", "model_switches")
+    out = agg.select("user_id", F.unix_micros("s.start").alias("session_start"), F.unix_micros("s.end").alias("session_end"),
+                     "events", "model_switches")
     return run_available_now(out, "stream_session_window")
