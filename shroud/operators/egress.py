@@ -92,28 +92,50 @@ def _dotted_v4(v4: Column) -> Column:
     return valid & ((octs[0] == 127) | (v4 == "0.0.0.0"))
 
 
-def _mapped_v4(host: Column) -> Column:
-    rest = F.substring(host, 8, 1 << 20)
-
-    def from_groups(g):
-        hi = F.conv(F.get(g, 0), 16, 10).cast("bigint")
-        lo = F.conv(F.get(g, 1), 16, 10).cast("bigint")
-        hex_ok = (F.size(g) == 2) & F.get(g, 0).rlike("^[0-9A-Fa-f]{1,4}$") & F.get(g, 1).rlike("^[0-9A-Fa-f]{1,4}$")
-        return F.when(rest.contains("."), rest).when(hex_ok, F.concat_ws(
-            ".", F.shiftright(hi, 8).cast("string"), hi.bitwiseAND(F.lit(255)).cast("string"),
-            F.shiftright(lo, 8).cast("string"), lo.bitwiseAND(F.lit(255)).cast("string")))
-    return let(F.split(rest, ":", -1), from_groups)
+def ipv6_words(host: Column) -> Column:
+    """An IPv6 literal (brackets and zone removed) as its 8 16-bit words, or NULL
+    when it is not a valid literal. A dotted IPv4 tail becomes two words."""
+    dotted = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
+
+    def with_tail(last):
+        o = [F.regexp_extract(last, dotted, k).cast("int") for k in (1, 2, 3, 4)]
+        ok = last.rlike(dotted) & (F.greatest(*o) <= 255)
+        hexes = F.concat(F.lower(F.hex(o[0] * 256 + o[1])), F.lit(":"), F.lower(F.hex(o[2] * 256 + o[3])))
+        return (F.when(~last.contains("."), host)
+                .when(ok, F.concat(F.substring(host, F.lit(1), F.length(host) - F.length(last)), hexes)))
+
+    def from_parts(parts):
+        head = F.when(F.get(parts, 0) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(parts, 0), ":", -1))
+        tail = F.when(F.size(parts) == 2, F.when(F.get(parts, 1) == "", F.array().cast("array<string>"))
+                      .otherwise(F.split(F.get(parts, 1), ":", -1))).otherwise(F.array().cast("array<string>"))
+        n = F.size(head) + F.size(tail)
+        fill = F.when(F.size(parts) == 2, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - n, F.lit(0)))).otherwise(
+            F.array().cast("array<string>"))
+        words = F.concat(head, fill, tail)
+        valid = ((((F.size(parts) == 1) & (n == 8)) | ((F.size(parts) == 2) & (n <= 7)))
+                 & F.forall(words, lambda g: g.rlike("^[0-9a-f]{1,4}$")))
+        return F.when(valid, F.transform(words, lambda g: F.conv(g, 16, 10).cast("int")))
+    h2 = let(F.substring_index(host, ":", -1), with_tail)
+    return let(F.split(h2, "::", -1), from_parts)
+
+
+def _local_v6(w: Column) -> Column:
+    """::1, ::, or IPv4-mapped (::ffff:a.b.c.d) of 127/8 or 0.0.0.0."""
+    zeros5 = F.forall(F.slice(w, 1, 5), lambda x: x == 0)
+    loop = zeros5 & (F.get(w, 5) == 0) & (F.get(w, 6) == 0) & (F.get(w, 7).isin(0, 1))
+    mapped = zeros5 & (F.get(w, 5) == 65535) & ((F.shiftright(F.get(w, 6), 8) == 127)
+                                               | ((F.get(w, 6) == 0) & (F.get(w, 7) == 0)))
+    return F.coalesce(loop | mapped, F.lit(False))
 
 
 def local_host(h: Column) -> Column:
     """Loopback test on a parsed host (NULL host = unparseable URL = remote)."""
     def judge(host):
-        v4 = F.when(host.startswith("::ffff:"), _mapped_v4(host)).otherwise(host)
         return F.coalesce(
             F.when(h.isNull(), F.lit(False))
             .when((host == "localhost") | host.endswith(".localhost"), F.lit(True))
-            .when(host.isin("::1", "::"), F.lit(True))
-            .otherwise(let(v4, _dotted_v4)), F.lit(False))
+            .when(host.contains(":"), let(ipv6_words(host), _local_v6))
+            .otherwise(let(host, _dotted_v4)), F.lit(False))
     inner = F.when(h.startswith("[") & h.endswith("]"), F.substring(h, F.lit(2), F.length(h) - 2)).otherwise(h)
     return let(F.substring_index(inner, "%", 1), judge)
 

@@ -95,6 +95,13 @@ def session_events_cte() -> str:
             "event_id % 5 AS answer_i, event_id % 7 <> 0 AS can_prompt, event_id % 11 = 0 AS unattended FROM events)")
 
 
+DOTTED = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
+
+
+def _oct(c: str, k: int) -> str:
+    return f"TRY_CAST(split_part({c}, '.', {k}) AS INTEGER)"
+
+
 def _hexnum(s: str, base: int) -> str:
     digits = "0123456789abcdef"
     return (f"list_reduce(string_split(lower({s}), ''), lambda a, c: a * {base} + (instr('{digits}', c) - 1), "
@@ -128,18 +135,24 @@ def _url_ctes(src: str, keys: list[str]) -> str:
         "CAST((v4 >> 8) & 255 AS VARCHAR) || '.' || CAST(v4 & 255 AS VARCHAR) END AS host FROM ua4),\n"
         "ua6 AS (SELECT *, split_part(CASE WHEN starts_with(host, '[') AND suffix(host, ']') "
         "THEN substr(host, 2, length(host) - 2) ELSE host END, '%', 1) AS hz FROM ua5),\n"
-        "ua7 AS (SELECT *, substr(hz, 8) AS rest, string_split(substr(hz, 8), ':') AS g FROM ua6),\n"
-        "ua8 AS (SELECT *, CASE WHEN starts_with(hz, '::ffff:') THEN CASE WHEN contains(rest, '.') THEN rest "
-        "WHEN len(g) = 2 AND regexp_matches(g[1], '^[0-9A-Fa-f]{1,4}$') AND regexp_matches(g[2], '^[0-9A-Fa-f]{1,4}$') "
-        f"THEN CAST(CAST({_hexnum('g[1]', 16)} AS BIGINT) >> 8 AS VARCHAR) || '.' || "
-        f"CAST(CAST({_hexnum('g[1]', 16)} AS BIGINT) & 255 AS VARCHAR) || '.' || "
-        f"CAST(CAST({_hexnum('g[2]', 16)} AS BIGINT) >> 8 AS VARCHAR) || '.' || "
-        f"CAST(CAST({_hexnum('g[2]', 16)} AS BIGINT) & 255 AS VARCHAR) END ELSE hz END AS v4s FROM ua7),\n"
+        "ua7 AS (SELECT *, string_split(hz, ':')[-1] AS l6 FROM ua6),\n"
+        "ua8 AS (SELECT *, CASE WHEN contains(hz, ':') THEN CASE WHEN NOT contains(l6, '.') THEN hz "
+        f"WHEN regexp_matches(l6, '{DOTTED}') AND greatest({_oct('l6', 1)}, {_oct('l6', 2)}, {_oct('l6', 3)}, {_oct('l6', 4)}) <= 255 "
+        f"THEN substr(hz, 1, length(hz) - length(l6)) || printf('%x', {_oct('l6', 1)} * 256 + {_oct('l6', 2)}) || ':' || "
+        f"printf('%x', {_oct('l6', 3)} * 256 + {_oct('l6', 4)}) END END AS h6 FROM ua7),\n"
+        "ua9 AS (SELECT *, string_split(h6, '::') AS p6 FROM ua8),\n"
+        "ua10 AS (SELECT *, CASE WHEN p6[1] = '' THEN [] ELSE string_split(p6[1], ':') END AS hd6, CASE WHEN len(p6) = 2 THEN "
+        "CASE WHEN p6[2] = '' THEN [] ELSE string_split(p6[2], ':') END ELSE [] END AS tl6 FROM ua9),\n"
+        "ua11 AS (SELECT *, list_concat(hd6, CASE WHEN len(p6) = 2 THEN list_transform(range(greatest(8 - len(hd6) - len(tl6), 0)), "
+        "lambda x: '0') ELSE [] END, tl6) AS wd6 FROM ua10),\n"
+        "ua12 AS (SELECT *, CASE WHEN ((len(p6) = 1 AND len(hd6) + len(tl6) = 8) OR (len(p6) = 2 AND len(hd6) + len(tl6) <= 7)) "
+        "AND len(list_filter(wd6, lambda g: NOT regexp_matches(g, '^[0-9a-f]{1,4}$'))) = 0 THEN list_transform(wd6, lambda g: "
+        f"CAST({_hexnum('g', 16)} AS BIGINT)) END AS w6 FROM ua11),\n"
         "ua AS (SELECT *, CASE WHEN host IS NULL THEN FALSE WHEN hz = 'localhost' OR suffix(hz, '.localhost') THEN TRUE "
-        "WHEN hz IN ('::1', '::') THEN TRUE ELSE coalesce(regexp_matches(v4s, '^([0-9]{1,3})\\.([0-9]{1,3})\\.([0-9]{1,3})\\.([0-9]{1,3})$') "
-        "AND greatest(TRY_CAST(split_part(v4s, '.', 1) AS INTEGER), TRY_CAST(split_part(v4s, '.', 2) AS INTEGER), "
-        "TRY_CAST(split_part(v4s, '.', 3) AS INTEGER), TRY_CAST(split_part(v4s, '.', 4) AS INTEGER)) <= 255 "
-        "AND (split_part(v4s, '.', 1) = '127' OR v4s = '0.0.0.0'), FALSE) END AS is_local FROM ua8)")
+        "WHEN contains(hz, ':') THEN coalesce(len(list_filter(w6[1:5], lambda x: x <> 0)) = 0 AND ((w6[6] = 0 AND w6[7] = 0 "
+        "AND w6[8] IN (0, 1)) OR (w6[6] = 65535 AND ((w6[7] >> 8) = 127 OR (w6[7] = 0 AND w6[8] = 0)))), FALSE) "
+        f"ELSE coalesce(regexp_matches(hz, '{DOTTED}') AND greatest({_oct('hz', 1)}, {_oct('hz', 2)}, {_oct('hz', 3)}, "
+        f"{_oct('hz', 4)}) <= 255 AND ({_oct('hz', 1)} = 127 OR hz = '0.0.0.0'), FALSE) END AS is_local FROM ua12)")
 
 
 def _files_sql(x: str) -> str:

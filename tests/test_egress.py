@@ -64,3 +64,30 @@ def test_hosts_and_observation_lines(spark):
     lines = [r.l for r in rows.select(tool_gates.observation_line(F.col("t"), F.col("h"), F.col("c"), F.col("p"),
                                                                   F.col("b")).alias("l")).collect()]
     assert lines == ["bash → x.com   1 call", "bash → x.com   4 calls  (2 carried PII/credentials, 1 blocked)"]
+
+
+def test_ipv6_literal_forms(spark):
+    local = ["http://[0:0:0:0:0:0:0:1]/", "http://[0::1]:8/", "http://[::]/", "http://[::ffff:7f00:1]/",
+             "http://[0:0:0:0:0:ffff:127.1.2.3]/", "http://[::FFFF:0.0.0.0]/"]
+    remote = ["http://[::2]/", "http://[fe80::1]/", "http://[::ffff:192.168.0.1]/", "http://[1:2:3:4:5:6:7:8:9]/",
+              "http://[::1::]/", "http://[::ffff:999.0.0.1]/"]
+    df = spark.createDataFrame([(u,) for u in local + remote], "u string")
+    got = {r.u: r.l for r in df.select("u", egress.is_local_url(F.col("u")).alias("l")).collect()}
+    assert all(got[u] for u in local), got
+    assert not any(got[u] for u in remote), got
+
+
+def test_sql_twin_loopback_agrees(spark):
+    import duckdb
+    from shroud.plans.egress_jobs import url_ctes
+    from shroud.sources.seedframes import seed_sql
+    urls = ["http://[0:0:0:0:0:0:0:1]/", "http://[0::1]:8/", "http://[::]/", "http://[::ffff:7f00:1]/",
+            "http://[0:0:0:0:0:ffff:127.1.2.3]/", "http://[::2]/", "http://[fe80::1]/", "http://[::ffff:192.168.0.1]/",
+            "http://[1:2:3:4:5:6:7:8:9]/", "http://127.0.0.2:1234", "http://0x7f000001/", "http://999.0.0.1/", "not a url",
+            "http://sub.localhost:1", "http://localhost.attacker.com/v1", "http://[::ffff:127.0.0.1]:1"]
+    src = f"src AS (SELECT * FROM {seed_sql([(i, u) for i, u in enumerate(urls)], [('i', 'BIGINT'), ('url', 'VARCHAR')])})"
+    sql = f"WITH {src},\n{url_ctes('src', ['i'])}\nSELECT i, is_local FROM ua ORDER BY i"
+    duck = [r[1] for r in duckdb.sql(sql).fetchall()]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i long, u string")
+    sp = [r.l for r in df.select("i", egress.is_local_url(F.col("u")).alias("l")).orderBy("i").collect()]
+    assert duck == sp
