@@ -57,8 +57,8 @@ def hit_array(prefix: str) -> Column:
 
 
 def context_state(tl: DataFrame) -> DataFrame:
-    """Pass A/B: context hits (running sums of message hits), current tier,
-    provider epoch.
+    """One pass: context hits (running sums of message hits), current tier and
+    the provider-change flag (a provider epoch starts at each change).
 
     `tl` needs session_id, seq, kind, provider (model_select), resolved
     (tier_resolved) and m_<type> message-hit counts (payload rows)."""
@@ -70,12 +70,16 @@ def context_state(tl: DataFrame) -> DataFrame:
               ("tier_state_before", "last", state, False)]
     a = running(tl, ["session_id"], "seq", specs)
     change = (F.col("kind") == "model_select") & ~F.col("provider").eqNullSafe(F.col("prev_provider"))
-    b = running(a, ["session_id"], "seq", [("epoch", "sum", change.cast("int"), True)])
-    return (b.withColumn("ctx", hit_array("ctx_"))
+    return (a.withColumn("change", change).withColumn("ctx", hit_array("ctx_"))
             .withColumn("tier_now", F.when(F.col("tier_state") != "pending", F.col("tier_state")))
             .withColumn("tier_before", F.when(F.col("tier_state_before") != "pending", F.col("tier_state_before"))))
 
 
+def with_epoch(tl: DataFrame) -> DataFrame:
+    """Provider epoch: the number of provider changes so far."""
+    return running(tl, ["session_id"], "seq", [("epoch", "sum", F.col("change").cast("int"), True)])
+
+
 def downgrade(tl: DataFrame) -> DataFrame:
     """W9 on model_select rows: pass 1 against the ceiling, pass 2 against the
     resolved tier, at most one firing per transition."""
@@ -103,7 +107,8 @@ def pii_gate(tl: DataFrame) -> DataFrame:
 
     Two session passes. Context counts only grow within a session, so the
     per-epoch baseline (max over earlier gated payloads) is the context of the
-    latest earlier gated payload when it lies in the same epoch; the carried
+    latest earlier gated payload when no provider change lies between; the
+    epoch count rides in the same pass; the carried
     last action is the latest earlier fresh row's action in the same epoch; the
     latch is the first eligible "remember" answer, overwritten by any later
     "switch, redacting PII" at a downgrade."""
@@ -112,9 +117,11 @@ def pii_gate(tl: DataFrame) -> DataFrame:
     gated = (is_payload & (F.col("pii_policy") != "off") & ~F.coalesce(F.col("tier_now").isin(*VERIFIED_PRIVATE), F.lit(False))
              & (F.size("ctx") > 0))
     t = tl.withColumn("gated", gated)
-    tagged = F.when(F.col("gated"), F.struct(F.col("epoch").alias("e"), *[F.col(c) for c in ctx_cols]))
-    c = running(t, ["session_id"], "seq", [("last_gated", "last", tagged, False)])
-    same = F.col("last_gated.e") == F.col("epoch")
+    tagged = F.when(F.col("gated"), F.struct(F.col("seq").alias("s"), *[F.col(c) for c in ctx_cols]))
+    c = running(t, ["session_id"], "seq", [("epoch", "sum", F.col("change").cast("int"), True),
+                                           ("last_gated", "last", tagged, False),
+                                           ("last_change", "last", F.when(F.col("change"), F.col("seq")), True)])
+    same = F.col("last_gated.s") > F.coalesce(F.col("last_change"), F.lit(-1))
     for t_ in TYPES:
         n = detect.col_name(t_)
         c = c.withColumn(f"base_{n}", F.when(same, F.col(f"last_gated.ctx_{n}")))

@@ -88,7 +88,7 @@ def context_hits(spark, sf):
 
 # W2 / W3 / W4 / W5 ------------------------------------------------------------
 def provider_epoch(spark, sf):
-    r = replay(spark, sf, gate=False)
+    r = S.with_epoch(replay(spark, sf, gate=False))
     return r.where("kind = 'model_select'").select("session_id", "seq", "provider", F.col("epoch").cast("bigint").alias("epoch"))
 
 
