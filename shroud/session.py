@@ -27,8 +27,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Recursive CTEs (tool schema walk) may produce many rows per level.
-        .config("spark.sql.cteRecursionRowLimit", "-1")
+        # Per-session streaming state lives in RocksDB (off-heap, spills to
+        # local disk, checkpointed with the query), not on the JVM heap.
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
