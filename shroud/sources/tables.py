@@ -23,10 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a narrow scan over the cluster's cores before CPU-heavy work."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Spark Connect session): leave the scan as is
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
