@@ -27,6 +27,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Checkpoint files of passes no longer referenced are removed.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Per-session streaming state lives in RocksDB (off-heap, spills to
         # local disk, checkpointed with the query), not on the JVM heap.
         .config("spark.sql.streaming.stateStore.providerClass",

@@ -145,14 +145,18 @@ def _as_timestamp(df: DataFrame, c: str):
     return F.col(c) if isinstance(df.schema[c].dataType, TimestampType) else utc_instant(c)
 
 
-def session_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+def session_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None,
+                   spread: bool = False) -> DataFrame:
     """Every event becomes one session event; `seq` is the arrival order.
 
     event_id is unique and increases with ts, so seq = 10 * event_id orders a
     session without a window (room is left for derived rows at seq + 1).
     """
-    ev = (read_table(spark, sf_dir, "events") if events is None else events).select(
-        "event_id", "ts", "user_id", "event_type")
+    if events is None:
+        events = read_table(spark, sf_dir, "events")
+        # heavy per-row work downstream (tool-call assessment): spread a narrow scan
+        events = ensure_parallel(events) if spread else events
+    ev = events.select("event_id", "ts", "user_id", "event_type")
     kind = F.lit(None).cast("string")
     for et, k in reversed(EVENT_KIND):
         kind = F.when(F.col("event_type") == et, F.lit(k)).otherwise(kind)
@@ -166,7 +170,7 @@ def session_events(spark: SparkSession, sf_dir: str, events: DataFrame | None =
 
 def tool_calls(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Tool calls by the model and commands typed by the user, one row per event."""
-    ev = session_events(spark, sf_dir, events).where(F.col("kind").isin("tool_call", "user_bash"))
+    ev = session_events(spark, sf_dir, events, spread=True).where(F.col("kind").isin("tool_call", "user_bash"))
     tpl = broadcast_seed(spark, call_rows(), CALL_COLS)
     idx = F.when(ev.kind == "user_bash", ev.call_i % N_SHELL_TEMPLATES).otherwise(ev.call_i)
     j = ev.join(tpl, idx == tpl.i)
@@ -234,7 +238,7 @@ def tool_rows():
 def tool_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each run of 20 consecutive parts is one session's tool inventory. In odd
     sessions a project extension supplies `bash` and `read` (shadowing builtins)."""
-    part = read_table(spark, sf_dir, "part").select("p_partkey")
+    part = ensure_parallel(read_table(spark, sf_dir, "part").select("p_partkey"))
     tpl = broadcast_seed(spark, tool_rows(), TOOL_COLS)
     n = len(TOOL_TEMPLATES)
     j = part.join(tpl, (part.p_partkey % n) == tpl.i)
