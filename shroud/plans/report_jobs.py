@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import redact
+from ..operators import surface as S
+from ..operators import tool_gates as TG
+from ..session import cut_lineage
 from ..operators.running import running
 from ..sources import fixtures
 from ..sources.seedframes import broadcast_seed
@@ -33,8 +36,10 @@ def session_summary(spark, sf):
     at ingest. Each part is a per-session aggregate; the parts join on session."""
     sessions = fixtures.session_events(spark, sf).select("session_id").distinct()
     rep = _replay_agg(spark, sf)
-    surf = surface_jobs.surface_summary(spark, sf).select("session_id", "not_yours")
-    led = tool_jobs.egress_ledger(spark, sf).groupBy("session_id").agg(
+    # the classified inventory feeds both the surface counts and the first-use gate
+    entries = cut_lineage(surface_jobs.entries(spark, sf))
+    surf = S.summary(entries).select("session_id", "not_yours")
+    led = TG.ledger(tool_jobs._gated(spark, sf, entries)).groupBy("session_id").agg(
         F.count_distinct("host").alias("egress_hosts"), F.sum("blocked").cast("bigint").alias("egress_blocked"))
     ing = tool_jobs.ingest_gate(spark, sf).groupBy("session_id").agg(
         F.count_if(F.col("outcome") == "redacted").alias("secrets_redacted"))

@@ -25,15 +25,15 @@ def _calls(spark, sf):
     return fixtures.tool_calls(spark, sf).select("*", *S.policies(F.col("session_id")))
 
 
-def _first_use(spark, sf):
-    return TG.first_use(_calls(spark, sf), surface_jobs.entries(spark, sf))
+def _first_use(spark, sf, entries=None):
+    return TG.first_use(_calls(spark, sf), surface_jobs.entries(spark, sf) if entries is None else entries)
 
 
-def _gated(spark, sf):
+def _gated(spark, sf, entries=None):
     """W8 -> E6 -> W6. The verdict (URL parsing and a 15-pattern scan per call)
     is checkpointed once: the latch pass and the rows it does not touch both
     read it."""
-    f = _first_use(spark, sf)
+    f = _first_use(spark, sf, entries)
     v = cut_lineage(TG.verdict(f.where("fu_outcome <> 'block'")))
     return TG.egress_gate(v)
 
