@@ -174,7 +174,22 @@ def write_clean(spark, sf, out_dir: str) -> DataFrame:
     return spark.read.parquet(out_dir)
 
 
+def write_clean_job(spark, sf):
+    """S5 as a job: the sink lands under the cluster's shared checkpoint folder."""
+    import uuid
+    from ..session import checkpoint_dir
+    return write_clean(spark, sf, f"{checkpoint_dir(spark).rstrip('/')}/clean/{uuid.uuid4().hex}")
+
+
+def write_clean_sql():
+    from .detection_jobs import redact_sql_steps
+    ctes, last = redact_sql_steps("docs", "text")
+    return (f"WITH docs AS (SELECT doc_id, source, lang, text FROM documents),\n{ctes}\n"
+            f"SELECT doc_id, source, lang, rtext AS redacted FROM {last}")
+
+
 JOBS = {
+    "write_clean": (write_clean_job, write_clean_sql),
     "session_summary": (session_summary, session_summary_sql),
     "request_pins": (request_pins, request_pins_sql),
     "redact_payload": (redact_payload, None),

@@ -39,7 +39,7 @@ def test_entry(spark):
 def test_registry_shapes():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
-    assert len(q) >= 70
+    assert len(q) >= 72
 
 
 @pytest.mark.parametrize("name", CHECK)
