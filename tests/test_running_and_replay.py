@@ -72,3 +72,20 @@ def test_replay_equals_brute_force(spark):
     dg = session_jobs.downgrade_guard(spark, SF_SMALL).toPandas()
     bd = brute[brute.out_kind == "downgrade"]
     assert sorted(zip(dg.seq, dg.decision)) == sorted(zip(bd.seq, bd.decision))
+
+
+def test_hot_session_is_spread_over_tasks(spark):
+    """One session holds 90% of the rows; after the chunked pass its rows sit in
+    many partitions (a plain session window would put them in one task)."""
+    rows = [(0 if i % 10 else 1 + i // 10, i * 10, 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, seq int, v int")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        r = running(df, ["k"], "seq", [("s", "sum", F.col("v"), True)], span=200, materialize=False)
+        parts = r.where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+        ok = r.where("k = 0").agg(F.max("s")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert parts >= 4
+    assert ok == 1800   # the running sum still spans all of the session's chunks
