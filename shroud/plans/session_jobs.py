@@ -137,6 +137,12 @@ def downgrade_report(spark, sf):
 def posture_timeline(spark, sf):
     """Badge text per event; only changes are emitted (pending marker while unknown)."""
     tl = S.context_state(cut_lineage(timeline(spark, sf).where(F.col("kind").isin(*STATE_KINDS))))
+    return badge_changes(tl)
+
+
+def badge_changes(tl):
+    """P8 over a context-state timeline: the badge at switches, resolutions and
+    requests, emitted only where it differs from the previous badge."""
     badge = F.when(F.col("kind").isin("model_select", "tier_resolved", "payload"), P.badge(F.col("tier_now")))
     r = running(tl.withColumn("badge", badge), ["session_id"], "seq", [("prev_badge", "last", F.col("badge"), False)],
                 materialize=False)

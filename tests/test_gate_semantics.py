@@ -99,3 +99,16 @@ def test_unknown_tier_on_either_side_never_fires(spark):
             (20, "model_select", {"provider": "venice", "ceiling": "zdr-policy", "resolved": None})]
     r = _replay(spark, rows)
     assert r[20].dg_pass is None
+
+
+def test_badge_changes_only(spark):
+    from shroud.plans.session_jobs import badge_changes
+    rows = [(10, "payload", {"hits": {"email": 1}}),                                   # no tier yet: pending
+            (20, "model_select", {"provider": "tinfoil", "ceiling": "tee-verified"}),  # pending again: no change
+            (21, "tier_resolved", {"resolved": "tee-verified"}),
+            (30, "payload", {}),                                                         # unchanged
+            (40, "model_select", {"provider": "venice", "ceiling": "zdr-policy"}),
+            (41, "tier_resolved", {"resolved": "zdr-policy"})]
+    got = [(r.seq, r.badge) for r in badge_changes(S.context_state(_tl(spark, rows))).orderBy("seq").collect()]
+    assert got == [(10, "⋯ checking privacy"), (21, "🛡 Verified TEE"), (40, "⋯ checking privacy"),
+                   (41, "⚠ ZDR (by policy)")]
