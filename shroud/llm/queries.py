@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, sentencepiece_codec, url_filter, warc
+from . import exact_dedup, packing, pii_sanitise, quality_rules, sentencepiece_codec, url_filter, warc
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_pii_sanitise": pii_sanitise.op7_pii_sanitise,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_warc": warc.op10_warc,
