@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pii_sanitise, quality_rules, sentencepiece_codec, url_filter, warc
+from . import exact_dedup, near_dedup, packing, pii_sanitise, quality_rules, sentencepiece_codec, url_filter, warc
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
