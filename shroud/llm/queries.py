@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, pii_sanitise, quality_rules, sentencepiece_codec, url_filter, warc
+from . import (exact_dedup, language_id, near_dedup, packing, pii_sanitise, quality_rules, sentencepiece_codec, toxicity,
+               url_filter, warc)
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_language_id": language_id.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_pii_sanitise": pii_sanitise.op7_pii_sanitise,
