@@ -197,13 +197,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     spans = F.transform(_all_spans(), lambda s: s.withField("value", F.when(s["kind"] == "term", s["value"]).otherwise(words[s["kind"]])))
     plan = (found.where((F.size("base") > 0) | (F.size("terms") > 0)).select("_id", "_text_hash", spans.alias("_spans"))
             .groupBy("_id", "_text_hash").agg(F.first("_spans").alias("_spans")))  # rows that repeat
-    hashed = docs.withColumn("_here", F.xxhash64(text_or_empty(text_col)))
-    joined = hashed.join(plan, hashed[f"`{id_col}`"].eqNullSafe(plan["_id"]) & (hashed["_here"] == plan["_text_hash"]), "left")
-    text = F.when(F.col("_spans").isNotNull(), replaced(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
-    out = joined.withColumn(text_col, text)
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("_spans").isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_row_id"),
+                       F.xxhash64(text_or_empty(text_col)).alias("_here"))
+    joined = rows.join(plan, rows["_row_id"].eqNullSafe(plan["_id"]) & (rows["_here"] == plan["_text_hash"]), "left")
+    hit, old = F.col("_spans").isNotNull(), F.col("_row")[text_col]
+    new = joined.select("_row", F.when(hit, replaced(old, F.col("_spans"))).otherwise(old).alias("_new"), hit.alias("_hit"))
+    size = F.when(F.col("_hit"), F.length("_new")).otherwise(F.col("_row")[length_col]) if length_col in docs.columns else None
+    values = {text_col: F.col("_new")} | ({length_col: size.cast(docs.schema[length_col].dataType)} if size is not None else {})
+    return new.select(*[values.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op7_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:

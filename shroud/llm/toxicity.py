@@ -152,6 +152,21 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return kept.mapInArrow(run, f"`{id_col}` {kind}, score double, offending array<struct<start:bigint,end:bigint,p:double>>")
 
 
+def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
+    """The input rows, all of their columns, whose score is under `reject_at`; no shuffle: rows are
+    filtered where they are scored."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            clean = [not t or noisy_or([p for *_, p in scorer.sentences(t)]) < reject_at for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> dict:
     """The model, from labelled documents outside the held-out fifth."""
     return fit(*sample(docs, labels.where(id_hash_mod(id_col, 5) != 0), id_col, **options))
