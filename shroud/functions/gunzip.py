@@ -4,17 +4,24 @@ Kept in its own module without postponed annotations, so the pandas type
 hints resolve when the UDF is declared."""
 
 import gzip
+import io
+import zlib
 
 import pandas as pd
 
 
+MAX_BODY_BYTES = 64 << 20  # a longer body marks its document as undecodable; it is never cut short
+
+
 def _one(x):
     if x is None:
         return None
     try:
-        return gzip.decompress(bytes(x))
-    except (OSError, EOFError):
+        with gzip.GzipFile(fileobj=io.BytesIO(bytes(x))) as f:
+            body = f.read(MAX_BODY_BYTES + 1)
+    except (OSError, EOFError, zlib.error):
         return None   # undecodable body -> treated as absent
+    return body if len(body) <= MAX_BODY_BYTES else None
 
 
 def gunzip_series(b: pd.Series) -> pd.Series:

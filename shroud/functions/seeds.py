@@ -224,6 +224,11 @@ CONFIG_ENUMS = [
     ("downgradePolicy",    ["off", "warn", "block"],  "warn"),
     ("toolSurfacePolicy",  ["off", "report", "warn"], "warn"),
 ]
+# The allowed values in the order in which messages list them.
+CONFIG_ENUM_SHOWN = {
+    "piiPolicy": "warn|redact|off", "toolExfilPolicy": "warn|block|off", "toolResultPolicy": "warn|redact|off",
+    "downgradePolicy": "warn|block|off", "toolSurfacePolicy": "warn|report|off",
+}
 CONFIG_BOOLS = ["enforceOpenRouterZdr", "showBadge", "installDispatcher", "registerProviders",
                 "useDispatcherTransport", "modelPicker", "piiAllowDefaults"]
 PROTECTIVE_WHEN_TRUE = ["showBadge", "installDispatcher", "useDispatcherTransport",

@@ -17,13 +17,15 @@ ENUMS = {k: (vals, d) for k, vals, d in seeds.CONFIG_ENUMS}
 SPLIT = f"[,{JS_SPACE}]+"
 
 
-def _str_list(vals) -> Column:
-    return F.array(*[F.lit(v) for v in vals])
+def trim(c: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(c, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
 
 
 def validate(cfg: DataFrame) -> DataFrame:
-    """Adds valid (BOOLEAN), value (normalized text) and reason (NULL when
-    silently ignored or valid without remark)."""
+    """Adds valid (BOOLEAN), value (normalized text) and reason (one line per
+    remark; NULL when valid without remark or silently ignored, as an empty
+    environment value is)."""
     key, src = F.col("key"), F.col("source")
     var = F.try_parse_json(F.col("value_json"))
     jt = F.schema_of_variant(var)
@@ -46,8 +48,8 @@ def validate(cfg: DataFrame) -> DataFrame:
         reason = F.when(cond, why).otherwise(reason)
 
     for k, (allowed, _) in reversed(list(ENUMS.items())):
-        lst = "|".join(allowed)
-        env_v = F.lower(F.trim(F.regexp_replace(raw, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")))
+        lst = seeds.CONFIG_ENUM_SHOWN[k]
+        env_v = F.lower(trim(raw))
         json_ok = F.coalesce(F.lower(sval).isin(*allowed), F.lit(False))
         env_ok = F.coalesce(env_v.isin(*allowed), F.lit(False))
         case((key == k) & ~is_env, json_ok, F.lower(sval),
@@ -55,15 +57,15 @@ def validate(cfg: DataFrame) -> DataFrame:
         case((key == k) & is_env, env_ok, env_v,
              F.when(~env_ok, F.concat(F.lit(f'{k}="'), raw, F.lit(f'" is not one of {lst} — ignoring, using the default.'))))
     for k in reversed(seeds.CONFIG_BOOLS):
-        env_v = F.lower(F.trim(raw))
+        env_v = F.lower(trim(raw))
         env_ok = env_v.isin(*seeds.BOOL_TRUE, *seeds.BOOL_FALSE)
         case((key == k) & ~is_env, jt == "BOOLEAN", F.lower(js),
              F.when(jt != "BOOLEAN", F.concat(F.lit(f"config.{k}="), js, F.lit(" is not a boolean — ignoring."))))
         case((key == k) & is_env, env_ok, F.when(env_v.isin(*seeds.BOOL_TRUE), "true").otherwise("false"),
              F.when(~env_ok, F.concat(F.lit(f'{k}="'), raw, F.lit('" is not a boolean (true/false) — ignoring, using the default.'))))
     # piiAllow
-    kept = F.transform(F.filter(str_elems, lambda s: F.trim(s) != ""), lambda s: F.trim(s))
-    env_list = F.filter(F.transform(F.split(raw, SPLIT, -1), lambda s: F.trim(s)), lambda s: s != "")
+    kept = F.transform(F.filter(str_elems, lambda s: trim(s) != ""), lambda s: trim(s))
+    env_list = F.filter(F.transform(F.split(raw, SPLIT, -1), lambda s: trim(s)), lambda s: s != "")
     case((key == "piiAllow") & ~is_env, F.coalesce(F.size(kept) > 0, F.lit(False)), F.array_join(kept, ","),
          F.when(elems.isNull(), F.lit("config.piiAllow is not an array of strings — ignoring."))
          .when(F.size(kept) != F.size(elems), F.lit("config.piiAllow has non-string/empty entries — dropping them.")))
@@ -71,19 +73,19 @@ def validate(cfg: DataFrame) -> DataFrame:
          F.when(F.size(env_list) == 0, F.concat(F.lit('piiAllow="'), raw, F.lit('" has no entries — ignoring it.'))))
     # badgeSinks
     sinks = F.filter(str_elems, lambda s: s.isin(*seeds.BADGE_SINKS))
-    env_parts = F.filter(F.transform(F.split(raw, SPLIT, -1), lambda s: F.lower(F.trim(s))), lambda s: s != "")
+    env_parts = F.filter(F.transform(F.split(raw, SPLIT, -1), lambda s: F.lower(trim(s))), lambda s: s != "")
     env_sinks = F.filter(env_parts, lambda s: s.isin(*seeds.BADGE_SINKS))
     sink_list = "|".join(seeds.BADGE_SINKS)
     case((key == "badgeSinks") & ~is_env, F.coalesce(F.size(sinks) > 0, F.lit(False)), F.array_join(sinks, ","),
          F.when(elems.isNull(), F.lit("config.badgeSinks is not an array — ignoring."))
          .when(F.size(sinks) == 0, F.lit(f"config.badgeSinks has no valid sinks ({sink_list}) — using the default chain.")))
-    bad_sink = F.get(F.filter(env_parts, lambda s: ~s.isin(*seeds.BADGE_SINKS)), 0)
-    case((key == "badgeSinks") & is_env, F.size(env_sinks) > 0, F.array_join(env_sinks, ","),
-         F.when(bad_sink.isNotNull(), F.concat(F.lit('badgeSinks: "'), bad_sink,
-                                                F.lit(f'" is not a badge sink ({sink_list}) — dropping it.')))
-         .when(F.size(env_sinks) == 0, F.concat(F.lit('badgeSinks="'), raw, F.lit('" has no valid sinks — using the default chain.'))))
+    bad_sinks = F.transform(F.filter(env_parts, lambda s: ~s.isin(*seeds.BADGE_SINKS)),
+                            lambda s: F.concat(F.lit('badgeSinks: "'), s, F.lit(f'" is not a badge sink ({sink_list}) — dropping it.')))
+    no_sink = F.when(F.size(env_sinks) == 0, F.array(F.concat(F.lit('badgeSinks="'), raw, F.lit('" has no valid sinks — using the default chain.'))))
+    remarks = F.array_join(F.concat(bad_sinks, F.coalesce(no_sink, F.array().cast("array<string>"))), "\n")
+    case((key == "badgeSinks") & is_env, F.size(env_sinks) > 0, F.array_join(env_sinks, ","), F.when(remarks != "", remarks))
     for k in reversed(seeds.CONFIG_STRINGS):
-        t = F.trim(sval)
+        t = trim(sval)
         ok = F.coalesce(t != "", F.lit(False))
         case((key == k) & ~is_env, ok, t,
              F.when(~ok, F.concat(F.lit(f"config.{k}="), js, F.lit(" is not a non-empty string — ignoring."))))
@@ -91,6 +93,7 @@ def validate(cfg: DataFrame) -> DataFrame:
     for k in reversed(seeds.CODE_ONLY_OPTIONS):
         case((key == k) & ~is_env, F.lit(False), F.lit(None),
              F.lit(f"config.{k} is a code-only option and can't be set from JSON — it can only be passed in code."))
+    case(is_env & (raw == ""), F.lit(False), F.lit(None), F.lit(None).cast("string"))
     return cfg.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumn("value", value).withColumn("reason", reason)
 
 
@@ -120,16 +123,18 @@ def floor(v: DataFrame) -> DataFrame:
 
 def effective(v: DataFrame) -> DataFrame:
     """Per (host, key): env over the file layer over the default. The file
-    layer is the explicit file when a host has one, else the project file
-    (floored unless trust was resolved)."""
+    layer is the explicit file when a host has one, valid or not, else the
+    project file (floored unless trust was resolved). Of several settings of
+    one key the layer decides, then trusted before untrusted project file, then
+    the least value."""
     fl = floor(v.where("valid"))
-    hosts_with_file = fl.where("source = 'file'").select("host").distinct().withColumn("has_file", F.lit(True))
+    hosts_with_file = v.where("source = 'file'").select("host").distinct().withColumn("has_file", F.lit(True))
     cand = (fl.join(hosts_with_file, "host", "left")
             .where((F.col("source") == "env") | (F.col("source") == "file") | (F.col("source") == "project_trusted")
                    | ((F.col("source") == "project") & F.col("kept")))
             .where(~((F.col("source").startswith("project")) & F.coalesce(F.col("has_file"), F.lit(False))))
-            .withColumn("prio", F.when(F.col("source") == "env", 0).otherwise(1)))
-    w = Window.partitionBy("host", "key").orderBy("prio")
+            .withColumn("prio", F.when(F.col("source") == "env", 0).when(F.col("source") == "project", 2).otherwise(1)))
+    w = Window.partitionBy("host", "key").orderBy("prio", "value", "value_json")
     chosen = cand.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("host", "key", "value", "source")
     keys = F.array(*[F.lit(k) for k, _ in seeds.CONFIG_DEFAULTS])
     hosts = v.select("host").distinct().select("host", F.explode(keys).alias("key"))

@@ -81,50 +81,59 @@ def with_epoch(tl: DataFrame) -> DataFrame:
 
 
 def downgrade(tl: DataFrame) -> DataFrame:
-    """W9 on model_select rows: pass 1 against the ceiling, pass 2 against the
-    resolved tier, at most one firing per transition."""
+    """Pass 1 on model_select rows against the ceiling; pass 2 on the
+    tier_resolved rows that follow, whenever they arrive, against the resolved
+    tier, with the hits as of that row and the tier held before the latest
+    switch. One firing per transition: a switch arms the guard, the first
+    firing disarms it. Pass 2 runs over switch and resolution rows only."""
     hits = F.col("ctx")
     on = (F.col("downgrade_policy") != "off") & (F.size(hits) > 0)
-    prev = F.col("tier_before")
 
-    def fires(to: Column) -> Column:
-        return on & prev.isNotNull() & to.isNotNull() & (tier_exposure(to) > tier_exposure(prev))
-    f1 = F.coalesce(fires(F.col("ceiling")), F.lit(False))
-    f2 = ~f1 & F.coalesce(fires(F.col("resolved")), F.lit(False))
+    def fires(prev: Column, to: Column) -> Column:
+        return F.coalesce(on & prev.isNotNull() & to.isNotNull() & (tier_exposure(to) > tier_exposure(prev)), F.lit(False))
+    t = tl.withColumn("f1", (F.col("kind") == "model_select") & fires(F.col("tier_before"), F.col("ceiling")))
+    steps = t.where(F.col("kind").isin("model_select", "tier_resolved"))
+    model = F.col("model_id") if "model_id" in tl.columns else F.lit(None).cast("string")
+    switch = F.when(F.col("kind") == "model_select", F.struct(
+        F.col("seq").alias("seq"), F.col("tier_before").alias("tier"), F.col("f1").alias("fired"),
+        F.col("provider").alias("provider"), model.alias("model_id")))
+    steps = running(steps, ["session_id"], "seq", [("switch", "last", switch, True)], materialize=False)
+    late = (F.col("kind") == "tier_resolved") & ~F.coalesce(F.col("switch.fired"), F.lit(True)) & fires(F.col("switch.tier"), F.col("resolved"))
+    steps = running(steps.withColumn("late", late), ["session_id"], "seq",
+                    [("last_late", "last", F.when(F.col("late"), F.col("seq")), False)], materialize=False)
+    steps = steps.withColumn("f2", F.col("late") & (F.coalesce(F.col("last_late"), F.lit(-1)) < F.col("switch.seq"))).drop("late", "last_late")
+    rest = t.where(~F.col("kind").isin("model_select", "tier_resolved"))
+    all_rows = steps.unionByName(rest, allowMissingColumns=True)
+    f1, f2 = F.col("f1"), F.coalesce(F.col("f2"), F.lit(False))
     severity = F.when(detect.has_secret(hits), "secret").otherwise("pii")
     ans = answer(DOWNGRADE_ANSWERS)
     decision = (F.when(F.col("downgrade_policy") == "block", "revert")
                 .when(F.col("can_prompt"), F.when(ans.isin("stay", "cancel"), "revert").otherwise(ans))
                 .when(severity == "secret", "revert").otherwise("notice"))
-    return (tl.withColumn("dg_pass", F.when(f1, 1).when(f2, 2))
+    return (all_rows.withColumn("dg_pass", F.when(f1, 1).when(f2, 2))
+            .withColumn("dg_from", F.when(f1 | f2, F.col("switch.tier")))
             .withColumn("dg_to", F.when(f1, F.col("ceiling")).when(f2, F.col("resolved")))
+            .withColumn("dg_model", F.concat(F.col("switch.provider"), F.lit("/"), F.col("switch.model_id")))
             .withColumn("dg_severity", F.when(f1 | f2, severity))
-            .withColumn("dg_decision", F.when(f1 | f2, decision)))
+            .withColumn("dg_decision", F.when(f1 | f2, decision)).drop("f1", "f2", "switch"))
 
 
 def pii_gate(tl: DataFrame) -> DataFrame:
     """W3/W4/W5 on payload rows (tl after context_state and downgrade).
 
-    Two session passes. Context counts only grow within a session, so the
-    per-epoch baseline (max over earlier gated payloads) is the context of the
-    latest earlier gated payload when no provider change lies between; the
-    epoch count rides in the same pass; the carried
-    last action is the latest earlier fresh row's action in the same epoch; the
-    latch is the first eligible "remember" answer, overwritten by any later
-    "switch, redacting PII" at a downgrade."""
-    ctx_cols = [f"ctx_{detect.col_name(t)}" for t in TYPES]
+    The per-epoch baseline is the greatest context of each type over earlier
+    gated payloads of the same provider epoch (a compacted conversation may
+    lower the counts; what was decided stays decided); the carried last action
+    is the latest earlier fresh row's action in the same epoch; the latch is
+    the first eligible "remember" answer, overwritten by any later "switch,
+    redacting PII" at a downgrade."""
+    ctx_cols = {t_: f"ctx_{detect.col_name(t_)}" for t_ in TYPES}
     is_payload = F.col("kind") == "payload"
     gated = (is_payload & (F.col("pii_policy") != "off") & ~F.coalesce(F.col("tier_now").isin(*VERIFIED_PRIVATE), F.lit(False))
              & (F.size("ctx") > 0))
-    t = tl.withColumn("gated", gated)
-    tagged = F.when(F.col("gated"), F.struct(F.col("seq").alias("s"), *[F.col(c) for c in ctx_cols]))
-    c = running(t, ["session_id"], "seq", [("epoch", "sum", F.col("change").cast("int"), True),
-                                           ("last_gated", "last", tagged, False),
-                                           ("last_change", "last", F.when(F.col("change"), F.col("seq")), True)])
-    same = F.col("last_gated.s") > F.coalesce(F.col("last_change"), F.lit(-1))
-    for t_ in TYPES:
-        n = detect.col_name(t_)
-        c = c.withColumn(f"base_{n}", F.when(same, F.col(f"last_gated.ctx_{n}")))
+    t = with_epoch(tl.withColumn("gated", gated))
+    c = running(t, ["session_id", "epoch"], "seq", [
+        (f"base_{detect.col_name(t_)}", "max", F.when(F.col("gated"), F.col(ctx_cols[t_])), False) for t_ in TYPES])
     delta = {t_: F.col(f"ctx_{detect.col_name(t_)}") - F.coalesce(F.col(f"base_{detect.col_name(t_)}"), F.lit(0)) for t_ in TYPES}
     fresh = F.filter(F.array(*[F.struct(F.lit(t_).alias("type"), delta[t_].cast("bigint").alias("count")) for t_ in TYPES]),
                      lambda h: h["count"] > 0)

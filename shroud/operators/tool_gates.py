@@ -22,8 +22,12 @@ def first_use(calls: DataFrame, entries: DataFrame) -> DataFrame:
     """Adds `fu_applies` and `fu_outcome` (allow / allow+notice / block).
 
     `calls` are tool-call rows with session_id, seq, tool, can_prompt,
-    answer_i, surface_policy, origin; `entries` the classified inventory."""
-    inv = entries.select("session_id", F.col("name").alias("tool"), "provenance")
+    answer_i, surface_policy, origin; `entries` the classified inventory with
+    `position`, its order of registration (needed only where a name repeats)."""
+    # One entry a name, the last registered one, so that a repeated name never
+    # multiplies calls.
+    inv = (entries.groupBy("session_id", F.col("name").alias("tool"))
+           .agg(F.max_by("provenance", "position" if "position" in entries.columns else "provenance").alias("provenance")))
     c = calls.join(inv, ["session_id", "tool"], "left")
     applies = ((F.col("origin") == "model") & (F.col("surface_policy") == "warn")
                & F.coalesce(F.col("provenance").isin("project", "temporary"), F.lit(False)))

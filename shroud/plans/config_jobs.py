@@ -34,13 +34,14 @@ def config_effective(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _validate_ctes():
-    trim_js = f"regexp_replace(sval, {Q(f'^[{JS_SPACE}]+|[{JS_SPACE}]+$')}, '', 'g')"
+    def trim(x):
+        return f"regexp_replace({x}, {Q(f'^[{JS_SPACE}]+|[{JS_SPACE}]+$')}, '', 'g')"
     split = Q(C.SPLIT)
     cases = []
     for k, (allowed, _) in C.ENUMS.items():
-        lst = "|".join(allowed)
+        lst = seeds.CONFIG_ENUM_SHOWN[k]
         al = ", ".join(Q(a) for a in allowed)
-        env_v = f"lower(trim({trim_js}))"
+        env_v = f"lower({trim('sval')})"
         cases.append((f"key = {Q(k)} AND source <> 'env'", f"coalesce(lower(sval) IN ({al}), FALSE)", "lower(sval)",
                       f"CASE WHEN NOT coalesce(lower(sval) IN ({al}), FALSE) THEN 'config.{k}=' || value_json || ' is not one of {lst} — ignoring.' END"))
         cases.append((f"key = {Q(k)} AND source = 'env'", f"coalesce({env_v} IN ({al}), FALSE)", env_v,
@@ -50,11 +51,11 @@ def _validate_ctes():
     for k in seeds.CONFIG_BOOLS:
         cases.append((f"key = {Q(k)} AND source <> 'env'", "jt = 'BOOLEAN'", "lower(value_json)",
                       f"CASE WHEN jt <> 'BOOLEAN' THEN 'config.{k}=' || value_json || ' is not a boolean — ignoring.' END"))
-        cases.append((f"key = {Q(k)} AND source = 'env'", f"coalesce(lower(trim(sval)) IN ({b_list}), FALSE)",
-                      f"CASE WHEN lower(trim(sval)) IN ({t_list}) THEN 'true' ELSE 'false' END",
-                      f"CASE WHEN NOT coalesce(lower(trim(sval)) IN ({b_list}), FALSE) THEN '{k}=\"' || sval || '\" is not a boolean (true/false) — ignoring, using the default.' END"))
-    kept = "list_transform(list_filter(str_elems, lambda s: trim(s) <> ''), lambda s: trim(s))"
-    env_list = f"list_filter(list_transform(string_split_regex(sval, {split}), lambda s: trim(s)), lambda s: s <> '')"
+        cases.append((f"key = {Q(k)} AND source = 'env'", f"coalesce(lower({trim('sval')}) IN ({b_list}), FALSE)",
+                      f"CASE WHEN lower({trim('sval')}) IN ({t_list}) THEN 'true' ELSE 'false' END",
+                      f"CASE WHEN NOT coalesce(lower({trim('sval')}) IN ({b_list}), FALSE) THEN '{k}=\"' || sval || '\" is not a boolean (true/false) — ignoring, using the default.' END"))
+    kept = f"list_transform(list_filter(str_elems, lambda s: {trim('s')} <> ''), lambda s: {trim('s')})"
+    env_list = f"list_filter(list_transform(string_split_regex(sval, {split}), lambda s: {trim('s')}), lambda s: s <> '')"
     cases.append(("key = 'piiAllow' AND source <> 'env'", f"coalesce(len({kept}) > 0, FALSE)", f"array_to_string({kept}, ',')",
                   "CASE WHEN elems IS NULL THEN 'config.piiAllow is not an array of strings — ignoring.' "
                   f"WHEN len({kept}) <> len(elems) THEN 'config.piiAllow has non-string/empty entries — dropping them.' END"))
@@ -63,22 +64,25 @@ def _validate_ctes():
     sl = ", ".join(Q(s) for s in seeds.BADGE_SINKS)
     sink_list = "|".join(seeds.BADGE_SINKS)
     sinks = f"list_filter(str_elems, lambda s: s IN ({sl}))"
-    parts = f"list_filter(list_transform(string_split_regex(sval, {split}), lambda s: lower(trim(s))), lambda s: s <> '')"
+    parts = f"list_filter(list_transform(string_split_regex(sval, {split}), lambda s: lower({trim('s')})), lambda s: s <> '')"
     env_sinks = f"list_filter({parts}, lambda s: s IN ({sl}))"
-    bad = f"(list_filter({parts}, lambda s: s NOT IN ({sl})))[1]"
+    bad = (f"list_transform(list_filter({parts}, lambda s: s NOT IN ({sl})), lambda s: 'badgeSinks: \"' || s || '\" is not a badge sink "
+           f"({sink_list}) — dropping it.')")
+    remarks = (f"array_to_string(list_concat({bad}, CASE WHEN len({env_sinks}) = 0 THEN ['badgeSinks=\"' || sval || "
+               "'\" has no valid sinks — using the default chain.'] ELSE [] END), chr(10))")
     cases.append(("key = 'badgeSinks' AND source <> 'env'", f"coalesce(len({sinks}) > 0, FALSE)", f"array_to_string({sinks}, ',')",
                   "CASE WHEN elems IS NULL THEN 'config.badgeSinks is not an array — ignoring.' "
                   f"WHEN len({sinks}) = 0 THEN 'config.badgeSinks has no valid sinks ({sink_list}) — using the default chain.' END"))
     cases.append(("key = 'badgeSinks' AND source = 'env'", f"len({env_sinks}) > 0", f"array_to_string({env_sinks}, ',')",
-                  f"CASE WHEN {bad} IS NOT NULL THEN 'badgeSinks: \"' || {bad} || '\" is not a badge sink ({sink_list}) — dropping it.' "
-                  f"WHEN len({env_sinks}) = 0 THEN 'badgeSinks=\"' || sval || '\" has no valid sinks — using the default chain.' END"))
+                  f"CASE WHEN {remarks} <> '' THEN {remarks} END"))
     for k in seeds.CONFIG_STRINGS:
-        cases.append((f"key = {Q(k)} AND source <> 'env'", "coalesce(trim(sval) <> '', FALSE)", "trim(sval)",
-                      f"CASE WHEN NOT coalesce(trim(sval) <> '', FALSE) THEN 'config.{k}=' || value_json || ' is not a non-empty string — ignoring.' END"))
-        cases.append((f"key = {Q(k)} AND source = 'env'", "coalesce(trim(sval) <> '', FALSE)", "trim(sval)", "NULL"))
+        cases.append((f"key = {Q(k)} AND source <> 'env'", f"coalesce({trim('sval')} <> '', FALSE)", trim("sval"),
+                      f"CASE WHEN NOT coalesce({trim('sval')} <> '', FALSE) THEN 'config.{k}=' || value_json || ' is not a non-empty string — ignoring.' END"))
+        cases.append((f"key = {Q(k)} AND source = 'env'", f"coalesce({trim('sval')} <> '', FALSE)", trim("sval"), "NULL"))
     for k in seeds.CODE_ONLY_OPTIONS:
         cases.append((f"key = {Q(k)} AND source <> 'env'", "FALSE", "NULL",
                       f"'config.{k} is a code-only option and can''t be set from JSON — it can only be passed in code.'"))
+    cases.insert(0, ("source = 'env' AND sval = ''", "FALSE", "NULL", "NULL"))
     valid = "CASE " + " ".join(f"WHEN {c} THEN {ok}" for c, ok, _, _ in cases) + " ELSE FALSE END"
     value = "CASE " + " ".join(f"WHEN {c} THEN CASE WHEN {ok} THEN {val} END" for c, ok, val, _ in cases) + " END"
     reason_any = "CASE " + " ".join(f"WHEN {c} THEN {why}" for c, ok, _, why in cases) + " END"
@@ -125,11 +129,11 @@ def config_effective_sql():
     keys = ", ".join(Q(k) for k, _ in seeds.CONFIG_DEFAULTS)
     dflt = "CASE k.key " + " ".join(f"WHEN {Q(k)} THEN {Q(d)}" for k, d in seeds.CONFIG_DEFAULTS) + " END"
     return (f"WITH {_validate_ctes()},\n{_floor_ctes()},\n"
-            "hf AS (SELECT DISTINCT host FROM fl2 WHERE source = 'file'),\n"
-            "cand AS (SELECT f.*, CASE WHEN source = 'env' THEN 0 ELSE 1 END AS prio FROM fl2 f WHERE "
+            "hf AS (SELECT DISTINCT host FROM val2 WHERE source = 'file'),\n"
+            "cand AS (SELECT f.*, CASE WHEN source = 'env' THEN 0 WHEN source = 'project' THEN 2 ELSE 1 END AS prio FROM fl2 f WHERE "
             "(source IN ('env', 'file', 'project_trusted') OR (source = 'project' AND kept)) AND NOT "
             "(starts_with(source, 'project') AND host IN (SELECT host FROM hf))),\n"
-            "ch AS (SELECT host, key, value, source FROM (SELECT *, row_number() OVER (PARTITION BY host, key ORDER BY prio) AS rn "
+            "ch AS (SELECT host, key, value, source FROM (SELECT *, row_number() OVER (PARTITION BY host, key ORDER BY prio, value, value_json) AS rn "
             "FROM cand) WHERE rn = 1),\n"
             f"hk AS (SELECT h.host, k.key FROM (SELECT DISTINCT host FROM cfg) h, (SELECT unnest([{keys}]) AS key) k)\n"
             f"SELECT k.host, k.key, coalesce(c.value, {dflt}) AS value, coalesce(c.source, 'default') AS source FROM hk k "

@@ -13,7 +13,6 @@ from . import oracle as O
 from .egress_jobs import session_events_cte, url_ctes
 
 MK = ["session_id", "seq"]
-EVIDENCE_SPAN = 100   # evidence document for a switch: id = event_id mod 100 + 1
 
 
 def _ms(spark, sf):
@@ -88,7 +87,10 @@ def resolve_tiers(m, spark, sf):
     Host override first; attested providers by their evidence grade; missing
     evidence (fetch failure) is tee-unverified, never standard; everything else
     by P1 without a base URL (as the runtime resolves it)."""
-    m = m.withColumn("evidence_id", F.col("event_id") % EVIDENCE_SPAN + 1)
+    # A switch's evidence is the document of one of all suppliers; number 0 has
+    # none, so some fetches fail. The count is one row.
+    n_docs = fixtures.read_table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n_docs"))
+    m = m.join(F.broadcast(n_docs)).withColumn("evidence_id", F.col("event_id") % (F.col("n_docs") + 1)).drop("n_docs")
     keys = attest_key_grade(spark, sf).select(F.col("doc_id").alias("evidence_id"), F.col("tier").alias("key_tier"))
     reps = attest_report_grade(spark, sf).select(F.col("report_id").alias("evidence_id"), F.col("tier").alias("report_tier"))
     j = m.join(keys, "evidence_id", "left").join(reps, "evidence_id", "left")
@@ -219,6 +221,9 @@ def key_grade_cte():
             "kg4 AS (SELECT *, CASE posture WHEN 'green' THEN 'tee-verified' WHEN 'yellow' THEN 'tee-unverified' ELSE 'standard' END AS tier FROM kg3)")
 
 
+EVIDENCE_ID = "m.event_id % ((SELECT count(*) FROM supplier) + 1)"
+
+
 def posture_resolution_sql():
     base = eff_sql("m.provider", "FALSE", "m.zdr_enforced", "FALSE")
     ov = "CASE WHEN m.provider = 'acme-ai' AND m.session_id % 5 = 0 THEN 'tee-verified' END"
@@ -228,7 +233,7 @@ def posture_resolution_sql():
             f"ELSE {base} END) AS tier, CASE WHEN {ov} IS NOT NULL THEN 'host' WHEN m.provider = 'tinfoil' THEN CASE WHEN "
             "k.tier IS NULL THEN 'fetch-failed' ELSE 'key-pin' END WHEN m.provider = 'nearai' THEN CASE WHEN r.tier IS NULL "
             "THEN 'fetch-failed' ELSE 'report' END ELSE 'static' END AS source FROM ms m "
-            f"LEFT JOIN kg4 k ON k.doc_id = m.event_id % {EVIDENCE_SPAN} + 1 LEFT JOIN rg3 r ON r.report_id = m.event_id % {EVIDENCE_SPAN} + 1")
+            f"LEFT JOIN kg4 k ON k.doc_id = {EVIDENCE_ID} LEFT JOIN rg3 r ON r.report_id = {EVIDENCE_ID}")
 
 
 JOBS = {

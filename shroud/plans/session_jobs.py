@@ -16,6 +16,8 @@ from . import posture_jobs
 
 TYPES = detect.TYPE_ORDER
 RESOLVE_NEVER_LANDS = 6   # attestation never lands when event_id mod 6 = 0
+RESOLVE_LATE = 4          # it lands several events later when event_id mod 4 = 1
+LATE_BY = 35              # between the third and the fourth event after the switch
 
 
 def _events(spark, sf, events=None):
@@ -42,8 +44,10 @@ def timeline(spark, sf, events=None):
     ms = (ms.withColumn("ceiling", P.effective_tier(F.col("provider"), F.lit(None).cast("string"), F.col("zdr_enforced"),
                                                     F.lit(False)))
           .withColumn("resolved", F.when(landed, F.col("tier"))).drop("tier", "source", "base_url", "verified_tee"))
-    resolved_rows = (ms.where(landed).select("session_id", (F.col("seq") + 1).alias("seq"), "ts", "event_id",
-                                             F.lit("tier_resolved").alias("kind"), "resolved", *[c for c in
+    delay = F.when(F.col("event_id") % RESOLVE_LATE == 1, LATE_BY).otherwise(1)
+    resolved_rows = (ms.where(landed).select("session_id", (F.col("seq") + delay).alias("seq"), "ts", "event_id",
+                                             F.lit("tier_resolved").alias("kind"), "resolved", "can_prompt", "unattended",
+                                             "answer_i", *[c for c in
                                              ["pii_policy", "exfil_policy", "result_policy", "downgrade_policy",
                                               "surface_policy"]]))
     others = ev.where("kind <> 'model_select'")
@@ -115,8 +119,7 @@ def pii_gate(spark, sf):
 # W9 / W10 -------------------------------------------------------------------
 def downgrade_guard(spark, sf):
     r = replay(spark, sf, gate=False).where("dg_pass IS NOT NULL")
-    return r.select("session_id", (F.col("seq") + F.col("dg_pass") - 1).alias("seq"), F.col("dg_pass").cast("int").alias("pass_no"),
-                    F.col("tier_before").alias("from_tier"), F.col("dg_to").alias("to_tier"),
+    return r.select("session_id", "seq", F.col("dg_pass").cast("int").alias("pass_no"), F.col("dg_from").alias("from_tier"), F.col("dg_to").alias("to_tier"),
                     F.col("dg_severity").alias("severity"), F.col("dg_decision").alias("decision"))
 
 
@@ -125,12 +128,12 @@ def downgrade_report(spark, sf):
     lab = lambda c: P.tier_attr(c, "label")
     carried = F.when(F.size("ctx") > 0, F.concat(F.lit("carrying "), detect.summary(F.col("ctx")))).otherwise(
         F.lit("already in context"))
-    target = F.concat(F.lit(" to "), F.col("provider"), F.lit("/"), F.col("model_id"))
-    text = F.concat(F.lit("⚠ Privacy downgrade: "), lab(F.col("tier_before")), F.lit(" → "), lab(F.col("dg_to")),
+    target = F.concat(F.lit(" to "), F.col("dg_model"))
+    text = F.concat(F.lit("⚠ Privacy downgrade: "), lab(F.col("dg_from")), F.lit(" → "), lab(F.col("dg_to")),
                     F.lit(". This session's history — "), carried, F.lit(" — will be re-sent"), target,
                     F.lit(" on the next turn. Detection is best-effort structured PII/secrets, so treat it as a floor, "
                           "not a full inventory."))
-    return r.select("session_id", (F.col("seq") + F.col("dg_pass") - 1).alias("seq"), text.alias("warning"))
+    return r.select("session_id", "seq", text.alias("warning"))
 
 
 # P8 -------------------------------------------------------------------------
@@ -197,7 +200,8 @@ def _exposure(c):
 
 def timeline_ctes():
     from .posture_jobs import eff_sql, key_grade_cte, ms_cte, report_grade_cte
-    span = posture_jobs.EVIDENCE_SPAN
+    eid = posture_jobs.EVIDENCE_ID
+    delay = f"CASE WHEN s.event_id % {RESOLVE_LATE} = 1 THEN {LATE_BY} ELSE 1 END"
     ov = "CASE WHEN m.provider = 'acme-ai' AND m.session_id % 5 = 0 THEN 'tee-verified' END"
     base = eff_sql("m.provider", "FALSE", "m.zdr_enforced", "FALSE")
     pay_keys = ["session_id", "seq"]
@@ -210,7 +214,7 @@ def timeline_ctes():
         f"res AS (SELECT m.session_id, m.seq, coalesce({ov}, CASE WHEN m.provider = 'tinfoil' THEN coalesce(k.tier, 'tee-unverified') "
         f"WHEN m.provider = 'nearai' THEN coalesce(r.tier, 'tee-unverified') ELSE {base} END) AS tier, "
         f"{eff_sql('m.provider', 'FALSE', 'm.zdr_enforced', 'FALSE')} AS ceiling FROM ms m "
-        f"LEFT JOIN kg4 k ON k.doc_id = m.event_id % {span} + 1 LEFT JOIN rg3 r ON r.report_id = m.event_id % {span} + 1),\n"
+        f"LEFT JOIN kg4 k ON k.doc_id = {eid} LEFT JOIN rg3 r ON r.report_id = {eid}),\n"
         + O.scan_ctes(src, "ptext", pay_keys, sample_cap=0) + ",\n"
         f"msg AS (SELECT session_id, seq, {msg_cols} FROM scan),\n"
         f"tl0 AS (SELECT {common}, NULL AS provider, NULL AS model_id, NULL AS ceiling, NULL AS resolved FROM sev "
@@ -218,7 +222,7 @@ def timeline_ctes():
         f"SELECT s.session_id, s.seq, s.kind, s.event_id, s.snippet_i, s.call_i, s.answer_i, s.can_prompt, s.unattended, "
         f"m.provider, m.model_id, r.ceiling, CASE WHEN s.event_id % {RESOLVE_NEVER_LANDS} <> 0 THEN r.tier END FROM sev s "
         "JOIN ms m USING (session_id, seq) JOIN res r USING (session_id, seq) UNION ALL "
-        f"SELECT s.session_id, s.seq + 1, 'tier_resolved', s.event_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, r.tier "
+        f"SELECT s.session_id, s.seq + {delay}, 'tier_resolved', s.event_id, NULL, NULL, s.answer_i, s.can_prompt, s.unattended, NULL, NULL, NULL, r.tier "
         f"FROM sev s JOIN res r USING (session_id, seq) WHERE s.kind = 'model_select' AND s.event_id % {RESOLVE_NEVER_LANDS} <> 0),\n"
         f"tl1 AS (SELECT t.*, {_policies_sql('t.session_id')}, "
         + ", ".join(f"coalesce(g.m_{CN(x)}, 0) AS m_{CN(x)}" for x in TYPES) +
@@ -237,15 +241,21 @@ def replay_ctes():
     secret = ", ".join(O.q(t) for t in detect.SECRET_TYPES)
     has_secret = f"len(list_filter(ctx, lambda h: h.type IN ({secret}))) > 0"
 
-    def fires(to):
-        return (f"(downgrade_policy <> 'off' AND len(ctx) > 0 AND tier_before IS NOT NULL AND {to} IS NOT NULL "
-                f"AND {_exposure(to)} > {_exposure('tier_before')})")
+    def fires(prev, to):
+        return (f"coalesce(downgrade_policy <> 'off' AND len(ctx) > 0 AND {prev} IS NOT NULL AND {to} IS NOT NULL "
+                f"AND {_exposure(to)} > {_exposure(prev)}, FALSE)")
+    sel = "kind = 'model_select'"
     dans = _ans(S.DOWNGRADE_ANSWERS)
     pans = _ans(S.PII_ANSWERS)
     return (
         timeline_ctes() + ",\n"
-        f"dg AS (SELECT *, coalesce({fires('ceiling')}, FALSE) AS f1, coalesce({fires('resolved')}, FALSE) AS f2r FROM tl3),\n"
-        f"dg2 AS (SELECT *, CASE WHEN f1 THEN 1 WHEN f2r THEN 2 END AS dg_pass, CASE WHEN f1 THEN ceiling WHEN f2r THEN resolved END AS dg_to, "
+        f"dg0 AS (SELECT *, {sel} AND {fires('tier_before', 'ceiling')} AS f1 FROM tl3),\n"
+        f"dg1 AS (SELECT *, last_value(CASE WHEN {sel} THEN {{'seq': seq, 'tier': tier_before, 'fired': f1, 'provider': provider, "
+        f"'model_id': model_id}} END IGNORE NULLS) {W_INC} AS sw FROM dg0),\n"
+        f"dg2a AS (SELECT *, kind = 'tier_resolved' AND NOT coalesce(sw.fired, TRUE) AND {fires('sw.tier', 'resolved')} AS late FROM dg1),\n"
+        f"dg AS (SELECT *, late AND coalesce(last_value(CASE WHEN late THEN seq END IGNORE NULLS) {W_EXC}, -1) < sw.seq AS f2r FROM dg2a),\n"
+        "dg2 AS (SELECT *, CASE WHEN f1 THEN 1 WHEN f2r THEN 2 END AS dg_pass, CASE WHEN f1 THEN ceiling WHEN f2r THEN resolved END AS dg_to, "
+        "CASE WHEN f1 OR f2r THEN sw.tier END AS dg_from, sw.provider || '/' || sw.model_id AS dg_model, "
         f"CASE WHEN f1 OR f2r THEN CASE WHEN {has_secret} THEN 'secret' ELSE 'pii' END END AS dg_severity, "
         f"CASE WHEN f1 OR f2r THEN CASE WHEN downgrade_policy = 'block' THEN 'revert' WHEN can_prompt THEN CASE WHEN {dans} IN "
         f"('stay', 'cancel') THEN 'revert' ELSE {dans} END WHEN {has_secret} THEN 'revert' ELSE 'notice' END END AS dg_decision FROM dg),\n"
@@ -281,9 +291,9 @@ def _tlabel(c):
 
 def downgrade_report_sql():
     carried = (f"CASE WHEN len(ctx) > 0 THEN 'carrying ' || {O.summary_sql('ctx')} ELSE 'already in context' END")
-    return _w("SELECT session_id, seq + dg_pass - 1 AS seq, '⚠ Privacy downgrade: ' || " + _tlabel("tier_before") + " || ' → ' || "
-              + _tlabel("dg_to") + " || '. This session''s history — ' || " + carried + " || ' — will be re-sent to ' || provider || "
-              "'/' || model_id || ' on the next turn. Detection is best-effort structured PII/secrets, so treat it as a floor, "
+    return _w("SELECT session_id, seq, '⚠ Privacy downgrade: ' || " + _tlabel("dg_from") + " || ' → ' || "
+              + _tlabel("dg_to") + " || '. This session''s history — ' || " + carried + " || ' — will be re-sent to ' || dg_model || "
+              "' on the next turn. Detection is best-effort structured PII/secrets, so treat it as a floor, "
               "not a full inventory.' AS warning FROM rp WHERE dg_pass IS NOT NULL")
 
 
@@ -317,7 +327,7 @@ JOBS.update({
     "pii_gate": (pii_gate, lambda: _w("SELECT session_id, seq, epoch, tier_now AS tier, gated, coalesce(is_fresh, FALSE) AS fresh, "
                                       "prompted, action FROM rp WHERE kind = 'payload'")),
     "downgrade_guard": (downgrade_guard, lambda: _w(
-        "SELECT session_id, seq + dg_pass - 1 AS seq, CAST(dg_pass AS INTEGER) AS pass_no, tier_before AS from_tier, dg_to AS to_tier, "
+        "SELECT session_id, seq, CAST(dg_pass AS INTEGER) AS pass_no, dg_from AS from_tier, dg_to AS to_tier, "
         "dg_severity AS severity, dg_decision AS decision FROM rp WHERE dg_pass IS NOT NULL")),
     "downgrade_report": (downgrade_report, downgrade_report_sql),
     "posture_timeline": (posture_timeline, posture_timeline_sql),

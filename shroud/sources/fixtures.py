@@ -245,7 +245,7 @@ def tool_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     sess = F.floor(F.col("p_partkey") / n).cast("bigint")
     shadow = (F.col("i") < 2) & (sess % 2 == 1)
     return j.select(
-        sess.alias("session_id"), "name", "description", "parameters", "prompt_guidelines",
+        sess.alias("session_id"), F.col("p_partkey").alias("position"), "name", "description", "parameters", "prompt_guidelines",
         F.when(shadow, F.concat(F.lit(".pi/extensions/"), F.col("name"), F.lit(".ts"))).otherwise(F.col("path")).alias("path"),
         F.when(shadow, F.lit("local")).otherwise(F.col("source")).alias("source"),
         F.when(shadow, F.lit("project")).otherwise(F.col("scope")).alias("scope"),
@@ -356,6 +356,9 @@ CONFIG_TEMPLATES = [
     ("env", "badgeSinks", '"status, widget bogus"'), ("env", "piiAllow", '"a@b.com, @c.org"'),
     ("env", "showBadge", '"maybe"'), ("project", "toolResultPolicy", '"redact"'),
     ("project", "installDispatcher", "true"), ("project", "modelPickerCommand", '"m"'),
+    ("env", "showBadge", '"\\tno"'), ("env", "piiAllow", '"\\tops@home.net\\n"'), ("file", "piiAllow", '["\\tops@home.net\\n","\\t"]'),
+    ("env", "piiPolicy", '""'), ("env", "badgeSinks", '"first second"'), ("file", "piiPolicy", '"loud"'),
+    ("env", "badgeKey", '" \\t "'),
 ]
 CONFIG_COLS = [("i", "BIGINT"), ("source", "VARCHAR"), ("key", "VARCHAR"), ("value_json", "VARCHAR")]
 HOST_SIZE = 4

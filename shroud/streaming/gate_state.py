@@ -31,7 +31,7 @@ STATE_DDL = "doc string"
 
 def _new_state() -> dict:
     return {"ctx": {}, "base": {}, "epoch": 0, "provider": None, "last_action": None, "latch": None,
-            "tier": None, "cand_seen": False, "w9_seen": False}
+            "tier": None, "before": None, "armed": False, "cand_seen": False, "w9_seen": False}
 
 
 def _answer(lst, i) -> str:
@@ -51,6 +51,26 @@ def _row(sid, seq, kind, **kw) -> dict:
     return base
 
 
+def _guard(st: dict, r, pass_no: int, to: str | None, sid: int, out: list) -> None:
+    """The downgrade guard of one transition: fires at most once, then is disarmed."""
+    hits = {t: v for t, v in st["ctx"].items() if v > 0}
+    if not _fires(r.downgrade_policy, hits, st["before"], None if pd.isna(to) else to):
+        return
+    st["armed"] = False
+    severity = "secret" if any(t in SECRET_TYPES for t in hits) else "pii"
+    if r.downgrade_policy == "block":
+        decision = "revert"
+    elif r.can_prompt:
+        ans = _answer(DOWNGRADE_ANSWERS, r.answer_i)
+        decision = "revert" if ans in ("stay", "cancel") else ans
+    else:
+        decision = "revert" if severity == "secret" else "notice"
+    if decision == "switch+redact":
+        st["latch"], st["w9_seen"] = "redact", True
+    out.append(_row(sid, int(r.seq), "downgrade", pass_no=pass_no, from_tier=st["before"], to_tier=to, severity=severity,
+                    decision=decision))
+
+
 def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """applyInPandasWithState function: one session, new rows, its state."""
     if state.hasTimedOut:
@@ -69,25 +89,12 @@ def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
                 st["epoch"] += 1
             st["provider"] = r.provider
             st["tier"] = "pending"
-            hits = {t: v for t, v in st["ctx"].items() if v > 0}
-            f1 = _fires(r.downgrade_policy, hits, before, r.ceiling)
-            resolved = None if pd.isna(r.resolved) else r.resolved
-            f2 = not f1 and _fires(r.downgrade_policy, hits, before, resolved)
-            if f1 or f2:
-                severity = "secret" if any(t in SECRET_TYPES for t in hits) else "pii"
-                ans = _answer(DOWNGRADE_ANSWERS, r.answer_i)
-                if r.downgrade_policy == "block":
-                    decision = "revert"
-                elif r.can_prompt:
-                    decision = "revert" if ans in ("stay", "cancel") else ans
-                else:
-                    decision = "revert" if severity == "secret" else "notice"
-                if decision == "switch+redact":
-                    st["latch"], st["w9_seen"] = "redact", True
-                out.append(_row(sid, int(r.seq) + (0 if f1 else 1), "downgrade", pass_no=1 if f1 else 2, from_tier=before,
-                                to_tier=r.ceiling if f1 else resolved, severity=severity, decision=decision))
+            st["before"], st["armed"] = before, True
+            _guard(st, r, 1, r.ceiling, sid, out)
         elif kind == "tier_resolved":
             st["tier"] = r.resolved
+            if st["armed"]:
+                _guard(st, r, 2, r.resolved, sid, out)
         elif kind == "payload":
             for t in TYPE_ORDER:
                 st["ctx"][t] = st["ctx"].get(t, 0) + int(getattr(r, f"m_{col_name(t)}"))
