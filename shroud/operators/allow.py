@@ -7,8 +7,9 @@ Two forms of one semantics:
 * a rule *table* (many hosts, many entries) is parsed by `parse_rules` and
   matched by joins: domains by an equi-join on every label suffix of the email
   domain, CIDR blocks by an equi-join per distinct prefix length on the masked
-  address, globs by a broadcast nested-loop `rlike` join against a bounded glob
-  table.
+  address, globs by an equi-join on a literal part of the entry (the whole of an
+  exact entry, else what stands before the first or after the last `*`, else a
+  part between), confirmed with `rlike`. No rule table needs a bound.
 """
 
 from __future__ import annotations
@@ -156,7 +157,9 @@ def prefix_mask(n: Column) -> Column:
 def parse_rules(entries: DataFrame, raw: str = "raw") -> DataFrame:
     """A1: classify every entry: domain / cidr / glob, or rejected with NULL kind.
 
-    Adds columns kind, domain, net (BIGINT), prefix_len, glob_regex.
+    Adds columns kind, domain, net (BIGINT), prefix_len, glob_regex, and for globs
+    glob_side (exact, prefix, suffix, inner) and glob_key, the lower-case literal
+    part that any matching value holds there.
     """
     e = F.trim(F.col(raw))
     addr = F.regexp_extract(e, CIDR_SHAPE, 1)
@@ -173,6 +176,11 @@ def parse_rules(entries: DataFrame, raw: str = "raw") -> DataFrame:
             .when(bare_dom, F.lit("domain"))
             .otherwise(F.lit("glob")))
     parts = F.split(e, r"\*", -1)
+    first, last = F.lower(F.element_at(parts, 1)), F.lower(F.element_at(parts, -1))
+    longest = F.lower(F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"])
+    side = (F.when(F.size(parts) == 1, "exact").when(F.length(first) >= F.greatest(F.length(last), F.lit(1)), "prefix")
+            .when(last != "", "suffix").otherwise("inner"))
+    key = F.when(side == "suffix", last).when(side == "inner", longest).otherwise(first)
     esc = F.transform(parts, lambda p: F.regexp_replace(p, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
     return (entries
             .withColumn("kind", kind)
@@ -180,7 +188,8 @@ def parse_rules(entries: DataFrame, raw: str = "raw") -> DataFrame:
                                          F.when(e.startswith("@"), at_dom).otherwise(F.lower(e))))
             .withColumn("prefix_len", F.when(kind == "cidr", plen))
             .withColumn("net", F.when(kind == "cidr", net.bitwiseAND(mask)))
-            .withColumn("glob_regex", F.when(kind == "glob", F.array_join(esc, ".*"))))
+            .withColumn("glob_regex", F.when(kind == "glob", F.array_join(esc, ".*")))
+            .withColumn("glob_side", F.when(kind == "glob", side)).withColumn("glob_key", F.when(kind == "glob", key)))
 
 
 def domain_suffixes(value: Column) -> Column:
@@ -190,13 +199,42 @@ def domain_suffixes(value: Column) -> Column:
                        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def match_rules(findings: DataFrame, rules: DataFrame, key_cols: list[str],
-                max_glob_rules: int = 50_000) -> DataFrame:
+def glob_parts(value: Column, lengths: dict[str, list[int]]) -> Column:
+    """array<struct<glob_side,glob_key>>: the parts of a value that a rule with literal
+    parts of these lengths (by side) could name."""
+    v = F.lower(value)
+    part = lambda side, k: F.struct(F.lit(side).alias("glob_side"), k.alias("glob_key"))
+    fits = lambda n, x: F.when(F.length(v) >= n, x)
+    one = [part("exact", v)]
+    one += [fits(n, part("prefix", F.substring(v, 1, n))) for n in lengths.get("prefix", [])]
+    one += [fits(n, part("suffix", F.right(v, F.lit(n)))) for n in lengths.get("suffix", [])]
+    none = F.array().cast("array<struct<glob_side:string,glob_key:string>>")
+
+    def inner(n):
+        return F.coalesce(fits(n, F.transform(F.sequence(F.lit(1), F.length(v) - n + 1), lambda i: part("inner", F.substring(v, i, F.lit(n))))), none)
+    many = [inner(n) for n in lengths.get("inner", [])]
+    return F.array_distinct(F.concat(F.filter(F.array(*one), lambda x: x.isNotNull()), *many))
+
+
+def match_globs(findings: DataFrame, globs: DataFrame) -> DataFrame:
+    """The findings whose value matches a glob rule (glob_side, glob_key, glob_regex). Distinct values
+    meet the rules by an equi-join on their literal parts; `rlike` confirms."""
+    globs = globs.distinct()
+    # at most as many lengths a side as the longest entry has characters
+    seen = globs.select("glob_side", F.length("glob_key").alias("n")).distinct().collect()
+    lengths = {side: sorted(r["n"] for r in seen if r["glob_side"] == side) for side in ("prefix", "suffix", "inner")}
+    values = findings.select("value").distinct()
+    asked = values.select("value", F.inline(glob_parts(F.col("value"), lengths)))
+    hit = (asked.join(globs, ["glob_side", "glob_key"]).where(F.expr(r"value RLIKE concat('(?i)^(?:', glob_regex, ')\\z')"))
+           .select("value").distinct())
+    return findings.join(hit, "value", "left_semi")
+
+
+def match_rules(findings: DataFrame, rules: DataFrame, key_cols: list[str]) -> DataFrame:
     """A3-A5: findings (key_cols…, type, value) that some rule allows.
 
-    Returns distinct key rows with the matching rule kind. Domains and CIDR blocks
-    are equi-joins (scale with both sides); globs need a nested loop, so their
-    table must be bounded: it is counted first and refused beyond the bound.
+    Returns key rows with the matching rule kind. Domains, CIDR blocks and globs
+    are equi-joins, so they scale with both sides.
     """
     keys = key_cols
     dom_rules = rules.where("kind = 'domain'").select("domain").distinct()
@@ -212,11 +250,6 @@ def match_rules(findings: DataFrame, rules: DataFrame, key_cols: list[str],
               .withColumn("net", F.col("ip_int").bitwiseAND(prefix_mask(F.col("prefix_len")))))
     by_cidr = masked.join(cidr_rules, ["net", "prefix_len"], "left_semi").select(*keys).withColumn("rule_kind", F.lit("cidr"))
 
-    glob_rules = rules.where("kind = 'glob'").select("glob_regex").distinct()
-    n_glob = glob_rules.count()
-    if n_glob > max_glob_rules:
-        raise ValueError(f"{n_glob} glob rules exceed the broadcast bound {max_glob_rules}")
-    by_glob = (findings.join(F.broadcast(glob_rules),
-                             F.expr(r"value RLIKE concat('(?i)^(?:', glob_regex, ')\\z')"), "left_semi")
+    by_glob = (match_globs(findings, rules.where("kind = 'glob'").select("glob_side", "glob_key", "glob_regex"))
                .select(*keys).withColumn("rule_kind", F.lit("glob")))
     return by_domain.unionByName(by_cidr).unionByName(by_glob)

@@ -103,10 +103,10 @@ def raw_matches(text: Column, pattern_ids: list[int] | None = None) -> list[tupl
     return out
 
 
-def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `p{i}`: the validated candidates of pattern i (original text)."""
+def with_candidates(df: DataFrame, text: str = "text", pattern_ids: list[int] | None = None) -> DataFrame:
+    """Adds `p{i}`: the validated candidates of pattern i (original text), of all patterns or the given."""
     cols = []
-    for i, t, m in raw_matches(F.col(text)):
+    for i, t, m in raw_matches(F.col(text), pattern_ids):
         v = seeds.PATTERNS[i][2]
         cols.append((F.filter(m, VALIDATORS[v]) if v else m).alias(f"p{i}"))
     return df.select("*", *cols)
@@ -171,11 +171,13 @@ def with_scan(df: DataFrame, rules: list[Rule] | None = None, sample_cap: int =
 
 
 def findings(df: DataFrame, key_cols: list[str], rules: list[Rule] | None = None,
-             text: str = "text") -> DataFrame:
-    """One row per validated match: keys, pattern_id, type, match_no, value, allowed."""
+             text: str = "text", types: list[str] | None = None) -> DataFrame:
+    """One row per validated match: keys, pattern_id, type, match_no, value, allowed.
+    Only the patterns of `types` run, if given."""
     rules = compile_rules() if rules is None else rules
-    cand = with_candidates(df.select(*key_cols, text), text)
-    per = [F.transform(F.col(f"p{i}"), _finding_of(rules, i, t)) for i, (t, _, _) in enumerate(seeds.PATTERNS)]
+    ids = [i for i, (t, _, _) in enumerate(seeds.PATTERNS) if types is None or t in types]
+    cand = with_candidates(df.select(*key_cols, text), text, ids)
+    per = [F.transform(F.col(f"p{i}"), _finding_of(rules, i, seeds.PATTERNS[i][0])) for i in ids]
     return cand.select(*key_cols, F.inline(F.concat(*per)))
 
 

@@ -39,41 +39,41 @@ def allow_rejects(spark, sf):
     return r.where("kind IS NULL").select("host", "raw", rejection_message(F.col("raw")).alias("message"))
 
 
-def rule_table(spark, sf):
-    """Defaults plus every distinct usable fleet entry."""
-    defaults = seed_df(spark, [(-1, d) for d in seeds.DEFAULT_ALLOW], [("host", "BIGINT"), ("raw", "VARCHAR")])
-    e = fixtures.fx_allow_entry(spark, sf).unionByName(defaults).withColumn(
-        "entry", F.regexp_replace("raw", TRIM_RE, ""))
-    return allow.parse_rules(e, "entry").where("kind IS NOT NULL").select(
-        "kind", "domain", "prefix_len", "net", "glob_regex").distinct()
+def rule_table(spark, sf, defaults: bool = True):
+    """Every distinct usable fleet entry, with the defaults unless opted out."""
+    e = fixtures.fx_allow_entry(spark, sf)
+    if defaults:
+        e = e.unionByName(seed_df(spark, [(-1, d) for d in seeds.DEFAULT_ALLOW], [("host", "BIGINT"), ("raw", "VARCHAR")]))
+    return allow.parse_rules(e.withColumn("entry", F.regexp_replace("raw", TRIM_RE, "")), "entry").where("kind IS NOT NULL").select(
+        "kind", "domain", "prefix_len", "net", "glob_regex", "glob_side", "glob_key").distinct()
 
 
-def _findings(spark, sf):
-    """Findings are scanned once and checkpointed: the rule joins below reuse
-    them three or four times, and re-running 15 regexes per text each time
-    would dominate the job."""
-    return cut_lineage(detect.findings(fixtures.fx_text(spark, sf), ["doc_id"], rules=[]).drop("allowed"))
+def _findings(spark, sf, types=None):
+    return detect.findings(fixtures.fx_text(spark, sf), ["doc_id"], rules=[], types=types).drop("allowed")
 
 
-def _matched(spark, sf):
-    return allow.match_rules(_findings(spark, sf), rule_table(spark, sf), FKEYS)
+def _matched(spark, sf, kind, types=None):
+    rules = rule_table(spark, sf).where(F.col("kind") == kind)
+    return allow.match_rules(_findings(spark, sf, types), rules, FKEYS).where(F.col("rule_kind") == kind).select(*FKEYS).distinct()
 
 
 def allow_domain(spark, sf):
-    return _matched(spark, sf).where("rule_kind = 'domain'").select(*FKEYS).distinct()
+    return _matched(spark, sf, "domain", ["email"])
 
 
 def allow_cidr(spark, sf):
-    return _matched(spark, sf).where("rule_kind = 'cidr'").select(*FKEYS).distinct()
+    return _matched(spark, sf, "cidr", ["ip"])
 
 
 def allow_glob(spark, sf):
-    return _matched(spark, sf).where("rule_kind = 'glob'").select(*FKEYS).distinct()
+    return _matched(spark, sf, "glob")
 
 
 def allow_split(spark, sf):
     """Every finding with its allowed flag (suppressed, still reported)."""
-    f = _findings(spark, sf)
+    # Scanned once and checkpointed: the rule joins reuse the findings three or
+    # four times, and 15 patterns a text each time would dominate the job.
+    f = cut_lineage(_findings(spark, sf))
     hit = allow.match_rules(f, rule_table(spark, sf), FKEYS).select(*FKEYS).distinct().withColumn("allowed", F.lit(True))
     return (f.join(hit, FKEYS, "left")
             .select(*FKEYS, "type", "value", F.coalesce("allowed", F.lit(False)).alias("allowed")))

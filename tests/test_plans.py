@@ -28,11 +28,10 @@ def test_running_windows_partition_by_chunk(spark):
     assert "_ch" in p.split("Window")[1].split("\n")[0]
 
 
-def test_only_glob_join_is_nested_loop(spark):
+def test_rule_joins_are_equi_joins(spark):
     from shroud.plans import allow_jobs, egress_jobs
-    assert "BroadcastNestedLoopJoin" in _plan(allow_jobs.allow_glob(spark, SF_SMALL))
-    assert "BroadcastNestedLoopJoin" not in _plan(allow_jobs.allow_domain(spark, SF_SMALL))
-    assert "NestedLoop" not in _plan(egress_jobs.egress_calls(spark, SF_SMALL))
+    for job in (allow_jobs.allow_glob, allow_jobs.allow_domain, allow_jobs.allow_cidr, allow_jobs.allow_split, egress_jobs.egress_calls):
+        assert "NestedLoop" not in _plan(job(spark, SF_SMALL))
 
 
 def test_gzip_udf_only_sees_filtered_rows(spark):
