@@ -12,10 +12,13 @@ a link if its exact probability Jaccard or plain Jaccard similarity is `threshol
 bands of 5 rows a pair at 0.8 is a candidate with probability 0.99995.
 
 Texts with the same words are one node from the start, so copies never meet as pairs. Within a
-bucket each node is first compared with the bucket's least node only. Then components are formed,
-and in buckets that still hold several components the pairs between different components are
-compared: pairs inside a component could add nothing. So no bucket is capped, no link between
-classes is lost and a family of near copies costs one comparison a bucket and member.
+bucket each node is first compared with the bucket's least node only. Then components are formed;
+in buckets that still hold several, all pairs between different components are looked at (pairs
+inside a component could add nothing): a finer ProbMinHash sketch of `fine` one-byte registers
+passes the pairs that could reach the threshold (4.5 standard errors under it), and these are
+verified. The buckets are dealt out in cells of two blocks of bounded size, so a bucket of any size
+is many small tasks and only passing pairs are ever rows. So no bucket is capped, no link between
+classes is lost, and a family of near copies costs one comparison a bucket and member.
 
 Everything about a corpus stays in tables: narrow signatures and the texts of candidate nodes are
 checkpointed in the shared folder.
@@ -168,6 +171,77 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
     return sent.mapInArrow(run, f"id {kind}, text_hash bigint, node binary, bands array<bigint>")
 
 
+def sketches(texts: DataFrame, n: int, registers: int, chunk_words: int = 200_000) -> DataFrame:
+    """(node, sketch): the low byte of each register's holder."""
+    sent = texts.select("node", word_hashes("text").alias("words"))
+
+    def run(batches):
+        for batch in batches:
+            values, starts = _arrays(batch.column(1))
+            out, a = [], 0
+            while a < batch.num_rows:
+                b = min(batch.num_rows, max(a + 1, int(np.searchsorted(starts, starts[a] + chunk_words, side="right")) - 1))
+                t, h, c = shingles(values[starts[a]:starts[b]], starts[a:b + 1] - starts[a], n)
+                holder = probminhash(t, h, c, b - a, registers)
+                out += [row.tobytes() for row in (holder & np.uint64(255)).astype(np.uint8)]
+                a = b
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "sketch"])
+
+    return sent.mapInArrow(run, "node binary, sketch binary")
+
+
+def _cell_pairs(rows: list[tuple], least: int) -> list[tuple[bytes, bytes]]:
+    """Of one cell's rows (block, k, node, root, bands, sketch) the pairs between its two blocks (or in
+    its one block) that have different roots, share no band before the cell's and agree in `least`
+    registers."""
+    block = np.array([r[0] for r in rows])
+    k = rows[0][1]
+    _, root = np.unique(np.array([r[3] for r in rows], dtype=object), return_inverse=True)
+    bands = np.array([r[4] for r in rows], dtype=np.int64)
+    sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+    one, out = block.min() == block.max(), []
+    for i in np.nonzero(block == block.min())[0]:
+        others = np.arange(i + 1, len(rows)) if one else np.nonzero(block != block[i])[0]
+        others = others[root[others] != root[i]]
+        others = others[(bands[others, :k] != bands[i, :k]).all(axis=1)]
+        others = others[(sketch[others] == sketch[i]).sum(axis=1) >= least]
+        out += [(rows[i][2], rows[j][2]) for j in others]
+    return out
+
+
+def open_pairs(rooted: DataFrame, fine: DataFrame, threshold: float, registers: int, block_rows: int = 512) -> DataFrame:
+    """The pairs (a, b) of nodes with different roots that share a bucket and whose sketches could
+    reach the threshold. rooted: bucket, k (its band), node, root; fine: node, bands, sketch."""
+    mixed = (rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+             .where("lo <> hi").select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
+    rows = rooted.join(mixed, "bucket").join(fine, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+        F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))).alias("cell")
+    dealt = (rows.select("bucket", cell, "block", "k", "node", "root", "bands", "sketch")
+             .select("bucket", "cell.i", "cell.j", "block", "k", "node", "root", "bands", "sketch")
+             .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"))
+    least = int(registers * (threshold - 4.5 * (threshold * (1 - threshold) / registers) ** 0.5))
+
+    def run(batches):
+        now, rows = None, []
+
+        def done():
+            pairs = _cell_pairs(rows, least) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, i, j) != now:
+                    if rows:
+                        yield done()
+                    now, rows = (bucket, i, j), []
+                rows.append(row)
+        if rows:
+            yield done()
+
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -195,12 +269,12 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> Da
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8,
-            bands: int = 25, rows: int = 5) -> DataFrame:
+            bands: int = 25, rows: int = 5, fine: int = 1000) -> DataFrame:
     """One row per input row: id, text_hash, class_id (the least id of its class), kept (the row that
     stays: least id, then least text hash), class_size."""
     signed = cut_lineage(signatures(docs, id_col, text_col, n, bands, rows))
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", F.posexplode("bands").alias("k", "bucket"))
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub")
     shared = cut_lineage(members.join(hubs, "bucket"))  # rows of nodes that share a bucket
     asked = shared.select("node").distinct()
@@ -211,12 +285,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     roots = cut_lineage(components(links))
 
     # pairs between components that share a bucket
-    rooted = shared.join(roots, "node", "left").select("bucket", "node", "hub", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = cut_lineage(rooted.join(mixed, "bucket", "left_semi"))
-    x = open_.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), "hub")
-    y = open_.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = (x.join(y, "bucket").where("root_a < root_b and a <> hub and b <> hub").select("a", "b").distinct())
+    rooted = cut_lineage(shared.join(roots, "node", "left").select("bucket", "k", "node", F.coalesce("root", "node").alias("root")))
+    unsettled = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    doubtful = rooted.join(unsettled.select("bucket"), "bucket", "left_semi").select("node").distinct()
+    sketched = sketches(texts.join(doubtful, "node", "left_semi"), n, fine).join(nodes, "node")
+    rest = cut_lineage(open_pairs(rooted, sketched, threshold, fine))
     more = cut_lineage(verified(rest, texts, n, threshold))
     if not more.isEmpty():
         merged = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
@@ -228,7 +301,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     named = signed.select("id", "text_hash", "node").join(roots, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
     named = cut_lineage(named)
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    first = cut_lineage(named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"),
+                                                  F.count(F.lit(1)).alias("class_size")))  # so that a large class's join can be split
     return named.join(first, "root").select(
         F.col("id").alias(id_col), "text_hash", F.col("first.id").alias("class_id"), "class_size",
         (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("kept"))
@@ -237,9 +311,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input rows, all of their columns, of which one of each class stays."""
     gone = classes(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_id"), "text_hash").distinct()
-    hashed = docs.withColumn("_here", F.xxhash64(text_or_empty(text_col)))
-    on = hashed[f"`{id_col}`"].eqNullSafe(gone["_id"]) & (hashed["_here"] == gone["text_hash"])
-    return hashed.join(gone, on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_row_id"),
+                       F.xxhash64(text_or_empty(text_col)).alias("_here"))
+    on = rows["_row_id"].eqNullSafe(gone["_id"]) & (rows["_here"] == gone["text_hash"])
+    return rows.join(gone, on, "left_anti").select("_row.*")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
