@@ -5,7 +5,8 @@ session and hands each group's new rows to `step` as pandas frames together
 with the session's state. Rows are re-sorted by `seq` (arrival order inside a
 micro-batch is not guaranteed). The decisions are the batch replay's, one event
 at a time; state is a small JSON document (hit counts per type, baseline,
-latch, last action, current tier and provider), removed after an idle TTL.
+latch, last action, current tier and provider), removed after
+an idle time to live where the query names one.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from ..operators.detect import SECRET_TYPES, TYPE_ORDER, col_name
 from ..operators.session import DOWNGRADE_ANSWERS, PII_ANSWERS
 
 EXPOSURE = {t[0]: t[5] for t in seeds.TIERS}
-STATE_TTL_MS = 24 * 3600 * 1000
-TTL_ENABLED = False  # set with a ProcessingTimeTimeout query for long-lived streams
 
 OUTPUT_DDL = ("session_id bigint, seq bigint, out_kind string, epoch bigint, tier string, gated boolean, fresh boolean, "
               "prompted boolean, action string, pass_no int, from_tier string, to_tier string, severity string, "
@@ -71,8 +70,15 @@ def _guard(st: dict, r, pass_no: int, to: str | None, sid: int, out: list) -> No
                     decision=decision))
 
 
-def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """applyInPandasWithState function: one session, new rows, its state."""
+def stepper(ttl_ms: int | None):
+    """The applyInPandasWithState function for a time to live of idle state."""
+    def run(key, frames, state):
+        return step(key, frames, state, ttl_ms)
+    return run
+
+
+def step(key, frames: Iterator[pd.DataFrame], state, ttl_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    """One session, its new rows and its state."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -130,7 +136,7 @@ def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
             out.append(_row(sid, int(r.seq), "pii", epoch=st["epoch"], tier=tier, gated=gated, fresh=fresh,
                             prompted=prompted, action=action))
     state.update((json.dumps(st),))
-    if TTL_ENABLED:
-        state.setTimeoutDuration(STATE_TTL_MS)
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
     if out:
         yield pd.DataFrame(out)

@@ -4,10 +4,12 @@ Event times are UTC instants and window bounds are reported as epoch values,
 so results do not depend on the session time zone.
 
 Sources are file streams over the input tables; every query runs with the
-`availableNow` trigger into a sink and checkpoint under the cluster's shared
-checkpoint folder, so a restarted query resumes exactly where it stopped.
-Each job returns the sink read back as a batch DataFrame, which equals the
-batch job on the same rows (windows: closed windows only).
+`availableNow` trigger. `base` names a folder on shared storage for its sink
+(`out`) and `checkpoint`: a query started again with the same folder resumes
+where it stopped and reads new files only. Without one a fresh folder under the
+cluster's checkpoint folder is taken. Each job returns the sink read back as a
+batch DataFrame, which equals the batch job on the same rows (windows: closed
+windows only).
 """
 
 from __future__ import annotations
@@ -38,24 +40,24 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
             .parquet(f"{sf_dir.rstrip('/')}/{name}*.parquet"))
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain the stream into a parquet sink under the shared checkpoint folder."""
+def run_available_now(df: DataFrame, name: str, base: str | None = None, mode: str = "append") -> DataFrame:
+    """Drain the stream into a parquet sink under `base`."""
     spark = df.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    base = base or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     q = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
-def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_redact(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """ST1: stateless scan + redaction of an incoming text stream."""
     docs = stream_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     fx = fixtures.fx_text(spark, sf_dir, docs)
-    return run_available_now(redact.with_redacted(fx).select("doc_id", "redacted"), "stream_redact")
+    return run_available_now(redact.with_redacted(fx).select("doc_id", "redacted"), "stream_redact", base)
 
 
-def stream_egress_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_egress_ledger(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """ST2: rolling ledger per (hour, session, actor, host): calls and calls that
     carried PII/credentials. Late rows beyond the watermark are dropped."""
     ev = stream_table(spark, sf_dir, "events").withColumn("ts", fixtures.utc_instant("ts")) \
@@ -66,35 +68,38 @@ def stream_egress_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     agg = (obs.groupBy(F.window("ts", LEDGER_WINDOW).alias("w"), "session_id", F.col("actor").alias("tool"), "host")
            .agg(F.count(F.lit(1)).alias("calls"), F.count_if("fires").alias("with_pii")))
     out = agg.select(F.unix_seconds("w.start").alias("window_start"), "session_id", "tool", "host", "calls", "with_pii")
-    return run_available_now(out, "stream_egress_ledger")
+    return run_available_now(out, "stream_egress_ledger", base)
 
 
-def _gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gate_stream(spark: SparkSession, sf_dir: str, base: str | None, ttl_ms: int | None = None) -> DataFrame:
+    """Per-session state machine. With `ttl_ms` a session's state goes after so long
+    without events; for queries that run on (a drained query would never end, as
+    Spark keeps making batches for time-outs)."""
     ev = stream_table(spark, sf_dir, "events")
     tl = session_jobs.timeline(spark, sf_dir, ev)
     cols = ["session_id", "seq", "kind", "provider", "ceiling", "resolved", "answer_i", "can_prompt", "unattended",
             "pii_policy", "downgrade_policy"] + [f"m_{detect.col_name(t)}" for t in detect.TYPE_ORDER]
     tl = tl.select(*cols)
     out = tl.groupBy("session_id").applyInPandasWithState(
-        gate_state.step, gate_state.OUTPUT_DDL, gate_state.STATE_DDL, "append",
-        GroupStateTimeout.NoTimeout)
-    return run_available_now(out, "stream_gate")
+        gate_state.stepper(ttl_ms), gate_state.OUTPUT_DDL, gate_state.STATE_DDL, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
+    return run_available_now(out, "stream_gate", base)
 
 
-def stream_pii_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_pii_gate(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """ST3: live baseline, last action and latch per session."""
-    g = _gate_stream(spark, sf_dir)
+    g = _gate_stream(spark, sf_dir, base)
     return g.where("out_kind = 'pii'").select("session_id", "seq", "epoch", "tier", "gated", "fresh", "prompted", "action")
 
 
-def stream_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_downgrade(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """ST4: context hits and previous tier per session; one alert per transition."""
-    g = _gate_stream(spark, sf_dir)
+    g = _gate_stream(spark, sf_dir, base)
     return g.where("out_kind = 'downgrade'").select("session_id", "seq", "pass_no", "from_tier", "to_tier", "severity",
                                                     "decision")
 
 
-def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_session_window(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """ST5: sessions without an explicit id: activity bursts per user separated by
     a 30-minute gap; closed sessions only."""
     ev = stream_table(spark, sf_dir, "events").withColumn("ts", fixtures.utc_instant("ts")) \
@@ -103,4 +108,4 @@ def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
            .agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "purchase").alias("model_switches")))
     out = agg.select("user_id", F.unix_micros("s.start").alias("session_start"), F.unix_micros("s.end").alias("session_end"),
                      "events", "model_switches")
-    return run_available_now(out, "stream_session_window")
+    return run_available_now(out, "stream_session_window", base)
