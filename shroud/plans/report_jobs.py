@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import payload as PL
 from ..operators import redact
 from ..operators import surface as S
 from ..operators import tool_gates as TG
@@ -77,54 +78,109 @@ def request_pins(spark, sf):
     snip = broadcast_seed(spark, fixtures.snippet_rows(), fixtures.SNIPPET_COLS)
     p = r.where("kind = 'payload'").join(snip.withColumnRenamed("i", "si"), F.col("snippet_i") == F.col("si"))
     zdr = F.col("session_id") % 3 == 0
-    pin = (F.when(F.col("cur_provider") == "venice", "venice-system-prompt-off")
-           .when((F.col("cur_provider") == "openrouter") & zdr, "openrouter-zdr"))
+    # Bodies as the client made them: some already hold the nested object, with fields of their
+    # own and one that the pin overrules.
     msgs = F.array(F.struct(F.lit("user").alias("role"), F.col("s").alias("content")))
-    base = [F.col("cur_model").alias("model"), msgs.alias("messages")]
-    body = (F.when(pin == "venice-system-prompt-off", F.to_json(F.struct(*base, F.struct(
-        F.lit(False).alias("include_venice_system_prompt")).alias("venice_parameters"))))
-        .when(pin == "openrouter-zdr", F.to_json(F.struct(*base, F.struct(F.lit(True).alias("zdr"), F.lit("deny").alias(
-            "data_collection")).alias("provider"))))
-        .otherwise(F.to_json(F.struct(*base))))
-    return p.select("session_id", "seq", F.col("cur_provider").alias("provider"), pin.alias("pin"), body.alias("body"))
+    k = F.col("event_id") % 3
+    own_venice = F.when((F.col("cur_provider") == "venice") & (k > 0), F.struct(
+        F.lit("v1").alias("character"), F.when(k == 2, True).alias("include_venice_system_prompt")))
+    own_router = F.when((F.col("cur_provider") == "openrouter") & (k > 0), F.struct(
+        F.lit("price").alias("sort"), F.when(k == 2, "allow").alias("data_collection")))
+    raw = F.to_json(F.struct(F.col("cur_model").alias("model"), msgs.alias("messages"), own_venice.alias("venice_parameters"), own_router.alias("provider")))
+    sent = p.select("session_id", "seq", F.col("cur_provider").alias("provider"), zdr.alias("zdr"), raw.alias("raw"))
+    pins = pin_bodies(sent)
+    return pins.select("session_id", "seq", "provider", "pin", "missing_pin", "body")
+
+
+PIN_FIELDS = {  # pin -> (nested object, its pinned fields)
+    "venice-system-prompt-off": ("venice_parameters", [("include_venice_system_prompt", "false")]),
+    "openrouter-zdr": ("provider", [("zdr", "true"), ("data_collection", '"deny"')]),
+}
+
+
+def pin_bodies(sent: DataFrame) -> DataFrame:
+    """P9 over outbound bodies (provider, zdr, raw JSON): pin, missing_pin (the body lacked one of its
+    fields or held another value) and the merged body. All other fields of the body and of the
+    nested object stay with their values (a merged body lists the keys of its objects in alphabetical
+    order); what is no JSON object counts as an empty one."""
+    pin = (F.when(F.col("provider") == "venice", "venice-system-prompt-off")
+           .when((F.col("provider") == "openrouter") & F.col("zdr"), "openrouter-zdr"))
+    kind = "map<string,variant>"
+    fields = lambda text: F.coalesce(F.from_json(text, kind), F.from_json(F.lit("{}"), kind))
+    out = sent.withColumn("pin", pin).withColumn("_top", fields(F.col("raw")))
+    body, missing = F.col("raw"), F.lit(False)
+    for name, (field, pinned) in PIN_FIELDS.items():
+        keys = [key for key, _ in pinned]
+        nested = fields(F.to_json(F.col("_top")[field]))
+        held = _all([F.coalesce(F.to_json(nested[key]) == F.lit(value), F.lit(False)) for key, value in pinned])
+        fixed = F.create_map(*[x for key, value in pinned for x in (F.lit(key), F.parse_json(F.lit(value)))])
+        merged = F.map_concat(_without(nested, keys), fixed)
+        whole = F.map_concat(_without(F.col("_top"), [field]), F.create_map(F.lit(field), F.parse_json(F.to_json(merged))))
+        body = F.when(F.col("pin") == name, F.to_json(whole)).otherwise(body)
+        missing = F.when(F.col("pin") == name, ~held).otherwise(missing)
+    return out.withColumn("missing_pin", missing).withColumn("body", body).drop("_top")
+
+
+def _without(fields, keys):
+    return F.map_filter(fields, lambda k, v: ~k.isin(*keys))
+
+
+def _all(cs):
+    out = cs[0]
+    for c in cs[1:]:
+        out = out & c
+    return out
 
 
 def request_pins_sql():
     w = "OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     from ..sources.seedframes import seed_sql
-    base = "'model': cur_model, 'messages': [{'role': 'user', 'content': s}]"
-    nb = "'messages': [{'role': 'user', 'content': s}]"
+    model = "CASE WHEN cur_model IS NULL THEN '' ELSE '\"model\":' || CAST(to_json(cur_model) AS VARCHAR) || ',' END"
+    msgs = ("'\"messages\":' || CASE WHEN pin IS NULL THEN CAST(to_json([{'role': 'user', 'content': s}]) AS VARCHAR) "
+            "ELSE CAST(to_json([{'content': s, 'role': 'user'}]) AS VARCHAR) END")  # merged objects list their keys in order
+    venice = "'{' || CASE WHEN k > 0 THEN '\"character\":\"v1\"' ELSE '' END"
+    router = "'{' || CASE WHEN k > 0 THEN '\"sort\":\"price\"' ELSE '' END"
+    sep = "CASE WHEN k > 0 THEN ',' ELSE '' END"
     return (f"WITH {session_events_cte()},\n{O.snippet_cte()},\n"
             f"prov_tpl AS (SELECT * FROM {seed_sql(fixtures.provider_rows(), fixtures.PROVIDER_COLS)}),\n"
             "e AS (SELECT s.*, p.provider, p.model_id FROM sev s LEFT JOIN prov_tpl p ON s.provider_i = p.i AND s.kind = 'model_select'),\n"
             f"e2 AS (SELECT *, last_value(provider IGNORE NULLS) {w} AS cur_provider, last_value(model_id IGNORE NULLS) {w} AS cur_model FROM e),\n"
-            "e3 AS (SELECT e2.*, t.s, CASE WHEN cur_provider = 'venice' THEN 'venice-system-prompt-off' WHEN cur_provider = 'openrouter' "
+            "e3 AS (SELECT e2.*, t.s, e2.event_id % 3 AS k, CASE WHEN cur_provider = 'venice' THEN 'venice-system-prompt-off' WHEN cur_provider = 'openrouter' "
             "AND session_id % 3 = 0 THEN 'openrouter-zdr' END AS pin FROM e2 JOIN snippet t ON e2.snippet_i = t.i WHERE kind = 'payload')\n"
-            f"SELECT session_id, seq, cur_provider AS provider, pin, CASE WHEN cur_model IS NULL THEN {_body(nb)} "
-            f"ELSE {_body(base)} END AS body FROM e3")
+            "SELECT session_id, seq, cur_provider AS provider, pin, pin IS NOT NULL AS missing_pin, "
+            f"'{{' || {model} || {msgs} || CASE WHEN pin = 'venice-system-prompt-off' THEN ',\"venice_parameters\":' || {venice} || {sep} || "
+            "'\"include_venice_system_prompt\":false}' WHEN pin = 'openrouter-zdr' THEN ',\"provider\":' || "
+            "'{\"data_collection\":\"deny\"' || CASE WHEN k > 0 THEN ',\"sort\":\"price\"' ELSE '' END || ',\"zdr\":true}' "
+            f"WHEN cur_provider = 'openrouter' AND k > 0 THEN ',\"provider\":' || {router} || CASE WHEN k = 2 THEN ',\"data_collection\":\"allow\"' ELSE '' END || '}}' "
+            "ELSE '' END || '}' AS body FROM e3")
 
 
-def _body(base):
-    return (f"CAST(CASE pin WHEN 'venice-system-prompt-off' THEN to_json({{{base}, 'venice_parameters': "
-            f"{{'include_venice_system_prompt': false}}}}) WHEN 'openrouter-zdr' THEN to_json({{{base}, 'provider': "
-            f"{{'zdr': true, 'data_collection': 'deny'}}}}) ELSE to_json({{{base}}}) END AS VARCHAR)")
+# D10 ------------------------------------------------------------------------
+def payloads(spark, sf):
+    """One payload a conversation, its messages in order: every fifth message has a string
+    content, the others parts, of which some hold an image."""
+    t = fixtures.fx_turn(spark, sf)
+    image = PL.raw_part("image", F.concat_ws("-", F.lit("img"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    parts = F.when(F.col("turn") % 5 != 4, F.when(F.col("turn") % 3 == 2, F.array(PL.text_part(F.col("text")), image))
+                   .otherwise(F.array(PL.text_part(F.col("text")))))
+    message = F.struct(F.col("role").alias("role"), F.when(F.col("turn") % 5 == 4, F.col("text")).alias("content"), parts.alias("parts")).cast(PL.MESSAGE)
+    turns = t.select("conv_id", F.struct("turn", message.alias("message")).alias("m"))
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m")).select(
+        "conv_id", F.col("m.turn").alias("turns"), F.col("m.message").alias("messages"))
+
+
+def _messages(df):
+    """One row a message of payload rows."""
+    return df.select("conv_id", F.inline(F.arrays_zip("turns", "messages"))).select(
+        "conv_id", F.col("turns").alias("turn"), F.col("messages").alias("message"))
 
 
-# D10 ------------------------------------------------------------------------
 def redact_payload(spark, sf):
     """Messages keep their shape; string content and text parts are
     redacted, other parts pass through untouched."""
-    t = fixtures.fx_turn(spark, sf)
-    shape = F.when(F.col("turn") % 5 == 4, "string").otherwise("parts")
-    img = F.struct(F.lit("image").alias("kind"), F.lit(None).cast("string").alias("text"),
-                   F.concat(F.lit("img-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("raw"))
-    t = t.withColumn("shape", shape)
-    r = redact.with_redacted(t, text="text", out="red")
-    txt = F.struct(F.lit("text").alias("kind"), F.col("red").alias("text"), F.lit(None).cast("string").alias("raw"))
-    parts = F.when(F.col("turn") % 3 == 2, F.array(txt, img)).otherwise(F.array(txt))
-    return r.select("conv_id", "turn", "role", "shape",
-                    F.when(F.col("shape") == "string", F.col("red")).alias("content_text"),
-                    F.when(F.col("shape") == "parts", parts).alias("content_parts"))
+    r = _messages(payloads(spark, sf).withColumn("messages", PL.redact_messages(F.col("messages"))))
+    return r.select("conv_id", "turn", "message.role", F.when(F.col("message.content").isNotNull(), "string").otherwise("parts").alias("shape"),
+                    F.col("message.content").alias("content_text"), F.col("message.parts").alias("content_parts"))
 
 
 def redact_payload_parts(spark, sf):
@@ -150,8 +206,8 @@ def scan_units(spark, sf):
     """Every text that detection sees: documents and conversation messages."""
     d = documents(spark, sf).select(F.col("doc_id").alias("unit_id"), F.lit(0).alias("part_no"),
                                     F.lit("document").alias("source"), "text")
-    c = fixtures.fx_turn(spark, sf).select(F.col("conv_id").alias("unit_id"), F.col("turn").cast("int").alias("part_no"),
-                                           F.lit("conversation").alias("source"), "text")
+    c = _messages(payloads(spark, sf)).select(F.col("conv_id").alias("unit_id"), F.col("turn").cast("int").alias("part_no"),
+                                              F.lit("conversation").alias("source"), PL.message_text(F.col("message")).alias("text"))
     return d.unionByName(c)
 
 

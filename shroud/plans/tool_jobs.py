@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seeds
 from ..operators import detect, redact
+from ..operators import payload as PL
 from ..operators import session as S
 from ..operators import tool_gates as TG
 from ..session import cut_lineage
@@ -77,7 +78,13 @@ def _results(spark, sf):
     snip = broadcast_seed(spark, fixtures.snippet_rows(), fixtures.SNIPPET_COLS)
     r = ev.join(snip, ev.snippet_i == snip.i).withColumn(
         "shape", F.element_at(F.array(*[F.lit(x) for x in TG.SHAPES]), (F.col("event_id") % len(TG.SHAPES) + 1).cast("int")))
-    r = r.withColumn("text", TG.result_text(F.col("shape"), F.col("s")))
+    # The result in its shape: a string, parts (text and an image), strings, or any other JSON.
+    s_, shape = F.col("s"), F.col("shape")
+    image = PL.raw_part("image", F.concat(F.lit("img-"), F.col("event_id").cast("string")))
+    content = F.struct(F.when(shape == "string", s_).alias("text"), F.when(shape == "string_parts", F.array(s_, F.lit("done"))).alias("strings"),
+                       F.when(shape == "parts", F.array(PL.text_part(s_), image)).alias("parts"),
+                       F.when(shape == "object", F.to_json(F.struct(s_.alias("output")))).alias("raw")).cast(PL.RESULT)
+    r = r.withColumn("content", content).withColumn("text", PL.result_text(F.col("content")))
     r = detect.with_scan(r, sample_cap=0).drop("suppressed", "samples")
     return redact.with_redacted(r, text="s", out="redacted_s", only=detect.SECRET_TYPES)
 
@@ -89,11 +96,11 @@ def result_units(spark, sf):
 
 def redact_results(spark, sf):
     """Credential-only redaction of every result; unknown shapes cannot be rewritten."""
-    r = _results(spark, sf)
-    outcome = (F.when(F.col("redacted_s") == F.col("s"), "unchanged").when(F.col("shape") == "object", "could-not-redact")
-               .otherwise("redacted"))
-    return r.select("session_id", "seq", "shape", outcome.alias("outcome"),
-                    F.when(outcome == "redacted", F.col("redacted_s")).alias("redacted"))
+    r = _results(spark, sf).withColumn("red", PL.redact_result(F.col("content"), only=detect.SECRET_TYPES))
+    outcome = PL.result_outcome(F.col("content"), F.col("red"), detect.has_secret(F.col("hits")))
+    first = F.coalesce("red.text", F.get("red.strings", F.lit(0)), F.get("red.parts", F.lit(0))["text"])
+    return r.select("session_id", "seq", "shape", outcome.alias("outcome"), first.alias("first")).select(
+        "session_id", "seq", "shape", "outcome", F.when(F.col("outcome") == "redacted", F.col("first")).alias("redacted"))
 
 
 def ingest_gate(spark, sf):
