@@ -107,27 +107,28 @@ def suffix_automaton(codes) -> list[dict[int, int]]:
 
 
 class Parser:
-    """All languages' automata in one table: entry = (next row << 1) + (a phrase ended here)."""
+    """All languages' automata in one table: entry = (next row << 1) + (a phrase begins here)."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
         self.letters = Letters([t for x in texts.values() for t in x])
-        width, tables, self.bits, roots, base = self.letters.size, [], [], [], 0
+        width, tables, self.bits, starts, base = self.letters.size, [], [], [], 0
         for lang in self.langs:
             codes = np.concatenate([np.append(self.letters.of(t)[0], BREAK) for t in texts[lang]])
             step = suffix_automaton(codes.tolist())
-            restart = [step[0].get(c, 0) for c in range(width)]
-            restart[UNKNOWN] = restart[BREAK] = 0
-            table = np.tile((np.array(restart) + base) * width * 2 + 1, (len(step), 1))
+            fresh = len(step)  # the state before a phrase: whatever comes begins one
+            restart = (np.array([step[0].get(c, fresh) for c in range(width)]) + base) * width * 2 + 1
+            restart[[UNKNOWN, BREAK]] = (fresh + base) * width * 2 + 1
+            table = np.tile(restart, (fresh + 1, 1))
             for s, out in enumerate(step):
                 for c, t in out.items():
                     if c != BREAK:
                         table[s, c] = (t + base) * width * 2
-            tables.append(table.astype(np.int32 if (base + len(step)) * width < 2 ** 30 else np.int64))
-            roots.append(base * width)
+            tables.append(table.astype(np.int32 if (base + fresh + 1) * width < 2 ** 30 else np.int64))
+            starts.append((fresh + base) * width)
             self.bits.append(np.log2(len(codes) + 1))
-            base += len(step)
-        self.roots, self.table = np.array(roots), np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            base += fresh + 1
+        self.starts, self.table = np.array(starts), np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[np.ndarray], block: int = 512) -> np.ndarray:
         """Number of phrases of each text (codes) in each language, (texts, languages)."""
@@ -140,8 +141,8 @@ class Parser:
         flat = np.append(np.concatenate(texts) if texts else np.zeros(0, np.int32), np.zeros(block, np.int32))
         first = ((np.cumsum(sizes) - sizes)[owner] + nth * block)[order]
         alive = np.searchsorted(-length[order], -np.arange(block), side="left")  # lanes longer than j
-        state = np.tile(self.roots, (len(owner), 1)).astype(self.table.dtype)
-        count = np.ones((len(owner), len(self.langs)), dtype=np.int32)
+        state = np.tile(self.starts, (len(owner), 1)).astype(self.table.dtype)
+        count = np.zeros((len(owner), len(self.langs)), dtype=np.int32)
         for j in range(block):
             if not (n := int(alive[j])):
                 break
