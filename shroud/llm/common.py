@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +33,19 @@ def let(value: Column, body) -> Column:
 def id_hash_mod(id_col: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n (null ids hash as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(n))
+
+
+def tidy(run):
+    """A mapInArrow function that gives Arrow's unused memory back when its task ends: Python workers
+    live on from stage to stage and would keep it."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+    return tidied
+
+
+def each(column):
+    """The values of an Arrow column one at a time, so that only one text is a Python object."""
+    return (x.as_py() for x in column)

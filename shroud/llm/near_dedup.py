@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.tables import read_table
-from .common import WS_RUN, let, text_or_empty
+from .common import WS_RUN, let, text_or_empty, tidy
 from .components import components
 
 GOLDEN = 0x9E3779B97F4A7C15
@@ -133,6 +133,11 @@ def _arrays(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[starts[0]:starts[-1]], (starts - starts[0]).astype(np.int64)
 
 
+def _chunk_end(starts: np.ndarray, a: int, words: int, texts: int = 2000) -> int:
+    """Where the chunk of texts from a on ends that has about so many words and at most so many texts."""
+    return min(len(starts) - 1, a + texts, max(a + 1, int(np.searchsorted(starts, starts[a] + words, side="right")) - 1))
+
+
 def _words(text):
     return F.array_remove(F.split(text, WS_RUN, -1), "")
 
@@ -141,7 +146,7 @@ def word_hashes(text):
     return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, chunk_words: int = 400_000) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, chunk_words: int = 200_000) -> DataFrame:
     """One narrow row per input row: id, text_hash, node (128-bit hash of the words), bands."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     text = text_or_empty(text_col)
@@ -153,9 +158,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
         for batch in batches:
             values, starts = _arrays(batch.column(3))
             out, a = [], 0
-            while a < batch.num_rows:  # as many texts at a time as have about chunk_words words
-                b = max(a + 1, int(np.searchsorted(starts, starts[a] + chunk_words, side="right")) - 1)
-                b = min(b, batch.num_rows)
+            while a < batch.num_rows:
+                b = _chunk_end(starts, a, chunk_words)
                 t, h, c = shingles(values[starts[a]:starts[b]], starts[a:b + 1] - starts[a], n)
                 some = np.bincount(t, minlength=b - a) > 0
                 at = np.cumsum(some) - 1  # texts without words get no registers
@@ -168,10 +172,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
                                              names=["id", "text_hash", "node", "bands"])
 
-    return sent.mapInArrow(run, f"id {kind}, text_hash bigint, node binary, bands array<bigint>")
+    return sent.mapInArrow(tidy(run), f"id {kind}, text_hash bigint, node binary, bands array<bigint>")
 
 
-def sketches(texts: DataFrame, n: int, registers: int, chunk_words: int = 200_000) -> DataFrame:
+def sketches(texts: DataFrame, n: int, registers: int, chunk_words: int = 100_000) -> DataFrame:
     """(node, sketch): the low byte of each register's holder."""
     sent = texts.select("node", word_hashes("text").alias("words"))
 
@@ -180,14 +184,14 @@ def sketches(texts: DataFrame, n: int, registers: int, chunk_words: int = 200_00
             values, starts = _arrays(batch.column(1))
             out, a = [], 0
             while a < batch.num_rows:
-                b = min(batch.num_rows, max(a + 1, int(np.searchsorted(starts, starts[a] + chunk_words, side="right")) - 1))
+                b = _chunk_end(starts, a, chunk_words)
                 t, h, c = shingles(values[starts[a]:starts[b]], starts[a:b + 1] - starts[a], n)
                 holder = probminhash(t, h, c, b - a, registers)
                 out += [row.tobytes() for row in (holder & np.uint64(255)).astype(np.uint8)]
                 a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "sketch"])
 
-    return sent.mapInArrow(run, "node binary, sketch binary")
+    return sent.mapInArrow(tidy(run), "node binary, sketch binary")
 
 
 def _cell_pairs(rows: list[tuple], least: int) -> list[tuple[bytes, bytes]]:
@@ -239,7 +243,7 @@ def open_pairs(rooted: DataFrame, fine: DataFrame, threshold: float, registers:
         if rows:
             yield done()
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -265,7 +269,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> Da
                 keep.append(similarity(weighted(va, sa, i), known, threshold) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8,

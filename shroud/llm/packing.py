@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
+from .common import tidy
 
 PIECE_SCHEMA = ("{id} {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
                 "sequence_id bigint, offset bigint, loss_tokens bigint")
@@ -193,7 +194,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if packer.rows:
             yield out(arrow_id)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

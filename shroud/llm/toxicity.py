@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from .common import id_hash_mod
+from .common import each, id_hash_mod, tidy
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -106,7 +106,7 @@ def fit(rows: list[tuple[str, int]], shares: dict[int, int], vocabulary: int = 6
 
 
 class Scorer:
-    def __init__(self, model: dict, remember: int = 300_000):
+    def __init__(self, model: dict, remember: int = 100_000):
         self.bias, self.features, self.remember = model["bias"], model["weights"], remember
         self.words: dict[str, float] = {}
 
@@ -143,13 +143,13 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(shared.value)
         for batch in batches:
             scores, places = [], []
-            for text in batch.column(1).to_pylist():
+            for text in each(batch.column(1)):
                 found = scorer.sentences(text) if text else []
                 scores.append(noisy_or([p for *_, p in found]))
                 places.append([{"start": a, "end": b, "p": p} for a, b, p in found if p >= offending_at])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(places, spans)], names=[id_col, "score", "offending"])
 
-    return kept.mapInArrow(run, f"`{id_col}` {kind}, score double, offending array<struct<start:bigint,end:bigint,p:double>>")
+    return kept.mapInArrow(tidy(run), f"`{id_col}` {kind}, score double, offending array<struct<start:bigint,end:bigint,p:double>>")
 
 
 def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
@@ -161,10 +161,10 @@ def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", reject_at:
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            clean = [not t or noisy_or([p for *_, p in scorer.sentences(t)]) < reject_at for t in batch.column(at).to_pylist()]
+            clean = [not t or noisy_or([p for *_, p in scorer.sentences(t)]) < reject_at for t in each(batch.column(at))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> dict:
