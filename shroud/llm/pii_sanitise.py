@@ -9,8 +9,16 @@ entity's information content,
     log(N n(t,e) / (n(t) n(e))) / log(N / n(e)),
 
 1 if the term occurs in no document without the entity. Terms from `generalise_at` on are replaced by
-a general word, from `remove_at` on removed; a pair counts only with `min_texts` different texts, so
-copies of one text prove nothing. All counts cover all documents. Near means: a whole word of
+a general word, from `remove_at` on removed.
+
+Most entities stand in one text, which alone can't tell a telling word from any other. So every span
+protects three entities: its value, the group its value belongs to (address domain, network, issuer,
+area code), and its kind; counts are pooled over a group's and a kind's members. A pair must be met
+in two different texts (copies of one text prove nothing) and carry evidence: with p = n(e) / N and
+r = n(t,e) / n(t), the chance that an unrelated term has that share of its documents with the entity
+is at most exp(-texts * KL(r, p) / r), and this times the number of pairs tried must be under 1.
+So there is no fixed count: two texts are enough for a rare entity, more are asked for a common one.
+All counts cover all documents. Near means: a whole word of
 `min_letters` letters or more inside `reach` characters of the span, so the pairs of a document grow
 with its spans, never with their square.
 
@@ -108,15 +116,22 @@ def base_spans(text: Column) -> Column:
                                  kind("card", located(text, CARD), _card_ok, _digits), kind("phone", located(text, PHONE, "+"), _phone_ok, _digits)))
 
 
+def _names(kind: Column, value: Column) -> Column:
+    """The entities a span protects: its value, the group of values it belongs to, its kind."""
+    group = (F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(value, "@", -1)))
+             .when(kind == "ip", F.substring_index(value, ".", 3))
+             .when(kind == "card", F.substring(value, 1, 6)).otherwise(F.substring(value, F.lit(1), F.length(value) - 7)))
+    return F.array(F.concat(kind, F.lit(":"), value), F.concat(kind, F.lit("-group:"), group), F.concat(F.lit("kind:"), kind))
+
+
 def _contexts(text: Column, spans: Column, reach: int, min_letters: int) -> Column:
-    """array<struct<entity,term,start,end>>: the whole words near each span."""
+    """array<struct<entity,term,start,end>>: the whole words near each span, for each of its entities."""
     pattern = TERM.format(n=min_letters)
 
     def window(s, frm, to):  # of the text between two spaces; frm and to in its code points
         piece = F.substring(F.concat(F.lit(" "), text, F.lit(" ")), (frm + 1).cast("int"), F.greatest(to - frm, F.lit(0)).cast("int"))
-        return F.transform(located(piece, pattern), lambda w: F.struct(
-            F.concat(s["kind"], F.lit(":"), s["value"]).alias("entity"), F.lower(w["value"]).alias("term"),
-            (w["start"] + frm - 1).alias("start"), (w["end"] + frm - 1).alias("end")))
+        return let(located(piece, pattern), lambda ws: F.flatten(F.transform(_names(s["kind"], s["value"]), lambda e: F.transform(ws, lambda w: F.struct(
+            e.alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + frm - 1).alias("start"), (w["end"] + frm - 1).alias("end"))))))
 
     def around(s):
         left = F.greatest(s["start"] - reach, F.lit(0).cast("bigint"))
@@ -132,29 +147,35 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text_hash"), both.alias("_s")).select("_id", "_text_hash", "_s.*")
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", min_letters: int = 4, min_texts: int = 3,
+def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", min_letters: int = 4, min_texts: int = 2,
                generalise_at: float = 0.8) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or above the threshold."""
+    """(entity, term, disclosure, proven) of the pairs at or above the threshold; proven: the evidence
+    is more than chance gives among all pairs tried."""
     n_docs = scanned.agg(F.count(F.lit(1)).alias("n_docs"))
     pair = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
     by_text = scanned.select("_text_hash", F.inline(pair)).groupBy("entity", "term", "_text_hash").agg(F.count(F.lit(1)).alias("n"))
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts)
-    named = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
+    tried = cut_lineage(by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")))
+    n_tried = tried.agg(F.count(F.lit(1)).alias("n_tried"))
+    pairs = tried.where(F.col("texts") >= min_texts)
+    named = F.array_distinct(F.flatten(F.transform("base", lambda s: _names(s["kind"], s["value"]))))
     entities = scanned.select(F.explode(named).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(rf"\p{{L}}{{{min_letters},}}+"), F.lit(0)))
     terms = (docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     share = 1 - F.log(F.greatest(F.col("n_t") / F.col("n_te"), F.lit(1.0))) / F.log(F.col("n_docs") / F.col("n_e"))
-    return (pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(n_docs))  # one row
+    p, r = F.col("n_e") / F.col("n_docs"), F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
+    beside = F.when(r < 1, (1 - r) / r * F.log((1 - r) / (1 - p))).otherwise(0.0)
+    proven = (r > p) & (F.col("texts") * (F.log(r / p) + beside) > F.log("n_tried"))
+    return (pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(n_docs)).join(F.broadcast(n_tried))  # one row each
             .where(F.col("n_e") < F.col("n_docs")).withColumn("disclosure", share)
-            .where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure"))
+            .where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", proven.alias("proven")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95, **options) -> DataFrame:
     """One row per input row: _id, _text_hash, base, terms (array<struct<start,end,remove>> by start)."""
-    options = {"min_letters": 4, "min_texts": 3, "generalise_at": 0.8, "reach": 100} | options
+    options = {"min_letters": 4, "min_texts": 2, "generalise_at": 0.8, "reach": 100} | options
     scanned = cut_lineage(scan(docs, id_col, text_col, options["reach"], options["min_letters"]))
     known = disclosing(docs, scanned, text_col, options["min_letters"], options["min_texts"], options["generalise_at"])
-    told = (scanned.select("_id", "_text_hash", F.inline("near")).join(known, ["entity", "term"])
+    told = (scanned.select("_id", "_text_hash", F.inline("near")).join(known.where("proven"), ["entity", "term"])
             .groupBy("_id", "_text_hash", "start", "end").agg((F.max("disclosure") >= remove_at).alias("remove"))
             .groupBy("_id", "_text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
             .withColumnsRenamed({"_id": "_told_id", "_text_hash": "_told_hash"}))

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shroud.llm import language_id, pii_sanitise, quality_rules, toxicity
 from shroud.sources.tables import read_table
@@ -101,6 +102,28 @@ def test_sanitised_texts(spark, odd_docs, no_docs):
     assert pii_sanitise.sanitise(no_docs).count() == 0 and pii_sanitise.span_report(no_docs).count() == 0
 
 
+def test_entities_of_one_text_are_pooled(spark):
+    """Each address stands in one text; what they share is the domain, `letter` and `nephrolog` go with it."""
+    held = [f"letter {w} ordinary nephrolog {w}@ward.org closing" for w in "alpha beta gamma delta".split()]
+    rest = [f"an ordinary closing text about nothing number {w}" for w in range(60)] + [f"ordinary {w} closing kim{w}@ex{w}.org or" for w in "unus duos tres".split()]
+    docs = spark.createDataFrame(list(enumerate(held + rest)), "doc_id bigint, text string")
+    out = {r.doc_id: r.text for r in pii_sanitise.sanitise(docs).collect()}
+    for i, w in enumerate("alpha beta gamma delta".split()):
+        assert out[i] == f" {w} ordinary  [EMAIL] closing"  # `letter` too is in these texts only
+    assert out[64] == "ordinary unus closing [EMAIL] or"  # `unus` was met in one text only
+
+
+def test_pooled_terms_on_a_given_table(spark):
+    """A word put before each address of the table, all of them in one text each, is found; nothing else is."""
+    docs = read_table(spark, SF_MID, "documents").select("doc_id", "text")
+    marked = docs.withColumn("text", F.regexp_replace("text", "(?<= )(?=[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.])", "zubrowkan "))
+    texts = {r.doc_id: r.text for r in marked.collect()}
+    rows = {r.doc_id: r.spans for r in pii_sanitise.span_report(marked).collect()}
+    terms = {i: [texts[i][int(a):int(b)] for k, a, b in (x.split(":") for x in s.split(",") if x) if k == "term"] for i, s in rows.items()}
+    assert sum("zubrowkan" in t for t in texts.values() if t) >= 10
+    assert all(terms[i] == ["zubrowkan"] * (t or "").count("zubrowkan") for i, t in texts.items())
+
+
 # --- quality rules -------------------------------------------------------------------------------
 
 def brute_quality(text):
