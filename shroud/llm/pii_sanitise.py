@@ -2,8 +2,8 @@
 
 Base spans are matches of four patterns (email, ip, card, phone) with their checks. Around each base
 span, terms that give its value (the protected entity) away are found from the corpus: with n(e)
-documents that hold the entity, n(t) that hold the term anywhere, n(t,e) with the term near the
-entity, and N in all, the disclosure of e by t is its pointwise mutual information as a share of the
+documents that hold the entity, n(t) that hold the term, n(t,e) that hold both, wherever they stand,
+and N in all, the disclosure of e by t is its pointwise mutual information as a share of the
 entity's information content,
 
     log(N n(t,e) / (n(t) n(e))) / log(N / n(e)),
@@ -14,13 +14,14 @@ a general word, from `remove_at` on removed.
 Most entities stand in one text, which alone can't tell a telling word from any other. So every span
 protects three entities: its value, the group its value belongs to (address domain, network, issuer,
 area code), and its kind; counts are pooled over a group's and a kind's members. A pair must be met
-in two different texts (copies of one text prove nothing) and carry evidence: with p = n(e) / N and
-r = n(t,e) / n(t), the chance that an unrelated term has that share of its documents with the entity
+nearby in two different texts (copies of one text prove nothing) and carry evidence: with p = n(e) / N
+and r = n(t,e) / n(t), the chance that an unrelated term has that share of its documents with the entity
 is at most exp(-texts * KL(r, p) / r), and this times the number of pairs tried must be under 1.
 So there is no fixed count: two texts are enough for a rare entity, more are asked for a common one.
-All counts cover all documents. Near means: a whole word of
-`min_letters` letters or more inside `reach` characters of the span, so the pairs of a document grow
-with its spans, never with their square.
+All counts cover all documents. Near means: a whole word of `min_letters` letters or more inside
+`reach` characters of the span. Nearness only proposes pairs, so the pairs of a document grow with its
+spans, never with their square; counts are of whole documents, and a term that gives an entity away is
+replaced everywhere in the documents that hold the entity.
 
 Native throughout. Positions come from a pattern's matches and the pieces between them (one scan
 finds matches, a second runs only where there are some). Patterns are written so that a run of
@@ -48,6 +49,7 @@ IP = r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}"
 CARD = r"[0-9](?<![0-9][0-9])(?=(?:[\x20-]?[0-9]){11})(?:[\x20-]?[0-9])*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"(?<=[\s\"'(])\p{{L}}{{{n},}}+(?=[.,;:!?\"')]*+\s)"
+LETTERS = r"\p{{L}}{{{n},}}+"
 KINDS = ["email", "ip", "card", "phone", "term"]
 WORD_FOR = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 SPAN = "struct<start:bigint,ord:int,end:bigint,kind:string,value:string>"
@@ -125,63 +127,101 @@ def _names(kind: Column, value: Column) -> Column:
 
 
 def _contexts(text: Column, spans: Column, reach: int, min_letters: int) -> Column:
-    """array<struct<entity,term,start,end>>: the whole words near each span, for each of its entities."""
+    """array<struct<entity,term>>: the whole words near each span, for each of its entities."""
     pattern = TERM.format(n=min_letters)
 
-    def window(s, frm, to):  # of the text between two spaces; frm and to in its code points
+    def window(frm, to):  # of the text between two spaces; frm and to in its code points
         piece = F.substring(F.concat(F.lit(" "), text, F.lit(" ")), (frm + 1).cast("int"), F.greatest(to - frm, F.lit(0)).cast("int"))
-        return let(located(piece, pattern), lambda ws: F.flatten(F.transform(_names(s["kind"], s["value"]), lambda e: F.transform(ws, lambda w: F.struct(
-            e.alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + frm - 1).alias("start"), (w["end"] + frm - 1).alias("end"))))))
+        return F.transform(F.regexp_extract_all(piece, F.lit(pattern), F.lit(0)), F.lower)
 
     def around(s):
         left = F.greatest(s["start"] - reach, F.lit(0).cast("bigint"))
-        return F.concat(window(s, left, s["start"] + 1), window(s, s["end"] + 1, s["end"] + 1 + reach))
+        words = F.array_distinct(F.concat(window(left, s["start"] + 1), window(s["end"] + 1, s["end"] + 1 + reach)))
+        return let(words, lambda ws: F.flatten(F.transform(_names(s["kind"], s["value"]), lambda e: F.transform(
+            ws, lambda w: F.struct(e.alias("entity"), w.alias("term"))))))
 
     return F.array_distinct(F.flatten(F.transform(spans, around)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 100, min_letters: int = 4) -> DataFrame:
-    """One narrow row per input row: _id, _text_hash, base (array<SPAN>), near (contexts)."""
+    """One narrow row per input row: _id, _text_hash, base (array<SPAN>), near (contexts), held (the
+    text if it has spans, else null)."""
     text = text_or_empty(text_col)
-    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), _contexts(text, b, reach, min_letters).alias("near")))
+    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), _contexts(text, b, reach, min_letters).alias("near"),
+                                                    F.when(F.size(b) > 0, text).alias("held")))
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text_hash"), both.alias("_s")).select("_id", "_text_hash", "_s.*")
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", min_letters: int = 4, min_texts: int = 2,
-               generalise_at: float = 0.8) -> DataFrame:
-    """(entity, term, disclosure, proven) of the pairs at or above the threshold; proven: the evidence
-    is more than chance gives among all pairs tried."""
+def _words(text: Column, min_letters: int) -> Column:
+    """array<string>: the distinct letter runs of a text that can be terms, wherever they stand."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LETTERS.format(n=min_letters)), F.lit(0)), F.lower))
+
+
+def folded(scanned: DataFrame, min_letters: int = 4) -> DataFrame:
+    """One row per different text that has spans: _text_hash, held, copies, entities, near, words."""
+    named = F.array_distinct(F.flatten(F.transform("base", lambda s: _names(s["kind"], s["value"]))))
+    return cut_lineage(scanned.where("held is not null").groupBy("_text_hash").agg(
+        F.first("held").alias("held"), F.count(F.lit(1)).alias("copies"), F.first("base").alias("base"), F.first("near").alias("near"))
+        .select("_text_hash", "held", "copies", named.alias("entities"), "near", _words(F.col("held"), min_letters).alias("words")))
+
+
+def _together(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_text_hash, copies, entity, term): the pairs that each text holds, however far apart. Of an
+    entity's terms and a text's words the fewer are dealt out, so a text with many entities or an
+    entity with many terms doesn't multiply."""
+    known = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_terms"))
+    asked = texts.select("_text_hash", "copies", F.size("words").alias("n_words"), F.explode("entities").alias("entity")).join(known, "entity")
+    words = texts.select("_text_hash", F.explode("words").alias("term"))
+    by_term = asked.where("n_terms <= n_words").join(pairs, "entity").join(words, ["_text_hash", "term"], "left_semi")
+    by_word = asked.where("n_terms > n_words").join(words, "_text_hash").join(pairs, ["entity", "term"], "left_semi")
+    columns = ["_text_hash", "copies", "entity", "term"]
+    return cut_lineage(by_term.select(*columns).unionByName(by_word.select(*columns)))
+
+
+def _weighed(docs: DataFrame, scanned: DataFrame, texts: DataFrame, text_col: str, min_letters: int, min_texts: int,
+             generalise_at: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs at or above the threshold, as `disclosing` returns them, and the pairs of each text."""
     n_docs = scanned.agg(F.count(F.lit(1)).alias("n_docs"))
-    pair = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    by_text = scanned.select("_text_hash", F.inline(pair)).groupBy("entity", "term", "_text_hash").agg(F.count(F.lit(1)).alias("n"))
-    tried = cut_lineage(by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")))
+    tried = cut_lineage(texts.select(F.inline("near")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("near_texts")))
     n_tried = tried.agg(F.count(F.lit(1)).alias("n_tried"))
-    pairs = tried.where(F.col("texts") >= min_texts)
-    named = F.array_distinct(F.flatten(F.transform("base", lambda s: _names(s["kind"], s["value"]))))
-    entities = scanned.select(F.explode(named).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(rf"\p{{L}}{{{min_letters},}}+"), F.lit(0)))
-    terms = (docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    together = _together(texts, tried.where(F.col("near_texts") >= min_texts).select("entity", "term"))
+    pairs = together.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+    entities = texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    terms = (docs.select(F.explode(_words(text_or_empty(text_col), min_letters)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     share = 1 - F.log(F.greatest(F.col("n_t") / F.col("n_te"), F.lit(1.0))) / F.log(F.col("n_docs") / F.col("n_e"))
     p, r = F.col("n_e") / F.col("n_docs"), F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
     beside = F.when(r < 1, (1 - r) / r * F.log((1 - r) / (1 - p))).otherwise(0.0)
     proven = (r > p) & (F.col("texts") * (F.log(r / p) + beside) > F.log("n_tried"))
-    return (pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(n_docs)).join(F.broadcast(n_tried))  # one row each
-            .where(F.col("n_e") < F.col("n_docs")).withColumn("disclosure", share)
-            .where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", proven.alias("proven")))
+    found = (pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(n_docs)).join(F.broadcast(n_tried))  # one row each
+             .where(F.col("n_e") < F.col("n_docs")).withColumn("disclosure", share)
+             .where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", proven.alias("proven")))
+    return found, together
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", min_letters: int = 4, min_texts: int = 2,
+               generalise_at: float = 0.8) -> DataFrame:
+    """(entity, term, disclosure, proven) of the pairs at or above the threshold; proven: the evidence
+    is more than chance gives among all pairs tried."""
+    return _weighed(docs, scanned, folded(scanned, min_letters), text_col, min_letters, min_texts, generalise_at)[0]
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95, **options) -> DataFrame:
     """One row per input row: _id, _text_hash, base, terms (array<struct<start,end,remove>> by start)."""
     options = {"min_letters": 4, "min_texts": 2, "generalise_at": 0.8, "reach": 100} | options
-    scanned = cut_lineage(scan(docs, id_col, text_col, options["reach"], options["min_letters"]))
-    known = disclosing(docs, scanned, text_col, options["min_letters"], options["min_texts"], options["generalise_at"])
-    told = (scanned.select("_id", "_text_hash", F.inline("near")).join(known.where("proven"), ["entity", "term"])
-            .groupBy("_id", "_text_hash", "start", "end").agg((F.max("disclosure") >= remove_at).alias("remove"))
-            .groupBy("_id", "_text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms"))
-            .withColumnsRenamed({"_id": "_told_id", "_text_hash": "_told_hash"}))
-    on = scanned["_id"].eqNullSafe(told["_told_id"]) & (scanned["_text_hash"] == told["_told_hash"])
-    return scanned.join(told, on, "left").select(
-        "_id", "_text_hash", "base", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,remove:boolean>>")).alias("terms"))
+    letters = options["min_letters"]
+    scanned = cut_lineage(scan(docs, id_col, text_col, options["reach"], letters))
+    texts = folded(scanned, letters)
+    known, together = _weighed(docs, scanned, texts, text_col, letters, options["min_texts"], options["generalise_at"])
+    told = cut_lineage(together.join(known.where("proven"), ["entity", "term"]).groupBy("_text_hash", "term")
+                       .agg((F.max("disclosure") >= remove_at).alias("remove")))
+    places = (texts.join(told.select("_text_hash"), "_text_hash", "left_semi")
+              .select("_text_hash", F.inline(located(F.col("held"), LETTERS.format(n=letters))))
+              .select("_text_hash", "start", "end", F.lower("value").alias("term")).join(told, ["_text_hash", "term"])
+              .groupBy("_text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("terms")))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,remove:boolean>>")
+    columns = ["_id", "_text_hash", "base"]
+    return (scanned.where("held is not null").join(places, "_text_hash", "left").select(*columns, F.coalesce("terms", none).alias("terms"))
+            .unionByName(scanned.where("held is null").select(*columns, none.alias("terms"))))
 
 
 def _all_spans() -> Column:

@@ -114,14 +114,44 @@ def test_entities_of_one_text_are_pooled(spark):
 
 
 def test_pooled_terms_on_a_given_table(spark):
-    """A word put before each address of the table, all of them in one text each, is found; nothing else is."""
+    """A word put before each address of the table, all of them in one text each, is found; of the table's own words one goes with a kind."""
     docs = read_table(spark, SF_MID, "documents").select("doc_id", "text")
     marked = docs.withColumn("text", F.regexp_replace("text", "(?<= )(?=[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.])", "zubrowkan "))
     texts = {r.doc_id: r.text for r in marked.collect()}
     rows = {r.doc_id: r.spans for r in pii_sanitise.span_report(marked).collect()}
     terms = {i: [texts[i][int(a):int(b)] for k, a, b in (x.split(":") for x in s.split(",") if x) if k == "term"] for i, s in rows.items()}
     assert sum("zubrowkan" in t for t in texts.values() if t) >= 10
-    assert all(terms[i] == ["zubrowkan"] * (t or "").count("zubrowkan") for i, t in texts.items())
+    assert all([x for x in terms[i] if x == "zubrowkan"] == ["zubrowkan"] * (t or "").count("zubrowkan") for i, t in texts.items())
+    assert {x for t in terms.values() for x in t} == {"zubrowkan", "token"}  # `token` stands in 12 texts, 7 with a phone number
+
+
+def test_terms_far_from_their_entity(spark):
+    """`zubrowkan` stands near the address in 3 of the 6 texts that hold both, elsewhere 500 characters off."""
+    far = " ordinary text" * 40
+    near = [f"one {w} zubrowkan jo@ex.org end" for w in "alpha beta gamma".split()]
+    off = [f"Zubrowkan, {w}{far} jo@ex.org end (zubrowkan) zubrowkan-{w}" for w in "delta epsilon zeta".split()]
+    rest = [f"an ordinary closing text about nothing number {w}" for w in range(60)] + ["a zubrowk and jo@else.org end"]
+    docs = spark.createDataFrame(list(enumerate(near + off + rest)), "doc_id bigint, text string")
+    found = {(r.entity, r.term): r.disclosure for r in pii_sanitise.disclosing(docs, pii_sanitise.scan(docs), generalise_at=-9.0).collect()}
+    assert found["email:jo@ex.org", "zubrowkan"] == pytest.approx(1.0)
+    out = {r.doc_id: r.text for r in pii_sanitise.sanitise(docs).collect()}
+    assert not any("zubrowkan" in t.lower() for t in out.values())
+    assert out[3] == f", delta{far} [EMAIL] end () -delta" and out[66] == "a zubrowk and [EMAIL] end"
+
+
+def test_pairs_of_many_entities_and_many_terms(spark):
+    """Both ways of meeting an entity's terms with a text's words give the pairs that a plain search gives."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    texts = [" ".join(x for _ in range(rng.choice([3, 60])) for x in (rng.choice(vocab), rng.choice(["or", f"u{rng.randint(0, 6)}@h{rng.randint(0, 2)}.org"]))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:9])), "doc_id bigint, text string")
+    scanned = pii_sanitise.scan(docs)
+    rows = pii_sanitise.folded(scanned)
+    pairs = spark.createDataFrame([(e, t) for e in ["email:u1@h1.org", "email-group:@h2.org", "kind:email"] for t in vocab[:{"k": 150}.get(e[0], 20)]], "entity string, term string")
+    got = collections.Counter((r.entity, r.term) for r in pii_sanitise._together(rows, pairs).collect() for _ in range(r.copies))
+    sign = {"email:u1@h1.org": "u1@h1.org", "email-group:@h2.org": "@h2.org", "kind:email": "@"}
+    want = {(p.entity, p.term): sum(sign[p.entity] in t and p.term in t.split() for t in texts + texts[:9]) for p in pairs.collect()}
+    assert got == collections.Counter({k: n for k, n in want.items() if n})
 
 
 # --- quality rules -------------------------------------------------------------------------------
