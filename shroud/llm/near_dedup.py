@@ -8,15 +8,17 @@ than all registers, so most shingles end after a few points. Two texts agree in
 probability Jaccard similarity of their weighted shingles.
 
 Registers are banded (`rows` to a band); texts that share a band hash are candidates, and a pair is
-a link if its exact probability Jaccard or plain Jaccard similarity is `threshold` or more. With 25
-bands of 5 rows a pair at 0.8 is a candidate with probability 0.99995.
+a link if its exact probability Jaccard or plain Jaccard similarity is `threshold` or more. Repeated
+lines push the two measures apart, so a text with repeated shingles has a second signature, in which
+every shingle weighs 1; texts without have one that serves as both. With 25 bands of 5 rows a pair at
+0.8 by either measure is a candidate with probability 0.99995.
 
 Texts with the same words are one node from the start, so copies never meet as pairs. Within a
 bucket each node is first compared with the bucket's least node only. Then components are formed;
 in buckets that still hold several, all pairs between different components are looked at (pairs
-inside a component could add nothing): a finer ProbMinHash sketch of `fine` one-byte registers
-passes the pairs that could reach the threshold (4.5 standard errors under it), and these are
-verified. The buckets are dealt out in cells of two blocks of bounded size, so a bucket of any size
+inside a component could add nothing): finer ProbMinHash sketches of `fine` one-byte registers, one
+for each measure, pass the pairs that could reach the threshold by either (4.5 standard errors under
+it), and these are verified. The buckets are dealt out in cells of two blocks of bounded size, so a bucket of any size
 is many small tasks and only passing pairs are ever rows. So no bucket is capped, no link between
 classes is lost, and a family of near copies costs one comparison a bucket and member.
 
@@ -98,6 +100,14 @@ def probminhash(texts: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_tex
     return holder.reshape(n_texts, registers)
 
 
+def both_measures(texts: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_texts: int, registers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The weighted signatures, which texts have repeated shingles, and these texts' unweighted ones."""
+    repeats = np.bincount(texts[counts > 1], minlength=n_texts) > 0
+    of = repeats[texts]
+    plain = probminhash((np.cumsum(repeats) - 1)[texts[of]], hashes[of], np.ones(int(of.sum())), int(repeats.sum()), registers)
+    return probminhash(texts, hashes, counts, n_texts, registers), repeats, plain
+
+
 def band_hashes(holder: np.ndarray, rows: int) -> np.ndarray:
     """One hash a band, different between bands, (n_texts, bands)."""
     bands = holder.shape[1] // rows
@@ -147,7 +157,8 @@ def word_hashes(text):
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int, chunk_words: int = 200_000) -> DataFrame:
-    """One narrow row per input row: id, text_hash, node (128-bit hash of the words), bands."""
+    """One narrow row per input row: id, text_hash, node (128-bit hash of the words), bands (the
+    weighted ones, then, if shingles repeat, the unweighted ones)."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     text = text_or_empty(text_col)
     sent = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"),
@@ -163,12 +174,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
                 t, h, c = shingles(values[starts[a]:starts[b]], starts[a:b + 1] - starts[a], n)
                 some = np.bincount(t, minlength=b - a) > 0
                 at = np.cumsum(some) - 1  # texts without words get no registers
-                hashes = band_hashes(probminhash(at[t], h, c, int(some.sum()), bands * rows), rows)
-                out.append((some, hashes))
+                weighted, repeats, plain = both_measures(at[t], h, c, int(some.sum()), bands * rows)
+                sets = np.zeros(b - a, np.int64)
+                sets[some] = 1 + repeats
+                of = np.concatenate([np.arange(len(repeats)), np.nonzero(repeats)[0]])
+                hashes = np.concatenate([band_hashes(weighted, rows), band_hashes(plain, rows)])
+                out.append((sets, hashes[np.argsort(of, kind="stable")]))
                 a = b
-            some = np.concatenate([s for s, _ in out]) if out else np.zeros(0, bool)
+            sets = np.concatenate([s for s, _ in out]) if out else np.zeros(0, np.int64)
             flat = np.concatenate([h.ravel() for _, h in out]) if out else np.zeros(0, np.uint64)
-            ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(sets * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
                                              names=["id", "text_hash", "node", "bands"])
 
@@ -176,7 +191,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
 
 
 def sketches(texts: DataFrame, n: int, registers: int, chunk_words: int = 100_000) -> DataFrame:
-    """(node, sketch): the low byte of each register's holder."""
+    """(node, sketch): the low byte of each register's holder, weighted, then, if shingles repeat,
+    unweighted."""
     sent = texts.select("node", word_hashes("text").alias("words"))
 
     def run(batches):
@@ -186,36 +202,43 @@ def sketches(texts: DataFrame, n: int, registers: int, chunk_words: int = 100_00
             while a < batch.num_rows:
                 b = _chunk_end(starts, a, chunk_words)
                 t, h, c = shingles(values[starts[a]:starts[b]], starts[a:b + 1] - starts[a], n)
-                holder = probminhash(t, h, c, b - a, registers)
-                out += [row.tobytes() for row in (holder & np.uint64(255)).astype(np.uint8)]
+                weighted, repeats, plain = both_measures(t, h, c, b - a, registers)
+                low = [(x & np.uint64(255)).astype(np.uint8) for x in (weighted, plain)]
+                second = np.cumsum(repeats) - 1
+                out += [low[0][i].tobytes() + (low[1][second[i]].tobytes() if repeats[i] else b"") for i in range(b - a)]
                 a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "sketch"])
 
     return sent.mapInArrow(tidy(run), "node binary, sketch binary")
 
 
-def _cell_pairs(rows: list[tuple], least: int) -> list[tuple[bytes, bytes]]:
+def _cell_pairs(rows: list[tuple], least: int, registers: int, n_bands: int) -> list[tuple[bytes, bytes]]:
     """Of one cell's rows (block, k, node, root, bands, sketch) the pairs between its two blocks (or in
     its one block) that have different roots, share no band before the cell's and agree in `least`
-    registers."""
+    registers of the weighted or of the unweighted sketch."""
     block = np.array([r[0] for r in rows])
     k = rows[0][1]
     _, root = np.unique(np.array([r[3] for r in rows], dtype=object), return_inverse=True)
-    bands = np.array([r[4] for r in rows], dtype=np.int64)
-    sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+    repeats = any(len(r[4]) > n_bands for r in rows)
+    twice = lambda x, n: (x if len(x) > n else x + x) if repeats else x  # noqa: E731 - one set serves as both
+    bands = np.array([twice(r[4], n_bands) for r in rows], dtype=np.int64).reshape(len(rows), -1, n_bands)[:, :, :k]
+    sketch = np.frombuffer(b"".join(twice(r[5], registers) for r in rows), np.uint8).reshape(len(rows), -1, registers)
+    measures = range(sketch.shape[1])
     one, out = block.min() == block.max(), []
     for i in np.nonzero(block == block.min())[0]:
         others = np.arange(i + 1, len(rows)) if one else np.nonzero(block != block[i])[0]
         others = others[root[others] != root[i]]
-        others = others[(bands[others, :k] != bands[i, :k]).all(axis=1)]
-        others = others[(sketch[others] == sketch[i]).sum(axis=1) >= least]
-        out += [(rows[i][2], rows[j][2]) for j in others]
+        for x in measures:
+            for y in measures:
+                others = others[(bands[others, x] != bands[i, y]).all(axis=1)]
+        agree = [(sketch[others, x] == sketch[i, x]).sum(axis=1) >= least for x in measures]
+        out += [(rows[i][2], rows[j][2]) for j in others[np.logical_or.reduce(agree)]]
     return out
 
 
-def open_pairs(rooted: DataFrame, fine: DataFrame, threshold: float, registers: int, block_rows: int = 512) -> DataFrame:
+def open_pairs(rooted: DataFrame, fine: DataFrame, threshold: float, registers: int, n_bands: int, block_rows: int = 512) -> DataFrame:
     """The pairs (a, b) of nodes with different roots that share a bucket and whose sketches could
-    reach the threshold. rooted: bucket, k (its band), node, root; fine: node, bands, sketch."""
+    reach the threshold by one of the measures. rooted: bucket, k (its band), node, root; fine: node, bands, sketch."""
     mixed = (rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
              .where("lo <> hi").select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
     rows = rooted.join(mixed, "bucket").join(fine, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -230,7 +253,7 @@ def open_pairs(rooted: DataFrame, fine: DataFrame, threshold: float, registers:
         now, rows = None, []
 
         def done():
-            pairs = _cell_pairs(rows, least) if len(rows) > 1 else []
+            pairs = _cell_pairs(rows, least, registers, n_bands) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], names=["a", "b"])
 
         for batch in batches:
@@ -278,7 +301,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     stays: least id, then least text hash), class_size."""
     signed = cut_lineage(signatures(docs, id_col, text_col, n, bands, rows))
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
-    members = nodes.select("node", F.posexplode("bands").alias("k", "bucket"))
+    members = (nodes.select("node", "bands", F.posexplode("bands").alias("at", "bucket"))  # of two equal bands of a text one
+               .where((F.col("at") < bands) | (F.col("bucket") != F.get("bands", F.col("at") - bands)))
+               .select("node", F.pmod("at", F.lit(bands)).alias("k"), "bucket"))
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub")
     shared = cut_lineage(members.join(hubs, "bucket"))  # rows of nodes that share a bucket
     asked = shared.select("node").distinct()
@@ -293,7 +318,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     unsettled = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     doubtful = rooted.join(unsettled.select("bucket"), "bucket", "left_semi").select("node").distinct()
     sketched = sketches(texts.join(doubtful, "node", "left_semi"), n, fine).join(nodes, "node")
-    rest = cut_lineage(open_pairs(rooted, sketched, threshold, fine))
+    rest = cut_lineage(open_pairs(rooted, sketched, threshold, fine, bands).distinct())
     more = cut_lineage(verified(rest, texts, n, threshold))
     if not more.isEmpty():
         merged = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(

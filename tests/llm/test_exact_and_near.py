@@ -125,6 +125,32 @@ def test_near_classes_of_families_chains_and_strangers(spark):
     assert sum(r.kept for r in rows) == len(set(brute_classes(texts)))
 
 
+def test_near_classes_of_texts_with_repeated_lines(spark):
+    """Of each trio, two are a link by plain Jaccard only (probability Jaccard is about 0.6) and a third
+    shares buckets with one of them; whichever is the least node, the classes are brute force's."""
+    rng = np.random.default_rng(21)
+    vocab = [f"w{i}" for i in range(20_000)]
+    texts = []
+    for _ in range(30):
+        base = [str(w) for w in rng.choice(vocab, 1000, replace=False)]
+        passage, edited = base[100:500], [*base[:600], *rng.choice(vocab, 90), *base[690:]]
+        texts += [" ".join(base), " ".join([*edited, *passage * 40]), " ".join([*base[:500], *rng.choice(vocab, 500), *passage * 40])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = near_dedup.classes(docs).collect()
+    want = brute_classes(texts)
+    assert want[1] == want[0] and len(set(want)) == 60
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(want))
+
+
+def test_cells_pass_pairs_by_either_measure():
+    """Three texts of one bucket, of which the last two agree in the unweighted sketch only."""
+    w = [bytes([i]) * 1000 for i in range(4)]
+    rows = [(0, 1, b"a", b"a", [1, 9], w[0]), (0, 1, b"b", b"b", [2, 9], w[1]), (0, 1, b"c", b"c", [3, 8, 4, 9], w[2] + w[1])]
+    assert near_dedup._cell_pairs(rows, 743, 1000, 2) == [(b"b", b"c")]
+    rows[2] = (0, 1, b"c", b"c", [3, 8, 2, 9], w[2] + w[1])  # they share a band before this one
+    assert near_dedup._cell_pairs(rows, 743, 1000, 2) == []
+
+
 def test_near_odd_rows(odd_docs, no_docs):
     rows = near_dedup.classes(odd_docs).collect()
     assert len(rows) == odd_docs.count()
