@@ -13,6 +13,8 @@ from shroud.sources.tables import read_table
 from tests.conftest import SF_MID, SF_SMALL
 from tests.llm.conftest import contract_words
 
+SF_LARGE = "/root/testdata/sf0.1"
+
 
 # --- personal data -------------------------------------------------------------------------------
 
@@ -247,6 +249,15 @@ def test_toxicity_on_held_out_rows_and_odd_rows(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.score(odd_docs, none).collect()} == {0.0}
 
 
+def test_toxicity_recall_on_held_out_labels(spark):
+    toxic = {r.doc_id: r.toxic for r in read_table(spark, SF_LARGE, "labels").collect()}
+    rows = [r for r in toxicity.op1_toxicity(spark, SF_LARGE).collect() if r.held_out and toxic.get(r.doc_id) is not None]
+    found = collections.Counter((toxic[r.doc_id], int(r.predicted)) for r in rows)
+    assert len(rows) > 800
+    # measured: 70 of 97 toxic found, 1 of 728 clean refused; the bounds lie just beyond
+    assert found[1, 1] >= 0.7 * (found[1, 0] + found[1, 1]) and found[0, 1] <= 0.01 * (found[0, 0] + found[0, 1])
+
+
 # --- language identification ---------------------------------------------------------------------
 
 def brute_phrases(text, reference):
