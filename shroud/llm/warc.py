@@ -96,8 +96,13 @@ def _headers(stream) -> list[tuple[str, str]]:
     return out
 
 
-def parse_records(content: bytes):
-    """Yields (headers, block) of each whole record; gzip (any number of members) or plain."""
+#: The type of the row that stands for what could not be read of a file.
+CUT_OFF = "cut-off"
+
+
+def parse_records(content: bytes, cut_off=lambda: None):
+    """Yields (headers, block) of each whole record; gzip (any number of members) or plain. Calls
+    `cut_off` if the file ends early."""
     stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
     try:
         while line := stream.readline():
@@ -109,10 +114,11 @@ def parse_records(content: bytes):
                 continue
             block = stream.read(int(length))
             if len(block) < int(length):
+                cut_off()
                 return
             yield headers, block
     except (EOFError, OSError, zlib.error):  # cut off or damaged compression: what follows can't be read
-        return
+        cut_off()
 
 
 def _row(headers: list[tuple[str, str]], block: bytes, with_payload: bool) -> dict:
@@ -128,23 +134,27 @@ def _row(headers: list[tuple[str, str]], block: bytes, with_payload: bool) -> di
             "fields": list({k.strip(): v.strip() for k, _, v in pairs}.items()), "payload": payload if with_payload else None}
 
 
-def read_records(spark: SparkSession, path: str, with_payload: bool = True, batch_bytes: int = 8 << 20) -> DataFrame:
-    """One row per record of all files under `path`."""
+def read_records(spark: SparkSession, path: str, with_payload: bool = True, batch_bytes: int = 8 << 20,
+                 names: str = "{part-*,*.warc,*.warc.gz}") -> DataFrame:
+    """One row per record of all files under `path` with such names; a file that ends early (cut off or
+    damaged) adds a row of type CUT_OFF with its path as target_uri."""
     def parse(batches):
         rows, held = [], 0
         for batch in batches:
-            for content in batch.column(0):
-                for headers, block in parse_records(content.as_py()):
+            for content, name in zip(*batch.columns):
+                cut = []
+                for headers, block in parse_records(content.as_py(), lambda: cut.append(name.as_py())):
                     rows.append(_row(headers, block, with_payload))
                     held += 200 + (len(block) if with_payload else 0)
                     if held >= batch_bytes:
                         yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
                         rows, held = [], 0
+                rows += [_row([("warc-type", CUT_OFF), ("warc-target-uri", x)], b"", False) for x in cut]
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW_SCHEMA)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(parse, RECORD_SCHEMA)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
+    return files.select("content", "path").mapInArrow(parse, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:

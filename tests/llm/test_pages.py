@@ -99,3 +99,16 @@ def test_links_in_either_direction(spark):
     got = warc.assemble(spark.createDataFrame(records, warc.RECORD_SCHEMA)).collect()
     names = {c.response.record_id: ([q.record_id for q in c.requests], sorted(m.record_id for m in c.metadata)) for c in got}
     assert names == {"r1": (["q1"], ["m1", "m2"]), "r2": (["q2"], [])}
+
+
+def test_archives_of_other_names_and_files_that_end_early(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    (tmp_path / "crawl-00001.warc.gz").write_bytes(gzip.compress(record) * 2)
+    (tmp_path / "plain.warc").write_bytes(record + record[:-6])
+    (tmp_path / "part-0.gz").write_bytes(gzip.compress(record) + gzip.compress(record)[:-12])
+    (tmp_path / "notes.txt").write_bytes(record)
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    assert sum(r.warc_type == "response" for r in rows) >= 4
+    cut = sorted(r.target_uri.rsplit("/", 1)[1] for r in rows if r.warc_type == warc.CUT_OFF)
+    assert cut == ["part-0.gz", "plain.warc"]
+    assert warc.read_records(spark, str(tmp_path), names="*.txt").count() == 1
