@@ -1,5 +1,5 @@
 """Detection, validators, masking and wording (cases from the reference's tests)."""
-from conftest import scan_texts
+from tests.conftest import scan_texts
 from pyspark.sql import functions as F
 
 from shroud.functions.regex import to_java, NOT_BEFORE, NOT_AFTER, FULL_BOUNDARY
@@ -87,7 +87,7 @@ def test_luhn_iban_columns(spark):
 
 def test_hits_plus_suppressed_equal_findings(spark):
     """Every validated match is either counted or suppressed, never lost."""
-    from conftest import SF_SMALL
+    from tests.conftest import SF_SMALL
     from shroud.sources import fixtures
     fx = fixtures.fx_text(spark, SF_SMALL)
     s = detect.with_scan(fx, sample_cap=0)

@@ -36,5 +36,5 @@ def test_idempotent_and_rescan_clean(spark):
     once = _red(spark, texts)
     twice = _red(spark, once)
     assert once == twice
-    from conftest import scan_texts
+    from tests.conftest import scan_texts
     assert scan_texts(spark, once)[0]["hits"] == {}
