@@ -21,6 +21,7 @@ columns are left out.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import read_table
 from .common import tidy
 
+LONG_BLANK = 10_000
 PIECE_SCHEMA = ("{id} {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
                 "sequence_id bigint, offset bigint, loss_tokens bigint")
 
@@ -39,8 +41,10 @@ PIECE_SCHEMA = ("{id} {id_type}, start bigint, length bigint, ids_crc32 bigint,
 class ByteBpe:
     """Ids of a byte-level BPE file of the tokenizers library.
 
-    tiktoken's encoder runs the same merges several times faster; a text that holds the string of a
-    special token goes to the library itself, which treats such strings apart."""
+    tiktoken's encoder runs the same merges several times faster. Two kinds of text go to the library
+    itself: those that hold the string of a special token, which it treats apart, and those with a
+    white-space run of `LONG_BLANK` characters, on which tiktoken's pattern matcher runs out of stack
+    (measured at about a million)."""
 
     def __init__(self, spec: str, pattern: str):
         import tiktoken
@@ -53,7 +57,7 @@ class ByteBpe:
         self.encoder = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= LONG_BLANK and re.search(rf"\s{{{LONG_BLANK}}}", text):
             if self.library is None:
                 from tokenizers import Tokenizer
                 self.library = Tokenizer.from_str(self.spec)

@@ -127,3 +127,12 @@ def test_codec_on_random_letters_and_single_pieces():
     for t in texts:
         ids = model.encode(t, add_eos=True)
         assert codec.encode(t) == ids and codec.decode(ids) == model.decode(ids)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t \n", "\xa0"])
+def test_packing_of_long_blank_runs(spark, blank):
+    """Runs of white space by the million, alone and inside a text, and runs about the length that changes the encoder."""
+    run = blank * (1_200_000 // len(blank))
+    edge = blank * (packing.LONG_BLANK // len(blank) + 2)
+    docs = [(1, run), (2, f"x {run} y"), (3, run + "end"), (4, "a" + edge[:packing.LONG_BLANK - 1] + "b"), (5, "a" + edge[:packing.LONG_BLANK] + "b")]
+    check_packing(packing.pack(spark.createDataFrame(docs, "doc_id bigint, text string"), BYTE_BPE).collect(), docs)
