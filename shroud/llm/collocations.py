@@ -11,14 +11,15 @@ reverse interval are its occurrences with a left and with a right neighbour.
 
 Counting is exact and needs no list of words or phrases on the driver. Levels go upwards: a phrase of
 m words is counted only if its two parts of m - 1 words are frequent in all shards together. For
-m up to four, shards send (64-bit hash, count); hashes whose sum is `min_count` or more set bits in a
+two and three words, shards send (64-bit hash, count); hashes whose sum is `min_count` or more set bits in a
 filter of bounded size (at most `filter_bits`), which goes out to the next level. Equal hashes and
 equal bits of different phrases only let more through (so does a filter that grows full on larger
 data): the last pass sends the phrases themselves, and their sums alone decide.
 
 Index shards are Parquet files in the shared folder (about eight bytes a word); every pass is a narrow scan
-of them and one aggregation that combines before the shuffle. A piece longer than a shard is cut into
-overlapping ones; the overlaps are indexed again with sign -1, so every occurrence counts once.
+of them and one aggregation that combines before the shuffle. A text that fills a shard goes on in the
+next one, where its last four words are repeated; the repeats are indexed once more with sign -1, so
+every occurrence counts once.
 
 Defined cases: null text = empty; null language = `und`; a piece or text without words adds nothing;
 repeated rows and null ids count as often as they stand; an empty table gives no rows; other columns
@@ -39,7 +40,9 @@ from ..session import checkpoint_dir
 from ..sources.tables import read_table
 from .common import each, text_or_empty, tidy
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: On UTF-8 bytes: A-Z to a-z, every character that ends a piece to a line feed, tab to blank.
+FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
+TEXT_STRETCH = 1 << 20  # most bytes of a text split into words at once
 MARK = 0  # the local id that divides pieces; words have ids from 1
 PAGE_BITS = 1 << 15  # bits of a filter gathered as one row
 SHARD_SCHEMA = "lang string, sign int, tokens bigint, words array<string>, counts array<bigint>, bwt binary, back_bwt binary"
@@ -47,6 +50,15 @@ SHARD_SCHEMA = "lang string, sign int, tokens bigint, words array<string>, count
 
 # ---------------------------------------------------------------- index of one shard
 
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """The stable sorting order of non-negative numbers; their places are sorted along with them in
+    one number where both fit, which is several times faster than sorting places by key."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()).bit_length() + bits <= 63:
+        return np.sort((key.astype(np.int64) << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+    return np.argsort(key, kind="stable")
+
+
 def transform(ids: np.ndarray) -> np.ndarray:
     """The BWT of a sequence that ends with a mark, its suffixes sorted by their first eight ids."""
     rank = ids.astype(np.int64)
@@ -55,9 +67,10 @@ def transform(ids: np.ndarray) -> np.ndarray:
         ahead = np.zeros(n, np.int64)
         ahead[:max(n - span, 0)] = rank[span:] + 1
         key = rank * (int(rank.max()) + 2) + ahead
+        order = stable_order(key)
         if span < 4:
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(key, kind="stable")
+            key = key[order]
+            rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     return ids[order - 1]
 
 
@@ -66,25 +79,22 @@ class FmIndex:
 
     def __init__(self, bwt: np.ndarray, back_bwt: np.ndarray, symbols: int):
         self.bwt, self.back_bwt = bwt, back_bwt
-        by_symbol = np.argsort(bwt, kind="stable")
-        self.last_to_first = np.empty(len(bwt), np.int64)
-        self.last_to_first[by_symbol] = np.arange(len(bwt))
+        self.last_to_first = np.empty(len(bwt), np.int32)
+        self.last_to_first[stable_order(bwt)] = np.arange(len(bwt), dtype=np.int32)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=symbols))])
-        self.words_before = np.concatenate([[0], np.cumsum(bwt != MARK)])
-        self.back_words_before = np.concatenate([[0], np.cumsum(back_bwt != MARK)])
 
     def single_words(self) -> dict[str, np.ndarray]:
         lo, hi = self.starts[1:-1], self.starts[2:]
-        ids = np.arange(1, len(self.starts) - 1)[:, None]
+        ids = np.arange(1, len(self.starts) - 1, dtype=np.int32)[:, None]
         return {"lo": lo, "back": lo.copy(), "count": hi - lo, "ids": ids}
 
     def extend_left(self, level: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """All phrases that are one word longer to the left; `of` is the row of the phrase extended."""
+        """All phrases that are one word longer to the left."""
         lo, count = level["lo"], level["count"]
         of = np.repeat(np.arange(len(lo)), count)
         at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + lo[of]
         key = of * len(self.starts) + self.bwt[at]
-        order = np.argsort(key, kind="stable")
+        order = stable_order(key)
         key = key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([first, [len(key)]]))
@@ -92,13 +102,15 @@ class FmIndex:
         smaller = first - np.concatenate([[0], np.cumsum(count)])[of]  # symbols below this one, in its interval
         word = symbol != MARK
         return {"lo": self.last_to_first[at[order[first]]][word], "back": (level["back"][of] + smaller)[word], "count": size[word],
-                "ids": np.column_stack([symbol[word], level["ids"][of[word]]]), "of": of[word]}
+                "ids": np.column_stack([symbol[word].astype(np.int32), level["ids"][of[word]]])}
 
     def neighbours(self, level: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences with a word to the left, and with one to the right, in their piece."""
-        lo, back, count = level["lo"], level["back"], level["count"]
-        return (self.words_before[lo + count] - self.words_before[lo],
-                self.back_words_before[back + count] - self.back_words_before[back])
+        def words(bwt, lo):
+            before = np.concatenate([[0], np.cumsum(bwt != MARK)])
+            return before[lo + level["count"]] - before[lo]
+
+        return words(self.bwt, level["lo"]), words(self.back_bwt, level["back"])
 
 
 def phrase_hashes(word_hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -128,8 +140,8 @@ class Shard:
         for m in range(1, deepest + 1):
             if m > 1:
                 level = self.index.extend_left(level)
-                if m - 2 < len(filters):  # the last m - 1 words passed before; the first ones too?
-                    level = _rows(level, passing(filters[m - 2], phrase_hashes(self.hashes, level["ids"][:, :-1])))
+                if part := min(m - 1, len(filters)):  # its last words passed before; the first ones too?
+                    level = _rows(level, passing(filters[part - 1], phrase_hashes(self.hashes, level["ids"][:, :part])))
             hashes = phrase_hashes(self.hashes, level["ids"])
             if m - 1 < len(filters):
                 keep = passing(filters[m - 1], hashes)
@@ -148,44 +160,67 @@ def passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- jobs
 
+class _Ids(dict):
+    """Word -> local id, given at first sight; the mark is 0, the empty string between two blanks -1."""
+
+    def __init__(self):
+        super().__init__({b"\n": MARK, b"": -1})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) - 1
+        return n
+
+
 class _Builder:
-    """Gathers the pieces of a task's texts by language and gives a shard when one is full."""
+    """Gathers the words of a task's texts by language and gives a shard when one is full."""
 
     def __init__(self, shard_words: int, longest: int):
         self.shard_words, self.overlap = shard_words, longest - 1
-        self.open: dict[tuple[str, int], tuple[dict, list]] = {}
-        self.held = 0
+        self.stretch = min(TEXT_STRETCH, 8 * shard_words)
+        self.open: dict[tuple[str, int], tuple[_Ids, list[np.ndarray]]] = {}
+        self.sizes: dict[tuple[str, int], int] = {}
 
-    def add(self, lang: str, words: list[str]):
-        """The shards that fill up while a piece is added."""
+    def add(self, lang: str, text: bytes):
+        """The shards that fill up while a text is added: words divided by blanks, pieces by line feeds."""
         start = 0
-        while len(words) - start > self.shard_words:  # a piece longer than a shard: overlapping parts
-            end = start + self.shard_words
-            yield from self._put(lang, 1, words[start:end])
-            start = end - self.overlap
-            yield from self._put(lang, -1, words[start:end])
-        if words:
-            yield from self._put(lang, 1, words[start:])
-
-    def _put(self, lang: str, sign: int, words: list[str]):
-        if not words:
-            return
-        known, ids = self.open.setdefault((lang, sign), ({}, []))
-        ids.extend([known.setdefault(w, len(known) + 1) for w in words])
-        ids.append(MARK)
-        self.held += len(words) + 1
-        if len(ids) >= self.shard_words:
-            yield self._close((lang, sign))
-        elif self.held >= 2 * self.shard_words:  # many languages at once: the largest goes first
-            yield self._close(max(self.open, key=lambda k: len(self.open[k][1])))
+        while start < len(text):  # a stretch at a time: few words at once are Python objects
+            end = len(text) if (cut := text.find(b" ", start + self.stretch)) < 0 else cut
+            known, parts = self.open.setdefault((lang, 1), (_Ids(), []))
+            ids = np.fromiter(map(known.__getitem__, text[start:end].replace(b"\n", b" \n ").split(b" ")), np.int32)
+            start = end + 1
+            parts.append(ids[ids >= 0])
+            self.sizes[lang, 1] = self.sizes.get((lang, 1), 0) + len(parts[-1])
+            if start < len(text) and self.sizes[lang, 1] >= self.shard_words:
+                # the text goes on in the next shard: repeat the last words there, and take them off again
+                words = {i: w for w, i in known.items()}
+                again = b" ".join(words[i] for i in np.concatenate(parts)[-self.overlap:].tolist())
+                yield self._close((lang, 1))
+                for sign in (1, -1):
+                    known, parts = self.open.setdefault((lang, sign), (_Ids(), []))
+                    parts.append(np.array([known[w] for w in again.split(b" ")], np.int32))
+                    if sign < 0:
+                        parts.append(np.array([MARK], np.int32))
+                    self.sizes[lang, sign] = self.sizes.get((lang, sign), 0) + len(parts[-1])
+        if (lang, 1) in self.open:
+            self.open[lang, 1][1].append(np.array([MARK], np.int32))
+        for key in [(lang, 1), (lang, -1)]:
+            if self.sizes.get(key, 0) >= self.shard_words:
+                yield self._close(key)
+        if sum(self.sizes.values()) >= 2 * self.shard_words:  # many languages at once: the largest goes first
+            yield self._close(max(self.sizes, key=self.sizes.get))
 
     def _close(self, key: tuple[str, int]):
-        known, ids = self.open.pop(key)
-        self.held -= len(ids)
-        ids = np.array(ids, np.int32)
-        counts = np.bincount(ids, minlength=len(known) + 1)[1:]
+        known, parts = self.open.pop(key)
+        del self.sizes[key]
+        ids = np.concatenate([*parts, np.array([MARK], np.int32)])
+        # marks in a row divide no better than one
+        ids = ids[np.concatenate([[ids[0] != MARK], (ids[1:] != MARK) | (ids[:-1] != MARK)])]
+        if not len(ids):
+            ids = np.array([MARK], np.int32)
+        words = [w.decode("utf-8", "surrogatepass") for w in list(known)[2:]]
+        counts = np.bincount(ids, minlength=len(words) + 1)[1:]
         back = np.concatenate([ids[:-1][::-1], ids[-1:]])
-        return (key[0], key[1], int(counts.sum()), list(known), counts.tolist(),
+        return (key[0], key[1], int(counts.sum()), words, counts.tolist(),
                 transform(ids).astype("<i4").tobytes(), transform(back).astype("<i4").tobytes())
 
     def rest(self):
@@ -195,9 +230,8 @@ class _Builder:
 
 def index_shards(docs: DataFrame, text_col: str, lang_col: str, shard_words: int, longest: int) -> DataFrame:
     """The index table: one row per shard."""
-    pieces = F.split(F.translate(text_or_empty(F.col(f"`{text_col}`")), UPPER, LOWER), r"[.,;:!?\x0A-\x0D]")
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
-                       F.array_join(F.transform(pieces, lambda p: F.regexp_replace(p, r"[\x20\x09]+", " ")), "\n").alias("text"))
+                       text_or_empty(F.col(f"`{text_col}`")).cast("binary").alias("text"))
     fields = ["lang", "sign", "tokens", "words", "counts", "bwt", "back_bwt"]
     types = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
@@ -208,9 +242,8 @@ def index_shards(docs: DataFrame, text_col: str, lang_col: str, shard_words: int
         builder = _Builder(shard_words, longest)
         for batch in batches:
             for lang, text in zip(each(batch.column(0)), each(batch.column(1))):
-                for piece in text.split("\n"):
-                    for shard in builder.add(lang, [w for w in piece.split(" ") if w]):
-                        yield row(shard)
+                for shard in builder.add(lang, text.translate(FOLD)):
+                    yield row(shard)
         for shard in builder.rest():
             yield row(shard)
 
@@ -268,7 +301,7 @@ def bounded_filter(hashes: DataFrame, filter_bits: int) -> np.ndarray:
 
 def frequent_phrases(index: DataFrame, min_count: int, longest: int, filter_bits: int, save) -> DataFrame:
     """(lang, phrase, words, a, left, right) of all phrases of 1 to `longest` words found `min_count`
-    times or more; `save` writes a frame and gives it back read again."""
+    times or more (neighbours from two words on); `save` writes a frame and gives it back read again."""
     filters: list[np.ndarray] = []
     word = F.explode(F.arrays_zip("words", "counts")).alias("w")
     single = (index.select("lang", "sign", word)
@@ -288,7 +321,7 @@ def frequent_phrases(index: DataFrame, min_count: int, longest: int, filter_bits
             yield pa.RecordBatch.from_arrays([pa.array(phrase_hashes(out, ids).view(np.int64))], names=["hash"])
 
     filters.append(bounded_filter(single.select("lang", "phrase").mapInArrow(word_hash, "hash bigint"), filter_bits))
-    for m in range(2, longest):
+    for m in range(2, min(longest, 4)):  # few phrases of four words are left whose parts are frequent
         sums = _hash_counts(index, list(filters), m).groupBy("hash").agg(F.sum("count").alias("count"))
         hashes = save(f"hashes{m}", sums.where(F.col("count") >= min_count).select("hash"))
         filters.append(bounded_filter(hashes, filter_bits))
@@ -296,16 +329,17 @@ def frequent_phrases(index: DataFrame, min_count: int, longest: int, filter_bits
 
     def work(shard, lang, sign):
         for m, level, _ in shard.levels(shared.value, longest):
-            if not len(level["count"]):
+            if m == 1 or not len(level["count"]):
                 continue
             left, right = shard.index.neighbours(level)
-            phrase = [" ".join([shard.words[i] for i in ids]) for ids in level["ids"].tolist()] if m > 1 else [shard.words[i] for i in level["ids"][:, 0]]
+            phrase = [" ".join([shard.words[i] for i in ids]) for ids in level["ids"].tolist()]
             n = len(phrase)
             yield [lang] * n, phrase, np.full(n, m, np.int32), level["count"] * sign, left * sign, right * sign
 
     found = _each_shard(index, work, "lang string, phrase string, words int, a bigint, left bigint, right bigint")
     sums = found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"), F.sum("left").alias("left"), F.sum("right").alias("right"))
-    return save("phrases", sums.where(F.col("a") >= min_count))
+    single = single.select("lang", "phrase", F.lit(1).alias("words"), "a", F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))
+    return save("phrases", sums.where(F.col("a") >= min_count)).union(single)
 
 
 def score_phrases(frequent: DataFrame, totals: DataFrame, top: int) -> DataFrame:
@@ -347,7 +381,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     base = folder or f"{checkpoint_dir(spark)}/collocations-{uuid.uuid4().hex}"
 
     def save(name: str, frame: DataFrame) -> DataFrame:
-        frame.write.parquet(f"{base}/{name}")
+        frame.write.option("compression", "zstd").parquet(f"{base}/{name}")
         return spark.read.schema(frame.schema).parquet(f"{base}/{name}")
 
     index = save("index", index_shards(docs, text_col, lang_col, shard_words, longest))
