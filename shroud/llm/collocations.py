@@ -44,6 +44,7 @@ from .common import each, text_or_empty, tidy
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b"\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 TEXT_STRETCH = 1 << 20  # most bytes of a text split into words at once
 MARK = 0  # the local id that divides pieces; words have ids from 1
+ROWS_OUT = 32_768  # rows of a batch given back
 PAGE_BITS = 1 << 15  # bits of a filter gathered as one row
 SHARD_SCHEMA = "lang string, sign int, tokens bigint, words array<string>, counts array<bigint>, bwt binary, back_bwt binary"
 
@@ -127,11 +128,11 @@ def phrase_hashes(word_hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
 class Shard:
     """One row of the index table, ready to be searched."""
 
-    def __init__(self, lang: str, words: list[str], bwt: bytes, back_bwt: bytes):
+    def __init__(self, lang: str, words: list[str], bwt: bytes, back_bwt: bytes | None):
         self.words = [None, *words]
         seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
         self.hashes = np.array([0, *(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words)], np.uint64)
-        self.index = FmIndex(np.frombuffer(bwt, "<i4"), np.frombuffer(back_bwt, "<i4"), len(self.words))
+        self.index = FmIndex(np.frombuffer(bwt, "<i4"), np.frombuffer(back_bwt or b"", "<i4"), len(self.words))
 
     def levels(self, filters: list[np.ndarray], deepest: int):
         """(length, phrases, hashes) level by level; a phrase goes on if all its parts pass `filters`
@@ -250,19 +251,19 @@ def index_shards(docs: DataFrame, text_col: str, lang_col: str, shard_words: int
     return rows.mapInArrow(tidy(run), SHARD_SCHEMA)
 
 
-def _each_shard(index: DataFrame, work, schema: str) -> DataFrame:
-    """`work(shard, lang, sign)` gives the columns of a batch, or batches, for every shard."""
+def _each_shard(index: DataFrame, work, schema: str, both_ways: bool) -> DataFrame:
+    """`work(shard, lang, sign)` gives the columns of a batch, or batches, for every shard; the reverse
+    transform is read only if it is used."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                lang, sign, words, bwt, back = (batch.column(i)[at].as_py() for i in range(5))
-                for columns in work(Shard(lang, words, bwt, back), lang, sign):
-                    for start in range(0, len(columns[0]), 65_536):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[start:start + 65_536]) for c in columns], names=names)
+                lang, sign, words, bwt, *back = (c[at].as_py() for c in batch.columns)
+                for columns in work(Shard(lang, words, bwt, *(back or [None])), lang, sign):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return index.select("lang", "sign", "words", "bwt", "back_bwt").mapInArrow(tidy(run), schema)
+    return index.select("lang", "sign", "words", "bwt", *(["back_bwt"] if both_ways else [])).mapInArrow(tidy(run), schema)
 
 
 def _hash_counts(index: DataFrame, filters, m: int) -> DataFrame:
@@ -272,9 +273,10 @@ def _hash_counts(index: DataFrame, filters, m: int) -> DataFrame:
     def work(shard, lang, sign):
         for length, level, hashes in shard.levels(shared.value, m):
             if length == m:
-                yield hashes.view(np.int64), level["count"].astype(np.int64) * sign
+                for at in range(0, len(hashes), ROWS_OUT):
+                    yield hashes[at:at + ROWS_OUT].view(np.int64), level["count"][at:at + ROWS_OUT].astype(np.int64) * sign
 
-    return _each_shard(index, work, "hash bigint, count bigint")
+    return _each_shard(index, work, "hash bigint, count bigint", both_ways=False)
 
 
 def bounded_filter(hashes: DataFrame, filter_bits: int) -> np.ndarray:
@@ -332,11 +334,13 @@ def frequent_phrases(index: DataFrame, min_count: int, longest: int, filter_bits
             if m == 1 or not len(level["count"]):
                 continue
             left, right = shard.index.neighbours(level)
-            phrase = [" ".join([shard.words[i] for i in ids]) for ids in level["ids"].tolist()]
-            n = len(phrase)
-            yield [lang] * n, phrase, np.full(n, m, np.int32), level["count"] * sign, left * sign, right * sign
+            for at in range(0, len(left), ROWS_OUT):
+                here = slice(at, at + ROWS_OUT)
+                phrase = [" ".join([shard.words[i] for i in ids]) for ids in level["ids"][here].tolist()]
+                yield ([lang] * len(phrase), phrase, np.full(len(phrase), m, np.int32), level["count"][here].astype(np.int64) * sign,
+                       left[here] * sign, right[here] * sign)
 
-    found = _each_shard(index, work, "lang string, phrase string, words int, a bigint, left bigint, right bigint")
+    found = _each_shard(index, work, "lang string, phrase string, words int, a bigint, left bigint, right bigint", both_ways=True)
     sums = found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"), F.sum("left").alias("left"), F.sum("right").alias("right"))
     single = single.select("lang", "phrase", F.lit(1).alias("words"), "a", F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))
     return save("phrases", sums.where(F.col("a") >= min_count)).union(single)
