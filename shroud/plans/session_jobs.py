@@ -18,6 +18,7 @@ TYPES = detect.TYPE_ORDER
 RESOLVE_NEVER_LANDS = 6   # attestation never lands when event_id mod 6 = 0
 RESOLVE_LATE = 4          # it lands several events later when event_id mod 4 = 1
 LATE_BY = 35              # between the third and the fourth event after the switch
+LANDS_S, LANDS_LATE_S = 5, 420  # seconds from a switch to its resolution
 
 
 def _events(spark, sf, events=None):
@@ -25,12 +26,8 @@ def _events(spark, sf, events=None):
     return ev.select("*", *S.policies(F.col("session_id")))
 
 
-def timeline(spark, sf, events=None):
-    """One row per session event plus a `tier_resolved` row after each switch
-    whose posture resolved; payload rows carry per-type message hit counts.
-    `events` may be a streaming DataFrame: every step here is stateless or a
-    stream-static join."""
-    ev = _events(spark, sf, events)
+def switches(spark, sf, ev):
+    """The model switches among `ev` with their ceiling and, where attestation landed, the resolved tier."""
     tpl = broadcast_seed(spark, fixtures.provider_rows(), fixtures.PROVIDER_COLS)
     ep = broadcast_seed(spark, fixtures.endpoint_rows(), fixtures.ENDPOINT_COLS)
     ms = (ev.where("kind = 'model_select'").join(tpl, ev.provider_i == tpl.i)
@@ -40,18 +37,38 @@ def timeline(spark, sf, events=None):
           .withColumn("verified_tee", F.col("session_id") % 4 == 0)
           .drop("i", "j", "endpoint"))
     ms = posture_jobs.resolve_tiers(ms, spark, sf)
-    landed = F.col("event_id") % RESOLVE_NEVER_LANDS != 0
-    ms = (ms.withColumn("ceiling", P.effective_tier(F.col("provider"), F.lit(None).cast("string"), F.col("zdr_enforced"),
-                                                    F.lit(False)))
-          .withColumn("resolved", F.when(landed, F.col("tier"))).drop("tier", "source", "base_url", "verified_tee"))
-    delay = F.when(F.col("event_id") % RESOLVE_LATE == 1, LATE_BY).otherwise(1)
-    resolved_rows = (ms.where(landed).select("session_id", (F.col("seq") + delay).alias("seq"), "ts", "event_id",
-                                             F.lit("tier_resolved").alias("kind"), "resolved", "can_prompt", "unattended",
-                                             "answer_i", *[c for c in
-                                             ["pii_policy", "exfil_policy", "result_policy", "downgrade_policy",
-                                              "surface_policy"]]))
-    others = ev.where("kind <> 'model_select'")
-    tl = others.unionByName(ms, allowMissingColumns=True).unionByName(resolved_rows, allowMissingColumns=True)
+    return (ms.withColumn("ceiling", P.effective_tier(F.col("provider"), F.lit(None).cast("string"), F.col("zdr_enforced"),
+                                                      F.lit(False)))
+            .withColumn("resolved", F.when(F.col("event_id") % RESOLVE_NEVER_LANDS != 0, F.col("tier")))
+            .drop("tier", "source", "base_url", "verified_tee"))
+
+
+def resolutions(spark, sf, ms=None):
+    """The resolution events: one for each switch whose posture landed, at its own place in the session."""
+    ms = switches(spark, sf, _events(spark, sf)) if ms is None else ms
+    late = F.col("event_id") % RESOLVE_LATE == 1
+    return ms.where(F.col("event_id") % RESOLVE_NEVER_LANDS != 0).select(
+        "session_id", (F.col("seq") + F.when(late, LATE_BY).otherwise(1)).alias("seq"),
+        (F.col("ts") + F.when(late, F.expr(f"INTERVAL {LANDS_LATE_S} SECONDS")).otherwise(F.expr(f"INTERVAL {LANDS_S} SECONDS"))).alias("ts"),
+        "event_id", F.lit("tier_resolved").alias("kind"), "resolved", "can_prompt", "unattended", "answer_i",
+        "pii_policy", "exfil_policy", "result_policy", "downgrade_policy", "surface_policy", F.col("seq").alias("switch_seq"))
+
+
+def timeline(spark, sf, events=None, landed: bool = True):
+    """One row per session event, and with `landed` a `tier_resolved` row for each
+    switch whose posture resolved; payload rows carry per-type message hit counts.
+    `events` may be a streaming DataFrame: every step here is stateless or a
+    stream-static join."""
+    ev = _events(spark, sf, events)
+    ms = switches(spark, sf, ev)
+    tl = ev.where(~F.col("kind").eqNullSafe("model_select")).unionByName(ms, allowMissingColumns=True)
+    if landed:
+        tl = tl.unionByName(resolutions(spark, sf, ms).drop("switch_seq"), allowMissingColumns=True)
+    return with_message_hits(spark, tl)
+
+
+def with_message_hits(spark, tl):
+    """Per-type hit counts (m_<type>) of each request's new message; 0 on other rows."""
     snip = broadcast_seed(spark, fixtures.snippet_rows(), fixtures.SNIPPET_COLS)
     tl = (tl.join(snip, F.coalesce(tl.snippet_i, F.lit(-1)) == snip.i, "left")
           .withColumn("text", F.when(F.col("kind") == "payload", F.col("s")).otherwise(F.lit("")))
@@ -198,23 +215,29 @@ def _exposure(c):
     return "(CASE " + c + " " + " ".join(f"WHEN {O.q(t[0])} THEN {t[5]}" for t in seeds.TIERS) + " END)"
 
 
-def timeline_ctes():
+def resolved_ctes():
+    """`sev`, `ms` and `res`: each switch's ceiling and the tier its evidence gives."""
     from .posture_jobs import eff_sql, key_grade_cte, ms_cte, report_grade_cte
     eid = posture_jobs.EVIDENCE_ID
-    delay = f"CASE WHEN s.event_id % {RESOLVE_LATE} = 1 THEN {LATE_BY} ELSE 1 END"
     ov = "CASE WHEN m.provider = 'acme-ai' AND m.session_id % 5 = 0 THEN 'tee-verified' END"
     base = eff_sql("m.provider", "FALSE", "m.zdr_enforced", "FALSE")
+    return (
+        f"{ms_cte()},\n{report_grade_cte()},\n{key_grade_cte()},\n"
+        f"res AS (SELECT m.session_id, m.seq, m.event_id, m.provider, coalesce({ov}, CASE WHEN m.provider = 'tinfoil' THEN coalesce(k.tier, 'tee-unverified') "
+        f"WHEN m.provider = 'nearai' THEN coalesce(r.tier, 'tee-unverified') ELSE {base} END) AS tier, "
+        f"{base} AS ceiling FROM ms m "
+        f"LEFT JOIN kg4 k ON k.doc_id = {eid} LEFT JOIN rg3 r ON r.report_id = {eid})")
+
+
+def timeline_ctes():
+    delay = f"CASE WHEN s.event_id % {RESOLVE_LATE} = 1 THEN {LATE_BY} ELSE 1 END"
     pay_keys = ["session_id", "seq"]
     src = (O.snippet_cte() + ",\nptext AS (SELECT e.session_id, e.seq, t.s AS text FROM sev e JOIN snippet t "
            "ON e.snippet_i = t.i WHERE e.kind = 'payload')")
     msg_cols = ", ".join(f"coalesce((list_filter(hits, lambda h: h.type = {O.q(t)}))[1].count, 0) AS m_{CN(t)}" for t in TYPES)
     common = "session_id, seq, kind, event_id, snippet_i, call_i, answer_i, can_prompt, unattended"
     return (
-        f"{ms_cte()},\n{report_grade_cte()},\n{key_grade_cte()},\n"
-        f"res AS (SELECT m.session_id, m.seq, coalesce({ov}, CASE WHEN m.provider = 'tinfoil' THEN coalesce(k.tier, 'tee-unverified') "
-        f"WHEN m.provider = 'nearai' THEN coalesce(r.tier, 'tee-unverified') ELSE {base} END) AS tier, "
-        f"{eff_sql('m.provider', 'FALSE', 'm.zdr_enforced', 'FALSE')} AS ceiling FROM ms m "
-        f"LEFT JOIN kg4 k ON k.doc_id = {eid} LEFT JOIN rg3 r ON r.report_id = {eid}),\n"
+        resolved_ctes() + ",\n"
         + O.scan_ctes(src, "ptext", pay_keys, sample_cap=0) + ",\n"
         f"msg AS (SELECT session_id, seq, {msg_cols} FROM scan),\n"
         f"tl0 AS (SELECT {common}, NULL AS provider, NULL AS model_id, NULL AS ceiling, NULL AS resolved FROM sev "

@@ -1,20 +1,29 @@
-"""Per-session state machine for the live PII gate and downgrade guard (ST3/ST4).
-
-Used with `applyInPandasWithState` keyed by session: Spark shuffles events by
-session and hands each group's new rows to `step` as pandas frames together
-with the session's state. Rows are re-sorted by `seq` (arrival order inside a
-micro-batch is not guaranteed). The decisions are the batch replay's, one event
-at a time; state is a small JSON document (hit counts per type, baseline,
-latch, last action, current tier and provider), removed after
-an idle time to live where the query names one.
+"""Per-session state for the live PII gate and downgrade guard (ST3/ST4).
+
+A `StatefulProcessor` keyed by session. State is typed and kept apart by what
+changes together: a value with the session's scalars (epoch, provider, tiers,
+latch, last action, flags) and two maps from PII type to a count (context hits,
+baseline), so a request writes only the types it changed. The decisions are the
+batch replay's, one event at a time.
+
+Rows of one micro-batch come in chunks; each chunk is put in `seq` order and the
+chunks are merged, so arrival order inside a micro-batch doesn't matter. A row of
+a later micro-batch counts as arriving later, whatever its `seq`: a resolution
+that lands after the next request was decided changes nothing about that request.
+
+With an idle time, an event that comes so long (event time) after the session's
+last one starts a new session state; a timer drops the old one when the watermark
+gets there first.
 """
 
 from __future__ import annotations
 
-import json
+import heapq
 from collections.abc import Iterator
+from operator import attrgetter
 
 import pandas as pd
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import seeds
 from ..operators.detect import SECRET_TYPES, TYPE_ORDER, col_name
@@ -22,121 +31,138 @@ from ..operators.session import DOWNGRADE_ANSWERS, PII_ANSWERS
 
 EXPOSURE = {t[0]: t[5] for t in seeds.TIERS}
 
-OUTPUT_DDL = ("session_id bigint, seq bigint, out_kind string, epoch bigint, tier string, gated boolean, fresh boolean, "
-              "prompted boolean, action string, pass_no int, from_tier string, to_tier string, severity string, "
+OUTPUT_DDL = ("session_id bigint, seq bigint, at timestamp, out_kind string, epoch bigint, tier string, gated boolean, fresh boolean, "
+              "prompted boolean, action string, pass_no int, switch_seq bigint, from_tier string, to_tier string, severity string, "
               "decision string")
-STATE_DDL = "doc string"
-
-
-def _new_state() -> dict:
-    return {"ctx": {}, "base": {}, "epoch": 0, "provider": None, "last_action": None, "latch": None,
-            "tier": None, "before": None, "armed": False, "cand_seen": False, "w9_seen": False}
-
-
-def _answer(lst, i) -> str:
-    return lst[int(i) % len(lst)]
-
-
-def _fires(policy, ctx, frm, to) -> bool:
-    return (policy != "off" and any(v > 0 for v in ctx.values()) and frm is not None and to is not None
-            and EXPOSURE[to] > EXPOSURE[frm])
-
-
-def _row(sid, seq, kind, **kw) -> dict:
-    base = {"session_id": sid, "seq": seq, "out_kind": kind, "epoch": None, "tier": None, "gated": None, "fresh": None,
-            "prompted": None, "action": None, "pass_no": None, "from_tier": None, "to_tier": None, "severity": None,
-            "decision": None}
-    base.update(kw)
-    return base
-
-
-def _guard(st: dict, r, pass_no: int, to: str | None, sid: int, out: list) -> None:
-    """The downgrade guard of one transition: fires at most once, then is disarmed."""
-    hits = {t: v for t, v in st["ctx"].items() if v > 0}
-    if not _fires(r.downgrade_policy, hits, st["before"], None if pd.isna(to) else to):
-        return
-    st["armed"] = False
-    severity = "secret" if any(t in SECRET_TYPES for t in hits) else "pii"
-    if r.downgrade_policy == "block":
-        decision = "revert"
-    elif r.can_prompt:
-        ans = _answer(DOWNGRADE_ANSWERS, r.answer_i)
-        decision = "revert" if ans in ("stay", "cancel") else ans
-    else:
-        decision = "revert" if severity == "secret" else "notice"
-    if decision == "switch+redact":
-        st["latch"], st["w9_seen"] = "redact", True
-    out.append(_row(sid, int(r.seq), "downgrade", pass_no=pass_no, from_tier=st["before"], to_tier=to, severity=severity,
-                    decision=decision))
-
-
-def stepper(ttl_ms: int | None):
-    """The applyInPandasWithState function for a time to live of idle state."""
-    def run(key, frames, state):
-        return step(key, frames, state, ttl_ms)
-    return run
-
-
-def step(key, frames: Iterator[pd.DataFrame], state, ttl_ms: int | None = None) -> Iterator[pd.DataFrame]:
-    """One session, its new rows and its state."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    st = json.loads(state.get[0]) if state.exists else _new_state()
-    rows = pd.concat(list(frames)).sort_values("seq")
-    sid = int(key[0])
-    out = []
-    for r in rows.itertuples(index=False):
-        kind = r.kind
-        if kind == "model_select":
-            before = None if st["tier"] in (None, "pending") else st["tier"]
-            if r.provider != st["provider"]:
-                st["base"], st["last_action"] = {}, None
-                st["epoch"] += 1
-            st["provider"] = r.provider
-            st["tier"] = "pending"
-            st["before"], st["armed"] = before, True
-            _guard(st, r, 1, r.ceiling, sid, out)
-        elif kind == "tier_resolved":
-            st["tier"] = r.resolved
-            if st["armed"]:
-                _guard(st, r, 2, r.resolved, sid, out)
-        elif kind == "payload":
-            for t in TYPE_ORDER:
-                st["ctx"][t] = st["ctx"].get(t, 0) + int(getattr(r, f"m_{col_name(t)}"))
-            tier = None if st["tier"] in (None, "pending") else st["tier"]
-            ctx = {t: v for t, v in st["ctx"].items() if v > 0}
-            gated = r.pii_policy != "off" and tier not in ("tee-verified", "local") and bool(ctx)
-            fresh = prompted = False
-            action = "pass"
-            if gated:
-                fresh = any(v > st["base"].get(t, 0) for t, v in ctx.items())
-                ans = _answer(PII_ANSWERS, r.answer_i)
-                fresh_action = None
-                if fresh:
-                    if r.pii_policy == "redact" or r.unattended:
-                        fresh_action = "redact"
-                    elif r.can_prompt:
-                        fresh_action = "redact" if ans.startswith("redact") else "send"
-                    else:
-                        fresh_action = "send"
-                latch = st["latch"]
-                action = (latch or ("redact" if r.pii_policy == "redact" else None)
-                          or (fresh_action if fresh else None) or st["last_action"] or "send")
-                prompted = fresh and latch is None and r.pii_policy == "warn" and not r.unattended and bool(r.can_prompt)
-                candidate = (fresh and r.pii_policy == "warn" and not r.unattended and bool(r.can_prompt)
-                             and ans.endswith("+remember"))
-                for t, v in ctx.items():
-                    st["base"][t] = max(st["base"].get(t, 0), v)
-                if fresh:
-                    st["last_action"] = fresh_action
-                if candidate and not st["cand_seen"] and not st["w9_seen"]:
-                    st["latch"] = "redact" if ans.startswith("redact") else "send"
-                st["cand_seen"] = st["cand_seen"] or candidate
-            out.append(_row(sid, int(r.seq), "pii", epoch=st["epoch"], tier=tier, gated=gated, fresh=fresh,
-                            prompted=prompted, action=action))
-    state.update((json.dumps(st),))
-    if ttl_ms:
-        state.setTimeoutDuration(ttl_ms)
-    if out:
-        yield pd.DataFrame(out)
+OUTPUT = [c.split()[0] for c in OUTPUT_DDL.split(", ")]
+#: The session's scalars: (name, type, value of a new session).
+SCALARS = [("epoch", "bigint", 0), ("provider", "string", None), ("tier", "string", None), ("before", "string", None),
+           ("switch_seq", "bigint", None), ("armed", "boolean", False), ("latch", "string", None), ("last_action", "string", None),
+           ("remembered", "boolean", False), ("redacting", "boolean", False), ("last_ms", "bigint", 0)]
+SCALARS_DDL = ", ".join(f"{n} {t}" for n, t, _ in SCALARS)
+MERGED = ["session_id", "seq", "kind", "at", "provider", "ceiling", "resolved", "answer_i", "can_prompt", "unattended", "pii_policy",
+          "downgrade_policy"]
+
+
+def _known(tier):
+    return None if tier is None or pd.isna(tier) or tier == "pending" else tier
+
+
+class GateProcessor(StatefulProcessor):
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.scalars = handle.getValueState("session", SCALARS_DDL)
+        self.context = handle.getMapState("context", "type string", "hits bigint")
+        self.baseline = handle.getMapState("baseline", "type string", "hits bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.scalars.get() if self.scalars.exists() else None
+        self.st = {n: (stored[i] if stored is not None else new) for i, (n, _, new) in enumerate(SCALARS)}
+        self.ctx = {k[0]: v[0] for k, v in self.context.iterator()} if stored is not None else {}
+        self.base = {k[0]: v[0] for k, v in self.baseline.iterator()} if stored is not None else {}
+        ctx, base = dict(self.ctx), dict(self.base)
+        out: list[dict] = []
+        ordered = [frame.sort_values("seq", kind="stable").itertuples(index=False) for frame in rows]
+        for r in heapq.merge(*ordered, key=attrgetter("seq")):
+            if self.idle_ms and self.st["last_ms"] and int(r.at_ms) - self.st["last_ms"] >= self.idle_ms:
+                self.st = {n: new for n, _, new in SCALARS}
+                self.ctx.clear(), self.base.clear()
+            self.st["last_ms"] = max(self.st["last_ms"], int(r.at_ms))
+            {"model_select": self._switch, "tier_resolved": self._resolved, "payload": self._payload}[r.kind](int(key[0]), r, out)
+        self.scalars.update(tuple(self.st[n] for n, _, _ in SCALARS))
+        self._store(self.context, ctx, self.ctx)
+        self._store(self.baseline, base, self.base)
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(self.st["last_ms"] + self.idle_ms)
+        if out:
+            yield pd.DataFrame(out, columns=OUTPUT, dtype=object)  # string columns as Python objects, as Arrow conversion expects
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.scalars, self.context, self.baseline):
+            state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _store(state, before: dict, now: dict) -> None:
+        for t in before.keys() - now.keys():
+            state.removeKey((t,))
+        for t, n in now.items():
+            if before.get(t) != n:
+                state.updateValue((t,), (n,))
+
+    @staticmethod
+    def _row(sid, r, kind, **kw) -> dict:
+        return {"session_id": sid, "seq": int(r.seq), "at": pd.Timestamp(r.at), "out_kind": kind, **kw}
+
+    def _switch(self, sid, r, out) -> None:
+        st = self.st
+        before = _known(st["tier"])
+        if r.provider != st["provider"]:
+            self.base.clear()
+            st["last_action"] = None
+            st["epoch"] += 1
+        st.update(provider=r.provider, tier="pending", before=before, armed=True, switch_seq=int(r.seq))
+        self._guard(sid, r, 1, _known(r.ceiling), out)
+
+    def _resolved(self, sid, r, out) -> None:
+        self.st["tier"] = r.resolved
+        if self.st["armed"]:
+            self._guard(sid, r, 2, _known(r.resolved), out)
+
+    def _guard(self, sid, r, pass_no: int, to: str | None, out: list) -> None:
+        """The downgrade guard of one transition: fires at most once, then is disarmed."""
+        st, carried = self.st, [t for t, n in self.ctx.items() if n > 0]
+        if (r.downgrade_policy == "off" or not carried or st["before"] is None or to is None
+                or EXPOSURE[to] <= EXPOSURE[st["before"]]):
+            return
+        st["armed"] = False
+        severity = "secret" if any(t in SECRET_TYPES for t in carried) else "pii"
+        answer = DOWNGRADE_ANSWERS[int(r.answer_i) % len(DOWNGRADE_ANSWERS)]
+        if r.downgrade_policy == "block":
+            decision = "revert"
+        elif r.can_prompt:
+            decision = "revert" if answer in ("stay", "cancel") else answer
+        else:
+            decision = "revert" if severity == "secret" else "notice"
+        if decision == "switch+redact":
+            st.update(latch="redact", redacting=True)
+        out.append(self._row(sid, r, "downgrade", pass_no=pass_no, switch_seq=st["switch_seq"], from_tier=st["before"], to_tier=to,
+                             severity=severity, decision=decision))
+
+    def _payload(self, sid, r, out) -> None:
+        st, ctx, base = self.st, self.ctx, self.base
+        for t in TYPE_ORDER:
+            if n := int(getattr(r, f"m_{col_name(t)}")):
+                ctx[t] = ctx.get(t, 0) + n
+        tier = _known(st["tier"])
+        hits = {t: n for t, n in ctx.items() if n > 0}
+        gated = r.pii_policy != "off" and tier not in ("tee-verified", "local") and bool(hits)
+        fresh = prompted = False
+        action = "pass"
+        if gated:
+            fresh = any(n > base.get(t, 0) for t, n in hits.items())
+            answer = PII_ANSWERS[int(r.answer_i) % len(PII_ANSWERS)]
+            said = "redact" if answer.startswith("redact") else "send"
+            asks = fresh and r.pii_policy == "warn" and not r.unattended and bool(r.can_prompt)
+            decided = None
+            if fresh:
+                decided = "redact" if r.pii_policy == "redact" or r.unattended else said if r.can_prompt else "send"
+            action = (st["latch"] or ("redact" if r.pii_policy == "redact" else None) or decided or st["last_action"] or "send")
+            prompted = asks and st["latch"] is None
+            for t, n in hits.items():
+                base[t] = max(base.get(t, 0), n)
+            if fresh:
+                st["last_action"] = decided
+            if asks and answer.endswith("+remember"):
+                if not st["remembered"] and not st["redacting"]:
+                    st["latch"] = said
+                st["remembered"] = True
+        out.append(self._row(sid, r, "pii", epoch=st["epoch"], tier=tier, gated=gated, fresh=fresh, prompted=prompted, action=action))

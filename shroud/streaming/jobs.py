@@ -15,17 +15,19 @@ windows only).
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import detect, redact
+from ..operators import session as S
 from ..operators import tool_gates as TG
 from ..plans import session_jobs
 from ..session import checkpoint_dir
 from ..sources import fixtures
-from . import gate_state
+from . import gate_state, sinks
 
 LEDGER_WINDOW = "1 hour"
 LEDGER_DELAY = "10 minutes"
@@ -71,32 +73,188 @@ def stream_egress_ledger(spark: SparkSession, sf_dir: str, base: str | None = No
     return run_available_now(out, "stream_egress_ledger", base)
 
 
-def _gate_stream(spark: SparkSession, sf_dir: str, base: str | None, ttl_ms: int | None = None) -> DataFrame:
-    """Per-session state machine. With `ttl_ms` a session's state goes after so long
-    without events; for queries that run on (a drained query would never end, as
-    Spark keeps making batches for time-outs)."""
-    ev = stream_table(spark, sf_dir, "events")
-    tl = session_jobs.timeline(spark, sf_dir, ev)
-    cols = ["session_id", "seq", "kind", "provider", "ceiling", "resolved", "answer_i", "can_prompt", "unattended",
-            "pii_policy", "downgrade_policy"] + [f"m_{detect.col_name(t)}" for t in detect.TYPE_ORDER]
-    tl = tl.select(*cols)
-    out = tl.groupBy("session_id").applyInPandasWithState(
-        gate_state.stepper(ttl_ms), gate_state.OUTPUT_DDL, gate_state.STATE_DDL, "append",
-        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
-    return run_available_now(out, "stream_gate", base)
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that typed state and timers need, for the queries started inside."""
+    key, name = ("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, name)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+RESOLUTION_COLS = ["session_id", "switch_seq", "seq", "ts", "resolved", "can_prompt", "unattended", "answer_i"]
+
+
+def resolution_folder(spark: SparkSession, sf_dir: str, base: str) -> str:
+    """The resolution log of the input's switches as a folder of its own under `base`; a restarted
+    query finds it there."""
+    folder = f"{base}/resolutions"
+    session_jobs.resolutions(spark, sf_dir).select(*RESOLUTION_COLS).write.mode("ignore").parquet(folder)
+    return folder
+
+
+def resolution_stream(spark: SparkSession, folder: str) -> DataFrame:
+    ddl = ("session_id bigint, switch_seq bigint, seq bigint, ts timestamp, resolved string, can_prompt boolean, unattended boolean, "
+           "answer_i bigint")
+    return spark.readStream.schema(ddl).option("maxFilesPerTrigger", 10_000).parquet(folder)
+
+
+def new_base(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def gate_stream(spark: SparkSession, sf_dir: str, base: str | None = None, resolutions: str | None = None,
+                idle: str | None = None, delay: str = "0 seconds", replay_within: str | None = None) -> DataFrame:
+    """ST3/ST4: per-session state over two streams, session events and posture
+    resolutions; a resolution takes part from the micro-batch on in which its own
+    event arrived. With `idle`, a session is dropped after so long without events
+    (event time, `delay` behind the latest). With `replay_within`, an event that
+    comes again within that span of event time is left out."""
+    base = base or new_base(spark, "stream_gate")
+    folder = resolutions or resolution_folder(spark, sf_dir, base)
+    ev = stream_table(spark, sf_dir, "events").withColumn("ts", fixtures.utc_instant("ts"))
+    tl = session_jobs.timeline(spark, sf_dir, ev, landed=False).where(F.col("kind").isin("payload", "model_select"))
+    landed = resolution_stream(spark, folder)
+    landed = landed.select("*", F.lit("tier_resolved").alias("kind"), *S.policies(F.col("session_id"))).drop("switch_seq")
+    tl = tl.unionByName(landed, allowMissingColumns=True)
+    hits = [F.coalesce(f"m_{detect.col_name(t)}", F.lit(0)).cast("bigint").alias(f"m_{detect.col_name(t)}") for t in detect.TYPE_ORDER]
+    tl = tl.select(*[F.col("ts").alias("at") if c == "at" else c for c in gate_state.MERGED],
+                   F.unix_millis("ts").alias("at_ms"), *hits)
+    if idle or replay_within:
+        tl = tl.withWatermark("at", replay_within or delay)
+    if replay_within:
+        tl = tl.dropDuplicatesWithinWatermark(["session_id", "seq"])
+    with rocksdb(spark):
+        idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+        out = tl.groupBy("session_id").transformWithStateInPandas(
+            gate_state.GateProcessor(idle_ms), gate_state.OUTPUT_DDL, "append", "EventTime" if idle else "None")
+        return run_available_now(out, "stream_gate", base)
 
 
 def stream_pii_gate(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """ST3: live baseline, last action and latch per session."""
-    g = _gate_stream(spark, sf_dir, base)
+    g = gate_stream(spark, sf_dir, base)
     return g.where("out_kind = 'pii'").select("session_id", "seq", "epoch", "tier", "gated", "fresh", "prompted", "action")
 
 
+DOWNGRADE_COLS = ["session_id", "seq", "pass_no", "from_tier", "to_tier", "severity", "decision"]
+
+
 def stream_downgrade(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """ST4: context hits and previous tier per session; one alert per transition."""
-    g = _gate_stream(spark, sf_dir, base)
-    return g.where("out_kind = 'downgrade'").select("session_id", "seq", "pass_no", "from_tier", "to_tier", "severity",
-                                                    "decision")
+    return gate_stream(spark, sf_dir, base).where("out_kind = 'downgrade'").select(*DOWNGRADE_COLS)
+
+
+REPLAY_WITHIN = "7 days"
+
+
+def stream_alerts(spark: SparkSession, sf_dir: str, base: str | None = None, within: str = REPLAY_WITHIN) -> DataFrame:
+    """ST4, delivered once: the guard's alerts, one for a (session, switch), also when
+    input files or alert files are replayed. Events and alerts already seen are
+    remembered for the span `within` behind the latest one, so state stays bounded."""
+    base = base or new_base(spark, "stream_alerts")
+    gate_stream(spark, sf_dir, f"{base}/gate", replay_within=within)
+    schema = spark.read.parquet(f"{base}/gate/out").schema
+    alerts = spark.readStream.schema(schema).parquet(f"{base}/gate/out").where("out_kind = 'downgrade'")
+    once = alerts.withWatermark("at", within).dropDuplicatesWithinWatermark(["session_id", "switch_seq"])
+    with rocksdb(spark):
+        return run_available_now(once.select(*DOWNGRADE_COLS), "stream_alerts", f"{base}/alerts")
+
+
+LANDS_WITHIN = "10 minutes"
+JOIN_DELAY = "1 minute"
+
+
+def stream_switch_posture(spark: SparkSession, sf_dir: str, base: str | None = None, resolutions: str | None = None) -> DataFrame:
+    """S3: every model switch with the posture that resolved for it within ten
+    minutes. Two streams joined on (session, switch) and a time range; a switch
+    whose resolution never lands comes out once the watermark has passed its
+    range, with `landed` false."""
+    base = base or new_base(spark, "stream_switch_posture")
+    folder = resolutions or resolution_folder(spark, sf_dir, base)
+    ev = stream_table(spark, sf_dir, "events").withColumn("ts", fixtures.utc_instant("ts"))
+    ms = session_jobs.switches(spark, sf_dir, session_jobs._events(spark, sf_dir, ev))
+    ms = ms.select("session_id", "seq", "ts", "provider", "ceiling").withWatermark("ts", JOIN_DELAY).alias("s")
+    landed = (resolution_stream(spark, folder).select("session_id", "switch_seq", F.col("ts").alias("landed_at"), F.col("resolved").alias("tier"))
+              .withWatermark("landed_at", JOIN_DELAY).alias("r"))
+    joined = ms.join(landed, F.expr("s.session_id = r.session_id AND s.seq = r.switch_seq AND landed_at >= ts "
+                                    f"AND landed_at <= ts + INTERVAL {LANDS_WITHIN}"), "left_outer")
+    out = joined.select("s.session_id", "s.seq", "provider", "ceiling", "tier", F.col("landed_at").isNotNull().alias("landed"),
+                        (F.unix_millis("landed_at") - F.unix_millis("ts")).alias("landed_after_ms"))
+    with rocksdb(spark):
+        return run_available_now(out, "stream_switch_posture", base)
+
+
+def stream_multi_sink(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    """One pass over incoming texts into three sinks: the clean text, the
+    findings per type and the decision (unchanged / redacted, its severity and
+    summary). Returns the three put together, a row per text."""
+    base = base or new_base(spark, "stream_multi_sink")
+    docs = stream_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    fx = redact.with_redacted(detect.with_scan(fixtures.fx_text(spark, sf_dir, docs), sample_cap=0))
+    hits = F.col("hits")
+    severity = F.when(F.size(hits) == 0, "none").when(detect.has_secret(hits), "secret").otherwise("pii")
+    outcome = F.when(F.col("text") == F.col("redacted"), "unchanged").otherwise("redacted")
+    once = fx.select("doc_id", "source", "lang", "redacted", "hits", "suppressed", outcome.alias("outcome"), severity.alias("severity"),
+                     F.when(F.size(hits) > 0, detect.summary(hits)).alias("summary"))
+    sinks.run_sinks(once, base, {
+        "clean": lambda b: b.select("doc_id", "source", "lang", "redacted"),
+        "findings": lambda b: b.select("doc_id", F.inline(F.concat(
+            F.transform("hits", lambda h: F.struct(h["type"].alias("type"), h["count"].alias("count"), F.lit(True).alias("counted"))),
+            F.transform("suppressed", lambda h: F.struct(h["type"].alias("type"), h["count"].alias("count"), F.lit(False).alias("counted")))))),
+        "decisions": lambda b: b.select("doc_id", "outcome", "severity", "summary")})
+    clean, findings, decisions = (sinks.read_sink(spark, base, name) for name in ("clean", "findings", "decisions"))
+    found = findings.groupBy("doc_id").agg(F.sum(F.when(F.col("counted"), F.col("count")).otherwise(0)).alias("counted"),
+                                           F.sum(F.when(~F.col("counted"), F.col("count")).otherwise(0)).alias("allowlisted"))
+    return (clean.join(decisions, "doc_id").join(found, "doc_id", "left")
+            .select("doc_id", "outcome", "severity", "summary", F.coalesce("counted", F.lit(0)).alias("counted"),
+                    F.coalesce("allowlisted", F.lit(0)).alias("allowlisted"), "redacted"))
+
+
+SLIDE = "15 minutes"
+
+
+def sliding_ledger(calls: DataFrame, base: str, window: str = LEDGER_WINDOW, slide: str = SLIDE, delay: str = LEDGER_DELAY) -> None:
+    """ST2 over overlapping windows, late rows counted. `calls` (a stream) has ts,
+    session_id, tool, host, fires. A call belongs to every window over its time; a
+    window is closed once the watermark (`delay` behind the latest time of the
+    micro-batches before) has reached its end. What falls into an open window goes
+    to the sink `on_time`, what falls into a closed one to `late`, both as partial
+    sums per micro-batch: readers add them up."""
+    seconds = int(pd.Timedelta(delay).total_seconds())
+
+    def split(batch: DataFrame, seen_until) -> DataFrame:
+        late = F.lit(False) if seen_until is None else (
+            F.col("w.end") <= F.timestamp_micros(F.lit(seen_until)) - F.expr(f"INTERVAL {seconds} SECONDS"))
+        return (batch.select("*", F.window("ts", window, slide).alias("w")).withColumn("late", late)
+                .groupBy(F.unix_seconds("w.start").alias("window_start"), "session_id", "tool", "host", "late")
+                .agg(F.count(F.lit(1)).alias("calls"), F.count_if("fires").alias("with_pii")))
+
+    sinks.run_sinks(calls, base, {"on_time": lambda b: b.where(~F.col("late")).drop("late"), "late": lambda b: b.where("late").drop("late")},
+                    prepare=split, high_water=F.max(F.unix_micros("ts")))
+
+
+def read_ledger(spark: SparkSession, base: str) -> DataFrame:
+    """Per window, session, tool and host: calls on time and late."""
+    keys = ["window_start", "session_id", "tool", "host"]
+    on_time = sinks.read_sink(spark, base, "on_time").select(*keys, "calls", "with_pii", F.lit(0).alias("late_calls"))
+    late = sinks.read_sink(spark, base, "late").select(*keys, F.lit(0).alias("calls"), F.lit(0).alias("with_pii"), F.col("calls").alias("late_calls"))
+    return on_time.unionByName(late).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("calls", "with_pii", "late_calls")])
+
+
+def stream_egress_sliding(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    """ST2: the rolling ledger over one-hour windows every quarter of an hour, with
+    the calls that came after their window had closed."""
+    base = base or new_base(spark, "stream_egress_sliding")
+    ev = stream_table(spark, sf_dir, "events").withColumn("ts", fixtures.utc_instant("ts"))
+    v = TG.verdict(fixtures.tool_calls(spark, sf_dir, ev))
+    calls = v.where(F.col("a.egress")).select("ts", "session_id", F.col("actor").alias("tool"), TG.ledger_host(F.col("a.target")).alias("host"), "fires")
+    sliding_ledger(calls, base)
+    return read_ledger(spark, base)
 
 
 def stream_session_window(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
