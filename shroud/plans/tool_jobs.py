@@ -19,7 +19,7 @@ from .detection_jobs import redact_sql_steps
 from .egress_jobs import assess_ctes, url_ctes
 from .session_jobs import W_EXC, _ans, _policies_sql
 
-TOP_K = 3
+TOP_K = 3  # of the registered report
 
 
 def _calls(spark, sf):
@@ -61,9 +61,9 @@ def _ordered_ledger(spark, sf):
     return egress_ledger(spark, sf).withColumn("line_no", F.row_number().over(w).cast("int"))
 
 
-def egress_top_hosts(spark, sf):
-    """The most active (tool, host) pairs per session; the limit is the report."""
-    return _ordered_ledger(spark, sf).where(F.col("line_no") <= TOP_K).select("session_id", "line_no", "tool", "host", "calls")
+def egress_top_hosts(spark, sf, k: int = TOP_K):
+    """The `k` most active (tool, host) pairs per session; the limit is the report."""
+    return _ordered_ledger(spark, sf).where(F.col("line_no") <= k).select("session_id", "line_no", "tool", "host", "calls")
 
 
 def egress_report(spark, sf):
