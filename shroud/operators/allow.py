@@ -17,10 +17,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seeds
+from .running import running
 
 IPV4_SHAPE = r"^\d{1,3}(?:\.\d{1,3}){3}$"
 CIDR_SHAPE = r"^(\d{1,3}(?:\.\d{1,3}){3})/(\d{1,2})$"
@@ -253,3 +254,69 @@ def match_rules(findings: DataFrame, rules: DataFrame, key_cols: list[str]) -> D
     by_glob = (match_globs(findings, rules.where("kind = 'glob'").select("glob_side", "glob_key", "glob_regex"))
                .select(*keys).withColumn("rule_kind", F.lit("glob")))
     return by_domain.unionByName(by_cidr).unionByName(by_glob)
+
+
+# ---------------------------------------------------------------------------
+# Rules of their owner only (A4 / A6 per host)
+# ---------------------------------------------------------------------------
+
+IP_CHUNK = 1 << 17  # two numbers an address, so a chunk of the running lookup is a /16
+
+
+def merged_ranges(rules: DataFrame) -> DataFrame:
+    """(host, lo, hi): each host's address blocks merged to disjoint, not even touching ranges."""
+    size = F.pow(F.lit(2), F.lit(32) - F.col("prefix_len")).cast("bigint")
+    blocks = rules.where("kind = 'cidr'").select("host", F.col("net").alias("lo"), (F.col("net") + size - 1).alias("hi")).distinct()
+    by_start = Window.partitionBy("host").orderBy("lo", "hi")
+    reached = F.max("hi").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.withColumn("new", F.coalesce((F.col("lo") > reached + 1).cast("int"), F.lit(1)))
+    island = F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
+    return starts.withColumn("island", island).groupBy("host", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+
+
+def addresses_in_ranges(asked: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The rows (host, ip_int) of `asked` that lie in a range of their host. As ranges are disjoint,
+    only the last one that starts at or before an address can hold it: ranges and addresses are put
+    in one order and the range's end is carried forward, in chunks of the address space, so a host
+    with a third of all findings is no single task."""
+    none = F.lit(None).cast("bigint")
+    line = (ranges.select("host", (F.col("lo") * 2).alias("at"), F.col("hi").alias("hi"), none.alias("ip_int"))
+            .unionByName(asked.distinct().select("host", (F.col("ip_int") * 2 + 1).alias("at"), none.alias("hi"), "ip_int")))
+    held = running(line, ["host"], "at", [("until", "last", F.col("hi"), True)], span=IP_CHUNK, materialize=False)
+    return held.where(F.col("ip_int") <= F.col("until")).select("host", "ip_int")
+
+
+def match_host_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct (host, type, value) of `findings` that a rule of the same host allows."""
+    asked = findings.select("host", "type", "value").distinct()
+    domains = rules.where("kind = 'domain'").select("host", "domain").distinct()
+    by_domain = (asked.where("type = 'email'").select("*", F.explode(domain_suffixes(F.col("value"))).alias("domain"))
+                 .join(domains, ["host", "domain"], "left_semi").select("host", "type", "value"))
+    ips = asked.where("type = 'ip'").withColumn("ip_int", ip_to_int(F.col("value"))).where("ip_int IS NOT NULL")
+    by_range = ips.join(addresses_in_ranges(ips.select("host", "ip_int"), merged_ranges(rules)), ["host", "ip_int"], "left_semi").select("host", "type", "value")
+    globs = rules.where("kind = 'glob'").select("host", "glob_side", "glob_key", "glob_regex").distinct()
+    # at most as many lengths a side as the longest entry has characters
+    seen = globs.select("glob_side", F.length("glob_key").alias("n")).distinct().collect()
+    lengths = {side: sorted(r["n"] for r in seen if r["glob_side"] == side) for side in ("prefix", "suffix", "inner")}
+    by_glob = (asked.select("*", F.inline(glob_parts(F.col("value"), lengths))).join(globs, ["host", "glob_side", "glob_key"])
+               .where(F.expr(r"value RLIKE concat('(?i)^(?:', glob_regex, ')\\z')")).select("host", "type", "value"))
+    return by_domain.unionByName(by_range).unionByName(by_glob).distinct()
+
+
+def default_allowed(typ: Column, value: Column) -> Column:
+    """The built-in entries (a short fixed list), for a value of any type."""
+    rules = compile_rules()
+    out = F.lit(False)
+    for t in (t[0] for t in seeds.PII_TYPES):
+        if allow_applies(rules, t):
+            out = F.when(typ == t, allowed(rules, t, value)).otherwise(out)
+    return out
+
+
+def split_by_host(findings: DataFrame, rules: DataFrame, opted_out: DataFrame) -> DataFrame:
+    """Findings (host, type, value, …) with `allowed`: a rule of the same host, or a built-in
+    entry unless the host is among `opted_out`."""
+    own = match_host_rules(findings, rules).withColumn("own", F.lit(True))
+    out = findings.join(own, ["host", "type", "value"], "left").join(opted_out.select("host").distinct().withColumn("out", F.lit(True)), "host", "left")
+    default = F.col("out").isNull() & F.coalesce(default_allowed(F.col("type"), F.col("value")), F.lit(False))
+    return out.withColumn("allowed", F.coalesce("own", F.lit(False)) | default).drop("own", "out")

@@ -79,6 +79,21 @@ def allow_split(spark, sf):
             .select(*FKEYS, "type", "value", F.coalesce("allowed", F.lit(False)).alias("allowed")))
 
 
+HOST_SIZE = 4      # consecutive entries belong to one host
+OPT_OUT = (5, 2)   # hosts with host mod 5 = 2 do without the built-in entries
+
+
+def allow_split_hosts(spark, sf):
+    """A6 per host: each document is scanned by one host, whose own entries (and, unless it opted
+    out, the built-in ones) decide."""
+    entries = _entries(spark, sf).withColumn("host", F.floor(F.col("host") / HOST_SIZE).cast("bigint"))
+    rules = allow.parse_rules(entries, "entry").where("kind IS NOT NULL")
+    hosts = entries.agg((F.max("host") + 1).alias("n_hosts"))  # one row
+    f = _findings(spark, sf).crossJoin(F.broadcast(hosts)).withColumn("host", F.col("doc_id") % F.col("n_hosts")).drop("n_hosts")
+    out = entries.select("host").where(F.col("host") % OPT_OUT[0] == OPT_OUT[1])
+    return allow.split_by_host(cut_lineage(f), rules, out).select(*FKEYS, "host", "type", "value", "allowed")
+
+
 # ---------------------------------------------------------------------------
 # SQL twins
 # ---------------------------------------------------------------------------
@@ -171,7 +186,26 @@ def allow_split_sql():
             "AND m.match_no = f.match_no) AS allowed FROM f")
 
 
+def allow_split_hosts_sql():
+    defaults = seed_sql([(-1, d) for d in seeds.DEFAULT_ALLOW], [("host", "BIGINT"), ("raw", "VARCHAR")])
+    mask = "(CASE WHEN r.prefix_len = 0 THEN 0 ELSE ((4294967295 << (32 - r.prefix_len)) & 4294967295) END)"
+    at = "lower(split_part(v.value, '@', -1))"
+    return (f"WITH {_entries_sql()},\nallent AS (SELECT host // {HOST_SIZE} AS host, raw, entry FROM ent UNION ALL "
+            f"SELECT host, raw, {_trim_sql('raw')} AS entry FROM {defaults}),\n"
+            f"rules AS (SELECT DISTINCT host, kind, domain, prefix_len, net, glob_regex FROM ({_parse_sql('allent')}) WHERE kind IS NOT NULL),\n"
+            f"{_findings_sql()},\nfh AS (SELECT f.*, f.doc_id % (SELECT max(host // {HOST_SIZE}) + 1 FROM ent) AS host FROM f),\n"
+            "v AS (SELECT DISTINCT host, type, value, CASE WHEN type = 'ip' THEN value END AS ip FROM fh),\n"
+            "m AS (SELECT DISTINCT v.host, v.type, v.value FROM v JOIN rules r ON r.host = v.host OR "
+            f"(r.host = -1 AND v.host % {OPT_OUT[0]} <> {OPT_OUT[1]}) WHERE CASE r.kind "
+            f"WHEN 'domain' THEN v.type = 'email' AND ({at} = r.domain OR suffix({at}, '.' || r.domain)) "
+            f"WHEN 'cidr' THEN v.type = 'ip' AND ({O.ip_int_sql('ip')} & {mask}) = r.net "
+            "ELSE regexp_matches(v.value, '(?i)^(?:' || r.glob_regex || ')$') END)\n"
+            "SELECT doc_id, pattern_id, match_no, host, type, value, "
+            "EXISTS (SELECT 1 FROM m WHERE m.host = fh.host AND m.type = fh.type AND m.value = fh.value) AS allowed FROM fh")
+
+
 JOBS = {
+    "allow_split_hosts": (allow_split_hosts, allow_split_hosts_sql),
     "allow_rules": (allow_rules, allow_rules_sql),
     "allow_rejects": (allow_rejects, allow_rejects_sql),
     "allow_domain": (allow_domain, lambda: _kind_sql("domain")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import allow_jobs, config_jobs, detection_jobs, egress_jobs, posture_jobs, report_jobs, session_jobs, stream_jobs, surface_jobs, tool_jobs
+from . import allow_jobs, config_jobs, detection_jobs, egress_jobs, posture_jobs, raw_jobs, report_jobs, session_jobs, stream_jobs, surface_jobs, tool_jobs
 
 JOBS: dict = {}
 JOBS.update(detection_jobs.JOBS)
@@ -14,6 +14,7 @@ JOBS.update(session_jobs.JOBS)
 JOBS.update(tool_jobs.JOBS)
 JOBS.update(config_jobs.JOBS)
 JOBS.update(report_jobs.JOBS)
+JOBS.update(raw_jobs.JOBS)
 JOBS.update(stream_jobs.JOBS)
 
 
