@@ -11,10 +11,16 @@ data. Here every partition is split into fixed seq ranges (chunks):
 
 All windows then partition by (key, chunk), whose size is bounded by the chunk
 span regardless of skew. Supported: sum, max, bool_or, last / first non-null.
+
+Three shuffles a pass are the price. `by_heat` pays it only for the keys that need
+it: keys with more than `HOT_ROWS` rows go the chunked way, all others through
+plain windows, which share one shuffle however many passes follow each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +28,34 @@ from ..session import cut_lineage
 
 DEFAULT_SPAN = 1 << 24  # seq units per chunk
 SPAN_CONF = "shroud.running.span"
+HOT_ROWS = 1_000_000  # rows of one key that a single task sorts without trouble
+HOT_CONF = "shroud.running.hot_rows"
+
+
+def plain(df: DataFrame, key: list[str], order: str, specs: list[tuple[str, str, Column, bool]], materialize: bool = False) -> DataFrame:
+    """`running` as windows over the whole key, for keys of bounded size."""
+    w = Window.partitionBy(*key).orderBy(order)
+    frame = {True: w.rowsBetween(Window.unboundedPreceding, 0), False: w.rowsBetween(Window.unboundedPreceding, -1)}
+    out = []
+    for name, fn, v, inclusive in specs:
+        c = {"sum": lambda v: F.coalesce(F.sum(v).over(over), F.lit(0)), "max": lambda v: F.max(v).over(over),
+             "bool_or": lambda v: F.coalesce(F.bool_or(v).over(over), F.lit(False)), "last": lambda v: F.last(v, ignorenulls=True).over(over),
+             "first": lambda v: F.first(v, ignorenulls=True).over(over)}[fn]
+        over = frame[inclusive]
+        out.append(c(v).alias(name))
+    return df.select("*", *out)
+
+
+def by_heat(df: DataFrame, key: str, work: Callable[[DataFrame, Callable], DataFrame]) -> DataFrame:
+    """`work(rows, run)` over all rows of `df`, `run` being `plain` for the rows of keys with at most
+    `HOT_ROWS` rows and `running` for the others. `df` is read once to count and once by `work`."""
+    limit = int(df.sparkSession.conf.get(HOT_CONF, str(HOT_ROWS)))
+    hot = df.groupBy(F.col(key).alias("_hot")).count().where(F.col("count") > limit).select("_hot")
+    if hot.isEmpty():
+        return work(df, plain)
+    hot = cut_lineage(hot)
+    is_hot = F.col(key).eqNullSafe(F.col("_hot"))
+    return work(df.join(hot, is_hot, "left_anti"), plain).unionByName(work(df.join(hot, is_hot, "left_semi"), running))
 
 
 def running(df: DataFrame, key: list[str], order: str, specs: list[tuple[str, str, Column, bool]],

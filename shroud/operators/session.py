@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seeds
 from . import detect
-from .running import running
+from .running import plain, running
 
 TYPES = detect.TYPE_ORDER
 VERIFIED_PRIVATE = ["tee-verified", "local"]
@@ -56,54 +56,58 @@ def hit_array(prefix: str) -> Column:
                                        .alias("count")) for t in TYPES]), lambda h: h["count"] > 0)
 
 
-def context_state(tl: DataFrame) -> DataFrame:
-    """One pass: context hits (running sums of message hits), current tier and
-    the provider-change flag (a provider epoch starts at each change).
-
-    `tl` needs session_id, seq, kind, provider (model_select), resolved
-    (tier_resolved) and m_<type> message-hit counts (payload rows)."""
+def tier_state(tl: DataFrame, run=running, more: tuple = ()) -> DataFrame:
+    """Current tier, the tier before, and the provider-change flag (a provider epoch
+    starts at each change). `tl` needs session_id, seq, kind, provider
+    (model_select) and resolved (tier_resolved)."""
     state = (F.when(F.col("kind") == "model_select", F.lit("pending"))
              .when(F.col("kind") == "tier_resolved", F.col("resolved")))
-    specs = [(f"ctx_{detect.col_name(t)}", "sum", F.col(f"m_{detect.col_name(t)}"), True) for t in TYPES]
-    specs += [("prev_provider", "last", F.col("provider"), False),
-              ("tier_state", "last", state, True),
-              ("tier_state_before", "last", state, False)]
-    a = running(tl, ["session_id"], "seq", specs)
+    a = run(tl, ["session_id"], "seq", [*more, ("prev_provider", "last", F.col("provider"), False),
+                                        ("tier_state", "last", state, True), ("tier_state_before", "last", state, False)])
     change = (F.col("kind") == "model_select") & ~F.col("provider").eqNullSafe(F.col("prev_provider"))
-    return (a.withColumn("change", change).withColumn("ctx", hit_array("ctx_"))
+    return (a.withColumn("change", change)
             .withColumn("tier_now", F.when(F.col("tier_state") != "pending", F.col("tier_state")))
             .withColumn("tier_before", F.when(F.col("tier_state_before") != "pending", F.col("tier_state_before"))))
 
 
-def with_epoch(tl: DataFrame) -> DataFrame:
+def context_state(tl: DataFrame, run=running) -> DataFrame:
+    """`tier_state` and, in the same pass, the context hits: running sums of the
+    m_<type> message-hit counts of payload rows."""
+    sums = tuple((f"ctx_{detect.col_name(t)}", "sum", F.col(f"m_{detect.col_name(t)}"), True) for t in TYPES)
+    return tier_state(tl, run, sums).withColumn("ctx", hit_array("ctx_"))
+
+
+def with_epoch(tl: DataFrame, run=running) -> DataFrame:
     """Provider epoch: the number of provider changes so far."""
-    return running(tl, ["session_id"], "seq", [("epoch", "sum", F.col("change").cast("int"), True)])
+    return run(tl, ["session_id"], "seq", [("epoch", "sum", F.col("change").cast("int"), True)])
 
 
-def downgrade(tl: DataFrame) -> DataFrame:
+def downgrade(tl: DataFrame, run=running) -> DataFrame:
     """Pass 1 on model_select rows against the ceiling; pass 2 on the
     tier_resolved rows that follow, whenever they arrive, against the resolved
     tier, with the hits as of that row and the tier held before the latest
     switch. One firing per transition: a switch arms the guard, the first
-    firing disarms it. Pass 2 runs over switch and resolution rows only."""
+    firing disarms it. On the chunked way, pass 2 runs over switch and resolution
+    rows only; plain windows take all rows, so that nothing is read twice."""
     hits = F.col("ctx")
     on = (F.col("downgrade_policy") != "off") & (F.size(hits) > 0)
 
     def fires(prev: Column, to: Column) -> Column:
         return F.coalesce(on & prev.isNotNull() & to.isNotNull() & (tier_exposure(to) > tier_exposure(prev)), F.lit(False))
     t = tl.withColumn("f1", (F.col("kind") == "model_select") & fires(F.col("tier_before"), F.col("ceiling")))
-    steps = t.where(F.col("kind").isin("model_select", "tier_resolved"))
+    split = run is not plain
+    steps = t.where(F.col("kind").isin("model_select", "tier_resolved")) if split else t
     model = F.col("model_id") if "model_id" in tl.columns else F.lit(None).cast("string")
     switch = F.when(F.col("kind") == "model_select", F.struct(
         F.col("seq").alias("seq"), F.col("tier_before").alias("tier"), F.col("f1").alias("fired"),
         F.col("provider").alias("provider"), model.alias("model_id")))
-    steps = running(steps, ["session_id"], "seq", [("switch", "last", switch, True)], materialize=False)
+    steps = run(steps, ["session_id"], "seq", [("switch", "last", switch, True)], materialize=False)
     late = (F.col("kind") == "tier_resolved") & ~F.coalesce(F.col("switch.fired"), F.lit(True)) & fires(F.col("switch.tier"), F.col("resolved"))
-    steps = running(steps.withColumn("late", late), ["session_id"], "seq",
-                    [("last_late", "last", F.when(F.col("late"), F.col("seq")), False)], materialize=False)
+    steps = run(steps.withColumn("late", late), ["session_id"], "seq",
+                [("last_late", "last", F.when(F.col("late"), F.col("seq")), False)], materialize=False)
     steps = steps.withColumn("f2", F.col("late") & (F.coalesce(F.col("last_late"), F.lit(-1)) < F.col("switch.seq"))).drop("late", "last_late")
     rest = t.where(~F.col("kind").isin("model_select", "tier_resolved"))
-    all_rows = steps.unionByName(rest, allowMissingColumns=True)
+    all_rows = steps.unionByName(rest, allowMissingColumns=True) if split else steps
     f1, f2 = F.col("f1"), F.coalesce(F.col("f2"), F.lit(False))
     severity = F.when(detect.has_secret(hits), "secret").otherwise("pii")
     ans = answer(DOWNGRADE_ANSWERS)
@@ -118,7 +122,7 @@ def downgrade(tl: DataFrame) -> DataFrame:
             .withColumn("dg_decision", F.when(f1 | f2, decision)).drop("f1", "f2", "switch"))
 
 
-def pii_gate(tl: DataFrame) -> DataFrame:
+def pii_gate(tl: DataFrame, run=running) -> DataFrame:
     """W3/W4/W5 on payload rows (tl after context_state and downgrade).
 
     The per-epoch baseline is the greatest context of each type over earlier
@@ -131,8 +135,8 @@ def pii_gate(tl: DataFrame) -> DataFrame:
     is_payload = F.col("kind") == "payload"
     gated = (is_payload & (F.col("pii_policy") != "off") & ~F.coalesce(F.col("tier_now").isin(*VERIFIED_PRIVATE), F.lit(False))
              & (F.size("ctx") > 0))
-    t = with_epoch(tl.withColumn("gated", gated))
-    c = running(t, ["session_id", "epoch"], "seq", [
+    t = with_epoch(tl.withColumn("gated", gated), run)
+    c = run(t, ["session_id", "epoch"], "seq", [
         (f"base_{detect.col_name(t_)}", "max", F.when(F.col("gated"), F.col(ctx_cols[t_])), False) for t_ in TYPES])
     delta = {t_: F.col(f"ctx_{detect.col_name(t_)}") - F.coalesce(F.col(f"base_{detect.col_name(t_)}"), F.lit(0)) for t_ in TYPES}
     fresh = F.filter(F.array(*[F.struct(F.lit(t_).alias("type"), delta[t_].cast("bigint").alias("count")) for t_ in TYPES]),
@@ -149,7 +153,7 @@ def pii_gate(tl: DataFrame) -> DataFrame:
     cand_value = F.when(candidate, F.struct(F.col("seq").alias("s"),
                                             F.when(ans.startswith("redact"), "redact").otherwise("send").alias("v")))
     w9_seq = F.when(F.coalesce(F.col("dg_decision") == "switch+redact", F.lit(False)), F.col("seq"))
-    c = running(c, ["session_id"], "seq", [
+    c = run(c, ["session_id"], "seq", [
         ("last_fresh", "last", F.when(F.col("is_fresh"), F.struct(F.col("epoch").alias("e"), F.col("fresh_action").alias("a"))), False),
         ("first_cand", "first", cand_value, False),
         ("first_w9", "first", w9_seq, False),

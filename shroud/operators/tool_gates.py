@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import seeds
 from . import detect, egress
 from ..session import cut_lineage
-from .running import running
+from .running import by_heat
 from .session import EGRESS_ANSWERS, FIRST_USE_ANSWERS, INGEST_ANSWERS, answer
 
 
@@ -28,24 +28,22 @@ def first_use(calls: DataFrame, entries: DataFrame) -> DataFrame:
     # multiplies calls.
     inv = (entries.groupBy("session_id", F.col("name").alias("tool"))
            .agg(F.max_by("provenance", "position" if "position" in entries.columns else "provenance").alias("provenance")))
-    c = calls.join(inv, ["session_id", "tool"], "left")
-    applies = ((F.col("origin") == "model") & (F.col("surface_policy") == "warn")
-               & F.coalesce(F.col("provenance").isin("project", "temporary"), F.lit(False)))
+    # Only repo-supplied tools that a model calls can be gated or latch: the passes run on the keys and
+    # flags of these calls, and the outcome comes back by (session, seq). No call's input is moved for it.
     ans = answer(FIRST_USE_ANSWERS)
-    intrinsic = ~F.col("can_prompt") | ans.isin("run", "allow-project")
-    c = cut_lineage(c.withColumn("fu_applies", applies).withColumn("fu_intrinsic", applies & intrinsic))
-    # Only repo-supplied tools can be gated or latch; the latch passes run on
-    # that subset and the rest is unioned back (no join).
-    g = c.where("fu_applies")
-    g = running(g, ["session_id", "tool"], "seq", [("tool_latch", "bool_or", F.col("fu_intrinsic"), False)])
-    sl_row = F.col("can_prompt") & (ans == "allow-project") & ~F.col("tool_latch")
-    g = running(g.withColumn("sl_row", sl_row), ["session_id"], "seq", [("session_latch", "bool_or", F.col("sl_row"), False)],
-                materialize=False)
+    asked = (calls.where((F.col("origin") == "model") & (F.col("surface_policy") == "warn")).select("session_id", "seq", "tool", "can_prompt", "answer_i")
+             .join(inv.where(F.col("provenance").isin("project", "temporary")), ["session_id", "tool"], "left_semi"))
+
+    def latches(g, run):
+        let_through = ~F.col("can_prompt") | ans.isin("run", "allow-project")
+        g = run(g, ["session_id", "tool"], "seq", [("tool_latch", "bool_or", let_through, False)], materialize=False)
+        g = g.withColumn("sl_row", F.col("can_prompt") & (ans == "allow-project") & ~F.col("tool_latch"))
+        return run(g, ["session_id"], "seq", [("session_latch", "bool_or", F.col("sl_row"), False)], materialize=False)
     outcome = (F.when(F.col("session_latch") | F.col("tool_latch"), "allow")
                .when(~F.col("can_prompt"), "allow+notice").when(ans.isin("run", "allow-project"), "allow").otherwise("block"))
-    g = g.withColumn("fu_outcome", outcome).drop("tool_latch", "session_latch", "sl_row")
-    rest = c.where("NOT fu_applies").withColumn("fu_outcome", F.lit("allow"))
-    return g.unionByName(rest).drop("provenance", "fu_intrinsic")
+    gated = by_heat(asked, "session_id", latches).select("session_id", "seq", "tool", outcome.alias("_outcome")).distinct()
+    return (calls.join(gated, ["session_id", "seq", "tool"], "left")
+            .withColumn("fu_applies", F.col("_outcome").isNotNull()).withColumn("fu_outcome", F.coalesce("_outcome", F.lit("allow"))).drop("_outcome"))
 
 
 def verdict(calls: DataFrame) -> DataFrame:
@@ -80,8 +78,8 @@ def egress_gate(v: DataFrame) -> DataFrame:
     ans = answer(EGRESS_ANSWERS)
     latch_row = (F.col("exfil_policy") == "warn") & F.col("can_prompt") & (ans == "allow-session")
     # The latch only matters for, and is only set by, calls with a verdict.
-    g = running(v.where("fires").withColumn("latch_row", latch_row), ["session_id"], "seq",
-                [("allow_latch", "bool_or", F.col("latch_row"), False)], materialize=False)
+    g = by_heat(v.where("fires").withColumn("latch_row", latch_row), "session_id", lambda rows, run: run(
+        rows, ["session_id"], "seq", [("allow_latch", "bool_or", F.col("latch_row"), False)], materialize=False))
     g = g.unionByName(v.where("NOT fires").withColumn("latch_row", F.lit(False)).withColumn("allow_latch", F.lit(False)))
     decision = (F.when(~F.col("fires") | (F.col("exfil_policy") == "off"), "allow")
                 .when(F.col("allow_latch"), "allow+notice").when(F.col("exfil_policy") == "block", "block")
@@ -127,22 +125,23 @@ def result_text(shape: Column, s: Column) -> Column:
 
 
 def ingest_gate(r: DataFrame) -> DataFrame:
-    """W7 over tool-result rows with `shape`, `s` (text) and `hits`: adds
-    `secret_hits`, `action` and `outcome` (kept / redacted / could-not-redact)."""
+    """W7 over tool-result rows with `shape`, `s` (text), `redacted_s` and `hits`: adds
+    `secret_hits`, `action` and `outcome` (kept / redacted / could-not-redact). The
+    texts are left behind; only whether redaction changed them goes on."""
     sh = detect.secret_hits(F.col("hits"))
     applies = (F.col("result_policy") != "off") & (F.size(sh) > 0)
     ans = answer(INGEST_ANSWERS)
     remember = F.when(applies & (F.col("result_policy") == "warn") & F.col("can_prompt") & ans.endswith("+remember"),
                       F.when(ans.startswith("redact"), "redact").otherwise("keep"))
-    r = cut_lineage(r.withColumn("secret_hits", sh).withColumn("applies", applies).withColumn("remember", remember))
-    g = running(r.where("applies"), ["session_id"], "seq", [("result_latch", "first", F.col("remember"), False)],
-                materialize=False)
+    r = r.withColumn("secret_hits", sh).withColumn("applies", applies).withColumn("remember", remember)
+    r = cut_lineage(r.withColumn("changed", F.col("redacted_s") != F.col("s")).drop("redacted_s", "s", "text", "content", "hits"))
+    g = by_heat(r.where("applies"), "session_id", lambda rows, run: run(
+        rows, ["session_id"], "seq", [("result_latch", "first", F.col("remember"), False)], materialize=False))
     g = g.unionByName(r.where("NOT applies").withColumn("result_latch", F.lit(None).cast("string")))
     action = (F.when(~F.col("applies"), "keep").when(F.col("result_latch").isNotNull(), F.col("result_latch"))
               .when(F.col("result_policy") == "redact", "redact")
               .when(F.col("can_prompt"), F.when(ans.startswith("redact"), "redact").otherwise("keep"))
               .otherwise("redact"))
-    changed = F.col("redacted_s") != F.col("s")
     outcome = (F.when(action != "redact", "kept").when(F.col("shape") == "object", "could-not-redact")
-               .when(changed, "redacted").otherwise("could-not-redact"))
+               .when(F.col("changed"), "redacted").otherwise("could-not-redact"))
     return g.withColumn("action", action).withColumn("outcome", outcome)

@@ -11,7 +11,7 @@ from ..operators import redact
 from ..operators import surface as S
 from ..operators import tool_gates as TG
 from ..session import cut_lineage
-from ..operators.running import running
+from ..operators.running import by_heat
 from ..sources import fixtures
 from ..sources.seedframes import broadcast_seed
 from ..sources.tables import documents, ensure_parallel
@@ -33,22 +33,32 @@ def _replay_agg(spark, sf):
 
 def session_summary(spark, sf):
     """One row per session: final tier, PII gate, downgrades, tools not
-    supplied by the user, observed egress hosts and blocks, credentials redacted
-    at ingest. Each part is a per-session aggregate; the parts join on session."""
+    supplied by the user, first-use and egress decisions, observed egress hosts
+    and blocks, credentials redacted at ingest. Each part is a per-session
+    aggregate; the parts join on session. Three checkpoints, none with text: the
+    scanned timeline, the calls' verdicts, the results' findings."""
     sessions = fixtures.session_events(spark, sf).select("session_id").distinct()
     rep = _replay_agg(spark, sf)
-    # the classified inventory feeds both the surface counts and the first-use gate
-    entries = cut_lineage(surface_jobs.entries(spark, sf))
+    entries = surface_jobs.entries(spark, sf)
     surf = S.summary(entries).select("session_id", "not_yours")
-    led = TG.ledger(tool_jobs._gated(spark, sf, entries)).groupBy("session_id").agg(
+    verdicts = tool_jobs._verdicts(tool_jobs._first_use(spark, sf, entries))
+    first = verdicts.groupBy("session_id").agg(F.count_if("fu_applies").alias("first_use_asked"),
+                                               F.count_if(F.col("fu_outcome") == "block").alias("first_use_blocked"))
+    gate = TG.egress_gate(verdicts.where("fu_outcome <> 'block'"))
+    decided = gate.where("fires").groupBy("session_id").agg(F.count(F.lit(1)).alias("egress_flagged"),
+                                                           F.count_if(F.col("decision") == "block").alias("egress_stopped"))
+    led = TG.ledger(gate).groupBy("session_id").agg(
         F.count_distinct("host").alias("egress_hosts"), F.sum("blocked").cast("bigint").alias("egress_blocked"))
     ing = tool_jobs.ingest_gate(spark, sf).groupBy("session_id").agg(
         F.count_if(F.col("outcome") == "redacted").alias("secrets_redacted"))
-    j = sessions.join(rep, "session_id", "left").join(surf, "session_id", "left").join(led, "session_id", "left") \
-        .join(ing, "session_id", "left")
-    return j.select("session_id", "final_tier", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in
-                    ["payloads", "pii_prompts", "pii_redacted", "downgrades", "not_yours", "egress_hosts",
-                     "egress_blocked", "secrets_redacted"]])
+    j = sessions
+    for part in (rep, surf, first, decided, led, ing):
+        j = j.join(part, "session_id", "left")
+    return j.select("session_id", "final_tier", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in SUMMARY_COUNTS])
+
+
+SUMMARY_COUNTS = ["payloads", "pii_prompts", "pii_redacted", "downgrades", "not_yours", "first_use_asked", "first_use_blocked",
+                  "egress_flagged", "egress_stopped", "egress_hosts", "egress_blocked", "secrets_redacted"]
 
 
 def session_summary_sql():
@@ -56,14 +66,16 @@ def session_summary_sql():
                           "AS payloads, count(*) FILTER (WHERE prompted) AS pii_prompts, count(*) FILTER (WHERE action = 'redact') "
                           "AS pii_redacted, count(*) FILTER (WHERE dg_pass IS NOT NULL) AS downgrades FROM rp GROUP BY session_id")
     surf = f"WITH {surface_jobs.classified_ctes()}\n{surface_jobs.summary_select()}"
+    first = (f"WITH {tool_jobs._fu_ctes()}\nSELECT session_id, count(*) FILTER (WHERE fu_applies) AS first_use_asked, "
+             "count(*) FILTER (WHERE fu_outcome = 'block') AS first_use_blocked FROM fu4 GROUP BY session_id")
+    decided = (f"WITH {tool_jobs._gate_ctes()}\nSELECT session_id, count(*) AS egress_flagged, "
+               "count(*) FILTER (WHERE decision = 'block') AS egress_stopped FROM gate WHERE fires GROUP BY session_id")
     led = tool_jobs._ledger_ctes()
     led = f"WITH {led}\nSELECT session_id, count(DISTINCT host) AS egress_hosts, sum(blocked) AS egress_blocked FROM led GROUP BY session_id"
     ing = f"SELECT session_id, count(*) FILTER (WHERE outcome = 'redacted') AS secrets_redacted FROM ({tool_jobs.ingest_gate_sql()}) GROUP BY session_id"
-    cols = ["payloads", "pii_prompts", "pii_redacted", "downgrades", "not_yours", "egress_hosts", "egress_blocked", "secrets_redacted"]
-    return ("SELECT s.session_id, r.final_tier, " + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in cols) +
-            " FROM (SELECT DISTINCT user_id AS session_id FROM events) s "
-            f"LEFT JOIN ({rep}) r USING (session_id) LEFT JOIN ({surf}) t USING (session_id) "
-            f"LEFT JOIN ({led}) l USING (session_id) LEFT JOIN ({ing}) i USING (session_id)")
+    parts = "".join(f" LEFT JOIN ({part}) p{i} USING (session_id)" for i, part in enumerate((rep, surf, first, decided, led, ing)))
+    return ("SELECT s.session_id, final_tier, " + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in SUMMARY_COUNTS) +
+            " FROM (SELECT DISTINCT user_id AS session_id FROM events) s" + parts)
 
 
 # P9 -------------------------------------------------------------------------
@@ -73,8 +85,8 @@ def request_pins(spark, sf):
     ev = fixtures.session_events(spark, sf)
     tpl = broadcast_seed(spark, fixtures.provider_rows(), fixtures.PROVIDER_COLS)
     ev = ev.join(tpl, (ev.provider_i == tpl.i) & (ev.kind == "model_select"), "left")
-    r = running(ev, ["session_id"], "seq", [("cur_provider", "last", F.col("provider"), True),
-                                            ("cur_model", "last", F.col("model_id"), True)])
+    r = by_heat(ev, "session_id", lambda rows, run: run(rows, ["session_id"], "seq", [
+        ("cur_provider", "last", F.col("provider"), True), ("cur_model", "last", F.col("model_id"), True)], materialize=False))
     snip = broadcast_seed(spark, fixtures.snippet_rows(), fixtures.SNIPPET_COLS)
     p = r.where("kind = 'payload'").join(snip.withColumnRenamed("i", "si"), F.col("snippet_i") == F.col("si"))
     zdr = F.col("session_id") % 3 == 0

@@ -8,7 +8,7 @@ from ..functions import seeds
 from ..operators import detect
 from ..operators import posture as P
 from ..operators import session as S
-from ..operators.running import running
+from ..operators.running import by_heat, running
 from ..session import cut_lineage
 from ..sources import fixtures
 from ..sources.seedframes import broadcast_seed
@@ -54,17 +54,17 @@ def resolutions(spark, sf, ms=None):
         "pii_policy", "exfil_policy", "result_policy", "downgrade_policy", "surface_policy", F.col("seq").alias("switch_seq"))
 
 
-def timeline(spark, sf, events=None, landed: bool = True):
+def timeline(spark, sf, events=None, landed: bool = True, scan: bool = True):
     """One row per session event, and with `landed` a `tier_resolved` row for each
     switch whose posture resolved; payload rows carry per-type message hit counts.
-    `events` may be a streaming DataFrame: every step here is stateless or a
-    stream-static join."""
+    Without `scan` these are left out. `events` may be a streaming DataFrame: every
+    step here is stateless or a stream-static join."""
     ev = _events(spark, sf, events)
     ms = switches(spark, sf, ev)
     tl = ev.where(~F.col("kind").eqNullSafe("model_select")).unionByName(ms, allowMissingColumns=True)
     if landed:
         tl = tl.unionByName(resolutions(spark, sf, ms).drop("switch_seq"), allowMissingColumns=True)
-    return with_message_hits(spark, tl)
+    return with_message_hits(spark, tl) if scan else tl
 
 
 def with_message_hits(spark, tl):
@@ -88,10 +88,14 @@ STATE_KINDS = ["payload", "model_select", "tier_resolved"]
 
 def replay(spark, sf, gate: bool = True):
     """Only payloads, switches and resolutions carry PII-gate / tier state, so
-    tool rows are left out before the session passes."""
+    tool rows are left out before the session passes. The scanned timeline (counts
+    and scalars, no text) is checkpointed once."""
     base = cut_lineage(timeline(spark, sf).where(F.col("kind").isin(*STATE_KINDS)))
-    tl = S.downgrade(S.context_state(base))
-    return S.pii_gate(tl) if gate else tl
+
+    def passes(rows, run):
+        tl = S.downgrade(S.context_state(rows, run), run)
+        return S.pii_gate(tl, run) if gate else tl
+    return by_heat(base, "session_id", passes)
 
 
 # W1 -------------------------------------------------------------------------
@@ -109,8 +113,10 @@ def context_hits(spark, sf):
 
 # W2 / W3 / W4 / W5 ------------------------------------------------------------
 def provider_epoch(spark, sf):
-    r = S.with_epoch(replay(spark, sf, gate=False))
-    return r.where("kind = 'model_select'").select("session_id", "seq", "provider", F.col("epoch").cast("bigint").alias("epoch"))
+    """W2 over switches only: nothing is scanned."""
+    ms = switches(spark, sf, _events(spark, sf)).select("session_id", "seq", "kind", "provider", F.lit(None).cast("string").alias("resolved"))
+    r = by_heat(ms, "session_id", lambda rows, run: S.with_epoch(S.tier_state(rows, run), run))
+    return r.select("session_id", "seq", "provider", F.col("epoch").cast("bigint").alias("epoch"))
 
 
 def pii_baseline(spark, sf):
@@ -156,16 +162,16 @@ def downgrade_report(spark, sf):
 # P8 -------------------------------------------------------------------------
 def posture_timeline(spark, sf):
     """Badge text per event; only changes are emitted (pending marker while unknown)."""
-    tl = S.context_state(cut_lineage(timeline(spark, sf).where(F.col("kind").isin(*STATE_KINDS))))
-    return badge_changes(tl)
+    tl = timeline(spark, sf, scan=False).where(F.col("kind").isin(*STATE_KINDS)).select("session_id", "seq", "kind", "provider", "resolved")
+    return by_heat(tl, "session_id", lambda rows, run: badge_changes(S.tier_state(rows, run), run))
 
 
-def badge_changes(tl):
-    """P8 over a context-state timeline: the badge at switches, resolutions and
+def badge_changes(tl, run=running):
+    """P8 over a timeline with `tier_now`: the badge at switches, resolutions and
     requests, emitted only where it differs from the previous badge."""
     badge = F.when(F.col("kind").isin("model_select", "tier_resolved", "payload"), P.badge(F.col("tier_now")))
-    r = running(tl.withColumn("badge", badge), ["session_id"], "seq", [("prev_badge", "last", F.col("badge"), False)],
-                materialize=False)
+    r = run(tl.withColumn("badge", badge), ["session_id"], "seq", [("prev_badge", "last", F.col("badge"), False)],
+            materialize=False)
     return r.where(F.col("badge").isNotNull() & ~F.col("badge").eqNullSafe(F.col("prev_badge"))).select(
         "session_id", "seq", "badge")
 

@@ -31,12 +31,16 @@ def _first_use(spark, sf, entries=None):
 
 
 def _gated(spark, sf, entries=None):
-    """W8 -> E6 -> W6. The verdict (URL parsing and a 15-pattern scan per call)
-    is checkpointed once: the latch pass and the rows it does not touch both
-    read it."""
-    f = _first_use(spark, sf, entries)
-    v = cut_lineage(TG.verdict(f.where("fu_outcome <> 'block'")))
-    return TG.egress_gate(v)
+    """W8 -> E6 -> W6."""
+    return TG.egress_gate(_verdicts(_first_use(spark, sf, entries)).where("fu_outcome <> 'block'"))
+
+
+def _verdicts(f):
+    """E6, checkpointed once without the calls' inputs: URL parsing and a 15-pattern scan per call are
+    not repeated by the latch pass and the rows it does not touch."""
+    stopped = f.where("fu_outcome = 'block'")  # kept out of the scan
+    v = TG.verdict(f.where("fu_outcome <> 'block'")).drop("input_json", "hits")
+    return cut_lineage(v.unionByName(stopped.drop("input_json"), allowMissingColumns=True))
 
 
 def first_use_gate(spark, sf):

@@ -3,6 +3,7 @@ a brute-force, event-at-a-time replay of the same sessions."""
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -29,47 +30,77 @@ def test_running_matches_plain_window(spark):
     assert a == b
 
 
-class _State:
+class _Value:
+    """The state variables of one session, kept in memory."""
+
     def __init__(self):
-        self.v = None
-        self.hasTimedOut = False
+        self.v = {}
 
-    @property
     def exists(self):
-        return self.v is not None
+        return bool(self.v)
 
-    @property
     def get(self):
-        return self.v
+        return self.v.get(None)
 
     def update(self, v):
-        self.v = v
+        self.v[None] = v
+
+    def iterator(self):
+        return iter(list(self.v.items()))
+
+    def updateValue(self, k, v):
+        self.v[k] = v
+
+    def removeKey(self, k):
+        del self.v[k]
+
+    def clear(self):
+        self.v.clear()
+
+
+class _Handle:
+    def getValueState(self, *_):
+        return _Value()
 
-    def setTimeoutDuration(self, _):
-        pass
+    getMapState = getValueState
 
 
-def test_replay_equals_brute_force(spark):
+def _brute(pdf):
+    """Every session through the stream's processor, in chunks of any order, in two micro-batches."""
+    from shroud.streaming import gate_state
+    out = []
+    for sid, g in pdf.sort_values("seq").groupby("session_id"):
+        p = gate_state.GateProcessor()
+        p.init(_Handle())
+        for batch in (g.iloc[:len(g) // 2], g.iloc[len(g) // 2:]):
+            chunks = [c for c in (batch.iloc[::2].sample(frac=1.0, random_state=1), batch.iloc[1::2]) if len(c)]
+            out += list(p.handleInputRows((sid,), iter(chunks), None)) if chunks else []
+    return pd.concat(out)
+
+
+@pytest.mark.parametrize("hot_rows", ["1000000", "30"])
+def test_replay_equals_brute_force(spark, hot_rows):
+    """With plain windows, and with the larger sessions in chunks."""
     from shroud.operators import detect
     from shroud.plans import session_jobs
-    from shroud.streaming import gate_state
-    tl = session_jobs.timeline(spark, SF_SMALL)
+    tl = session_jobs.timeline(spark, SF_SMALL).where(F.col("kind").isin(*session_jobs.STATE_KINDS))
     cols = ["session_id", "seq", "kind", "provider", "ceiling", "resolved", "answer_i", "can_prompt", "unattended",
             "pii_policy", "downgrade_policy"] + [f"m_{detect.col_name(t)}" for t in detect.TYPE_ORDER]
-    pdf = tl.select(*cols).toPandas()
-    brute = []
-    for sid, g in pdf.groupby("session_id"):
-        for out in gate_state.step((sid,), iter([g.sample(frac=1.0, random_state=1)]), _State()):
-            brute.append(out)
-    brute = pd.concat(brute)
+    brute = _brute(tl.select(*cols, F.col("ts").alias("at"), F.unix_millis("ts").alias("at_ms")).toPandas())
+    assert tl.groupBy("session_id").count().agg(F.max("count"), F.min("count")).first()[0] > 30
     pii = brute[brute.out_kind == "pii"]
-    batch = session_jobs.pii_gate(spark, SF_SMALL).toPandas()
-    key = ["session_id", "seq"]
-    m = batch.merge(pii, on=key, suffixes=("", "_b"))
+    spark.conf.set("shroud.running.hot_rows", hot_rows)
+    spark.conf.set("shroud.running.span", "500")
+    try:
+        batch = session_jobs.pii_gate(spark, SF_SMALL).toPandas()
+        dg = session_jobs.downgrade_guard(spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.unset("shroud.running.hot_rows")
+        spark.conf.unset("shroud.running.span")
+    m = batch.merge(pii, on=["session_id", "seq"], suffixes=("", "_b"))
     assert len(m) == len(batch) == len(pii)
-    for c in ["action", "gated", "fresh", "prompted"]:
+    for c in ["action", "gated", "fresh", "prompted", "epoch"]:
         assert (m[c].astype(str) == m[c + "_b"].astype(str)).all(), c
-    dg = session_jobs.downgrade_guard(spark, SF_SMALL).toPandas()
     bd = brute[brute.out_kind == "downgrade"]
     assert sorted(zip(dg.seq, dg.decision)) == sorted(zip(bd.seq, bd.decision))
 
