@@ -94,35 +94,51 @@ def report_grade(raw: Column, nonce: Column) -> Column:
                     posture.alias("posture"))
 
 
+def _live_bytes(live_key: Column) -> Column:
+    """The observed key's bytes. It must be 64 hex characters to count (a non-hex key
+    would decode to nothing and match vacuously)."""
+    return F.when(live_key.rlike("^[0-9A-Fa-f]{64}$"), F.unhex(live_key))
+
+
+def body_facts(report: Column, live_key: Column) -> Column:
+    """What grading needs of a decoded body: STRUCT<head, size, holds>; NULL without one."""
+    holds = F.coalesce(F.position(F.hex(_live_bytes(live_key)), F.hex(report)) % 2 == 1, F.lit(False))
+    return F.when(report.isNotNull(), F.struct(F.substring(report, 1, seeds.SEV_REPORT_MIN_BYTES).alias("head"),
+                                               F.length(report).cast("bigint").alias("size"), holds.alias("holds")))
+
+
 def key_grade(fmt: Column, report: Column, live_key: Column) -> Column:
-    """STRUCT<hardware, attested_key, matched, posture> of a key-pin document.
+    """P6 of a decoded body (BINARY)."""
+    return key_grade_of(fmt, body_facts(report, live_key), live_key)
+
 
-    `report` is the decoded body (BINARY). A live key must be 64 hex characters
-    to count (a non-hex key would decode to nothing and match vacuously)."""
+def key_grade_of(fmt: Column, facts: Column, live_key: Column) -> Column:
+    """STRUCT<hardware, attested_key, matched, posture> of a key-pin document."""
     f = F.lower(F.coalesce(fmt, F.lit("")))
     hw = F.filter(F.array(F.when(f.rlike("sev|snp"), F.lit("AMD SEV-SNP")), F.when(f.contains("tdx"), F.lit("Intel TDX")),
                           F.when(f.contains("nitro"), F.lit("AWS Nitro"))), lambda x: x.isNotNull())
-    attested = F.when(f.contains("sev-snp-guest") & (F.length(report) >= seeds.SEV_REPORT_MIN_BYTES),
-                      F.lower(F.hex(F.substring(report, seeds.SEV_KEY_OFFSET + 1, seeds.SEV_KEY_END - seeds.SEV_KEY_OFFSET))))
-    live_ok = live_key.rlike("^[0-9A-Fa-f]{64}$")
-    matched = F.coalesce(live_ok & report.isNotNull() & (
-        F.coalesce(attested == F.lower(live_key), F.lit(False))
-        | (F.position(F.hex(F.unhex(live_key)), F.hex(report)) % 2 == 1)), F.lit(False))
+    attested = F.when(f.contains("sev-snp-guest") & (facts["size"] >= seeds.SEV_REPORT_MIN_BYTES),
+                      F.lower(F.hex(F.substring(facts["head"], seeds.SEV_KEY_OFFSET + 1, seeds.SEV_KEY_END - seeds.SEV_KEY_OFFSET))))
+    same = F.coalesce(attested == F.lower(F.hex(_live_bytes(live_key))), F.lit(False))
+    matched = same | F.coalesce(facts["holds"], F.lit(False))
     posture = (F.when((F.size(hw) == 0) & attested.isNull(), "red").when((F.size(hw) > 0) & matched, "green")
                .otherwise("yellow"))
     return F.struct(F.array_join(hw, ", ").alias("hardware"), attested.alias("attested_key"), matched.alias("matched"),
                     posture.alias("posture"))
 
 
-def with_decoded_body(df, body: str = "body", out: str = "report"):
-    """Key-pin body: base64, gunzipped when the gzip magic leads.
+def with_body_facts(df, body: str = "body", live_key: str = "live_key", out: str = "facts"):
+    """Key-pin body (base64, gunzipped when the gzip magic leads) as the facts that
+    grading needs; a gzipped body is read as a stream, whatever its length.
 
     Spark evaluates a Python UDF for every row of its input even inside a CASE,
     so gzipped rows are split off by a filter first; only they cross into the
     Arrow-batched UDF, and the two halves are unioned back (no join)."""
-    from ..functions.gunzip import gunzip_udf
+    from ..functions.gunzip import gunzip_facts_udf
     d = df.withColumn("_raw", F.unbase64(F.col(body)))
+    key = F.col(live_key)
     is_gz = F.coalesce(F.hex(F.substring("_raw", 1, 2)) == "1F8B", F.lit(False))
-    gz = d.where(is_gz).withColumn(out, gunzip_udf()(F.col("_raw")))
-    plain = d.where(~is_gz).withColumn(out, F.col("_raw"))
+    gz = d.where(is_gz).withColumn(out, gunzip_facts_udf()(F.col("_raw"), _live_bytes(key)))
+    gz = gz.withColumn(out, F.when(F.col(out)["size"].isNotNull(), F.col(out)))
+    plain = d.where(~is_gz).withColumn(out, body_facts(F.col("_raw"), key))
     return gz.unionByName(plain).drop("_raw")

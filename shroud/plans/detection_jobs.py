@@ -218,23 +218,29 @@ def pii_inline_sql():
 
 # D15 -----------------------------------------------------------------------
 def profile_of(scanned: DataFrame) -> DataFrame:
-    """Hits, suppressed and affected units by source x lang x type with subtotals.
+    """Hits, suppressed and affected units (rows with a hit) by source x lang x type with subtotals.
 
-    Long rows are built per document without a shuffle; the rollup then runs a
-    partial (map-side) aggregate, so a hot source never lands whole in one task.
+    A text adds one row per type and one for all types together, which alone counts it in the
+    subtotals: no distinct count, and only sums by (source, lang, type) leave a task. The rollup runs
+    over these few sums.
     """
+    def count_of(field, t):
+        return F.coalesce(F.get(F.filter(field, lambda h: h["type"] == t), 0)["count"], F.lit(0).cast("bigint"))
+
     def per_type(t):
-        return F.struct(
-            t.alias("type"),
-            F.coalesce(F.get(F.filter("hits", lambda h: h["type"] == t), 0)["count"], F.lit(0).cast("bigint")).alias("h"),
-            F.coalesce(F.get(F.filter("suppressed", lambda h: h["type"] == t), 0)["count"],
-                       F.lit(0).cast("bigint")).alias("s"))
-    long = scanned.select("doc_id", "source", "lang",
-                          F.inline(F.transform(F.array(*[F.lit(t) for t in detect.TYPE_ORDER]), per_type)))
-    long = long.where("h > 0 OR s > 0")
-    return (long.rollup("source", "lang", "type")
-            .agg(F.sum("h").cast("bigint").alias("hits"), F.sum("s").cast("bigint").alias("suppressed"),
-                 F.count_distinct(F.when(F.col("h") > 0, F.col("doc_id"))).cast("bigint").alias("units")))
+        return F.struct(t.alias("type"), count_of("hits", t).alias("h"), count_of("suppressed", t).alias("s"))
+    total = F.struct(F.lit(None).cast("string").alias("type"), F.lit(0).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("s"))
+    types = F.transform(F.array(*[F.lit(t) for t in detect.TYPE_ORDER]), per_type)
+    long = scanned.where((F.size("hits") > 0) | (F.size("suppressed") > 0)).select(
+        "source", "lang", (F.size("hits") > 0).alias("any"), F.inline(F.concat(F.filter(types, lambda x: (x["h"] > 0) | (x["s"] > 0)), F.array(total))))
+    sums = long.groupBy("source", "lang", "type").agg(F.sum("h").alias("h"), F.sum("s").alias("s"), F.count_if(F.col("h") > 0).alias("units"),
+                                                      F.count_if("any").alias("any"))
+    level = F.grouping("type") + F.grouping("lang") + F.grouping("source")
+    rolled = sums.rollup("source", "lang", "type").agg(
+        F.sum("h").alias("hits"), F.sum("s").alias("suppressed"), F.sum("units").alias("units"),
+        F.sum(F.when(F.col("type").isNull(), F.col("any"))).alias("any"), level.alias("level"))
+    return (rolled.where((F.col("level") > 0) | F.col("type").isNotNull())
+            .select("source", "lang", "type", "hits", "suppressed", F.when(F.col("level") > 0, F.coalesce("any", F.lit(0))).otherwise(F.col("units")).alias("units")))
 
 
 def pii_profile(spark, sf):

@@ -75,8 +75,8 @@ def attest_report_grade(spark, sf):
 
 
 def attest_key_grade(spark, sf):
-    d = P.with_decoded_body(fixtures.attest_docs(spark, sf))
-    g = P.key_grade(F.col("format"), F.col("report"), F.col("live_key"))
+    d = P.with_body_facts(fixtures.attest_docs(spark, sf))
+    g = P.key_grade_of(F.col("format"), F.col("facts"), F.col("live_key"))
     return d.select("doc_id", "host", g["hardware"].alias("hardware"), g["attested_key"].alias("attested_key"),
                     g["matched"].alias("matched"), g["posture"].alias("posture"), P.tier_from_tee(g["posture"]).alias("tier"))
 

@@ -61,17 +61,21 @@ def test_an_explicit_file_of_bad_rows_still_replaces_the_project_file(spark):
 
 def test_undecodable_bodies_count_as_absent():
     whole = gzip.compress(b"x" * 500)
-    assert gunzip._one(whole) == b"x" * 500
+    assert gunzip.facts(whole, b"xx") == (b"x" * 144, 500, True)
     broken = whole[:12] + bytes(8) + whole[20:]
     for body in (broken, whole[:-9], b"not gzip", b"", base64.b64encode(whole)):
-        assert gunzip._one(body) in (None, b"")
-    assert gunzip._one(None) is None
-
-
-def test_a_body_beyond_the_bound_is_not_cut_short(monkeypatch):
-    monkeypatch.setattr(gunzip, "MAX_BODY_BYTES", 100)
-    assert gunzip._one(gzip.compress(b"y" * 100)) == b"y" * 100
-    assert gunzip._one(gzip.compress(b"y" * 101)) is None
+        assert gunzip.facts(body, b"xx") in (None, (b"", 0, False))
+    assert gunzip.facts(None, b"xx") is None
+
+
+def test_a_long_body_is_read_to_its_end():
+    key = bytes(range(32))
+    chunk = gunzip.CHUNK
+    for at in (0, chunk - 31, chunk - 1, chunk, 3 * chunk - 16, 5 * chunk + 7):  # also across the edges of chunks
+        body = gzip.compress(b"y" * at + key + b"z" * 100)
+        assert gunzip.facts(body, key) == ((b"y" * at + key + b"z" * 100)[:144], at + 132, True)
+        assert gunzip.facts(body, bytes(32)) == ((b"y" * at + key + b"z" * 100)[:144], at + 132, False)
+    assert gunzip.facts(gzip.compress(b"y" * (70 << 20)), None) == (b"y" * 144, 70 << 20, False)
 
 
 def test_a_repeated_tool_name_does_not_multiply_calls(spark):

@@ -69,6 +69,6 @@ def test_gzipped_key_pin_body(spark):
     raw = bytes.fromhex("00" * 0x50 + key + "00" * 32)
     rows = [(base64.b64encode(gzip.compress(raw)).decode(), key), (base64.b64encode(raw).decode(), key)]
     df = spark.createDataFrame(rows, "b string, k string")
-    d = P.with_decoded_body(df.withColumn("i", F.monotonically_increasing_id()), body="b")
-    g = d.select("i", P.key_grade(F.lit("https://x/predicate/sev-snp-guest/v2"), F.col("report"), F.col("k")).alias("g"))
+    d = P.with_body_facts(df.withColumn("i", F.monotonically_increasing_id()), body="b", live_key="k")
+    g = d.select("i", P.key_grade_of(F.lit("https://x/predicate/sev-snp-guest/v2"), F.col("facts"), F.col("k")).alias("g"))
     assert [r.g.posture for r in g.orderBy("i").collect()] == ["green", "green"]
