@@ -7,10 +7,12 @@ bits (the fewest normalised phrases) wins.
 
 The automaton is a deterministic table (state x letter), so many texts are parsed in step with array
 operations. Letters are lower-cased, everything else counts as one space. Texts are parsed whole, in
-blocks of `block` characters (a phrase ends with its block), so a long text is many short lanes.
+blocks of `block` characters (a phrase ends with its block), so a long text is many short lanes: in
+each language at most one phrase more per `block` characters, alike for all languages.
 
 Learning is on a bounded sample: `sample_docs` documents a language (the one with the least hash of
-its id in each of as many hash ranges), `sample_chars` characters in all, shared by the languages.
+its id in each of as many hash ranges), `sample_chars` characters in all, shared by the languages; a
+document gives a stretch that begins at a place named by its hash.
 The sample is all that reaches the driver; each Python worker builds the automata once.
 
 Defined cases: null text or no letter: `und`, score 0; no learned language: `und`; ties go to the
@@ -33,12 +35,14 @@ UNKNOWN, SPACE, BREAK = 0, 1, 2  # letter codes; from 3 on the alphabet
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 64,
            sample_chars: int = 160_000) -> dict[str, list[str]]:
-    """Texts by language: one document of each of `sample_docs` hash ranges, each cut to its share."""
+    """Texts by language: of one document of each of `sample_docs` hash ranges, a stretch that begins at
+    a place named by the document's hash, so that no part of a document weighs more than another."""
     order = F.xxhash64(F.col(id_col))
     share = 4 * sample_chars // sample_docs
+    start = F.pmod(F.xxhash64(F.lit(1), F.col(text_col)), F.greatest(F.length(text_col) - share + 1, F.lit(1))).cast("int") + 1
     picked = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
               .groupBy(F.col(lang_col).alias("lang"), F.pmod(order, F.lit(sample_docs)).alias("range"))
-              .agg(F.min_by(F.substring(text_col, 1, share), F.struct(order, F.col(id_col), F.xxhash64(text_col))).alias("text")))
+              .agg(F.min_by(F.substring(text_col, start, F.lit(share)), F.struct(order, F.col(id_col), F.xxhash64(text_col))).alias("text")))
     out: dict[str, list[str]] = {}
     for r in picked.orderBy("lang", "range").collect():  # at most sample_docs rows a language
         out.setdefault(r["lang"], []).append(r["text"])
@@ -47,12 +51,14 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def _share(texts: list[str], chars: int) -> list[str]:
-    """The texts cut to one length so that they hold `chars` characters together, if they can."""
+    """The texts cut to one length, around their middles, so that they hold `chars` characters
+    together, if they can."""
     low, high = 0, max(map(len, texts))
     while low < high:
         mid = (low + high + 1) // 2
         low, high = (mid, high) if sum(min(len(t), mid) for t in texts) <= chars else (low, mid - 1)
-    return [t[:max(low, 1)] for t in texts]
+    low = max(low, 1)
+    return [t[max(0, len(t) - low) // 2:][:low] for t in texts]
 
 
 class Letters:

@@ -329,21 +329,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                             .select("node", F.coalesce("top", "root").alias("root")))
 
     named = signed.select("id", "text_hash", "node").join(roots, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
-    named = cut_lineage(named)
-    first = cut_lineage(named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"),
+    named = cut_lineage(named.withColumn("row", F.monotonically_increasing_id()))  # tells rows that repeat apart
+    first = cut_lineage(named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "row")).alias("first"),
                                                   F.count(F.lit(1)).alias("class_size")))  # so that a large class's join can be split
     return named.join(first, "root").select(
         F.col("id").alias(id_col), "text_hash", F.col("first.id").alias("class_id"), "class_size",
-        (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("kept"))
+        (F.col("row") == F.col("first.row")).alias("kept"),
+        (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("as_kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input rows, all of their columns, of which one of each class stays."""
-    gone = classes(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_id"), "text_hash").distinct()
+    """The input rows, all of their columns, of which one of each class stays. Of rows that repeat the
+    id and text of the one that stays, any one does."""
+    found = classes(docs, id_col, text_col, **options).select(F.col(id_col).alias("_id"), "text_hash", "kept", "as_kept")
+    gone = found.where("not as_kept").select("_id", "text_hash").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_row_id"),
                        F.xxhash64(text_or_empty(text_col)).alias("_here"))
-    on = rows["_row_id"].eqNullSafe(gone["_id"]) & (rows["_here"] == gone["text_hash"])
-    return rows.join(gone, on, "left_anti").select("_row.*")
+
+    def on(other):
+        return rows["_row_id"].eqNullSafe(other["_id"]) & (rows["_here"] == other["text_hash"])
+    rows = rows.join(gone, on(gone), "left_anti")
+    again = found.where("as_kept and not kept").select("_id", "text_hash").distinct()
+    if again.isEmpty():
+        return rows.select("_row.*")
+    repeated = rows.join(again, on(again), "left_semi").groupBy("_row_id", "_here").agg(F.first("_row").alias("_row"))
+    return rows.join(again, on(again), "left_anti").select("_row.*").union(repeated.select("_row.*"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,9 +43,11 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by_doc = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
               .agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("_label")))
     shares = {r["_label"]: r["count"] for r in by_doc.groupBy("_label").count().collect()}
+    usable = (docs.where(F.length(text_col) <= longest).select(F.col(id_col).alias("_id")).join(by_doc, "_id", "left_semi").distinct()
+              .join(by_doc, "_id"))
     ids = None
     for label in (0, 1):
-        part = by_doc.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
+        part = usable.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
         ids = part if ids is None else ids.union(part)
     texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
              .where(F.length("_text") <= longest).join(F.broadcast(ids), "_id")  # at most 2 * sample_docs rows

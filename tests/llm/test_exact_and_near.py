@@ -161,7 +161,18 @@ def test_near_odd_rows(odd_docs, no_docs):
     assert near_dedup.classes(no_docs).count() == 0
     kept = near_dedup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 8, 8, 9, 10, 11, 12]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 8, 9, 10, 11, 12]
+    assert sorted(r.kept for r in rows if r.doc_id == 8) == [False, True]
+    assert sum(r.kept for r in rows) == kept.count()
+
+
+def test_near_repeated_rows_keep_one(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text + " more"), (1, text), (None, "x y z a b c"), (None, "x y z a b c"), (3, "other words stand in this one here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = near_dedup.keep_one(docs)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", text), ("3", rows[-1][1]), ("None", "x y z a b c")]
+    assert sum(r.kept for r in near_dedup.classes(docs).collect()) == 3
 
 
 def test_components(spark):
