@@ -13,6 +13,15 @@ from shroud.llm import collocations as co
 ROWS = "lang", "rank", "phrase", "a", "l", "r", "n", "score"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small inputs: most of the time would go into empty partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def brute(docs, min_count=100, longest=5, top=2000):
     grams, n = Counter(), Counter()
     for lang, text in docs:
