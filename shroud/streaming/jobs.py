@@ -35,8 +35,9 @@ SESSION_GAP = "30 minutes"
 SESSION_DELAY = "1 hour"
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """A file stream over one input table (a directory, or the table's file glob)."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1_000) -> DataFrame:
+    """A file stream over one input table (a directory, or the table's file glob). Up to `max_files`
+    new files make a micro-batch, so that they are read side by side."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
             .parquet(f"{sf_dir.rstrip('/')}/{name}*.parquet"))
@@ -161,8 +162,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str, base: str | None = None, wit
     schema = spark.read.parquet(f"{base}/gate/out").schema
     alerts = spark.readStream.schema(schema).parquet(f"{base}/gate/out").where("out_kind = 'downgrade'")
     once = alerts.withWatermark("at", within).dropDuplicatesWithinWatermark(["session_id", "switch_seq"])
-    with rocksdb(spark):
-        return run_available_now(once.select(*DOWNGRADE_COLS), "stream_alerts", f"{base}/alerts")
+    return run_available_now(once.select(*DOWNGRADE_COLS), "stream_alerts", f"{base}/alerts")
 
 
 LANDS_WITHIN = "10 minutes"
@@ -185,8 +185,7 @@ def stream_switch_posture(spark: SparkSession, sf_dir: str, base: str | None = N
                                     f"AND landed_at <= ts + INTERVAL {LANDS_WITHIN}"), "left_outer")
     out = joined.select("s.session_id", "s.seq", "provider", "ceiling", "tier", F.col("landed_at").isNotNull().alias("landed"),
                         (F.unix_millis("landed_at") - F.unix_millis("ts")).alias("landed_after_ms"))
-    with rocksdb(spark):
-        return run_available_now(out, "stream_switch_posture", base)
+    return run_available_now(out, "stream_switch_posture", base)
 
 
 def stream_multi_sink(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
