@@ -43,7 +43,7 @@ def test_run_and_registration(spark):
 
     names = __spark_entry__.queries()
     assert {"pipeline", *queries.QUERIES} <= set(names)
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 14))
     rows = names["pipeline"](spark, SF_SMALL).collect()
     assert collections.Counter(r.doc_id for r in rows) and all(r.length > 0 for r in rows)
 
