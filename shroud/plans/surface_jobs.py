@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seeds
 from ..functions.regex import to_re2
-from ..operators import surface as S
+from ..operators import schema_walk, surface as S
 from ..sources import fixtures
 from ..sources.seedframes import seed_sql
 from . import oracle as O
@@ -26,6 +26,10 @@ def tool_network_params(spark, sf):
     return entries(spark, sf).select(*K, "declares_network")
 
 
+def tool_url_params(spark, sf):
+    return schema_walk.url_parameters(fixtures.tool_info(spark, sf))
+
+
 def tool_reach(spark, sf):
     return entries(spark, sf).select(*K, "reach")
 
@@ -111,6 +115,22 @@ def classified_ctes():
         "ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY prov_ord, display_name) AS INTEGER) AS rank FROM ent)")
 
 
+def url_params_sql():
+    containers = ", ".join(O.q(c) for c in ["properties", *seeds.SCHEMA_CONTAINERS])
+    enters = "(NOT w.in_properties AND e.key IS NOT DISTINCT FROM 'properties')"
+    return (f"WITH {tools_cte()},\n"
+            # an element of an array has its position as key there
+            "w AS (WITH RECURSIVE w(session_id, name, node, in_properties, depth, path, parameter) AS (SELECT session_id, name, "
+            "CAST(parameters AS JSON), FALSE, 0, '$', CAST(NULL AS VARCHAR) FROM tools UNION ALL "
+            f"SELECT w.session_id, w.name, e.value, {enters}, CASE WHEN {enters} THEN w.depth ELSE w.depth + 1 END, "
+            "w.path || CASE WHEN json_type(w.node) = 'ARRAY' THEN '[' || e.key || ']' ELSE '.' || e.key END, "
+            "CASE WHEN w.in_properties THEN e.key END FROM w, LATERAL (SELECT * FROM json_each(w.node)) e "
+            f"WHERE w.depth <= {seeds.SCHEMA_MAX_DEPTH} AND json_type(w.node) IN ('OBJECT', 'ARRAY') AND CASE WHEN w.in_properties "
+            f"THEN json_type(w.node) = 'OBJECT' ELSE json_type(w.node) = 'ARRAY' OR e.key IN ({containers}) END) SELECT * FROM w)\n"
+            "SELECT session_id, name, path, parameter, CAST(depth - 1 AS INTEGER) AS depth FROM w "
+            f"WHERE regexp_matches(parameter, {O.q(seeds.URL_PARAM)})")
+
+
 def _sql(select):
     return f"WITH {classified_ctes()}\n{select}"
 
@@ -137,6 +157,7 @@ def surface_report_sql():
 JOBS = {
     "tool_provenance": (tool_provenance, lambda: _sql("SELECT session_id, name, provenance FROM ent")),
     "tool_network_params": (tool_network_params, lambda: _sql("SELECT session_id, name, declares_network FROM ent")),
+    "tool_url_params": (tool_url_params, url_params_sql),
     "tool_reach": (tool_reach, lambda: _sql("SELECT session_id, name, reach FROM ent")),
     "tool_surface": (tool_surface, lambda: _sql(
         "SELECT session_id, name, provenance, reach, glyph, provenance_label, reach_label, concern, path FROM ent")),
