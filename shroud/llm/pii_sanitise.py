@@ -25,7 +25,9 @@ replaced everywhere in the documents that hold the entity.
 
 Native throughout. Positions come from a pattern's matches and the pieces between them (one scan
 finds matches, a second runs only where there are some). Patterns are written so that a run of
-letters or digits is tried once from its start: linear on texts without spaces. Rows are scanned
+letters or digits is tried once from its start: linear on texts without spaces. What lies around and
+between spans is cut from pieces of a text, so the work on a text grows with its length and its spans,
+not with their product. Rows are scanned
 once into narrow spans and contexts at the shared checkpoint folder; copies are folded before every
 shuffle.
 
@@ -54,21 +56,37 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 WORD_FOR = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 SPAN = "struct<start:bigint,ord:int,end:bigint,kind:string,value:string>"
 BLOCK = 256
+#: Characters of a text that are cut out together, so that a place in a long text is found without walking it.
+CUT = 1024
+#: Parts into which the rows of one entity are dealt in a join.
+SALTS = 16
 
 
-def _running(lengths: Column) -> Column:
-    """Inclusive running sums of an array, in blocks, so that long arrays take no quadratic time."""
+def _running(values: Column, plus=lambda a, b: a + b) -> Column:
+    """Inclusive running sums (from 0) of an array, in blocks, so that long arrays take no quadratic time."""
     empty = F.array().cast("array<bigint>")
-    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["all"], F.array(a["sum"] + x)).alias("all"))
+    step = lambda a, x: F.struct(plus(a["sum"], x).alias("sum"), F.concat(a["all"], F.array(plus(a["sum"], x))).alias("all"))
     zero = F.struct(F.lit(0).cast("bigint").alias("sum"), empty.alias("all"))
     blocks = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")),
                                    lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, BLOCK), zero, step))
     # sums of all blocks before each
     before = lambda bs: F.aggregate(bs, zero, lambda a, b: F.struct(
-        (a["sum"] + b["sum"]).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all")))["all"]
+        plus(a["sum"], b["sum"]).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all")))["all"]
     joined = lambda bs: let(before(bs), lambda at: F.flatten(F.transform(
-        bs, lambda b, i: F.transform(b["all"], lambda x: x + F.get(at, i)))))
-    return F.when(F.size(lengths) == 0, empty).otherwise(let(lengths, lambda x: let(blocks(x), joined)))
+        bs, lambda b, i: F.transform(b["all"], lambda x: plus(x, F.get(at, i))))))
+    return F.when(F.size(values) == 0, empty).otherwise(let(values, lambda x: let(blocks(x), joined)))
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of CUT code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}+"), F.lit(0))
+
+
+def _cut(pieces: Column, frm: Column, to: Column) -> Column:
+    """The code points from `frm` up to `to` of the text that the pieces make up."""
+    first, last = F.floor(frm / CUT).cast("int"), F.floor((to - 1) / CUT).cast("int")
+    part = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.substring(part, (frm - first * CUT + 1).cast("int"), F.greatest(to - frm, F.lit(0)).cast("int"))
 
 
 def located(text: Column, pattern: str, guard: str | None = None) -> Column:
@@ -129,18 +147,35 @@ def _names(kind: Column, value: Column) -> Column:
 def _contexts(text: Column, spans: Column, reach: int, min_letters: int) -> Column:
     """array<struct<entity,term>>: the whole words near each span, for each of its entities."""
     pattern = TERM.format(n=min_letters)
+    padded = F.when(F.size(spans) > 0, F.concat(F.lit(" "), text, F.lit(" "))).otherwise("")
+
+    def near(pieces):
+        def window(frm, to):  # of the text between two spaces; frm and to in its code points
+            return F.transform(F.regexp_extract_all(_cut(pieces, frm, to), F.lit(pattern), F.lit(0)), F.lower)
 
-    def window(frm, to):  # of the text between two spaces; frm and to in its code points
-        piece = F.substring(F.concat(F.lit(" "), text, F.lit(" ")), (frm + 1).cast("int"), F.greatest(to - frm, F.lit(0)).cast("int"))
-        return F.transform(F.regexp_extract_all(piece, F.lit(pattern), F.lit(0)), F.lower)
+        def around(s):
+            left = F.greatest(s["start"] - reach, F.lit(0).cast("bigint"))
+            words = F.array_distinct(F.concat(window(left, s["start"] + 1), window(s["end"] + 1, s["end"] + 1 + reach)))
+            return let(words, lambda ws: F.flatten(F.transform(_names(s["kind"], s["value"]), lambda e: F.transform(
+                ws, lambda w: F.concat(e, F.lit("\n"), w)))))
 
-    def around(s):
-        left = F.greatest(s["start"] - reach, F.lit(0).cast("bigint"))
-        words = F.array_distinct(F.concat(window(left, s["start"] + 1), window(s["end"] + 1, s["end"] + 1 + reach)))
-        return let(words, lambda ws: F.flatten(F.transform(_names(s["kind"], s["value"]), lambda e: F.transform(
-            ws, lambda w: F.struct(e.alias("entity"), w.alias("term"))))))
+        # strings are told apart by hash, structs pair by pair; neither entities nor terms hold a line feed
+        return F.transform(F.array_distinct(F.flatten(F.transform(spans, around))), lambda x: F.struct(
+            F.substring_index(x, "\n", 1).alias("entity"), F.substring_index(x, "\n", -1).alias("term")))
 
-    return F.array_distinct(F.flatten(F.transform(spans, around)))
+    return let(_pieces(padded), near)
+
+
+def _text_hash(text: Column) -> Column:
+    """128 bits, so that no two different texts of a corpus share one."""
+    return F.unhex(F.md5(text))
+
+
+def _dealt(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """The join on `key`, the rows of one key dealt over SALTS tasks by `by`: a kind, or the domain of
+    a third of all addresses, is in as many texts as there are."""
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [key, "_salt"]).drop("_salt")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 100, min_letters: int = 4) -> DataFrame:
@@ -149,7 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     text = text_or_empty(text_col)
     both = let(base_spans(text), lambda b: F.struct(b.alias("base"), _contexts(text, b, reach, min_letters).alias("near"),
                                                     F.when(F.size(b) > 0, text).alias("held")))
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text_hash"), both.alias("_s")).select("_id", "_text_hash", "_s.*")
+    return docs.select(F.col(id_col).alias("_id"), _text_hash(text).alias("_text_hash"), both.alias("_s")).select("_id", "_text_hash", "_s.*")
 
 
 def _words(text: Column, min_letters: int) -> Column:
@@ -170,9 +205,10 @@ def _together(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     entity's terms and a text's words the fewer are dealt out, so a text with many entities or an
     entity with many terms doesn't multiply."""
     known = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_terms"))
-    asked = texts.select("_text_hash", "copies", F.size("words").alias("n_words"), F.explode("entities").alias("entity")).join(known, "entity")
+    asked = _dealt(texts.select("_text_hash", "copies", F.size("words").alias("n_words"), F.explode("entities").alias("entity")),
+                   known, "entity", "_text_hash")
     words = texts.select("_text_hash", F.explode("words").alias("term"))
-    by_term = asked.where("n_terms <= n_words").join(pairs, "entity").join(words, ["_text_hash", "term"], "left_semi")
+    by_term = _dealt(asked.where("n_terms <= n_words"), pairs, "entity", "_text_hash").join(words, ["_text_hash", "term"], "left_semi")
     by_word = asked.where("n_terms > n_words").join(words, "_text_hash").join(pairs, ["entity", "term"], "left_semi")
     columns = ["_text_hash", "copies", "entity", "term"]
     return cut_lineage(by_term.select(*columns).unionByName(by_word.select(*columns)))
@@ -192,7 +228,7 @@ def _weighed(docs: DataFrame, scanned: DataFrame, texts: DataFrame, text_col: st
     p, r = F.col("n_e") / F.col("n_docs"), F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))
     beside = F.when(r < 1, (1 - r) / r * F.log((1 - r) / (1 - p))).otherwise(0.0)
     proven = (r > p) & (F.col("texts") * (F.log(r / p) + beside) > F.log("n_tried"))
-    found = (pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(n_docs)).join(F.broadcast(n_tried))  # one row each
+    found = (_dealt(pairs.join(terms, "term"), entities, "entity", "term").join(F.broadcast(n_docs)).join(F.broadcast(n_tried))  # one row each
              .where(F.col("n_e") < F.col("n_docs")).withColumn("disclosure", share)
              .where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure", proven.alias("proven")))
     return found, together
@@ -243,12 +279,14 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def replaced(text: Column, spans: Column) -> Column:
     """The text with each span's value put in its place; of overlapping spans the first's, once."""
-    cut = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(spans, zero, lambda a, s: F.struct(
-        F.greatest(a["at"], s["end"]).alias("at"),
-        F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(cut(a["at"], s["start"]), s["value"]))).alias("out")))
-    return let(done, lambda d: F.concat(F.array_join(d["out"], ""), cut(d["at"], F.length(text).cast("bigint"))))
+    def pieced(pieces, covered):
+        before = lambda i: F.coalesce(F.get(covered, i - 1), F.lit(0).cast("bigint"))
+        parts = F.transform(spans, lambda s, i: let(before(i), lambda at: F.when(s["start"] < at, "").otherwise(
+            F.concat(_cut(pieces, at, s["start"]), s["value"]))))
+        return F.array_join(F.concat(parts, F.array(_cut(pieces, before(F.size(spans)), F.length(text).cast("bigint")))), "")
+
+    ends = F.transform(spans, lambda s: s["end"])
+    return let(_pieces(text), lambda p: let(_running(ends, F.greatest), lambda c: pieced(p, c)))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
@@ -259,7 +297,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     plan = (found.where((F.size("base") > 0) | (F.size("terms") > 0)).select("_id", "_text_hash", spans.alias("_spans"))
             .groupBy("_id", "_text_hash").agg(F.first("_spans").alias("_spans")))  # rows that repeat
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_row_id"),
-                       F.xxhash64(text_or_empty(text_col)).alias("_here"))
+                       _text_hash(text_or_empty(text_col)).alias("_here"))
     joined = rows.join(plan, rows["_row_id"].eqNullSafe(plan["_id"]) & (rows["_here"] == plan["_text_hash"]), "left")
     hit, old = F.col("_spans").isNotNull(), F.col("_row")[text_col]
     new = joined.select("_row", F.when(hit, replaced(old, F.col("_spans"))).otherwise(old).alias("_new"), hit.alias("_hit"))

@@ -64,6 +64,42 @@ def test_long_runs_take_linear_time(spark):
     assert len(rows) == len(texts)
 
 
+def test_text_of_many_spans(spark):
+    """20,000 addresses in one text: words near each, across the borders of pieces and beyond the BMP, and the text in between."""
+    text = " ".join(f"name\U0001F600 lord{'e' * (i % 7)} u{i}@host{i % 50}.org met" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, "\U0001F600" * 2047 + " word jo@ex.org")], "doc_id bigint, text string")
+    rows = {r._id: r for r in pii_sanitise.scan(docs).collect()}
+    ends = [m.span() for m in re.finditer(r"u[0-9]+@host[0-9]+[.]org", text)]
+    assert [(x.start, x.end) for x in rows[1].base] == ends and rows[2].base == [] and rows[2].near == []
+    near = set()
+    for a, b in ends:
+        names = [f"email:{text[a:b]}", f"email-group:{text[text.index('@', a):b]}", "kind:email"]
+        padded = f" {text} "
+        for part in (padded[max(a - 100, 0):a + 1], padded[b + 1:b + 101]):
+            words = re.findall(r"(?<=[\s\"'(])[^\W\d_]{4,}(?=[.,;:!?\"')]*\s)", part)
+            near |= {(e, w.lower()) for e in names for w in words}
+    assert {(x.entity, x.term) for x in rows[1].near} == near and len(rows[1].near) == len(near)
+    assert ("kind:email", "word") in {(x.entity, x.term) for x in rows[3].near}
+    out = docs.join(pii_sanitise.scan(docs).select("_id", "base"), F.col("_id") == F.col("doc_id")).select(
+        "_id", pii_sanitise.replaced(F.col("text"), F.transform("base", lambda x: x.withField("value", F.lit("[E]")))).alias("t")).collect()
+    done = {r._id: r.t for r in out}
+    assert done[1] == re.sub(r"u[0-9]+@host[0-9]+[.]org", "[E]", text) and done[2] == "" and done[3].endswith("\U0001F600 word [E]")
+
+
+def test_overlapping_spans_are_replaced_once(spark):
+    rng, rows = random.Random(3), []
+    for i in range(40):
+        text = "".join(rng.choice("ab\U0001F600 ") for _ in range(rng.choice([0, 5, 3000])))
+        cuts = sorted(sorted(rng.sample(range(len(text) + 1), 2)) for _ in range(rng.choice([0, 1, 600]) if len(text) > 5 else 0))
+        out, at = [], 0
+        for a, b in cuts:
+            out += [] if a < at else [text[at:a], "<>"]
+            at = max(at, b)
+        rows.append((i, text, [(a, 0, b, "email", "<>") for a, b in cuts], "".join(out) + text[at:]))
+    df = spark.createDataFrame(rows, f"i int, text string, spans array<{pii_sanitise.SPAN}>, expected string")
+    assert df.where(pii_sanitise.replaced(F.col("text"), F.col("spans")) != F.col("expected")).count() == 0
+
+
 def disclosure_docs():
     """The word `zubrowkan` stands beside one address and nowhere else; `ordinary` beside it and all
     over; `rarely` beside it in one text only, which has many copies."""
