@@ -5,8 +5,9 @@ phrases that occur in the language's text; with c phrases in m characters, again
 the language, c log2(n) / m estimates the cross entropy, and the language that needs the fewest
 bits (the fewest normalised phrases) wins.
 
-The automaton is a deterministic table (state x letter), so many texts are parsed in step with array
-operations. Letters are lower-cased, everything else counts as one space. Texts are parsed whole, in
+The automaton's rows (states) of edges (letters) are overlaid in one array where each slot names its
+owner, so many texts are parsed in step with array operations, and memory follows the sample, not the
+alphabet. Letters are lower-cased, everything else counts as one space. Texts are parsed whole, in
 blocks of `block` characters (a phrase ends with its block), so a long text is many short lanes: in
 each language at most one phrase more per `block` characters, alike for all languages.
 
@@ -112,29 +113,68 @@ def suffix_automaton(codes) -> list[dict[int, int]]:
     return step
 
 
+def comb(n_states: int, state: np.ndarray, letter: np.ndarray, target: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges (state, letter, target; by state) as overlaid rows: every state gets a place `at` of its own such
+    that its edges lie in free slots `at + letter`. Returns `at`, and of each slot the place that owns it
+    (-1: none) and the target's place. A quarter of the slots or less is taken, whatever the alphabet."""
+    size = 1 << max(8, int(4 * len(state) + n_states).bit_length())
+    owner, to = np.full(size + width, -1, np.int32), np.zeros(size + width, np.int32)
+    at, taken = np.zeros(n_states, np.int32), np.zeros(size, bool)
+    claim = np.zeros(size + width, np.int64)
+    degree = np.bincount(state, minlength=n_states)
+    start = np.cumsum(degree) - degree
+    level = np.frexp(degree)[1]
+    rng = np.random.default_rng(0)
+    for k in range(int(level.max()), -1, -1):  # states with many edges first, while there is much room
+        todo = np.nonzero(level == k)[0]
+        while len(todo):  # every state draws a place; who meets a taken one or another's draws again
+            mine, place = np.arange(len(todo)), rng.integers(0, size, len(todo))
+            claim[place] = mine
+            fits = ~taken[place] & (claim[place] == mine)
+            many = degree[todo]
+            who = np.repeat(mine, many)
+            edge = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + start[todo][who]
+            slot = place[who] + letter[edge]
+            claim[slot] = np.arange(len(slot))
+            free = (owner[slot] < 0) & (claim[slot] == np.arange(len(slot)))
+            fits &= np.bincount(who[~free], minlength=len(todo)) == 0
+            at[todo[fits]], taken[place[fits]] = place[fits], True
+            owner[slot[fits[who]]] = place[who[fits[who]]]
+            todo = todo[~fits]
+    to[at[state] + letter] = at[target]
+    return at, owner, to
+
+
 class Parser:
-    """All languages' automata in one table: entry = (next row << 1) + (a phrase begins here)."""
+    """All languages' automata as one comb. A language's state `root` has read nothing; in `fresh`, which
+    has no edges, whatever comes begins a phrase."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
         self.letters = Letters([t for x in texts.values() for t in x])
-        width, tables, self.bits, starts, base = self.letters.size, [], [], [], 0
+        edges, self.bits, roots, fresh, base = [np.zeros((3, 0), np.int64)], [], [], [], 0
         for lang in self.langs:
             codes = np.concatenate([np.append(self.letters.of(t)[0], BREAK) for t in texts[lang]])
             step = suffix_automaton(codes.tolist())
-            fresh = len(step)  # the state before a phrase: whatever comes begins one
-            restart = (np.array([step[0].get(c, fresh) for c in range(width)]) + base) * width * 2 + 1
-            restart[[UNKNOWN, BREAK]] = (fresh + base) * width * 2 + 1
-            table = np.tile(restart, (fresh + 1, 1))
-            for s, out in enumerate(step):
-                for c, t in out.items():
-                    if c != BREAK:
-                        table[s, c] = (t + base) * width * 2
-            tables.append(table.astype(np.int32 if (base + fresh + 1) * width < 2 ** 30 else np.int64))
-            starts.append((fresh + base) * width)
+            found = np.array([(s, c, t) for s, out in enumerate(step) for c, t in out.items() if c not in (BREAK, UNKNOWN)], np.int64)
+            edges.append(found.reshape(-1, 3).T + np.array([[base], [0], [base]]))
+            roots.append(base)
+            fresh.append(base + len(step))
             self.bits.append(np.log2(len(codes) + 1))
-            base += fresh + 1
-        self.starts, self.table = np.array(starts), np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            base += len(step) + 1
+        at, self.owner, self.to = comb(base, *np.concatenate(edges, axis=1), self.letters.size) if base else (np.zeros(0, np.int32),) * 3
+        self.roots, self.fresh = at[np.array(roots, np.int64)], at[np.array(fresh, np.int64)]
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states (lanes, languages) after one letter a lane, and where it begins a phrase."""
+        slot = state + codes[:, None]
+        begins = self.owner.take(slot) != state
+        to = self.to.take(slot)
+        lane, lang = np.nonzero(begins)
+        root = self.roots[lang]
+        slot = root + codes[lane]
+        to[lane, lang] = np.where(self.owner.take(slot) == root, self.to.take(slot), self.fresh[lang])
+        return to, begins
 
     def phrases(self, texts: list[np.ndarray], block: int = 512) -> np.ndarray:
         """Number of phrases of each text (codes) in each language, (texts, languages)."""
@@ -147,14 +187,13 @@ class Parser:
         flat = np.append(np.concatenate(texts) if texts else np.zeros(0, np.int32), np.zeros(block, np.int32))
         first = ((np.cumsum(sizes) - sizes)[owner] + nth * block)[order]
         alive = np.searchsorted(-length[order], -np.arange(block), side="left")  # lanes longer than j
-        state = np.tile(self.starts, (len(owner), 1)).astype(self.table.dtype)
+        state = np.tile(self.fresh, (len(owner), 1))
         count = np.zeros((len(owner), len(self.langs)), dtype=np.int32)
         for j in range(block):
             if not (n := int(alive[j])):
                 break
-            entry = self.table.take(state[:n] + flat[first[:n] + j][:, None])
-            count[:n] += entry & 1
-            state[:n] = entry >> 1
+            state[:n], begins = self.step(state[:n], flat[first[:n] + j])
+            count[:n] += begins
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         np.add.at(out, owner[order], count)
         return out

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -324,6 +325,30 @@ def test_phrase_counts_equal_brute_force():
     assert (blocks >= got).all() and (blocks - got <= np.array([[len(c) // 16 + 1] for c in codes])).all()
 
 
+def test_alphabet_of_thousands():
+    rng = random.Random(2)
+    signs = [chr(0x4E00 + i) for i in range(5000)]
+    ideographs = ["".join(rng.choice(signs) for _ in range(700)) for _ in range(64)]
+    greek = ["".join(rng.choice("αβγδεζηθ ") for _ in range(700)) for _ in range(64)]
+    tracemalloc.start()
+    parser = language_id.Parser({"el": greek, "zh": ideographs})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parser.letters.size > 4990 and peak < 300e6 and parser.owner.nbytes + parser.to.nbytes < 40e6
+    texts = [ideographs[3][100:180] + "".join(rng.choice(signs) for _ in range(20)), greek[5][7:90], "a" + ideographs[0][:5] + "β", ideographs[1][-9:] + ideographs[2][:9]]
+    got = parser.phrases([parser.letters.of(t)[0] for t in texts])
+    for t, row in zip(texts, got):
+        text = re.sub(r"[^\w]+", " ", t)
+        assert list(row) == [brute_phrases(text, "\n".join(re.sub(" +", " ", x) for x in learned)) for learned in (greek, ideographs)]
+    assert parser.predict([*texts[:2], ideographs[9] * 30, ""])[0] == ["zh", "el", "zh", "und"]
+
+
+def test_letters_that_were_not_learned_never_match():
+    parser = language_id.Parser({"tr": ["aİb aİc"]})  # lower case of this letter is two code points, so it has no code
+    assert parser.phrases([parser.letters.of("aqb")[0]]).tolist() == [[3]]
+    assert language_id.Parser({}).predict(["abc"]) == (["und"], [0.0])
+
+
 def test_languages_of_held_out_rows(spark):
     lang = {r.doc_id: r.lang for r in read_table(spark, SF_MID, "documents").collect()}
     rows = language_id.op4_language_id(spark, SF_MID).collect()
