@@ -3,22 +3,26 @@
 Writing: every page becomes three records, request, response (or revisit) and metadata; request and
 metadata name the response in WARC-Concurrent-To. A payload of at least `min_bytes` that several
 pages share is stored once, by the smallest page id; the others are revisit records that carry the
-payload digest. Spark's text writer makes the gzip files (records end in CRLF CRLF, which is the
-record end of the format), so any store that Spark writes to will do and a lost task rewrites its
-own files only.
+payload digest and name the stored record in WARC-Refers-To. Every record is a gzip member of its
+own, so a reader can seek to it; a file begins with a warcinfo record and ends once it holds
+`file_bytes` (compressed). Tasks put the members of a file together, Spark's text writer writes them,
+so any store that Spark writes to will do and a lost task rewrites its own files only.
 
-Reading: files are parsed record by record in tasks (a file holds a bounded number of records, one
-record is in memory at a time), then request, response and metadata records are joined through
-their concurrent-to identifiers into one nested row per capture.
+Reading: files are parsed record by record in tasks (one record is in memory at a time beside its
+file), then request, response and metadata records are joined through their concurrent-to
+identifiers into one nested row per capture. `digest_ok` says of a response whether its payload has
+the digest that its record names (null: none named, or of an unknown kind).
 
 Defined cases: null payload = empty; null page id is larger than any id and is written as an empty
-field; pages that repeat the smallest id of a group are all responses; a record that nothing links
+field; pages that repeat the smallest id of a group are all responses, of which revisits name none
+(the digest still leads there); a record that nothing links
 to a response or revisit belongs to no capture; bytes that are no record are skipped up to the next
 one, a cut-off last record is left out; an empty table gives archives without records.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
@@ -31,18 +35,18 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage
 from ..sources.tables import read_table
-from .common import text_or_empty
+from .common import each, text_or_empty, tidy
 
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
 ANCHORS = ("response", "revisit")
 RECORD_SCHEMA = ("record_id string, warc_type string, target_uri string, concurrent_to array<string>, "
-                 "payload_digest string, payload_bytes bigint, payload_sha256 string, "
+                 "payload_digest string, refers_to string, payload_bytes bigint, payload_sha256 string, digest_ok boolean, "
                  "fields map<string,string>, payload binary")
 ARROW_SCHEMA = pa.schema([
     ("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()),
-    ("concurrent_to", pa.list_(pa.string())), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
-    ("payload_sha256", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+    ("concurrent_to", pa.list_(pa.string())), ("payload_digest", pa.string()), ("refers_to", pa.string()),
+    ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("digest_ok", pa.bool_()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
 
 def _urn(*seed: Column) -> Column:
@@ -59,17 +63,41 @@ def _record(kind: str | Column, record_id: Column, date: str, content_type: str,
         F.lit(RECORD_END), block)
 
 
+#: A gzip member ends with the high byte of its length, 0 under 16 MB; after a longer one this byte is
+#: padding, which gzip readers skip.
+FILE_END = "\0"
+
+
+def _member(record: bytes) -> bytes:
+    return gzip.compress(record + RECORD_END.encode(), 6, mtime=0)
+
+
+def _file_info(date: str, software: str) -> bytes:
+    """A warcinfo record without its end."""
+    block = f"software: {software}{CRLF}format: WARC File Format 1.1{CRLF}"
+    return CRLF.join(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{uuid.uuid4().urn}>", f"WARC-Date: {date}",
+                      "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", block]).encode()
+
+
+def _file(members: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members).removesuffix(FILE_END.encode())], pa.binary())], names=["value"])
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
-                   min_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 6000) -> None:
-    """Writes gzip WARC files under `path`."""
+                   min_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 32 << 20,
+                   software: str = "shroud") -> None:
+    """Writes gzip WARC files under `path`, none larger than `file_bytes` by more than one record."""
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_or_empty(body_col).alias("body"))
     base = base.withColumn("digest", F.sha2("body", 256)).withColumn("bytes", F.octet_length("body"))
-    shared = (base.where(F.col("bytes") >= min_bytes).groupBy("digest")
-              .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    shared = (base.where(F.col("bytes") >= min_bytes).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n")).groupBy("digest")
+              .agg(F.min("page_id").alias("first_id"), (F.min_by("n", "page_id") == 1).alias("one_stored"), F.sum("n").alias("n"))
+              .where("n > 1").drop("n"))
+    stored = F.when(F.col("one_stored"), _urn(F.col("digest"), F.lit("stored")))  # known to the revisits without another join
     tagged = (base.join(shared, "digest", "left")
               .withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
               # unique in the whole job, also for rows that repeat; made once a row, so its three records agree
-              .withColumn("capture", _urn(F.col("digest"), F.monotonically_increasing_id().cast("string"))))
+              .withColumn("capture", F.coalesce(F.when(F.col("page_id") == F.col("first_id"), stored),
+                                                _urn(F.col("digest"), F.monotonically_increasing_id().cast("string")))))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     uri_header = F.concat(F.lit("WARC-Target-URI: "), uri)
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), F.col("capture"))
@@ -82,10 +110,26 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         _record(F.when(F.col("revisit"), "revisit").otherwise("response"), F.col("capture"), date,
                 "application/http; msgtype=response", F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("body"))),
                 uri_header, F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
+                F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), stored)),
                 F.when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         _record("metadata", _urn(F.col("capture"), F.lit("metadata")), date, "application/warc-fields", fields, uri_header, concurrent))
-    (tagged.select(F.explode(records).alias("value")).write.option("lineSep", RECORD_END)
-     .option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
+    def files(batches):
+        members, size = [], 0
+        for batch in batches:
+            for record in each(batch.column(0)):
+                if not members:
+                    members = [_member(_file_info(date, software))]
+                members.append(_member(record))
+                size += len(members[-1])
+                if size >= file_bytes:
+                    yield _file(members)
+                    members, size = [], 0
+        if members:
+            yield _file(members)
+
+    # a row is a file; the row end that the writer adds is the file's last byte
+    (tagged.select(F.explode(records.cast("array<binary>")).alias("value")).mapInArrow(tidy(files), "value binary")
+     .select(F.col("value").cast("string")).write.option("lineSep", FILE_END).option("maxRecordsPerFile", 1).text(path))
 
 
 def _headers(stream) -> list[tuple[str, str]]:
@@ -121,6 +165,16 @@ def parse_records(content: bytes, cut_off=lambda: None):
         cut_off()
 
 
+def digest_holds(named: str | None, payload: bytes) -> bool | None:
+    """Whether the payload has the digest `kind:value`, in hex or base 32; null if that can't be told."""
+    kind, _, value = (named or "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    real = hashlib.new(kind, payload).digest()
+    return value.strip().lower() == real.hex() or value.strip().upper().rstrip("=") == base64.b32encode(real).decode().rstrip("=")
+
+
 def _row(headers: list[tuple[str, str]], block: bytes, with_payload: bool) -> dict:
     h = dict(headers)
     kind, media = h.get("warc-type"), h.get("content-type", "")
@@ -129,8 +183,9 @@ def _row(headers: list[tuple[str, str]], block: bytes, with_payload: bool) -> di
     pairs = (x.partition(":") for x in block.decode("utf-8", "replace").splitlines()) if media.startswith("application/warc-fields") else ()
     return {"record_id": h.get("warc-record-id"), "warc_type": kind, "target_uri": h.get("warc-target-uri"),
             "concurrent_to": [v for k, v in headers if k == "warc-concurrent-to"],
-            "payload_digest": h.get("warc-payload-digest"), "payload_bytes": len(payload) if whole else None,
+            "payload_digest": h.get("warc-payload-digest"), "refers_to": h.get("warc-refers-to"), "payload_bytes": len(payload) if whole else None,
             "payload_sha256": hashlib.sha256(payload).hexdigest() if whole else None,
+            "digest_ok": digest_holds(h.get("warc-payload-digest"), payload) if whole else None,
             "fields": list({k.strip(): v.strip() for k, _, v in pairs}.items()), "payload": payload if with_payload else None}
 
 

@@ -1,7 +1,11 @@
+import base64
 import collections
+import glob
 import gzip
 import hashlib
+import random
 import tempfile
+import zlib
 
 import pytest
 
@@ -54,7 +58,7 @@ def archived(spark, pages, **options):
 
 
 def test_archives_round_trip(spark, odd_pages):
-    path = archived(spark, odd_pages, records_per_file=5)
+    path = archived(spark, odd_pages, file_bytes=2000)
     captures = warc.assemble(warc.read_records(spark, path)).collect()
     pages = odd_pages.collect()
     assert len(captures) == len(pages)
@@ -77,6 +81,51 @@ def test_digests_revisits_and_odd_rows(spark, odd_pages):
     assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == want
 
 
+def members_of(content):
+    """The uncompressed gzip members of a file."""
+    out = []
+    while content.strip(b"\0"):
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(content))
+        content = member.unused_data
+    return out
+
+
+def test_a_member_a_record_behind_a_file_record(spark, odd_pages):
+    rows = [(i, f"http://x/{i}", random.Random(i).randbytes(900).hex()) for i in range(200)] + [(500, "http://big/", "z" * 17_000_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2)
+    files = [open(f, "rb").read() for f in glob.glob(archived(spark, pages, file_bytes=20_000) + "/part-*")]
+    assert len(files) > 8 and max(map(len, files)) < 20_000 + 18_000  # one record more, here at most the large one
+    members = [members_of(f) for f in files]
+    for file in members:
+        assert b"WARC-Type: warcinfo" in file[0] and not any(b"WARC-Type: warcinfo" in m for m in file[1:])
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") and len(list(warc.parse_records(m))) == 1 for m in file)
+    assert sum(map(len, members)) == 3 * len(rows) + len(files)
+
+
+def test_revisits_name_the_stored_record(spark):
+    body = "b" * 200
+    pages = spark.createDataFrame([(i, f"http://x/{i}", body) for i in (7, 4, 9)] + [(1, "http://y/", "c" * 200)] * 2 + [(2, "http://y/", "c" * 200)],
+                                  "page_id bigint, url string, html string")
+    rows = warc.read_records(spark, archived(spark, pages)).where("warc_type in ('response', 'revisit')").collect()
+    ids = {r.record_id: r for r in rows}
+    assert len(ids) == len(rows) == 6
+    named = {r.target_uri: ids[r.refers_to].target_uri for r in rows if r.refers_to}
+    assert named == {"http://x/7": "http://x/4", "http://x/9": "http://x/4"}  # two records of page 1 are stored: none is named
+    assert [r.digest_ok for r in rows if r.warc_type == "response"] == [True] * 3
+
+
+def test_changed_payloads_show(spark, tmp_path):
+    def record(digest, payload=b"abcd"):
+        return b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nWARC-Payload-Digest: " + digest + b"\r\nContent-Length: %d\r\n\r\n" % (
+            len(payload) + 19) + b"HTTP/1.1 200 OK\r\n\r\n" + payload + b"\r\n\r\n"
+    sha1, sha256 = hashlib.sha1(b"abcd").digest(), hashlib.sha256(b"abcd").hexdigest().encode()
+    digests = [b"sha256:" + sha256, b"SHA-256:" + sha256.upper(), b"sha1:" + base64.b32encode(sha1), b"sha1:" + base64.b32encode(b"0" * 20), b"tiger:abc", b""]
+    (tmp_path / "a.warc").write_bytes(b"".join(map(record, digests)) + record(digests[0], b"abce"))
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    assert [r.digest_ok for r in rows] == [True, True, True, False, None, None, False]
+
+
 def test_empty_table(spark, odd_pages):
     path = archived(spark, odd_pages.limit(0))
     assert warc.resolve_revisits(warc.assemble(warc.read_records(spark, path))).count() == 0
@@ -93,7 +142,7 @@ def test_damaged_archives():
 
 def test_links_in_either_direction(spark):
     def row(i, kind, to=()):
-        return (i, kind, None, list(to), None, 0, None, {}, None)
+        return (i, kind, None, list(to), None, None, 0, None, None, {}, None)
     records = [row("r1", "response", ["q1"]), row("q1", "request"), row("m1", "metadata", ["r1"]), row("m2", "metadata", ["r1"]),
                row("r2", "revisit"), row("q2", "request", ["r2", "gone"]), row("lost", "metadata", ["gone"])]
     got = warc.assemble(spark.createDataFrame(records, warc.RECORD_SCHEMA)).collect()
