@@ -74,17 +74,28 @@ def stream_egress_ledger(spark: SparkSession, sf_dir: str, base: str | None = No
     return run_available_now(out, "stream_egress_ledger", base)
 
 
+STATE_STORE = "spark.sql.streaming.stateStore"
+ROCKSDB = {
+    f"{STATE_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a commit writes its changes only, and no store reserves disk for logs ahead: a query holds one or two stores a partition
+    f"{STATE_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{STATE_STORE}.rocksdb.allowFAllocate": "false",
+}
+
+
 @contextmanager
 def rocksdb(spark: SparkSession):
-    """The state store that typed state and timers need, for the queries started inside."""
-    key, name = ("spark.sql.streaming.stateStore.providerClass",
-                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, name)
+    """The state store that typed state and timers need, for the queries started inside. Options that
+    the session sets itself stay."""
+    before = {key: spark.conf.get(key, None) for key in ROCKSDB}
+    for key, value in ROCKSDB.items():
+        if key.endswith("providerClass") or before[key] is None:
+            spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
 RESOLUTION_COLS = ["session_id", "switch_seq", "seq", "ts", "resolved", "can_prompt", "unattended", "answer_i"]
