@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import seeds
 from .allow import Rule, compile_rules
 from .detect import JAVA_PATTERNS
 from .redact import redact_step
@@ -33,7 +32,7 @@ def redacted_text(x: Column, only: list[str] | None = None, rules: list[Rule] |
     rules = compile_rules() if rules is None else rules
 
     def step(i, t, jre, v):
-        return lambda y: redact_step(y, jre, t, v, rules, seeds.PATTERN_GUARDS[i])
+        return lambda y: redact_step(y, jre, t, v, rules, i)
     for i, t, jre, v in JAVA_PATTERNS:
         if only is None or t in only:
             x = _bound(x, step(i, t, jre, v))

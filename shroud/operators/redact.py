@@ -14,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import seeds
 from .allow import Rule, allow_applies, compile_rules
-from .detect import JAVA_PATTERNS, PLACEHOLDER, VALIDATORS
+from .detect import CORES, JAVA_PATTERNS, PLACEHOLDER, VALIDATORS, excerpt, guard_of, once
 from .allow import allowed as allowed_col
 
 
@@ -24,20 +23,13 @@ def _conditional(rules: list[Rule], typ: str, validator: str | None) -> bool:
     return bool(validator) or allow_applies(rules, typ)
 
 
-def _guarded(x: Column, guard: list[str] | None, step: Column) -> Column:
-    """Skip the step where the pattern's required literal is absent (no match
-    is possible there, so the text is unchanged)."""
-    if not guard:
-        return step
-    cond = x.contains(guard[0])
-    for g in guard[1:]:
-        cond = cond | x.contains(g)
-    return F.when(cond, step).otherwise(x)
-
-
 def redact_step(x: Column, jre: str, typ: str, validator: str | None, rules: list[Rule],
-                guard: list[str] | None = None) -> Column:
-    return _guarded(x, guard, _step(x, jre, typ, validator, rules))
+                pattern_id: int | None = None) -> Column:
+    """One pattern's rewriting, skipped where its required literal is absent (no match is possible
+    there, so the text is unchanged)."""
+    step = _step(x, jre, typ, validator, rules)
+    guard = None if pattern_id is None else guard_of(x, pattern_id)
+    return step if guard is None else F.when(guard, step).otherwise(x)
 
 
 def _step(x: Column, jre: str, typ: str, validator: str | None, rules: list[Rule]) -> Column:
@@ -58,14 +50,25 @@ def _step(x: Column, jre: str, typ: str, validator: str | None, rules: list[Rule
 
 def with_redacted(df: DataFrame, text: str = "text", out: str = "redacted",
                   only: list[str] | None = None, rules: list[Rule] | None = None) -> DataFrame:
-    """Adds `out` = text with every (or every `only`-typed) match replaced."""
+    """Adds `out` = text with every (or every `only`-typed) match replaced.
+
+    Numbers are first looked for without their boundaries in the text's short excerpt. No match holds
+    a character of a placeholder, so what a later step rewrites stood in the original text already,
+    and a step whose number isn't there leaves the text as it is."""
     rules = compile_rules() if rules is None else rules
     cur = text
     steps = [(i, t, jre, v) for i, t, jre, v in JAVA_PATTERNS if only is None or t in only]
+    cores = [i for i, *_ in steps if i in CORES]
+    if cores:
+        df = df.withColumn("__digits", excerpt(F.col(text), "digits"))
+        df = once(df, F.struct(*[F.col("__digits").rlike(CORES[i]).alias(f"p{i}") for i in cores]).alias("__may")).drop("__digits")
     for n, (i, t, jre, v) in enumerate(steps):
         nxt = f"__r{n}"
-        df = df.withColumn(nxt, redact_step(F.col(cur), jre, t, v, rules, seeds.PATTERN_GUARDS[i]))
+        step = redact_step(F.col(cur), jre, t, v, rules, i)
+        df = df.withColumn(nxt, F.when(F.col("__may")[f"p{i}"], step).otherwise(F.col(cur)) if i in CORES else step)
         if cur != text:
             df = df.drop(cur)
         cur = nxt
-    return df.withColumnRenamed(cur, out) if cur != text else df.withColumn(out, F.col(text))
+    # a filter on the result would be pushed below the steps, each of which names the text before it several times
+    df = once(df.drop("__may"), F.col(cur).alias(out))
+    return df.drop(cur) if cur != text else df

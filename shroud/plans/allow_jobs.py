@@ -54,7 +54,9 @@ def _findings(spark, sf, types=None):
 
 def _matched(spark, sf, kind, types=None):
     rules = rule_table(spark, sf).where(F.col("kind") == kind)
-    return allow.match_rules(_findings(spark, sf, types), rules, FKEYS).where(F.col("rule_kind") == kind).select(*FKEYS).distinct()
+    f = _findings(spark, sf, types)
+    f = cut_lineage(f) if kind == "glob" else f  # globs take the findings twice: their values, then the rows
+    return allow.match_rules(f, rules, FKEYS).where(F.col("rule_kind") == kind).select(*FKEYS).distinct()
 
 
 def allow_domain(spark, sf):

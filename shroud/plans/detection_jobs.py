@@ -46,7 +46,7 @@ def pii_findings_sql() -> str:
 def _candidates(spark, sf, pattern_index):
     fx = fixtures.fx_text(spark, sf)
     (_, _, m), = detect.raw_matches(F.col("text"), [pattern_index])
-    return fx.select("doc_id", F.posexplode(m).alias("pos", "candidate")).withColumn(
+    return detect.once(fx.select("doc_id", "text"), m.alias("m")).select("doc_id", F.posexplode("m").alias("pos", "candidate")).withColumn(
         "match_no", (F.col("pos") + 1).cast("int")).drop("pos")
 
 
