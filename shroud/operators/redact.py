@@ -6,7 +6,8 @@ the same regex: both walk the identical match sequence (no pattern matches the
 empty string), so `parts[0] m1 parts[1] m2 ...` is the text, and replacing each
 `m` by a per-value decision rebuilds it without a UDF. Each step is its own
 projected column, so the previous text is computed once, never duplicated into
-a growing expression tree.
+a growing expression tree. The steps run on the text without its prose
+(`detect.brief`), which is put back at the end.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .allow import Rule, allow_applies, compile_rules
-from .detect import CORES, JAVA_PATTERNS, PLACEHOLDER, VALIDATORS, excerpt, guard_of, once
+from .detect import CORES, JAVA_PATTERNS, MARK, PLACEHOLDER, PROSE, VALIDATORS, WHOLE_FROM, guard_of, once
 from .allow import allowed as allowed_col
 
 
@@ -48,27 +49,45 @@ def _step(x: Column, jre: str, typ: str, validator: str | None, rules: list[Rule
     return F.array_join(F.zip_with(parts, repl, lambda a, b: F.concat(a, b)), "")
 
 
+def _cut(text: Column) -> list[Column]:
+    """`__pieces`: the text cut before and after each stretch of prose, which is every second piece, and
+    `__rest`: what follows the start of a private key, whose match may hold prose. A text with marks of its
+    own is all rest."""
+    head = F.when(text.contains(MARK), "").otherwise(F.substring_index(text, WHOLE_FROM, 1))
+    rest = F.when(text.contains(MARK), text).when(text.contains(WHOLE_FROM), F.substring(text, F.length(head) + 1, F.length(text))).otherwise("")
+    pieces = F.split(F.regexp_replace(head, PROSE, f"{MARK}$0{MARK}"), MARK, -1)
+    return [pieces.alias("__pieces"), rest.alias("__rest")]
+
+
+def _kept() -> Column:
+    return F.concat(F.array_join(F.filter("__pieces", lambda x, k: k % 2 == 0), MARK), "__rest")
+
+
+def _put_back(kept: Column) -> Column:
+    """The text again: its prose in place of the marks."""
+    prose = F.concat(F.filter("__pieces", lambda x, k: k % 2 == 1), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(F.split(kept, MARK, -1), prose, lambda a, b: F.concat(a, b)), "")
+    return F.when(F.size("__pieces") == 1, kept).otherwise(whole)
+
+
 def with_redacted(df: DataFrame, text: str = "text", out: str = "redacted",
                   only: list[str] | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """Adds `out` = text with every (or every `only`-typed) match replaced.
 
-    Numbers are first looked for without their boundaries in the text's short excerpt. No match holds
-    a character of a placeholder, so what a later step rewrites stood in the original text already,
-    and a step whose number isn't there leaves the text as it is."""
+    The steps run on the text without its prose. No match holds a character of a placeholder, so what a
+    later step rewrites stood in the original text already: prose stays out of every step's reach, and a
+    step whose number, looked for without its boundaries, isn't there leaves the text as it is."""
     rules = compile_rules() if rules is None else rules
-    cur = text
     steps = [(i, t, jre, v) for i, t, jre, v in JAVA_PATTERNS if only is None or t in only]
     cores = [i for i, *_ in steps if i in CORES]
+    df = once(df, *_cut(F.col(text))).withColumn("__kept", _kept())
     if cores:
-        df = df.withColumn("__digits", excerpt(F.col(text), "digits"))
-        df = once(df, F.struct(*[F.col("__digits").rlike(CORES[i]).alias(f"p{i}") for i in cores]).alias("__may")).drop("__digits")
+        df = once(df, F.struct(*[F.col("__kept").rlike(CORES[i]).alias(f"p{i}") for i in cores]).alias("__may"))
+    cur = "__kept"
     for n, (i, t, jre, v) in enumerate(steps):
         nxt = f"__r{n}"
         step = redact_step(F.col(cur), jre, t, v, rules, i)
-        df = df.withColumn(nxt, F.when(F.col("__may")[f"p{i}"], step).otherwise(F.col(cur)) if i in CORES else step)
-        if cur != text:
-            df = df.drop(cur)
+        df = df.withColumn(nxt, F.when(F.col("__may")[f"p{i}"], step).otherwise(F.col(cur)) if i in CORES else step).drop(cur)
         cur = nxt
     # a filter on the result would be pushed below the steps, each of which names the text before it several times
-    df = once(df.drop("__may"), F.col(cur).alias(out))
-    return df.drop(cur) if cur != text else df
+    return once(df, _put_back(F.col(cur)).alias(out)).drop("__may", "__pieces", "__rest", cur)
