@@ -6,7 +6,8 @@ reverse, sorted by the first eight ids, which is as deep as phrases of five word
 intervals, one in each transform. Extending it to the left by a word c maps the interval [lo, hi) to
 the occurrences of c in bwt[lo:hi), carried on by the last-to-first map; the interval in the reverse
 transform moves by the number of smaller symbols. All phrases of one length are extended together, as
-arrays. An interval's width is the phrase's count; the words (not marks) in bwt[lo:hi) and in its
+arrays of bounded size: a portion of a level is carried on to its longest phrases before the next
+portion begins. An interval's width is the phrase's count; the words (not marks) in bwt[lo:hi) and in its
 reverse interval are its occurrences with a left and with a right neighbour.
 
 Counting is exact and needs no list of words or phrases on the driver. Levels go upwards: a phrase of
@@ -17,7 +18,8 @@ equal bits of different phrases only let more through (so does a filter that gro
 data): the last pass sends the phrases themselves, and their sums alone decide.
 
 Index shards are Parquet files in the shared folder (about eight bytes a word); every pass is a narrow scan
-of them and one aggregation that combines before the shuffle. A text that fills a shard goes on in the
+of them and one aggregation that combines before the shuffle. A task holds one shard at a time, in its
+reader, on the way to Python (where Spark would gather 64 MB of them) and there. A text that fills a shard goes on in the
 next one, where its last four words are repeated; the repeats are indexed once more with sign -1, so
 every occurrence counts once.
 
@@ -29,6 +31,7 @@ are left out.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,11 @@ TEXT_STRETCH = 1 << 20  # most bytes of a text split into words at once
 MARK = 0  # the local id that divides pieces; words have ids from 1
 ROWS_OUT = 32_768  # rows of a batch given back
 PAGE_BITS = 1 << 15  # bits of a filter gathered as one row
+PORTION = 1 << 16  # occurrences extended at once, and those of one phrase more
+BATCH_BYTES = 1 << 20  # of texts or shards sent to Python at once, and one of them more
+TEXTS_READ = 256  # texts that a reader holds at once
+#: A page a shard, so that one can be read without the others; row groups are cut by size after every row, not every hundred.
+INDEX_FILES = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(64 << 20)}
 SHARD_SCHEMA = "lang string, sign int, tokens bigint, words array<string>, counts array<bigint>, bwt binary, back_bwt binary"
 
 
@@ -56,7 +64,12 @@ def stable_order(key: np.ndarray) -> np.ndarray:
     one number where both fit, which is several times faster than sorting places by key."""
     bits = len(key).bit_length()
     if len(key) and int(key.max()).bit_length() + bits <= 63:
-        return np.sort((key.astype(np.int64) << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+        both = key.astype(np.int64)
+        both <<= bits
+        both |= np.arange(len(key))
+        both.sort()
+        both &= (1 << bits) - 1
+        return both
     return np.argsort(key, kind="stable")
 
 
@@ -65,14 +78,17 @@ def transform(ids: np.ndarray) -> np.ndarray:
     rank = ids.astype(np.int64)
     n = len(ids)
     for span in (1, 2, 4):
-        ahead = np.zeros(n, np.int64)
-        ahead[:max(n - span, 0)] = rank[span:] + 1
-        key = rank * (int(rank.max()) + 2) + ahead
+        key = rank * (int(rank.max()) + 2)
+        key[:max(n - span, 0)] += rank[span:] + 1
         order = stable_order(key)
         if span < 4:
             key = key[order]
-            rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    return ids[order - 1]
+            fresh = key[1:] != key[:-1]
+            key[0] = 0
+            np.cumsum(fresh, out=key[1:])
+            rank[order] = key
+    order -= 1
+    return ids[order]
 
 
 class FmIndex:
@@ -83,6 +99,7 @@ class FmIndex:
         self.last_to_first = np.empty(len(bwt), np.int32)
         self.last_to_first[stable_order(bwt)] = np.arange(len(bwt), dtype=np.int32)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=symbols))])
+        self.words_before: tuple[np.ndarray, np.ndarray] | None = None
 
     def single_words(self) -> dict[str, np.ndarray]:
         lo, hi = self.starts[1:-1], self.starts[2:]
@@ -107,11 +124,13 @@ class FmIndex:
 
     def neighbours(self, level: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences with a word to the left, and with one to the right, in their piece."""
-        def words(bwt, lo):
-            before = np.concatenate([[0], np.cumsum(bwt != MARK)])
-            return before[lo + level["count"]] - before[lo]
+        if self.words_before is None:  # once a shard
+            self.words_before = tuple(np.concatenate([np.zeros(1, np.int32), np.cumsum(x != MARK, dtype=np.int32)]) for x in (self.bwt, self.back_bwt))
 
-        return words(self.bwt, level["lo"]), words(self.back_bwt, level["back"])
+        def words(before, lo):
+            return before[lo + level["count"]].astype(np.int64) - before[lo]
+
+        return words(self.words_before[0], level["lo"]), words(self.words_before[1], level["back"])
 
 
 def phrase_hashes(word_hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -128,29 +147,42 @@ def phrase_hashes(word_hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
 class Shard:
     """One row of the index table, ready to be searched."""
 
-    def __init__(self, lang: str, words: list[str], bwt: bytes, back_bwt: bytes | None):
+    def __init__(self, lang: str, words: list[str], bwt: pa.Buffer, back_bwt: pa.Buffer | None):
         self.words = [None, *words]
         seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
         self.hashes = np.array([0, *(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words)], np.uint64)
-        self.index = FmIndex(np.frombuffer(bwt, "<i4"), np.frombuffer(back_bwt or b"", "<i4"), len(self.words))
+        self.index = FmIndex(np.frombuffer(bwt, "<i4"), np.frombuffer(b"" if back_bwt is None else back_bwt, "<i4"), len(self.words))
 
     def levels(self, filters: list[np.ndarray], deepest: int):
-        """(length, phrases, hashes) level by level; a phrase goes on if all its parts pass `filters`
+        """(length, phrases, hashes), portion by portion; a phrase goes on if all its parts pass `filters`
         (by length, from 1). Lengths without a filter are given whole."""
-        level = self.index.single_words()
-        for m in range(1, deepest + 1):
-            if m > 1:
-                level = self.index.extend_left(level)
-                if part := min(m - 1, len(filters)):  # its last words passed before; the first ones too?
-                    level = _rows(level, passing(filters[part - 1], phrase_hashes(self.hashes, level["ids"][:, :part])))
-            hashes = phrase_hashes(self.hashes, level["ids"])
-            if m - 1 < len(filters):
-                keep = passing(filters[m - 1], hashes)
-                level, hashes = _rows(level, keep), hashes[keep]
-            yield m, level, hashes
-
-
-def _rows(level: dict[str, np.ndarray], keep: np.ndarray) -> dict[str, np.ndarray]:
+        return self._carried_on(self.index.single_words(), 1, filters, deepest)
+
+    def _carried_on(self, level: dict[str, np.ndarray], m: int, filters: list[np.ndarray], deepest: int):
+        if part := min(m - 1, len(filters)):  # its last words passed before; the first ones too?
+            level = _rows(level, passing(filters[part - 1], phrase_hashes(self.hashes, level["ids"][:, :part])))
+        hashes = phrase_hashes(self.hashes, level["ids"])
+        if m - 1 < len(filters):
+            keep = passing(filters[m - 1], hashes)
+            level, hashes = _rows(level, keep), hashes[keep]
+        yield m, level, hashes
+        if m < deepest:
+            del hashes
+            for some in portions(level):
+                yield from self._carried_on(self.index.extend_left(some), m + 1, filters, deepest)
+
+
+def portions(level: dict[str, np.ndarray]):
+    """The phrases of a level in stretches of at most PORTION occurrences and those of one phrase more."""
+    ends = np.cumsum(level["count"])
+    at = 0
+    while at < len(ends):
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION)) + 1
+        yield _rows(level, slice(at, end))
+        at = end
+
+
+def _rows(level: dict[str, np.ndarray], keep: np.ndarray | slice) -> dict[str, np.ndarray]:
     return {k: v[keep] for k, v in level.items()}
 
 
@@ -161,6 +193,19 @@ def passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- jobs
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings for the jobs run inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
 class _Ids(dict):
     """Word -> local id, given at first sight; the mark is 0, the empty string between two blanks -1."""
 
@@ -259,7 +304,8 @@ def _each_shard(index: DataFrame, work, schema: str, both_ways: bool) -> DataFra
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                lang, sign, words, bwt, *back = (c[at].as_py() for c in batch.columns)
+                lang, sign, words = (c[at].as_py() for c in batch.columns[:3])
+                bwt, *back = (c[at].as_buffer() for c in batch.columns[3:])
                 for columns in work(Shard(lang, words, bwt, *(back or [None])), lang, sign):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
@@ -384,11 +430,12 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     spark = docs.sparkSession
     base = folder or f"{checkpoint_dir(spark)}/collocations-{uuid.uuid4().hex}"
 
-    def save(name: str, frame: DataFrame) -> DataFrame:
-        frame.write.option("compression", "zstd").parquet(f"{base}/{name}")
+    def save(name: str, frame: DataFrame, rows_read: int = 1, **options: str) -> DataFrame:
+        with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.parquet.columnarReaderBatchSize": str(rows_read)}):
+            frame.write.options(compression="zstd", **options).parquet(f"{base}/{name}")
         return spark.read.schema(frame.schema).parquet(f"{base}/{name}")
 
-    index = save("index", index_shards(docs, text_col, lang_col, shard_words, longest))
+    index = save("index", index_shards(docs, text_col, lang_col, shard_words, longest), rows_read=TEXTS_READ, **INDEX_FILES)
     totals = index.groupBy("lang").agg(F.sum(F.col("tokens") * F.col("sign")).alias("n"))
     frequent = frequent_phrases(index, min_count, longest, filter_bits, save)
     return score_phrases(frequent, totals, top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "left_neighbours", "right_neighbours")

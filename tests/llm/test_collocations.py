@@ -6,6 +6,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from shroud.llm import collocations as co
@@ -112,6 +114,49 @@ def test_index_intervals():
         assert all(before[tuple(p)] == b and after[tuple(p)] == a for p, b, a in zip(level["ids"].tolist(), left, right))
 
 
+def test_levels_in_portions(monkeypatch):
+    """No more than PORTION occurrences and those of one phrase are extended at once, however many phrases pass."""
+    r = np.random.default_rng(2)
+    words = 300
+    ids = np.concatenate([r.integers(0, words + 1, size=6000), [0]]).astype(np.int32)
+    monkeypatch.setattr(co, "PORTION", 500, raising=False)
+    extended, extend = [], co.FmIndex.extend_left
+    monkeypatch.setattr(co.FmIndex, "extend_left", lambda self, level: extended.append(level["count"]) or extend(self, level))
+    shard = co.Shard("en", [f"w{i}" for i in range(words)], co.transform(ids).tobytes(), co.transform(np.concatenate([ids[:-1][::-1], ids[-1:]])).tobytes())
+    got = Counter()
+    for m, level, hashes in shard.levels([], 4):
+        assert len(hashes) == len(level["count"])
+        got.update(dict(zip(map(tuple, level["ids"].tolist()), level["count"].tolist())))
+    assert got == Counter(tuple(ids[i:i + m].tolist()) for m in range(1, 5) for i in range(len(ids) - m + 1) if (ids[i:i + m] > 0).all())
+    assert len(extended) > 12 and all(c.sum() < 500 + c[-1] for c in extended)
+
+
+def test_one_shard_at_a_time(spark, tmp_path, monkeypatch):
+    """Shards that lie in one file reach Python in batches of few bytes, from pages and row groups of few."""
+    monkeypatch.setattr(co, "BATCH_BYTES", 2000, raising=False)
+    monkeypatch.setattr(co, "INDEX_FILES", {**getattr(co, "INDEX_FILES", {}), "parquet.block.size": "4096"}, raising=False)
+    sizes, frequent = [], co.frequent_phrases
+
+    def seen(index, min_count, longest, filter_bits, save):
+        def rows_of_batches(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32())], names=["n"])
+
+        sizes.extend(x["n"] for x in save("seen", index.select("words", "bwt").mapInArrow(rows_of_batches, "n int")).collect())
+        return frequent(index, min_count, longest, filter_bits, save)
+
+    monkeypatch.setattr(co, "frequent_phrases", seen)
+    keys = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = [spark.conf.get(k, None) for k in keys]
+    docs = [("en", noise(i, 400)) for i in range(40)]
+    got = rows(co.collocations(docs_frame(spark, docs).coalesce(1), min_count=5, shard_words=300, folder=str(tmp_path / "index")))
+    assert got == brute(docs, min_count=5) and len(got) > 50
+    assert sum(sizes) > 20 and max(sizes) <= 2
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "index" / "index").glob("*.parquet")]
+    assert max(m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)) <= 4
+    assert [spark.conf.get(k, None) for k in keys] == before
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
